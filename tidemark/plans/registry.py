@@ -9,6 +9,7 @@ kind ``s`` (string), ``t`` (date/timestamp as text), ``d`` (double),
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -27,7 +28,7 @@ class Query:
     doc: str = ""
 
     def kinds(self) -> list[tuple[str, str]]:
-        return [tuple(tok.split(":")) for tok in self.cols.split()]
+        return re.findall(r"(\S.*?):([stdi])(?=\s|$)", self.cols)
 
 
 REGISTRY: dict[str, Query] = {}

@@ -4,7 +4,7 @@ Every view is derived by Spark from the given tables, so its work grows with
 them.  Each view has a DuckDB twin (``VIEW_SQL``) used by the oracle queries.
 
 * ``daily``  -- order value per priority and calendar day (5 series, gappy)
-* ``ship``   -- average line price per return flag and ship day
+* ``ship``   -- shipped line value per return flag and ship day
 * ``supplier_daily`` -- shipped quantity per supplier and day; the number of
   series grows with the scale factor (one per supplier)
 * ``hourly`` -- average event value per event type and hour
@@ -32,7 +32,7 @@ def ship(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return (li.groupBy(F.col("l_returnflag").alias("series_id"),
                        F.to_date("l_shipdate").alias("ts"))
-            .agg(F.avg("l_extendedprice").alias("value")))
+            .agg(F.sum("l_extendedprice").alias("value")))
 
 
 def supplier_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ VIEW_SQL = {
     "daily": ("SELECT o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS ts, "
               "SUM(o_totalprice) AS value FROM orders GROUP BY 1, 2"),
     "ship": ("SELECT l_returnflag AS series_id, CAST(l_shipdate AS DATE) AS ts, "
-             "AVG(l_extendedprice) AS value FROM lineitem GROUP BY 1, 2"),
+             "SUM(l_extendedprice) AS value FROM lineitem GROUP BY 1, 2"),
     "supplier_daily": ("SELECT l_suppkey AS series_id, CAST(l_shipdate AS DATE) AS ts, "
                        "SUM(l_quantity) AS value FROM lineitem GROUP BY 1, 2"),
     "hourly": ("SELECT event_type AS series_id, date_trunc('hour', ts) AS ts, "
