@@ -270,3 +270,19 @@ def ema(df: DataFrame, keys: Sequence[str] | str, ts: str, cols: Sequence[str],
 def _key_types(df: DataFrame, keys: Sequence[str]) -> list[tuple[str, str]]:
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     return [(k, types[k]) for k in keys]
+
+
+def scan_sum(df: DataFrame, keys: Sequence[str] | str, ts: str, col: str, out: str, *,
+             bucket: str = DEFAULT_BUCKET, tiebreak: Sequence[str] = ()) -> DataFrame:
+    """Running sum of ``col`` (nulls as 0) from the series start to each row."""
+    keys = require_keys(keys)
+    order = [F.col(ts)] + [F.col(c) for c in tiebreak]
+    d = df.withColumn(TB, _bucket(ts, bucket))
+    upto = Window.partitionBy(*keys, TB).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = d.withColumn("_ls", F.sum(F.coalesce(F.col(col), F.lit(0))).over(upto))
+    summary = d.groupBy(*keys, TB).agg(F.sum(F.coalesce(F.col(col), F.lit(0))).alias("_bs"))
+    prior = Window.partitionBy(*keys).orderBy(TB).rowsBetween(Window.unboundedPreceding, -1)
+    carry = summary.select(*keys, TB, F.coalesce(F.sum("_bs").over(prior), F.lit(0)).alias("_cs"))
+    return (_carry_join(local, carry, keys)
+            .withColumn(out, F.col("_ls") + F.col("_cs"))
+            .drop("_ls", "_cs", TB))
