@@ -1,7 +1,7 @@
 """Registry of checkable queries: a Spark builder plus its DuckDB oracle SQL.
 
 Outputs are canonicalised identically on both sides so an order-insensitive
-value hash can compare them: DATE/TIMESTAMP -> ISO text, DOUBLE -> round(x, 4),
+value hash can compare them: DATE/TIMESTAMP -> ISO text, DOUBLE -> round(x * 1e4) / 1e4 (same IEEE steps in both engines),
 integers -> BIGINT.  ``cols`` lists the output columns as ``name:kind`` with
 kind ``s`` (string), ``t`` (date/timestamp as text), ``d`` (double),
 ``i`` (bigint).
@@ -48,7 +48,7 @@ def canon_spark(df: DataFrame, q: Query) -> DataFrame:
     for name, kind in q.kinds():
         c = F.col(f"`{name}`")
         if kind == "d":
-            out.append(F.round(c.cast("double"), 4).alias(name))
+            out.append((F.round(c.cast("double") * F.lit(10000.0)) / F.lit(10000.0)).alias(name))
         elif kind == "t":
             out.append(c.cast("string").alias(name))
         elif kind == "i":
@@ -63,7 +63,7 @@ def canon_sql(sql: str, q: Query) -> str:
     for name, kind in q.kinds():
         c = f'"{name}"'
         if kind == "d":
-            out.append(f"(round(CAST({c} AS DOUBLE), 4) + 0.0) AS {c}")
+            out.append(f"(round(CAST({c} AS DOUBLE) * 10000.0) / 10000.0 + 0.0) AS {c}")
         elif kind == "t":
             out.append(f"CAST({c} AS VARCHAR) AS {c}")
         elif kind == "i":
