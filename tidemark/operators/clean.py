@@ -129,7 +129,7 @@ def remove_outliers(df: DataFrame, keys, ts: str, col: str, threshold: float = 0
     keys = require_keys(keys)
     d = ind.pct_change(df, keys, ts, col, "_chg")
     d = prev_value(d, keys, ts, col, "_prev")
-    inf_change = (F.col("_prev") == 0) & (F.col(col) != 0)
+    inf_change = F.coalesce((F.col("_prev") == 0) & (F.col(col) != 0), F.lit(False))
     return d.where(~inf_change & (F.abs(F.coalesce(F.col("_chg"), F.lit(0.0))) <= threshold)).drop("_chg", "_prev")
 
 

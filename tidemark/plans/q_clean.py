@@ -182,7 +182,7 @@ def q_min_history(spark, sf):
 @register("b22_remove_outliers", "series_id:s ts:t value:d",
           td.with_views("""SELECT series_id, ts, value FROM (
   SELECT series_id, ts, value, lag(value) OVER w AS prev FROM ship WINDOW w AS (PARTITION BY series_id ORDER BY ts)) a
-WHERE NOT (prev = 0 AND value <> 0) AND abs(coalesce(value / NULLIF(prev, 0) - 1, 0)) <= 0.03""", "ship"))
+WHERE NOT coalesce(prev = 0 AND value <> 0, false) AND abs(coalesce(value / NULLIF(prev, 0) - 1, 0)) <= 0.03""", "ship"))
 def q_outliers(spark, sf):
     """B22 outlier filter: |change vs unfiltered previous row| <= 3%."""
     return cl.remove_outliers(td.ship(spark, sf), ["series_id"], "ts", "value", 0.03)
