@@ -243,28 +243,45 @@ def ema(df: DataFrame, keys: Sequence[str] | str, ts: str, cols: Sequence[str],
 
     carry = summary.groupBy(*keys).applyInPandas(_carry, carry_schema)
 
-    # (3) recursion per bucket from the carried state
+    # (3) recursion per (series, bucket) from the carried state.  Partitions are
+    # hash-partitioned by (series, bucket) and sorted, then streamed as bounded
+    # Arrow batches: one vectorised grouped ewm per batch over many units, with
+    # the state carried across a batch boundary when a unit straddles it.
     joined = d.join(carry, [*keys, TB], "left")
     base_fields = [f for f in joined.schema.fields if f.name not in carry_fields]
     out_names = [out(c, sp) for c in cols for sp in spans]
-    out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base_fields
-                            if f.name not in out_names]
-                           + [f"`{n}` double" for n in out_names])
     keep = [f.name for f in base_fields if f.name not in out_names]
-
-    def _run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts, kind="stable")
-        res = pdf[keep].copy()
-        for c in cols:
-            x = pdf[c].astype("float64")
-            for sp in spans:
-                start = pdf[f"_c_{c}_{sp}"].iloc[0] if len(pdf) else np.nan
-                seq = pd.concat([pd.Series([start]), x], ignore_index=True)
-                e = seq.ewm(span=sp, adjust=False, ignore_na=True).mean().to_numpy()[1:]
-                res[out(c, sp)] = e
-        return res
-
-    return joined.groupBy(*keys, TB).applyInPandas(_run, out_schema).drop(TB)
+    out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base_fields
+                            if f.name not in out_names] + [f"`{n}` double" for n in out_names])
+    unit_cols = [*keys, TB]
+    pairs = [(c, sp) for c in cols for sp in spans]
+
+    def _run(batches):
+        last_unit, last_state = None, {}
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            units = pdf[unit_cols].astype(str).agg("\x1f".join, axis=1)
+            code = pd.factorize(units)[0]
+            first_rows = np.r_[0, np.flatnonzero(np.diff(code)) + 1]
+            res = pdf[keep].copy()
+            for c, sp in pairs:
+                start = pdf[f"_c_{c}_{sp}"].to_numpy(dtype="float64")[first_rows].copy()
+                if last_unit is not None and units.iloc[0] == last_unit:
+                    start[0] = last_state[(c, sp)]
+                seeds = pd.DataFrame({"u": np.unique(code), "o": -1, "x": start})
+                body = pd.DataFrame({"u": code, "o": np.arange(len(pdf)), "x": pdf[c].to_numpy(dtype="float64")})
+                allr = pd.concat([seeds, body], ignore_index=True).sort_values(["u", "o"], kind="stable")
+                e = (allr.groupby("u", sort=False)["x"].ewm(span=sp, adjust=False, ignore_na=True).mean()
+                     .reset_index(level=0, drop=True).reindex(allr.index))
+                vals = e[allr["o"].to_numpy() >= 0].to_numpy()
+                res[out(c, sp)] = vals
+                last_state[(c, sp)] = vals[-1]
+            last_unit = units.iloc[-1]
+            yield res
+
+    ordered = joined.repartition(*unit_cols).sortWithinPartitions(*unit_cols, ts)
+    return ordered.mapInPandas(_run, out_schema).drop(TB)
 
 
 def _key_types(df: DataFrame, keys: Sequence[str]) -> list[tuple[str, str]]:

@@ -106,7 +106,8 @@ _E8_COLS = (["value_Lag1", "value_Lag2", "value_Lag3", "value_Lag5", "value_Lag1
              "value_EMA_10", "value_EMA_20", "value_RSI_14", "value_EMA_12", "value_EMA_26", "value_MACD",
              "value_RollingStd_10", "value_EMA_Ratio"])
 
-_E8_SQL = recursive(ema_sql("daily", [10, 20, 12, 26]) + """,
+def e8_sql(view: str) -> str:
+    return recursive(ema_sql(view, [10, 20, 12, 26]) + """,
 r AS (
   SELECT series_id, ts,
     CASE WHEN al > 0 THEN 100.0 - 100.0 / (1.0 + ag / al) WHEN al = 0 AND ag > 0 THEN 100.0 END AS value_RSI_14
@@ -116,7 +117,7 @@ r AS (
       CASE WHEN count(*) OVER w = 14 THEN avg(l) OVER w END AS al
     FROM (
       SELECT series_id, ts, CASE WHEN d > 0 THEN d ELSE 0.0 END AS g, CASE WHEN d < 0 THEN -d ELSE 0.0 END AS l
-      FROM (SELECT series_id, ts, value - lag(value) OVER (PARTITION BY series_id ORDER BY ts) AS d FROM daily) x
+      FROM (SELECT series_id, ts, value - lag(value) OVER (PARTITION BY series_id ORDER BY ts) AS d FROM """ + view + """) x
     ) y
     WINDOW w AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)
   ) z),
@@ -132,7 +133,10 @@ f AS (
     e.e10 / NULLIF(e.e20, 0) AS value_EMA_Ratio
   FROM b JOIN e ON b.series_id = e.series_id AND b.rn = e.rn
          JOIN r ON b.series_id = r.series_id AND b.ts = r.ts)
-SELECT * FROM f WHERE """ + " AND ".join(f"{c} IS NOT NULL" for c in _E8_COLS), "daily")
+SELECT * FROM f WHERE """ + " AND ".join(f"{c} IS NOT NULL" for c in _E8_COLS), view)
+
+
+_E8_SQL = e8_sql("daily")
 
 E8_COLS_SPEC = "series_id:s ts:t value:d " + " ".join(f"{c}:d" for c in _E8_COLS)
 
@@ -143,6 +147,12 @@ def q_e8(spark, sf):
     return ind.feature_bundle(td.daily(spark, sf), KEYS, "ts", ["value"], block_rows=BLOCK)
 
 
+@register("e8_supplier_features", E8_COLS_SPEC.replace("series_id:s", "series_id:i"), e8_sql("supplier_daily"))
+def q_e8_supplier(spark, sf):
+    """E8 bundle over one series per supplier (the series count grows with the data)."""
+    return ind.feature_bundle(td.supplier_daily(spark, sf), KEYS, "ts", ["value"], block_rows=BLOCK)
+
+
 # ---------------------------------------------------------------- E9
 _TWO_PI = repr(2.0 * math.pi)
 
