@@ -12,7 +12,7 @@ from .registry import register
 @register("a6_html_table_rows", "page_id:i row_no:i cells:s",
           r"""SELECT page_id, row_no, cells FROM (
   SELECT page_id, row_no, list_transform(regexp_extract_all(tr, '(?is)<t[hd][^>]*>(.*?)</t[hd]>', 1),
-           c -> trim(regexp_replace(c, '(?s)<[^>]*>', '', 'g'))) AS cl, tr
+           lambda c: trim(regexp_replace(c, '(?s)<[^>]*>', '', 'g'))) AS cl, tr
   FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<tr([^>]*)>(.*?)</tr>', 0)) AS tr,
                generate_subscripts(regexp_extract_all(html, '(?is)<tr([^>]*)>(.*?)</tr>', 0), 1) - 1 AS row_no
         FROM pages) r
