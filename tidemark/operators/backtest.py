@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import require_keys
+from ..session import cut_lineage
 from . import metrics as mt
 from . import sequence as seq
 from .indicators import positions
@@ -124,14 +125,16 @@ def own_dates(orig: DataFrame, keys: list[str], h: int) -> DataFrame:
 
 
 def native_predictions(pos: DataFrame, keys: list[str], value: str, cfg: ForecastConfig, name: str,
-                       **kw) -> DataFrame:
+                       first: DataFrame | None = None, **kw) -> DataFrame:
     """(keys, fold, step, o, ots, yhat) for every fold origin, all folds at once."""
     fn = NATIVE[name]
     orig = origins(pos, keys, value, cfg)
-    first = pos.where(F.col("rn") == 1).select(*keys, F.col(value).alias("y1"))
+    if first is None:
+        first = pos.where(F.col("rn") == 1).select(*keys, F.col(value).alias("y1"))
     st = orig.join(first, keys).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(cfg.n_forecasts))))
     if name == "mean":
-        cum = seq.scan_sum(pos.select(*keys, "ts", "rn", value), keys, "ts", value, "_cum", **kw)
+        cum = seq.scan_sum(pos.select(*keys, "ts", "rn", value), keys, "ts", value, "_cum",
+                           bucket=kw.get("bucket", seq.DEFAULT_BUCKET))
         st = st.join(cum.select(*keys, F.col("rn").alias("o"), (F.col("_cum") / F.col("rn")).alias("mean_o")),
                      [*keys, "o"])
     if name == "seasonal_naive":
@@ -180,35 +183,54 @@ class Artifacts:
 
 
 def run_backtest(df: DataFrame, keys, ts: str, value: str, cfg: ForecastConfig = ForecastConfig(),
-                 model: str = "drift", baseline: str = "naive", **kw) -> Artifacts:
-    """Rolling-origin backtest -> (final, metrics, forecast) tables for all series."""
+                 model: str = "drift", baseline: str = "naive", materialize: bool = True, **kw) -> Artifacts:
+    """Rolling-origin backtest -> (final, metrics, forecast) tables for all series.
+
+    Everything after the positions pass works on the tail of each series
+    (``n_tests + 1`` rows and the fold origins), which is small; that tail and
+    the final table are checkpointed to the shared checkpoint folder so the
+    three artifacts and the metrics reuse them instead of recomputing the
+    positions of the whole history.
+    """
     keys = require_keys(keys)
     resolve(model), resolve(baseline)
     d = df.select(*keys, F.col(ts).alias("ts"), F.col(value).alias("y"))
     pos = positions(d, keys, "ts", bucket=kw.get("bucket", seq.DEFAULT_BUCKET))
     nt = cfg.n_tests
-    anchor = pos.where(F.col("rn_desc") == nt + 1).select(*keys, "ts", F.col("y").alias("yhat"),
-                                                          F.lit(0).alias("model_fold"))
-
-    b = predictions(pos, keys, "y", cfg, baseline, **kw).where(F.col("fold") >= 0)
-    b = b.withColumn("rn", F.col("o") + F.col("step")).join(pos.select(*keys, "rn", "ts"), [*keys, "rn"])
+    depth = max(nt + 1, cfg.n_folds * cfg.n_forecasts + 1)
+    tail = pos.where(F.col("rn_desc") <= depth)
+    first = d.groupBy(*keys).agg(F.min_by("y", "ts").alias("y1"))
+    if materialize:
+        tail = cut_lineage(tail)
+    anchor = tail.where(F.col("rn_desc") == nt + 1).select(*keys, "ts", F.col("y").alias("yhat"),
+                                                           F.lit(0).alias("model_fold"))
+
+    def preds(name):
+        if name in NATIVE and name not in ("mean", "seasonal_naive"):
+            return native_predictions(tail, keys, "y", cfg, name, first=first, **kw)
+        return predictions(pos, keys, "y", cfg, name, **kw)
+
+    b = preds(baseline).where(F.col("fold") >= 0)
+    b = b.withColumn("rn", F.col("o") + F.col("step")).join(tail.select(*keys, "rn", "ts"), [*keys, "rn"])
     base = b.select(*keys, "ts", "yhat").unionByName(anchor.drop("model_fold"))
 
-    m_all = predictions(pos, keys, "y", cfg, model, **kw)
-    dates = own_dates(origins(pos, keys, "y", cfg), keys, cfg.n_forecasts)
+    m_all = preds(model)
+    dates = own_dates(origins(tail, keys, "y", cfg), keys, cfg.n_forecasts)
     m_all = m_all.join(dates, [*keys, "fold", "step"])
     # folds can put two predictions on one date; model_fold (1 = newest fold) orders them
     mod = m_all.where(F.col("fold") >= 0).select(*keys, "ts", "yhat", (F.col("fold") + 1).alias("model_fold")) \
         .unionByName(anchor)
 
-    actual = pos.where(F.col("rn_desc") <= nt + 1).select(*keys, "ts", F.col("y").alias("actual"))
+    actual = tail.where(F.col("rn_desc") <= nt + 1).select(*keys, "ts", F.col("y").alias("actual"))
     final = actual.join(base.withColumnRenamed("yhat", "baseline")
                         .join(mod.withColumnRenamed("yhat", "predicted"), [*keys, "ts"]), [*keys, "ts"])
+    forecast = m_all.where(F.col("fold") == -1).select(*keys, "step", "ts",
+                                                        F.col("yhat").alias("Future Predictions"))
+    if materialize:
+        final = cut_lineage(final)
     metrics = mt.model_comparison(final, keys, "ts", "actual", {baseline: "baseline", model: "predicted"},
                                   nt, cfg.n_forecasts, block_rows=kw.get("block_rows", seq.DEFAULT_BLOCK_ROWS),
                                   tiebreak=["model_fold"])
-    forecast = m_all.where(F.col("fold") == -1).select(*keys, "step", "ts",
-                                                        F.col("yhat").alias("Future Predictions"))
     return Artifacts(final, metrics, forecast)
 
 

@@ -123,17 +123,18 @@ def _hp_trend(y: np.ndarray, lamb: float) -> np.ndarray:
     n = len(y)
     if n < 3:
         return y.copy()
-    diag = np.ones(n)
-    off1 = np.zeros(n - 1)
-    off2 = np.zeros(n - 2)
-    # D'D coefficients for interior / edges
-    c0 = np.full(n, 6.0)
-    c0[0] = c0[-1] = 1.0
-    c0[1] = c0[-2] = 5.0
-    c1 = np.full(n - 1, -4.0)
-    c1[0] = c1[-1] = -2.0
-    c2 = np.ones(n - 2)
-    diag = diag + lamb * c0
+    # bands of D'D, accumulated from the rows [1, -2, 1] of D
+    r = np.arange(n - 2)
+    c0 = np.zeros(n)
+    c1 = np.zeros(n - 1)
+    c2 = np.zeros(n - 2)
+    np.add.at(c0, r, 1.0)
+    np.add.at(c0, r + 1, 4.0)
+    np.add.at(c0, r + 2, 1.0)
+    np.add.at(c1, r, -2.0)
+    np.add.at(c1, r + 1, -2.0)
+    np.add.at(c2, r, 1.0)
+    diag = 1.0 + lamb * c0
     off1 = lamb * c1
     off2 = lamb * c2
     # banded LDL^T solve (symmetric, positive definite)
@@ -191,7 +192,7 @@ def hp_filter(df: DataFrame, keys, ts: str, col: str, lamb: float = 129600.0) ->
 
 
 def decompose(df: DataFrame, keys, ts: str, col: str, period: int, method: str = "classical", **kw) -> DataFrame:
-    """G1 dispatcher: period < 2 -> HP filter; else classical or Fourier; adds E9 encodings."""
+    """G1 dispatcher: period < 2 -> HP filter; else classical, STL (robust) or Fourier; adds E9 encodings."""
     from .indicators import calendar_encoding
     if period < 2:
         out = hp_filter(df, keys, ts, col)
@@ -199,6 +200,9 @@ def decompose(df: DataFrame, keys, ts: str, col: str, period: int, method: str =
         out = classical(df, keys, ts, col, period, **kw)
     elif method == "fourier":
         out = fourier(df, keys, ts, col)
+    elif method == "stl":
+        from .stl import stl_decompose
+        out = stl_decompose(df, keys, ts, col, period).drop("robust_weight")
     else:
-        raise ValueError("method must be 'classical' or 'fourier'")
+        raise ValueError("method must be 'classical', 'stl' or 'fourier'")
     return calendar_encoding(out, ts)

@@ -101,6 +101,13 @@ def q_fourier(spark, sf):
     return dc.fourier(dense, KEYS, "ts", "value").select("series_id", "ts", "value", "trend", "seasonal", "residual")
 
 
+@register("g2_stl_decompose", "series_id:s ts:t value:d trend:d seasonal:d residual:d")
+def q_stl(spark, sf):
+    """G2/G1 robust STL with period 7 per series, plus calendar encodings dropped for the check."""
+    return dc.decompose(td.daily(spark, sf), KEYS, "ts", "value", 7, method="stl").select(
+        "series_id", "ts", "value", "trend", "seasonal", "residual")
+
+
 @register("g4_hp_filter", "series_id:s ts:t value:d trend:d residual:d")
 def q_hp(spark, sf):
     """G4 Hodrick-Prescott trend (lambda 129600) per series."""
