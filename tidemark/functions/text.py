@@ -59,35 +59,31 @@ def vi_date_to_us(col: str | Column) -> Column:
 
 
 def vi_decimal(col: str | Column) -> Column:
-    """B13: '1.234,56' -> '1234.56'; '1234,5' -> '1234.5'; others trimmed, unchanged."""
+    """B13: '1.234,56' -> '1234.56'; '1234,5' -> '1234.5'; others trimmed, unchanged.
+
+    Both source branches (dot-grouped with decimal comma, and comma only) are
+    "some comma has no dot after it"; then dots are dropped and commas become
+    dots in one ``translate``.
+    """
     t = F.trim(_c(col))
-    last_comma_after_dot = t.contains(",") & t.contains(".") & t.rlike(r",[^.]*$")
-    only_comma = t.contains(",") & ~t.contains(".")
-    return (F.when(last_comma_after_dot, F.translate(F.regexp_replace(t, r"\.", ""), ",", "."))
-            .when(only_comma, F.translate(t, ",", "."))
-            .otherwise(t))
+    return F.when(t.rlike(r",[^.]*$"), F.translate(t, ",.", ".")).otherwise(t)
 
 
 def vi_integer(col: str | Column) -> Column:
     """Dot-grouped digits '1.234.567' -> '1,234,567'; others trimmed, unchanged."""
     t = F.trim(_c(col))
-    digits = F.regexp_replace(t, r"\.", "")
-    ok = t.contains(".") & ~t.contains(",") & digits.rlike(r"^[0-9]+$")
-    return F.when(ok, F.format_number(digits.cast("decimal(38,0)"), 0)).otherwise(t)
+    ok = t.rlike(r"^(?=.*[.])[0-9.]*[0-9][0-9.]*$")
+    return F.when(ok, F.format_number(F.translate(t, ".", "").cast("decimal(38,0)"), 0)).otherwise(t)
 
 
 def vi_money(col: str | Column) -> Column:
     """B15: '1.234,5 tỷ' -> '1,234.50 bil', '12 triệu' -> '12.00 mil'; failures keep the input."""
     raw = _c(col)
     t = F.trim(raw)
-    is_bil = t.contains(UNIT_BILLION_VI)
-    is_mil = ~is_bil & t.contains(UNIT_MILLION_VI)
-    stripped = F.when(is_bil, F.regexp_replace(t, UNIT_BILLION_VI, "")) \
-        .otherwise(F.regexp_replace(t, UNIT_MILLION_VI, ""))
-    num = (vi_decimal(F.trim(stripped))).try_cast("double")
-    unit = F.when(is_bil, F.lit("bil")).otherwise(F.lit("mil"))
-    formatted = F.concat(F.format_number(num, 2), F.lit(" "), unit)
-    return F.when(is_bil | is_mil, F.coalesce(formatted, raw)).otherwise(raw)
+    unit = F.when(t.contains(UNIT_BILLION_VI), F.lit("bil")).when(t.contains(UNIT_MILLION_VI), F.lit("mil"))
+    mark = F.when(unit == "bil", F.lit(UNIT_BILLION_VI)).otherwise(F.lit(UNIT_MILLION_VI))
+    num = vi_decimal(F.regexp_replace(t, mark, F.lit(""))).try_cast("double")
+    return F.coalesce(F.concat(F.format_number(num, 2), F.lit(" "), unit), raw)
 
 
 def suffix_number(col: str | Column, strict: bool = False) -> Column:
@@ -95,25 +91,24 @@ def suffix_number(col: str | Column, strict: bool = False) -> Column:
 
     ``strict`` raises on unparsable text (ANSI cast), otherwise it yields NULL.
     """
-    t = F.regexp_replace(F.trim(_c(col)), ",", "")
-
-    def num(x: Column) -> Column:
-        return x.cast("double") if strict else (x).try_cast("double")
-
-    return (F.when(t.isNull() | (t == "") | (t == MISSING_MARK), F.lit(None).cast("double"))
-            .when(t.endswith(" bil"), num(F.regexp_replace(t, " bil", "")) * F.lit(1e9))
-            .when(t.endswith(" mil"), num(F.regexp_replace(t, " mil", "")) * F.lit(1e6))
-            .otherwise(num(t)))
+    t = F.translate(F.trim(_c(col)), ",", "")
+    scale = F.when(t.endswith(" bil"), F.lit(1e9)).when(t.endswith(" mil"), F.lit(1e6))
+    text = F.when(t.isin("", MISSING_MARK), F.lit(None).cast("string")) \
+        .otherwise(F.regexp_replace(t, F.when(scale == 1e9, F.lit(" bil")).when(scale == 1e6, F.lit(" mil"))
+                                    .otherwise(F.lit("(?!)")), F.lit("")))
+    num = text.cast("double") if strict else text.try_cast("double")
+    return num * F.coalesce(scale, F.lit(1.0))
 
 
 def suffix_volume(col: str | Column) -> Column:
     """B18: '557.83M' -> 557830000, '107.03K' -> 107030; anything else -> NULL."""
-    t = F.regexp_replace(_c(col), ",", "")
-    return (F.when(t.contains("M"), (F.regexp_replace(t, "M", "")).try_cast("double") * F.lit(1e6))
-            .when(t.contains("K"), (F.regexp_replace(t, "K", "")).try_cast("double") * F.lit(1e3)))
+    t = F.translate(_c(col), ",", "")
+    scale = F.when(t.contains("M"), F.lit(1e6)).when(t.contains("K"), F.lit(1e3))
+    unit = F.when(scale == 1e6, F.lit("M")).otherwise(F.lit("K"))
+    return F.regexp_replace(t, unit, F.lit("")).try_cast("double") * scale
 
 
 def thousands_number(col: str | Column, strict: bool = False) -> Column:
     """B19: '1,234.5' -> 1234.5."""
-    t = F.regexp_replace(_c(col), ",", "")
-    return t.cast("double") if strict else (t).try_cast("double")
+    t = F.translate(_c(col), ",", "")
+    return t.cast("double") if strict else t.try_cast("double")

@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,10 +75,15 @@ def distinct_rows(df: DataFrame, seq: str = SEQ) -> DataFrame:
     return df.groupBy(*[F.col(f"`{c}`") for c in others]).agg(F.min(seq).alias(seq)).select(*df.columns)
 
 
-def dedupe(df: DataFrame, subset: Sequence[str], keep: str = "first", seq: str = SEQ) -> DataFrame:
+def dedupe(df: DataFrame, subset: Sequence[str], keep: str = "first", seq: str = SEQ,
+           valid: Column | None = None) -> DataFrame:
     """One row per ``subset`` value; ``first``/``last`` by ingest ordinal ``seq``.
 
-    Written as an aggregate so hot duplicate groups combine map-side.
+    Written as an aggregate so hot duplicate groups combine map-side.  With
+    ``valid``, only rows where it holds compete (``min_by`` skips rows whose
+    ordering is NULL) and groups without a valid row disappear: the same as
+    filtering first, but the filter sits above the aggregate instead of being
+    inlined into the scan.
     """
     subset = as_list(subset)
     if keep not in ("first", "last"):
@@ -86,7 +91,10 @@ def dedupe(df: DataFrame, subset: Sequence[str], keep: str = "first", seq: str =
     others = [c for c in df.columns if c not in subset]
     pick = F.min_by if keep == "first" else F.max_by
     payload = F.struct(*[F.col(f"`{c}`") for c in others])
-    out = df.groupBy(*[F.col(f"`{c}`") for c in subset]).agg(pick(payload, F.col(seq)).alias("_row"))
+    order = F.col(seq) if valid is None else F.when(valid, F.col(seq))
+    out = df.groupBy(*[F.col(f"`{c}`") for c in subset]).agg(pick(payload, order).alias("_row"))
+    if valid is not None:
+        out = out.where(F.col("_row").isNotNull())
     return out.select(*[F.col(f"`{c}`") for c in subset], "_row.*").select(*df.columns)
 
 

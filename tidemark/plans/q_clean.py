@@ -113,22 +113,35 @@ GROUP BY symbol, "Date\""""
 
 
 def clean_quotes(df: DataFrame, keys=("symbol",), strict: bool = False) -> DataFrame:
-    """G19/G28 instrument cleaning: required columns, blanks, parse, rename, dedupe keep first."""
+    """G19/G28 instrument cleaning: required columns, blanks, parse, rename, dedupe keep first.
+
+    The source drops rows with a missing required field, parses, drops rows
+    whose parsed fields are NULL and keeps the first row per date.  Parsing
+    maps NULL to NULL, so "first row per date among rows with every parsed
+    field present" is the same result; it is computed by the dedupe aggregate
+    itself (invalid rows do not compete), which keeps the text expressions out
+    of pushed-down filters.  In strict mode the parse is guarded so a row with
+    a missing field is dropped rather than raising, as in the source.
+    """
     keys = list(keys)
     required = ["Date", "VN-INDEX", "Total Volume", "Total Value"]
     cl.select_required(df, [*keys, *required], "VN-Index")
-    d = df.select("_seq", *keys, *required)
-    d = cl.blanks_to_null(d, required)
-    d = cl.drop_null_rows(d, required)
-    d = d.withColumns({
-        "Date": tx.parse_date(F.col("Date"), "M/d/yyyy"),
-        "VN-INDEX": tx.suffix_number(F.col("`VN-INDEX`"), strict=strict),
-        "Total Volume": tx.suffix_number(F.col("`Total Volume`"), strict=strict),
-        "Total Value": tx.suffix_number(F.col("`Total Value`"), strict=strict),
-    })
-    d = cl.rename(d, {"VN-INDEX": "VN_Index_Close"})
-    d = cl.drop_null_rows(d, ["Date", "VN_Index_Close", "Total Volume", "Total Value"])
-    return cl.dedupe(d, [*keys, "Date"], keep="first").drop("_seq")
+    d = cl.blanks_to_null(df.select("_seq", *keys, *required), required)
+    complete = F.lit(True)
+    for c in required:
+        complete = complete & F.col(f"`{c}`").isNotNull()
+
+    def num(c):
+        parsed = tx.suffix_number(F.col(f"`{c}`"), strict=strict)
+        return F.when(complete, parsed) if strict else parsed
+
+    d = d.select("_seq", *keys, tx.parse_date(F.col("Date"), "M/d/yyyy").alias("Date"),
+                 num("VN-INDEX").alias("VN_Index_Close"), num("Total Volume").alias("Total Volume"),
+                 num("Total Value").alias("Total Value"))
+    valid = F.col("VN_Index_Close").isNotNull() & F.col("`Total Volume`").isNotNull() \
+        & F.col("`Total Value`").isNotNull()
+    out = cl.dedupe(d, [*keys, "Date"], keep="first", valid=valid).drop("_seq")
+    return out.where(F.col("Date").isNotNull())
 
 
 @register("b17_g28_clean_quotes", "symbol:s Date:t VN_Index_Close:d Total Volume:d value_mil:d",
