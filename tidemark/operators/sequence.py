@@ -216,32 +216,44 @@ def ema(df: DataFrame, keys: Sequence[str] | str, ts: str, cols: Sequence[str],
             aggs.append((F.lit(a) * F.sum(F.col(c) * w)).alias(f"_L_{c}_{sp}"))
     summary = s.groupBy(*keys, TB).agg(*aggs)
 
-    # (2) carry over buckets, per series (rows = buckets of that series)
+    # (2) carry over buckets: the bucket table (series x buckets rows) is
+    # hash-partitioned by series and sorted, then streamed; the state of the
+    # current series is carried across Arrow batch boundaries.
     carry_fields = [f"_c_{c}_{sp}" for c in cols for sp in spans]
     carry_schema = ", ".join([*(f"`{k}` {t}" for k, t in _key_types(df, keys)), f"{TB} timestamp"]
                              + [f"{f} double" for f in carry_fields])
 
-    def _carry(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(TB)
-        res = pdf[[*keys, TB]].copy()
-        for c in cols:
-            n = pdf[f"_n_{c}"].to_numpy(dtype="float64")
-            x0 = pdf[f"_x0_{c}"].to_numpy(dtype="float64")
-            for sp in spans:
-                a = alphas[sp]
-                L = pdf[f"_L_{c}_{sp}"].to_numpy(dtype="float64")
-                prev = np.full(len(pdf), np.nan)
-                state = np.nan
-                for i in range(len(pdf)):
-                    if np.isnan(state) and n[i] > 0:
-                        state = x0[i]
-                    prev[i] = state
-                    if not np.isnan(state):
-                        state = (1.0 - a) ** n[i] * state + (L[i] if n[i] > 0 else 0.0)
-                res[f"_c_{c}_{sp}"] = prev
-        return res
-
-    carry = summary.groupBy(*keys).applyInPandas(_carry, carry_schema)
+    def _carry(batches):
+        last_key, state = None, {}
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            res = pdf[[*keys, TB]].copy()
+            starts = _unit_starts(pdf, keys, last_key)
+            cols_out = {f: [0.0] * len(pdf) for f in carry_fields}
+            n = {c: pdf[f"_n_{c}"].tolist() for c in cols}
+            x0 = {c: pdf[f"_x0_{c}"].tolist() for c in cols}
+            L = {(c, sp): pdf[f"_L_{c}_{sp}"].tolist() for c in cols for sp in spans}
+            for i in range(len(pdf)):
+                if starts[i]:
+                    state = {(c, sp): None for c in cols for sp in spans}
+                for c in cols:
+                    ni = n[c][i]
+                    for sp in spans:
+                        st = state[(c, sp)]
+                        if st is None and ni > 0:
+                            st = x0[c][i]
+                        cols_out[f"_c_{c}_{sp}"][i] = float("nan") if st is None else st
+                        if st is not None and ni > 0:
+                            st = (1.0 - alphas[sp]) ** ni * st + L[(c, sp)][i]
+                        state[(c, sp)] = st
+            for f, v in cols_out.items():
+                res[f] = v
+            last_key = tuple(pdf[k].iloc[-1] for k in keys)
+            yield res
+
+    carry = (summary.repartition(*keys).sortWithinPartitions(*keys, TB)
+             .mapInPandas(_carry, carry_schema))
 
     # (3) recursion per (series, bucket) from the carried state.  Partitions are
     # hash-partitioned by (series, bucket) and sorted, then streamed as bounded
@@ -261,29 +273,45 @@ def ema(df: DataFrame, keys: Sequence[str] | str, ts: str, cols: Sequence[str],
         for pdf in batches:
             if pdf.empty:
                 continue
-            units = pdf[unit_cols].astype(str).agg("\x1f".join, axis=1)
-            code = pd.factorize(units)[0]
-            first_rows = np.r_[0, np.flatnonzero(np.diff(code)) + 1]
+            starts = _unit_starts(pdf, unit_cols, None)
+            first_rows = np.flatnonzero(starts)
+            code = np.cumsum(starts) - 1
+            continues = last_unit is not None and tuple(pdf[k].iloc[0] for k in unit_cols) == last_unit
             res = pdf[keep].copy()
             for c, sp in pairs:
                 start = pdf[f"_c_{c}_{sp}"].to_numpy(dtype="float64")[first_rows].copy()
-                if last_unit is not None and units.iloc[0] == last_unit:
+                if continues:
                     start[0] = last_state[(c, sp)]
-                seeds = pd.DataFrame({"u": np.unique(code), "o": -1, "x": start})
-                body = pd.DataFrame({"u": code, "o": np.arange(len(pdf)), "x": pdf[c].to_numpy(dtype="float64")})
-                allr = pd.concat([seeds, body], ignore_index=True).sort_values(["u", "o"], kind="stable")
-                e = (allr.groupby("u", sort=False)["x"].ewm(span=sp, adjust=False, ignore_na=True).mean()
-                     .reset_index(level=0, drop=True).reindex(allr.index))
-                vals = e[allr["o"].to_numpy() >= 0].to_numpy()
+                x = np.insert(pdf[c].to_numpy(dtype="float64"), first_rows, start)
+                u = np.insert(code, first_rows, code[first_rows])
+                is_seed = np.zeros(len(x), dtype=bool)
+                is_seed[first_rows + np.arange(len(first_rows))] = True
+                e = (pd.Series(x).groupby(u, sort=False).ewm(span=sp, adjust=False, ignore_na=True).mean()
+                     .to_numpy())
+                vals = e[~is_seed]
                 res[out(c, sp)] = vals
                 last_state[(c, sp)] = vals[-1]
-            last_unit = units.iloc[-1]
+            last_unit = tuple(pdf[k].iloc[-1] for k in unit_cols)
             yield res
 
     ordered = joined.repartition(*unit_cols).sortWithinPartitions(*unit_cols, ts)
     return ordered.mapInPandas(_run, out_schema).drop(TB)
 
 
+def _unit_starts(pdf: pd.DataFrame, cols: Sequence[str], prev_last: tuple | None) -> np.ndarray:
+    """Boolean array: row i starts a new unit (contiguous run of equal ``cols`` values)."""
+    n = len(pdf)
+    starts = np.zeros(n, dtype=bool)
+    starts[0] = True
+    for c in cols:
+        v = pdf[c].to_numpy()
+        if n > 1:
+            starts[1:] |= v[1:] != v[:-1]
+    if prev_last is not None and tuple(pdf[c].iloc[0] for c in cols) == prev_last:
+        starts[0] = False
+    return starts
+
+
 def _key_types(df: DataFrame, keys: Sequence[str]) -> list[tuple[str, str]]:
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     return [(k, types[k]) for k in keys]
