@@ -56,3 +56,30 @@ def test_fourier_normal_equations(spark):
     assert np.allclose(out["trend"] + out["seasonal"] + out["residual"], out["value"])
     # a weekly sine is inside the design, so the fit explains almost all of it
     assert out["residual"].abs().max() < 0.5
+
+
+def test_direct_ridge_beats_naive_on_ar_series(spark):
+    from tidemark.operators import regress as rg
+    rng = np.random.default_rng(0)
+    rows = []
+    for k in range(3):
+        y = [5.0, -5.0]
+        for _ in range(500):
+            y.append(0.2 * y[-1] - 0.7 * y[-2] + rng.normal(scale=0.2))
+        rows += [(f"s{k}", dt.date(2020, 1, 1) + dt.timedelta(days=i), float(v)) for i, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "series_id string, ts date, value double")
+    out = rg.direct_forecast(df, ["series_id"], "ts", "value", lags=4, horizon=2, block_rows=64).toPandas()
+    again = rg.direct_forecast(df, ["series_id"], "ts", "value", lags=4, horizon=2, block_rows=64).toPandas()
+    key = ["series_id", "split", "step"]
+    assert np.allclose(out.sort_values(key)["yhat"], again.sort_values(key)["yhat"])  # deterministic
+    win = rg.windows(df, ["series_id"], "ts", "value", 4, 2).toPandas()
+    ev = win[(win.rn + 2 <= win.n) & (win.rn >= 4)]
+    model_err, naive_err = [], []
+    sol = rg.solve(rg.normal_equations(rg.windows(df, ["series_id"], "ts", "value", 4, 2), ["series_id"], 2),
+                   ["series_id"], 5, 2, alphas=[0.0]).toPandas()
+    for _, r in ev.sample(200, random_state=0).iterrows():
+        b = sol[(sol.series_id == r.series_id) & (sol.step == 1)].beta.iloc[0]
+        model_err.append(abs(np.dot(r.x, b) - r.y[0]))
+        naive_err.append(abs(r.x[1] - r.y[0]))
+    assert np.mean(model_err) < 0.5 * np.mean(naive_err)
+    assert set(out.split) == {"val", "test", "future"}

@@ -135,3 +135,31 @@ def q_fitted(spark, sf):
 
 
 
+# G11-G15 / G24 (least squares; no SQL twin) ------------------------------------------
+@register("g11_g24_direct_ridge", "series_id:s split:s origin:t step:i yhat:d actual:d alpha:d")
+def q_direct(spark, sf):
+    """G11/G12/G24 per-series direct ridge on 5 lags, horizon 2; penalty picked on the validation origin."""
+    from ..operators import regress as rg
+    return rg.direct_forecast(td.daily(spark, sf), KEYS, "ts", "value", lags=5, horizon=2, block_rows=256)
+
+
+@register("g13_g14_change_model", "series_id:s split:s origin:t step:i yhat:d actual:d price:d")
+def q_change(spark, sf):
+    """G13/G14 the same model on percent changes, compounded into prices from the origin value."""
+    from ..operators import regress as rg
+    return rg.change_forecast(td.daily(spark, sf), KEYS, "ts", "value", lags=5, horizon=2, block_rows=256) \
+        .select("series_id", "split", "origin", "step", "yhat", "actual", "price")
+
+
+@register("g15_ar_trend_season", "series_id:s split:s origin:t step:i yhat:d actual:d alpha:d")
+def q_ar_trend(spark, sf):
+    """G15 AR lags + piecewise trend (10 changepoints) + yearly/weekly Fourier, direct 2-step ridge."""
+    from ..operators import regress as rg
+    return rg.ar_trend_forecast(td.daily(spark, sf), KEYS, "ts", "value", lags=5, horizon=2, block_rows=256)
+
+
+@register("g24_pooled_mllib", "series_id:i origin:t step:i yhat:d actual:d split:s")
+def q_pooled(spark, sf):
+    """G11/G24 MLlib LinearRegression per step pooled over suppliers, tuned by TrainValidationSplit."""
+    from ..operators import regress as rg
+    return rg.pooled_linear(td.supplier_daily(spark, sf), KEYS, "ts", "value", lags=5, horizon=2, block_rows=256)
