@@ -71,3 +71,20 @@ def test_stream_upsert_equals_batch(spark):
     before = spark.read.parquet(table).collect()
     up.upsert_batch(upd, 0, table, ["series_id"], "ts")  # replay of an old batch id
     assert sorted(spark.read.parquet(table).collect()) == sorted(before)
+
+
+def test_fault_isolated_runner(spark):
+    """A failing model is recorded, the others are written, the run raises at the end."""
+    from tidemark.plans import jobs
+    written = []
+    d = td.daily(spark, SMALL)
+
+    def write(model, art):
+        written.append((model, art.metrics.count()))
+
+    with pytest.raises(RuntimeError, match="no_such_model"):
+        jobs.run_models_isolated(d, ["series_id"], "ts", "value", ["drift", "no_such_model", "mean"], write)
+    assert [m for m, _ in written] == ["drift", "mean"]
+    assert all(n == 10 for _, n in written)  # 5 series x (baseline, model)
+    final, metrics, forecast = jobs.test_predict(d, ["series_id"], "ts", "value", n_tests=4, n_forecasts=2)
+    assert forecast.count() == 10 and metrics.count() == 10

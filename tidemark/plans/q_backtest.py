@@ -19,12 +19,14 @@ def _artifacts(spark, sf, model="drift", baseline="naive"):
                            block_rows=256)
 
 
-_BT_CTES = f"""pos AS (SELECT series_id, ts, value,
+def bt_ctes(NT: int, H: int) -> str:
+    n_folds = NT // H
+    return f"""pos AS (SELECT series_id, ts, value,
     row_number() OVER (PARTITION BY series_id ORDER BY ts) AS rn,
     row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) AS rd FROM daily),
 fst AS (SELECT series_id, value AS y1 FROM pos WHERE rn = 1),
 orig AS (SELECT p.series_id, p.ts AS ots, p.value AS yo, p.rn AS o, (p.rd - 1) // {H} - 1 AS fold, f.y1
-         FROM pos p JOIN fst f USING (series_id) WHERE (p.rd - 1) % {H} = 0 AND p.rd <= {CFG.n_folds * H} + 1),
+         FROM pos p JOIN fst f USING (series_id) WHERE (p.rd - 1) % {H} = 0 AND p.rd <= {n_folds * H} + 1),
 steps AS (SELECT *, unnest(range(1, {H} + 1)) AS step FROM orig),
 anchor AS (SELECT series_id, ts, value AS yhat, 0 AS model_fold FROM pos WHERE rd = {NT} + 1),
 base AS (SELECT s.series_id, p.ts, s.yo AS yhat FROM steps s JOIN pos p ON p.series_id = s.series_id AND p.rn = s.o + s.step
@@ -40,8 +42,11 @@ final AS (SELECT a.series_id, a.ts, a.actual, b.yhat AS baseline, m.yhat AS pred
           FROM actual a JOIN base b USING (series_id, ts) JOIN model m USING (series_id, ts))"""
 
 
-def _bt_sql(tail: str) -> str:
-    return td.with_views(_BT_CTES + ",\n" + tail, "daily").replace(
+_BT_CTES = bt_ctes(NT, H)
+
+
+def _bt_sql(tail: str, ctes: str = _BT_CTES) -> str:
+    return td.with_views(ctes + ",\n" + tail, "daily").replace(
         "GROUP BY 1, 2)\npos AS", "GROUP BY 1, 2),\npos AS", 1)
 
 
@@ -59,7 +64,8 @@ def q_forecast(spark, sf):
     return _artifacts(spark, sf).forecast
 
 
-_DA_SQL = f"""da AS (
+def da_sql(NT: int, H: int) -> str:
+    return f"""da AS (
   SELECT series_id, "Model", avg(CASE WHEN coalesce(sign(p - ref) = sign(a - pa), false) THEN 1.0 ELSE 0.0 END)
            AS "Directional Accuracy"
   FROM (SELECT *, CASE WHEN (idx - 1) % {H} = 0 THEN pa ELSE pp END AS ref, idx - ((idx - 1) % {H}) AS st FROM (
@@ -71,6 +77,14 @@ err AS (SELECT series_id, "Model", avg(abs(a - p)) AS "MAE", sqrt(avg((a - p) *
           SELECT *, row_number() OVER (PARTITION BY series_id, "Model" ORDER BY ts DESC, model_fold DESC) AS r FROM lng) t
         WHERE r <= {NT} GROUP BY 1, 2)"""
 
+
+_DA_SQL = da_sql(NT, H)
+
+
+def comparison_sql(nt: int, h: int) -> str:
+    return _bt_sql(_LNG + ",\n" + da_sql(nt, h) + "\nSELECT * FROM err JOIN da USING (series_id, \"Model\")",
+                   bt_ctes(nt, h))
+
 _LNG = """lng AS (SELECT series_id, ts, model_fold, actual AS a, baseline AS p, 'naive' AS "Model" FROM final
         UNION ALL SELECT series_id, ts, model_fold, actual, predicted, 'drift' FROM final)"""
 
