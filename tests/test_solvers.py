@@ -83,3 +83,23 @@ def test_direct_ridge_beats_naive_on_ar_series(spark):
         naive_err.append(abs(r.x[1] - r.y[0]))
     assert np.mean(model_err) < 0.5 * np.mean(naive_err)
     assert set(out.split) == {"val", "test", "future"}
+
+
+def test_fourier_forecast_recovers_signal(spark):
+    rows, y, r = [], [], 0.0
+    rng = np.random.default_rng(5)
+    day = dt.date(2021, 1, 4)
+    i = 0
+    while len(rows) < 500:
+        if day.weekday() < 5:
+            r = 0.8 * r + rng.normal(scale=0.05)
+            rows.append(("s", day, float(50 + 0.01 * i + 2 * np.sin(2 * np.pi * i / 7) + r)))
+        day += dt.timedelta(days=1)
+        i += 1
+    df = spark.createDataFrame(rows, "series_id string, ts date, value double")
+    fc = dc.fourier_forecast(df, ["series_id"], "ts", "value", n_steps=2, ar_order=2).orderBy("step").toPandas()
+    assert list(fc["step"]) == [1, 2]
+    assert [d.weekday() < 5 for d in fc["ts"]] == [True, True]
+    assert np.allclose(fc["trend"] + fc["seasonal"] + fc["residual"], fc["forecast"])
+    last = rows[-1][2]
+    assert abs(fc["forecast"].iloc[0] - last) < 5.0

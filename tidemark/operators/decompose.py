@@ -92,9 +92,8 @@ def _solve_groups(stats: DataFrame, keys: list[str], names: list[str], ridge: fl
     return stats.groupBy(*keys).applyInPandas(solve, schema)
 
 
-def fourier(df: DataFrame, keys, ts: str, col: str, annual: int = 3, weekly: int = 1) -> DataFrame:
-    """Fourier regression decomposition: trend = polynomial part, seasonal = Fourier
-    part, residual = y - fit.  Adds ``fit``, ``trend``, ``seasonal``, ``residual``."""
+def fourier_fit(df: DataFrame, keys, ts: str, col: str, annual: int = 3, weekly: int = 1):
+    """Fit the Fourier regression; returns (rows with design columns, coefficient table, names)."""
     keys = require_keys(keys)
     span = df.groupBy(*keys).agg(F.min(ts).alias("_t0"), F.datediff(F.max(ts), F.min(ts)).alias("_span"))
     d = df.join(span, keys)
@@ -108,13 +107,84 @@ def fourier(df: DataFrame, keys, ts: str, col: str, annual: int = 3, weekly: int
             aggs.append(F.sum(F.when(y.isNotNull(), F.col(a) * F.col(names[j]))).alias(f"s_{i}_{j}"))
         aggs.append(F.sum(F.col(a) * y).alias(f"y_{i}"))
     stats = d.groupBy(*keys).agg(*aggs)
-    beta = _solve_groups(stats, keys, names)
-    out = d.join(beta, keys)
+    beta = _solve_groups(stats, keys, names).join(span, keys)
+    return d.drop("_t0", "_span"), beta, names
+
+
+def _parts(names: list[str]):
     fit = sum((F.col(n) * F.col(f"b_{n}") for n in names[1:]), F.col(names[0]) * F.col(f"b_{names[0]}"))
     trend = sum((F.col(n) * F.col(f"b_{n}") for n in TREND_COLS[1:]), F.col("x_const") * F.col("b_x_const"))
+    return fit, trend
+
+
+def fourier(df: DataFrame, keys, ts: str, col: str, annual: int = 3, weekly: int = 1) -> DataFrame:
+    """Fourier regression decomposition: trend = polynomial part, seasonal = Fourier
+    part, residual = y - fit.  Adds ``fit``, ``trend``, ``seasonal``, ``residual``."""
+    keys = require_keys(keys)
+    d, beta, names = fourier_fit(df, keys, ts, col, annual, weekly)
+    out = d.join(beta.drop("_t0", "_span"), keys)
+    fit, trend = _parts(names)
     out = out.withColumn("fit", fit).withColumn("trend", trend)
-    out = out.withColumn("seasonal", F.col("fit") - F.col("trend")).withColumn("residual", y - F.col("fit"))
-    return out.drop("_t0", "_span", *names, *[f"b_{n}" for n in names])
+    out = out.withColumn("seasonal", F.col("fit") - F.col("trend")).withColumn("residual", F.col(col) - F.col("fit"))
+    return out.drop(*names, *[f"b_{n}" for n in names])
+
+
+def recompose(parts: dict[str, DataFrame], keys, on: str = "step", out: str = "forecast") -> DataFrame:
+    """Join (keys, step, part) tables and add the parts into ``out``."""
+    keys = require_keys(keys)
+    items = list(parts.items())
+    res = items[0][1]
+    for _, df in items[1:]:
+        res = res.join(df, [*keys, on])
+    total = sum((F.col(n) for n, _ in items[1:]), F.col(items[0][0]))
+    return res.withColumn(out, total)
+
+
+def fourier_forecast(df: DataFrame, keys, ts: str, col: str, n_steps: int = 2, ar_order: int = 5,
+                     **kw) -> DataFrame:
+    """Future trend + seasonal from the Fourier fit on the next business days, plus an
+    AR(p) forecast of the residual (conditional least squares), recomposed (G10).
+
+    Input should be densified and filled (D3 + D1), as in the source.  Returns
+    (keys, step, ts, trend, seasonal, residual, forecast).
+    """
+    from . import regress as rg
+    from .indicators import next_business_days, positions
+    keys = require_keys(keys)
+    d, beta, names = fourier_fit(df, keys, ts, col)
+    fit, trend = _parts(names)
+    hist = d.join(beta.drop("_t0", "_span"), keys).withColumn("residual", F.col(col) - fit) \
+        .select(*keys, ts, "residual")
+    fut = next_business_days(df, keys, ts, n_steps).join(beta, keys)
+    fut = fut.withColumns(fourier_design(ts, "_t0", "_span"))
+    fut = fut.withColumn("_fit", fit).withColumn("trend", trend).withColumn("seasonal", F.col("_fit") - F.col("trend"))
+    trend_season = fut.select(*keys, "step", ts, "trend", "seasonal")
+
+    # AR(p) on the residuals by least squares on (1, r_t .. r_{t-p+1}) -> r_{t+1}
+    p = int(ar_order)
+    win = rg.windows(hist, keys, ts, "residual", p, 1, **kw)
+    coef = rg.solve(rg.normal_equations(win, keys, 1), keys, p + 1, 1, alphas=[0.0]).select(*keys, "beta")
+    last = positions(hist, keys, ts).where(F.col("rn_desc") <= p) \
+        .groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rn_desc", "residual"))).alias("_last"))
+    # _last is bounded by p rows per series by construction
+    state = last.join(coef, keys)
+    key_types = ", ".join(f"`{k}` {state.schema[k].dataType.simpleString()}" for k in keys)
+
+    def unroll(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for _, r in pdf.iterrows():
+            hist_r = [float(x["residual"]) for x in r["_last"]]  # newest first
+            b = np.asarray(r["beta"], dtype=float)
+            for k in range(1, n_steps + 1):
+                nxt = float(b[0] + np.dot(b[1:], hist_r[:p]))
+                rows.append([r[kk] for kk in keys] + [k, nxt])
+                hist_r = [nxt] + hist_r
+        return pd.DataFrame(rows, columns=[*keys, "step", "residual"])
+
+    resid_fc = state.groupBy(*keys).applyInPandas(unroll, f"{key_types}, step int, residual double")
+    out = recompose({"trend": trend_season, "residual": resid_fc}, keys)
+    return out.withColumn("forecast", F.col("trend") + F.col("seasonal") + F.col("residual")) \
+        .select(*keys, "step", ts, "trend", "seasonal", "residual", "forecast")
 
 
 # G4 ----------------------------------------------------------------------------

@@ -163,3 +163,11 @@ def q_pooled(spark, sf):
     """G11/G24 MLlib LinearRegression per step pooled over suppliers, tuned by TrainValidationSplit."""
     from ..operators import regress as rg
     return rg.pooled_linear(td.supplier_daily(spark, sf), KEYS, "ts", "value", lags=5, horizon=2, block_rows=256)
+
+
+@register("g6_g10_fourier_forecast", "series_id:s step:i ts:t trend:d seasonal:d residual:d forecast:d")
+def q_fourier_fc(spark, sf):
+    """G6/G10 2-step forecast: Fourier trend + season on the next business days + AR(5) residual."""
+    from ..operators import impute as im
+    dense = im.ffill_bfill(im.densify_business_days(td.daily(spark, sf), KEYS, "ts"), KEYS, "ts", ["value"])
+    return dc.fourier_forecast(dense, KEYS, "ts", "value", n_steps=2, ar_order=5, block_rows=256)
