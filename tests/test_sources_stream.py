@@ -88,3 +88,60 @@ def test_fault_isolated_runner(spark):
     assert all(n == 10 for _, n in written)  # 5 series x (baseline, model)
     final, metrics, forecast = jobs.test_predict(d, ["series_id"], "ts", "value", n_tests=4, n_forecasts=2)
     assert forecast.count() == 10 and metrics.count() == 10
+
+
+def test_headers_and_metadata_helpers(spark):
+    """B4 header clean, B5 translation, B20 reject-on-coerce, C10 other columns, B11 instants."""
+    from tidemark.functions import text as tx
+    from tidemark.operators import clean as cl
+    df = spark.createDataFrame([("1", "2", "x")], "`Close (VND)` string, `Khối lượng GD` string, `Other col` string")
+    assert cl.clean_headers(df).columns == ["Close", "Khối_lượng_GD", "Other_col"]
+    assert cl.translate_headers(df).columns == ["Close (VND)", "Total Volume", "Other col"]
+    assert al.other_columns(df.withColumn("new", F.lit(1)), df) == ["new"]
+    bad = spark.createDataFrame([("1.5", 1.5), ("abc", None)], "raw string, parsed double")
+    with pytest.raises(ValueError, match="parsed=1"):
+        cl.assert_parsed(bad, {"raw": "parsed"})
+    ts = spark.createDataFrame([("2026-01-01 23:30:00-05:00",), ("2026-01-02",)], "d string")
+    got = [r[0] for r in ts.select(tx.parse_instant_utc_date("d")).collect()]
+    import datetime as dt
+    assert got == [dt.date(2026, 1, 2), dt.date(2026, 1, 2)]
+
+
+def test_artifacts_round_trip(spark):
+    """A9 write three artifacts partitioned by model (dynamic overwrite), A10 read back."""
+    root = tempfile.mkdtemp(prefix="tm-art-")
+    from tidemark.plans import jobs
+    d = td.daily(spark, SMALL)
+    final, metrics, forecast = jobs.test_predict(d, ["series_id"], "ts", "value", n_tests=4, n_forecasts=2)
+    tag = F.lit("drift")
+    fl.write_artifacts(final.withColumn("model", tag), metrics.withColumn("model", tag),
+                       forecast.withColumn("model", tag), root)
+    # a second model only replaces its own partition
+    fl.write_artifacts(final.withColumn("model", F.lit("x")), metrics.withColumn("model", F.lit("x")),
+                       forecast.withColumn("model", F.lit("x")), root)
+    back = spark.read.parquet(f"{root}/forecast")
+    assert sorted(r.model for r in back.select("model").distinct().collect()) == ["drift", "x"]
+    csv_dir = tempfile.mkdtemp(prefix="tm-csv-") + "/fc"
+    forecast.select(F.col("ts").cast("string").alias("Date"), "Future Predictions").coalesce(1) \
+        .write.option("header", True).csv(csv_dir)
+    art = fl.read_artifact(spark, csv_dir)
+    dates = [r.Date for r in art.collect()]
+    assert dates == sorted(dates) and len(dates) == 10
+
+
+def test_stream_clean_then_upsert(spark):
+    """H2: stateless cleaning applied to each micro-batch before the keyed upsert."""
+    from tidemark.plans.q_clean import clean_quotes
+    root = tempfile.mkdtemp(prefix="tm-h2-")
+    src, table = f"{root}/in", f"{root}/table"
+    raw = spark.createDataFrame(
+        [(1, "VNI", "04/24/2026", "1,234.56", "123,456", "1.50 bil"),
+         (2, "VNI", "04/25/2026", "---", "130,000", "1.75 bil"),
+         (3, "VNI", "04/25/2026", "1,240.00", "130,000", "1.75 bil")],
+        "_seq long, symbol string, Date string, `VN-INDEX` string, `Total Volume` string, `Total Value` string")
+    raw.write.parquet(f"{src}/b0")
+    q = up.start_upsert_stream(spark, f"{src}/b*", raw.schema, table, ["symbol"], "Date",
+                               transform=lambda b: clean_quotes(b))
+    q.awaitTermination()
+    got = spark.read.parquet(table).orderBy("Date").collect()
+    assert [r.VN_Index_Close for r in got] == [1234.56, 1240.0]
