@@ -76,13 +76,26 @@ def vi_integer(col: str | Column) -> Column:
     return F.when(ok, F.format_number(F.translate(t, ".", "").cast("decimal(38,0)"), 0)).otherwise(t)
 
 
+def money_unit(t: Column) -> Column:
+    """'bil' / 'mil' / NULL from trimmed money text."""
+    return F.when(t.contains(UNIT_BILLION_VI), F.lit("bil")).when(t.contains(UNIT_MILLION_VI), F.lit("mil"))
+
+
+def money_strip(t: Column) -> Column:
+    """Trimmed money text without its unit word."""
+    return F.when(t.contains(UNIT_BILLION_VI), F.regexp_replace(t, UNIT_BILLION_VI, "")) \
+        .otherwise(F.regexp_replace(t, UNIT_MILLION_VI, ""))
+
+
 def vi_money(col: str | Column) -> Column:
     """B15: '1.234,5 tỷ' -> '1,234.50 bil', '12 triệu' -> '12.00 mil'; failures keep the input."""
     raw = _c(col)
     t = F.trim(raw)
     unit = F.when(t.contains(UNIT_BILLION_VI), F.lit("bil")).when(t.contains(UNIT_MILLION_VI), F.lit("mil"))
-    mark = F.when(unit == "bil", F.lit(UNIT_BILLION_VI)).otherwise(F.lit(UNIT_MILLION_VI))
-    num = vi_decimal(F.regexp_replace(t, mark, F.lit(""))).try_cast("double")
+    # literal patterns only: a column-valued pattern is recompiled whenever it changes between rows
+    stripped = F.when(unit == "bil", F.regexp_replace(t, UNIT_BILLION_VI, "")) \
+        .otherwise(F.regexp_replace(t, UNIT_MILLION_VI, ""))
+    num = vi_decimal(stripped).try_cast("double")
     return F.coalesce(F.concat(F.format_number(num, 2), F.lit(" "), unit), raw)
 
 
@@ -93,9 +106,10 @@ def suffix_number(col: str | Column, strict: bool = False) -> Column:
     """
     t = F.translate(F.trim(_c(col)), ",", "")
     scale = F.when(t.endswith(" bil"), F.lit(1e9)).when(t.endswith(" mil"), F.lit(1e6))
-    text = F.when(t.isin("", MISSING_MARK), F.lit(None).cast("string")) \
-        .otherwise(F.regexp_replace(t, F.when(scale == 1e9, F.lit(" bil")).when(scale == 1e6, F.lit(" mil"))
-                                    .otherwise(F.lit("(?!)")), F.lit("")))
+    text = (F.when(t.isin("", MISSING_MARK), F.lit(None).cast("string"))
+            .when(scale == 1e9, F.regexp_replace(t, " bil", ""))
+            .when(scale == 1e6, F.regexp_replace(t, " mil", ""))
+            .otherwise(t))
     num = text.cast("double") if strict else text.try_cast("double")
     return num * F.coalesce(scale, F.lit(1.0))
 
@@ -104,8 +118,8 @@ def suffix_volume(col: str | Column) -> Column:
     """B18: '557.83M' -> 557830000, '107.03K' -> 107030; anything else -> NULL."""
     t = F.translate(_c(col), ",", "")
     scale = F.when(t.contains("M"), F.lit(1e6)).when(t.contains("K"), F.lit(1e3))
-    unit = F.when(scale == 1e6, F.lit("M")).otherwise(F.lit("K"))
-    return F.regexp_replace(t, unit, F.lit("")).try_cast("double") * scale
+    digits = F.when(scale == 1e6, F.regexp_replace(t, "M", "")).otherwise(F.regexp_replace(t, "K", ""))
+    return digits.try_cast("double") * scale
 
 
 def thousands_number(col: str | Column, strict: bool = False) -> Column:

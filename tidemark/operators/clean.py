@@ -110,10 +110,19 @@ def normalize_scraped(df: DataFrame, date_col: str = "Date", index_col: str = "V
     for c in tx.VOLUME_COLUMNS:
         if c in df.columns:
             exprs[c] = tx.vi_integer(F.col(f"`{c}`"))
-    for c in tx.VALUE_COLUMNS:
-        if c in df.columns:
-            exprs[c] = tx.vi_money(F.col(f"`{c}`"))
-    return df.withColumns(exprs)
+    money = [c for c in tx.VALUE_COLUMNS if c in df.columns]
+    d = df.withColumns(exprs)
+    if not money:
+        return d
+    # B15 in stages: each projection references the previous one's columns, so
+    # Catalyst keeps them apart and the regex work is done once per row
+    d = d.withColumns({f"_mt{i}": F.trim(F.col(f"`{c}`")) for i, c in enumerate(money)})
+    d = d.withColumns({**{f"_mu{i}": tx.money_unit(F.col(f"_mt{i}")) for i in range(len(money))},
+                       **{f"_ms{i}": tx.money_strip(F.col(f"_mt{i}")) for i in range(len(money))}})
+    d = d.withColumns({f"_mn{i}": tx.vi_decimal(F.col(f"_ms{i}")).try_cast("double") for i in range(len(money))})
+    d = d.withColumns({c: F.coalesce(F.concat(F.format_number(F.col(f"_mn{i}"), 2), F.lit(" "), F.col(f"_mu{i}")),
+                                     F.col(f"`{c}`")) for i, c in enumerate(money)})
+    return d.drop(*[f"_m{k}{i}" for k in "tusn" for i in range(len(money))])
 
 
 def assert_parsed(df: DataFrame, pairs: Mapping[str, str], what: str = "input") -> None:

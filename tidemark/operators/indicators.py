@@ -101,7 +101,8 @@ def feature_bundle(df: DataFrame, keys, ts: str, cols, *, dropna: bool = True,
     """Lags 1,2,3,5,10; SMA 10/20; EMA 10/20; RSI 14; EMA 12/26 + MACD; std 10; EMA ratio.
 
     All bounded windows share one halo-block window spec (one exchange, one
-    sort); the four EMAs share one bucket scan.  Rows with any NULL are
+    sort); the four EMAs share one bucket scan, run before the windows so
+    neither pipeline is computed twice.  Rows with any NULL are
     dropped at the end (the 19 warm-up rows of SMA_20).
     """
     keys = require_keys(keys)
@@ -120,8 +121,11 @@ def feature_bundle(df: DataFrame, keys, ts: str, cols, *, dropna: bool = True,
             d = rsi_expr(d, c, 14, w, f"{c}_RSI_14")
         return d
 
-    d = seq.bounded(df, keys, ts, compute, before=20, block_rows=block_rows, bucket=bucket)
-    d = seq.ema(d, keys, ts, cols, EMA_SPANS, bucket=bucket)
+    # EMAs first on the base rows (one Python pass); the halo windows then run on
+    # its output, taking bucket counts from the base rows so that pass is not repeated
+    e = seq.ema(df, keys, ts, cols, EMA_SPANS, bucket=bucket, keep_bucket=True)
+    d = seq.bounded(e, keys, ts, compute, before=20, block_rows=block_rows, bucket=bucket,
+                    counts_from=df.select(*keys, ts))
     d = d.withColumns({f"{c}_MACD": F.col(f"{c}_EMA_12") - F.col(f"{c}_EMA_26") for c in cols})
     d = ema_ratio(d, keys, ts, cols)
     ordered = list(df.columns)

@@ -50,14 +50,23 @@ def _bucket(ts: str, bucket: str) -> Column:
 
 
 def index_rows(df: DataFrame, keys: Sequence[str] | str, ts: str, *,
-               bucket: str = DEFAULT_BUCKET, tiebreak: Sequence[str] = ()) -> DataFrame:
-    """Add ``_rn``: 1-based position of the row in its series ordered by (ts, tiebreak)."""
+               bucket: str = DEFAULT_BUCKET, tiebreak: Sequence[str] = (),
+               counts_from: DataFrame | None = None) -> DataFrame:
+    """Add ``_rn``: 1-based position of the row in its series ordered by (ts, tiebreak).
+
+    ``counts_from`` may name a cheaper frame with exactly the same (keys, ts)
+    rows (e.g. the input of an opaque Python stage) to take bucket counts from,
+    so the expensive frame is not computed twice.
+    """
     keys = require_keys(keys)
     order = [F.col(ts)] + [F.col(c) for c in tiebreak]
-    d = df.withColumn(TB, _bucket(ts, bucket))
+    # an existing bucket column (e.g. left by ``ema(keep_bucket=True)``) keeps the
+    # upstream (series, bucket) partitioning usable, so the window needs no exchange
+    d = df if TB in df.columns else df.withColumn(TB, _bucket(ts, bucket))
     local = d.withColumn("_lrn", F.row_number().over(
         Window.partitionBy(*keys, TB).orderBy(*order)))
-    counts = d.groupBy(*keys, TB).agg(F.count(F.lit(1)).alias("_cnt"))
+    src = d if counts_from is None else counts_from.withColumn(TB, _bucket(ts, bucket))
+    counts = src.groupBy(*keys, TB).agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy(*keys).orderBy(TB).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, TB, F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
     return (local.join(offsets, [*keys, TB])
@@ -93,7 +102,7 @@ def bounded(df: DataFrame, keys: Sequence[str] | str, ts: str,
             compute: Callable[[DataFrame, WindowSpec], DataFrame], *,
             before: int = 0, after: int = 0, block_rows: int = DEFAULT_BLOCK_ROWS,
             bucket: str = DEFAULT_BUCKET, keep_rn: bool = False,
-            tiebreak: Sequence[str] = ()) -> DataFrame:
+            tiebreak: Sequence[str] = (), counts_from: DataFrame | None = None) -> DataFrame:
     """Run row windows with lookback <= ``before`` and lookahead <= ``after``.
 
     ``compute(d, w)`` receives the halo'd frame and ``w`` =
@@ -103,7 +112,7 @@ def bounded(df: DataFrame, keys: Sequence[str] | str, ts: str,
     if RN in df.columns:
         d = df
     else:
-        d = index_rows(df, keys, ts, bucket=bucket, tiebreak=tiebreak)
+        d = index_rows(df, keys, ts, bucket=bucket, tiebreak=tiebreak, counts_from=counts_from)
     d = with_halo(d, keys, before=before, after=after, block_rows=block_rows)
     w = Window.partitionBy(*keys, BLK).orderBy(RN)
     out = compute(d, w).where(~F.col(HALO)).drop(BLK, HALO)
@@ -183,7 +192,7 @@ def scan_product(df: DataFrame, keys: Sequence[str] | str, ts: str, col: str, ou
 
 def ema(df: DataFrame, keys: Sequence[str] | str, ts: str, cols: Sequence[str],
         spans: Sequence[int], *, bucket: str = DEFAULT_BUCKET,
-        out: Callable[[str, int], str] | None = None) -> DataFrame:
+        out: Callable[[str, int], str] | None = None, keep_bucket: bool = False) -> DataFrame:
     """``e_t = (1-a) e_{t-1} + a x_t`` with ``a = 2/(span+1)``, seeded by the first value.
 
     Null inputs are skipped (the state carries over and is reported).
@@ -198,7 +207,8 @@ def ema(df: DataFrame, keys: Sequence[str] | str, ts: str, cols: Sequence[str],
     spans = [int(s) for s in spans]
     out = out or (lambda c, s: f"{c}_EMA_{s}")
     alphas = {s: 2.0 / (s + 1.0) for s in spans}
-    d = df.withColumn(TB, _bucket(ts, bucket))
+    # one exchange by (series, bucket) feeds both the summaries and the recursion pass
+    d = df.withColumn(TB, _bucket(ts, bucket)).repartition(*keys, TB)
 
     # (1) bucket summaries, native
     upto = Window.partitionBy(*keys, TB).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
@@ -294,8 +304,9 @@ def ema(df: DataFrame, keys: Sequence[str] | str, ts: str, cols: Sequence[str],
             last_unit = tuple(pdf[k].iloc[-1] for k in unit_cols)
             yield res
 
-    ordered = joined.repartition(*unit_cols).sortWithinPartitions(*unit_cols, ts)
-    return ordered.mapInPandas(_run, out_schema).drop(TB)
+    ordered = joined.sortWithinPartitions(*unit_cols, ts)
+    res = ordered.mapInPandas(_run, out_schema)
+    return res if keep_bucket else res.drop(TB)
 
 
 def _unit_starts(pdf: pd.DataFrame, cols: Sequence[str], prev_last: tuple | None) -> np.ndarray:
