@@ -255,3 +255,42 @@ def test_ema_across_arrow_batches_matches_pandas(spark):
         merged = pdf.assign(want=want).merge(got, on=["series_id", "ts"])
         assert len(merged) == len(pdf)
         assert np.allclose(merged["want"], merged[f"value_EMA_{sp}"], rtol=1e-12, atol=1e-9)
+
+
+# The published 19-row final table (FIXTURES.md section 4), anchor first.
+GOLDEN_FINAL = """2025-12-17 1673.66 1673.6600 1673.6600
+2025-12-18 1676.98 1672.5532 1677.4510
+2025-12-19 1704.31 1670.6777 1670.8212
+2025-12-22 1751.03 1706.3784 1687.7026
+2025-12-23 1772.15 1707.8330 1693.8671
+2025-12-24 1782.82 1772.2044 1738.7788
+2025-12-25 1742.85 1772.9105 1743.8290
+2025-12-26 1729.80 1745.1647 1761.3895
+2025-12-29 1754.84 1749.0352 1773.2501
+2025-12-30 1766.90 1754.7362 1756.6218
+2025-12-31 1784.49 1761.4978 1752.2255
+2026-01-07 1861.58 1820.2046 1789.9661
+2026-01-08 1855.56 1824.8342 1797.3159
+2026-01-09 1867.90 1859.5102 1834.2759
+2026-01-12 1877.33 1865.6469 1841.9064
+2026-01-13 1902.93 1887.5225 1867.2043
+2026-01-14 1894.44 1894.7701 1873.6791
+2026-01-15 1864.80 1900.0247 1893.6651
+2026-01-16 1879.13 1908.1393 1900.1013"""
+
+
+def test_golden_published_metrics(spark):
+    """F15 on the published final table reproduces the published metrics (tolerance 1e-3)."""
+    rows = []
+    for line in GOLDEN_FINAL.splitlines():
+        d, a, b, m = line.split()
+        rows.append(("VNI", dt.date.fromisoformat(d), float(a), float(b), float(m)))
+    final = spark.createDataFrame(rows, "series_id string, ts date, actual double, baseline double, predicted double")
+    res = {r.Model: r for r in mt.model_comparison(final, ["series_id"], "ts", "actual",
+                                                   {"ExponentialSmoothing": "baseline", "LSTM": "predicted"},
+                                                   n_tests=20, horizon=2).collect()}
+    es, lstm = res["ExponentialSmoothing"], res["LSTM"]
+    assert es.MAE == pytest.approx(21.9039, abs=1e-3) and es.RMSE == pytest.approx(27.5553, abs=1e-3)
+    assert es["Directional Accuracy"] == pytest.approx(10 / 18)
+    assert lstm.MAE == pytest.approx(32.5453, abs=1e-3) and lstm.RMSE == pytest.approx(39.4508, abs=1e-3)
+    assert lstm["Directional Accuracy"] == pytest.approx(8 / 18)
