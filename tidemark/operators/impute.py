@@ -151,7 +151,9 @@ def interpolate_then_rolling(df: DataFrame, keys, ts: str, col: str, limit_linea
 def gap_distribution(df: DataFrame, keys, ts: str, **kw) -> DataFrame:
     """(keys, gap_seconds, n) histogram of gaps between consecutive timestamps."""
     keys = require_keys(keys)
-    secs = F.unix_timestamp(F.col(ts).cast("timestamp"))
+    # timestamp_diff counts wall-clock seconds for TIMESTAMP_NTZ and elapsed seconds
+    # for TIMESTAMP, so the result does not depend on the session time zone
     d = seq.bounded(df.select(*keys, ts), keys, ts,
-                    lambda x, w: x.withColumn("gap_seconds", secs - F.lag(secs, 1).over(w)), before=1, **kw)
+                    lambda x, w: x.withColumn("gap_seconds", F.timestamp_diff(
+                        "SECOND", F.lag(ts, 1).over(w), F.col(ts))), before=1, **kw)
     return d.where(F.col("gap_seconds").isNotNull()).groupBy(*keys, "gap_seconds").agg(F.count(F.lit(1)).alias("n"))
