@@ -136,7 +136,8 @@ def direct_forecast(df: DataFrame, keys, ts: str, value: str, lags: int = 5, hor
     """Per-series direct ridge model; the penalty is chosen per series on the
     validation origin (G24), then the test origin and the future origin are predicted.
 
-    Returns (keys, split in {'val','test','future'}, origin, step, yhat, actual, alpha).
+    Returns (keys, split in {'val','test','future'}, origin, step, target_ts, yhat, actual, alpha);
+    ``target_ts`` is set on the future rows (next business days, G12).
     """
     keys = require_keys(keys)
     p = 1 + int(lags) + len(as_list(extra))
@@ -153,7 +154,11 @@ def direct_forecast(df: DataFrame, keys, ts: str, value: str, lags: int = 5, hor
            .agg(F.avg(F.abs(F.col("actual") - F.col("yhat"))).alias("val_mae")))
     best = err.groupBy(*keys).agg(F.min_by("alpha", F.struct(F.col("val_mae"), F.col("alpha"))).alias("best_alpha"))
     out = pred.join(best, keys).where(F.col("alpha") == F.col("best_alpha"))
-    return out.select(*keys, "split", "origin", "step", "yhat", "actual", "alpha")
+    # The future block is dated on the next business days (no holidays)
+    from .indicators import next_business_days
+    dates = next_business_days(df, keys, ts, horizon, out="target_ts").withColumn("split", F.lit("future"))
+    out = out.join(dates, [*keys, "split", "step"], "left")
+    return out.select(*keys, "split", "origin", "step", "target_ts", "yhat", "actual", "alpha")
 
 
 def trend_fourier_design(df: DataFrame, keys, ts: str, changepoints: int = 10, yearly: int = 3,

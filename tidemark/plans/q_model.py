@@ -136,7 +136,7 @@ def q_fitted(spark, sf):
 
 
 # G11-G15 / G24 (least squares; no SQL twin) ------------------------------------------
-@register("g11_g24_direct_ridge", "series_id:s split:s origin:t step:i yhat:d actual:d alpha:d")
+@register("g11_g24_direct_ridge", "series_id:s split:s origin:t step:i target_ts:t yhat:d actual:d alpha:d")
 def q_direct(spark, sf):
     """G11/G12/G24 per-series direct ridge on 5 lags, horizon 2; penalty picked on the validation origin."""
     from ..operators import regress as rg
@@ -151,7 +151,7 @@ def q_change(spark, sf):
         .select("series_id", "split", "origin", "step", "yhat", "actual", "price")
 
 
-@register("g15_ar_trend_season", "series_id:s split:s origin:t step:i yhat:d actual:d alpha:d")
+@register("g15_ar_trend_season", "series_id:s split:s origin:t step:i target_ts:t yhat:d actual:d alpha:d")
 def q_ar_trend(spark, sf):
     """G15 AR lags + piecewise trend (10 changepoints) + yearly/weekly Fourier, direct 2-step ridge."""
     from ..operators import regress as rg
