@@ -105,6 +105,10 @@ def combined_loss(df: DataFrame, group, step: str, actual: str, pred: str,
     return hub.join(dl, group).withColumn("loss", alpha * F.col("huber") + beta * F.col("directional_loss"))
 
 
+def _ordered_sum(arr: str) -> Column:
+    return F.aggregate(F.col(arr), F.lit(0.0), lambda acc, v: acc + v)
+
+
 def model_comparison(final: DataFrame, keys, ts: str, actual: str, preds: dict[str, str], n_tests: int,
                      horizon: int, tiebreak=(), **kw) -> DataFrame:
     """one row per (keys, model): MAE and RMSE over the last ``n_tests`` joined
@@ -120,7 +124,12 @@ def model_comparison(final: DataFrame, keys, ts: str, actual: str, preds: dict[s
     pos = seq.index_rows(long, g, ts, tiebreak=tb)
     sizes = seq.series_sizes(long, g, "_len")
     tail = pos.join(sizes, g).where(F.col(seq.RN) > F.col("_len") - n_tests)
-    err = tail.groupBy(*g).agg(F.avg(F.abs(F.col("_a") - F.col("_p"))).alias("MAE"),
-                              F.sqrt(F.avg((F.col("_a") - F.col("_p")) ** 2)).alias("RMSE"))
+    # the tail holds at most n_tests rows per group, so the errors can be summed in
+    # a fixed (sorted) order: results do not depend on how partial sums are merged
+    e = F.abs(F.col("_a") - F.col("_p"))
+    err = tail.groupBy(*g).agg(F.array_sort(F.collect_list(e)).alias("_e"),
+                               F.array_sort(F.collect_list(e * e)).alias("_e2"))
+    err = err.select(*g, (_ordered_sum("_e") / F.size("_e")).alias("MAE"),
+                     F.sqrt(_ordered_sum("_e2") / F.size("_e2")).alias("RMSE"))
     da = anchored_directional_accuracy(long, g, ts, "_a", "_p", horizon, tiebreak=tb, **kw)
     return err.join(da, g).withColumnRenamed("directional_accuracy", "Directional Accuracy")

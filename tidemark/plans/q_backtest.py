@@ -73,7 +73,9 @@ def da_sql(NT: int, H: int) -> str:
                  lag(a) OVER w AS pa, lag(p) OVER w AS pp
           FROM lng WINDOW w AS (PARTITION BY series_id, "Model" ORDER BY ts, model_fold)) y) z
   WHERE idx >= 1 AND st <= len - {H} GROUP BY 1, 2),
-err AS (SELECT series_id, "Model", avg(abs(a - p)) AS "MAE", sqrt(avg((a - p) * (a - p))) AS "RMSE" FROM (
+err AS (SELECT series_id, "Model",
+          list_reduce(list_sort(list(abs(a - p))), lambda x, y: x + y) / count(*) AS "MAE",
+          sqrt(list_reduce(list_sort(list(abs(a - p) * abs(a - p))), lambda x, y: x + y) / count(*)) AS "RMSE" FROM (
           SELECT *, row_number() OVER (PARTITION BY series_id, "Model" ORDER BY ts DESC, model_fold DESC) AS r FROM lng) t
         WHERE r <= {NT} GROUP BY 1, 2)"""
 
@@ -82,7 +84,7 @@ _DA_SQL = da_sql(NT, H)
 
 
 def comparison_sql(nt: int, h: int) -> str:
-    return _bt_sql(_LNG + ",\n" + da_sql(nt, h) + "\nSELECT * FROM err JOIN da USING (series_id, \"Model\")",
+    return _bt_sql(_LNG + ",\n" + da_sql(nt, h) + "\nSELECT * FROM err LEFT JOIN da USING (series_id, \"Model\")",
                    bt_ctes(nt, h))
 
 _LNG = """lng AS (SELECT series_id, ts, model_fold, actual AS a, baseline AS p, 'naive' AS "Model" FROM final
@@ -90,7 +92,7 @@ _LNG = """lng AS (SELECT series_id, ts, model_fold, actual AS a, baseline AS p,
 
 
 @register("f15_model_comparison", "series_id:s Model:s MAE:d RMSE:d Directional Accuracy:d",
-          _bt_sql(_LNG + ",\n" + _DA_SQL + "\nSELECT * FROM err JOIN da USING (series_id, \"Model\")"))
+          _bt_sql(_LNG + ",\n" + _DA_SQL + "\nSELECT * FROM err LEFT JOIN da USING (series_id, \"Model\")"))
 def q_comparison(spark, sf):
     """F15 per model: MAE/RMSE over the last n_tests joined rows, F4 anchored directional accuracy."""
     return _artifacts(spark, sf).metrics
