@@ -65,8 +65,12 @@ def test_stream_upsert_equals_batch(spark):
     upd.write.parquet(f"{src}/b1")
     q = up.start_upsert_stream(spark, f"{src}/b*", schema, table, ["series_id"], "ts")
     q.awaitTermination()
-    got = spark.read.parquet(table).drop(up.BATCH_COL)
+    got = spark.read.parquet(table).drop(up.BATCH_COL, up.PART_COL)
     want = al.upsert_latest(hist, upd, ["series_id"], "ts")
+    # the update batch only rewrote the months it touched
+    months = {r[0] for r in spark.read.parquet(table).where(F.col(up.BATCH_COL) == 1)
+              .select(up.PART_COL).distinct().collect()}
+    assert months == {r[0] for r in upd.select((F.year("ts") * 100 + F.month("ts")).alias("m")).distinct().collect()}
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
     before = spark.read.parquet(table).collect()
     up.upsert_batch(upd, 0, table, ["series_id"], "ts")  # replay of an old batch id
