@@ -118,13 +118,15 @@ def test_artifacts_round_trip(spark):
     d = td.daily(spark, SMALL)
     final, metrics, forecast = jobs.test_predict(d, ["series_id"], "ts", "value", n_tests=4, n_forecasts=2)
     tag = F.lit("drift")
-    fl.write_artifacts(final.withColumn("model", tag), metrics.withColumn("model", tag),
-                       forecast.withColumn("model", tag), root)
+    fl.write_artifacts(final.withColumn("run_model", tag), metrics.withColumn("run_model", tag),
+                       forecast.withColumn("run_model", tag), root)
     # a second model only replaces its own partition
-    fl.write_artifacts(final.withColumn("model", F.lit("x")), metrics.withColumn("model", F.lit("x")),
-                       forecast.withColumn("model", F.lit("x")), root)
+    fl.write_artifacts(final.withColumn("run_model", F.lit("x")), metrics.withColumn("run_model", F.lit("x")),
+                       forecast.withColumn("run_model", F.lit("x")), root)
     back = spark.read.parquet(f"{root}/forecast")
-    assert sorted(r.model for r in back.select("model").distinct().collect()) == ["drift", "x"]
+    assert sorted(r.run_model for r in back.select("run_model").distinct().collect()) == ["drift", "x"]
+    m = spark.read.parquet(f"{root}/metrics")
+    assert sorted(r.Model for r in m.select("Model").distinct().collect()) == ["drift", "naive"]
     csv_dir = tempfile.mkdtemp(prefix="tm-csv-") + "/fc"
     forecast.select(F.col("ts").cast("string").alias("Date"), "Future Predictions").coalesce(1) \
         .write.option("header", True).csv(csv_dir)

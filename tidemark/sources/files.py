@@ -79,8 +79,12 @@ def write_guarded(df: DataFrame, path: str, fmt: str = "csv", what: str = "rows"
 
 
 def write_artifacts(final: DataFrame, metrics: DataFrame, forecast: DataFrame, root: str,
-                    model_col: str = "model") -> None:
-    """The three artifact tables, each partitioned by model (dynamic overwrite)."""
+                    model_col: str = "run_model") -> None:
+    """The three artifact tables, each partitioned by ``model_col`` (dynamic overwrite).
+
+    The default name differs from the comparison table's ``Model`` column (Spark resolves
+    column names case-insensitively).
+    """
     for name, df in (("final", final), ("metrics", metrics), ("forecast", forecast)):
         write_guarded(df, f"{root.rstrip('/')}/{name}", fmt="parquet", what=f"{name} rows",
                       partition_by=[model_col])
