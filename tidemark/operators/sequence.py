@@ -51,20 +51,25 @@ def _bucket(ts: str, bucket: str) -> Column:
 
 def index_rows(df: DataFrame, keys: Sequence[str] | str, ts: str, *,
                bucket: str = DEFAULT_BUCKET, tiebreak: Sequence[str] = (),
-               counts_from: DataFrame | None = None) -> DataFrame:
+               counts_from: DataFrame | None = None, local_rn: str | None = None) -> DataFrame:
     """Add ``_rn``: 1-based position of the row in its series ordered by (ts, tiebreak).
 
     ``counts_from`` may name a cheaper frame with exactly the same (keys, ts)
     rows (e.g. the input of an opaque Python stage) to take bucket counts from,
-    so the expensive frame is not computed twice.
+    so the expensive frame is not computed twice.  ``local_rn`` names a column
+    that already holds the 1-based row number inside (keys, bucket) (e.g. from
+    ``ema(emit_local_rn=True)``); the row-number window is then skipped.
     """
     keys = require_keys(keys)
     order = [F.col(ts)] + [F.col(c) for c in tiebreak]
     # an existing bucket column (e.g. left by ``ema(keep_bucket=True)``) keeps the
     # upstream (series, bucket) partitioning usable, so the window needs no exchange
     d = df if TB in df.columns else df.withColumn(TB, _bucket(ts, bucket))
-    local = d.withColumn("_lrn", F.row_number().over(
-        Window.partitionBy(*keys, TB).orderBy(*order)))
+    if local_rn is not None:
+        local = d.withColumnRenamed(local_rn, "_lrn")
+    else:
+        local = d.withColumn("_lrn", F.row_number().over(
+            Window.partitionBy(*keys, TB).orderBy(*order)))
     src = d if counts_from is None else counts_from.withColumn(TB, _bucket(ts, bucket))
     counts = src.groupBy(*keys, TB).agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy(*keys).orderBy(TB).rowsBetween(Window.unboundedPreceding, -1)
@@ -102,7 +107,8 @@ def bounded(df: DataFrame, keys: Sequence[str] | str, ts: str,
             compute: Callable[[DataFrame, WindowSpec], DataFrame], *,
             before: int = 0, after: int = 0, block_rows: int = DEFAULT_BLOCK_ROWS,
             bucket: str = DEFAULT_BUCKET, keep_rn: bool = False,
-            tiebreak: Sequence[str] = (), counts_from: DataFrame | None = None) -> DataFrame:
+            tiebreak: Sequence[str] = (), counts_from: DataFrame | None = None,
+            local_rn: str | None = None) -> DataFrame:
     """Run row windows with lookback <= ``before`` and lookahead <= ``after``.
 
     ``compute(d, w)`` receives the halo'd frame and ``w`` =
@@ -112,7 +118,8 @@ def bounded(df: DataFrame, keys: Sequence[str] | str, ts: str,
     if RN in df.columns:
         d = df
     else:
-        d = index_rows(df, keys, ts, bucket=bucket, tiebreak=tiebreak, counts_from=counts_from)
+        d = index_rows(df, keys, ts, bucket=bucket, tiebreak=tiebreak, counts_from=counts_from,
+                       local_rn=local_rn)
     d = with_halo(d, keys, before=before, after=after, block_rows=block_rows)
     w = Window.partitionBy(*keys, BLK).orderBy(RN)
     out = compute(d, w).where(~F.col(HALO)).drop(BLK, HALO)
@@ -192,7 +199,8 @@ def scan_product(df: DataFrame, keys: Sequence[str] | str, ts: str, col: str, ou
 
 def ema(df: DataFrame, keys: Sequence[str] | str, ts: str, cols: Sequence[str],
         spans: Sequence[int], *, bucket: str = DEFAULT_BUCKET,
-        out: Callable[[str, int], str] | None = None, keep_bucket: bool = False) -> DataFrame:
+        out: Callable[[str, int], str] | None = None, keep_bucket: bool = False,
+        emit_local_rn: str | None = None) -> DataFrame:
     """``e_t = (1-a) e_{t-1} + a x_t`` with ``a = 2/(span+1)``, seeded by the first value.
 
     Null inputs are skipped (the state carries over and is reported).
@@ -274,12 +282,13 @@ def ema(df: DataFrame, keys: Sequence[str] | str, ts: str, cols: Sequence[str],
     out_names = [out(c, sp) for c in cols for sp in spans]
     keep = [f.name for f in base_fields if f.name not in out_names]
     out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base_fields
-                            if f.name not in out_names] + [f"`{n}` double" for n in out_names])
+                            if f.name not in out_names] + [f"`{n}` double" for n in out_names]
+                           + ([f"`{emit_local_rn}` long"] if emit_local_rn else []))
     unit_cols = [*keys, TB]
     pairs = [(c, sp) for c in cols for sp in spans]
 
     def _run(batches):
-        last_unit, last_state = None, {}
+        last_unit, last_state, last_count = None, {}, 0
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -288,6 +297,11 @@ def ema(df: DataFrame, keys: Sequence[str] | str, ts: str, cols: Sequence[str],
             code = np.cumsum(starts) - 1
             continues = last_unit is not None and tuple(pdf[k].iloc[0] for k in unit_cols) == last_unit
             res = pdf[keep].copy()
+            lrn = np.arange(len(pdf)) - first_rows[code] + 1
+            if continues:
+                lrn[code == 0] += last_count
+            if emit_local_rn:
+                res[emit_local_rn] = lrn.astype("int64")
             for c, sp in pairs:
                 start = pdf[f"_c_{c}_{sp}"].to_numpy(dtype="float64")[first_rows].copy()
                 if continues:
@@ -302,6 +316,7 @@ def ema(df: DataFrame, keys: Sequence[str] | str, ts: str, cols: Sequence[str],
                 res[out(c, sp)] = vals
                 last_state[(c, sp)] = vals[-1]
             last_unit = tuple(pdf[k].iloc[-1] for k in unit_cols)
+            last_count = int(lrn[-1])
             yield res
 
     ordered = joined.sortWithinPartitions(*unit_cols, ts)
