@@ -19,6 +19,8 @@ from ..functions import text as tx
 from ..schema import SEQ, as_list, require_columns, require_keys
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+FIXED_WIDTH = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.BooleanType,
+               T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 # B1 / B2 / B3 / B4 / B5 / B23 ----------------------------------------------
@@ -90,9 +92,17 @@ def dedupe(df: DataFrame, subset: Sequence[str], keep: str = "first", seq: str =
         raise ValueError("keep must be 'first' or 'last'")
     others = [c for c in df.columns if c not in subset]
     pick = F.min_by if keep == "first" else F.max_by
-    payload = F.struct(*[F.col(f"`{c}`") for c in others])
     order = F.col(seq) if valid is None else F.when(valid, F.col(seq))
-    out = df.groupBy(*[F.col(f"`{c}`") for c in subset]).agg(pick(payload, order).alias("_row"))
+    group = [F.col(f"`{c}`") for c in subset]
+    if all(isinstance(df.schema[c].dataType, FIXED_WIDTH) for c in others):
+        # fixed-width payload: one min_by/max_by per column (same unique ordering, so
+        # the same row) keeps a fixed-width buffer and the faster hash aggregate
+        out = df.groupBy(*group).agg(*[pick(F.col(f"`{c}`"), order).alias(c) for c in others])
+        if valid is not None:
+            out = out.where(F.col(f"`{seq}`").isNotNull())
+        return out.select(*df.columns)
+    payload = F.struct(*[F.col(f"`{c}`") for c in others])
+    out = df.groupBy(*group).agg(pick(payload, order).alias("_row"))
     if valid is not None:
         out = out.where(F.col("_row").isNotNull())
     return out.select(*[F.col(f"`{c}`") for c in subset], "_row.*").select(*df.columns)
