@@ -151,3 +151,11 @@ def test_stream_clean_then_upsert(spark):
     q.awaitTermination()
     got = spark.read.parquet(table).orderBy("Date").collect()
     assert [r.VN_Index_Close for r in got] == [1234.56, 1240.0]
+
+
+def test_null_keys_are_rejected_by_the_check(spark):
+    from tidemark.schema import require_non_null_keys
+    df = spark.createDataFrame([("a", 1.0), (None, 2.0)], "series_id string, value double")
+    with pytest.raises(ValueError, match="series_id=1"):
+        require_non_null_keys(df, ["series_id"])
+    require_non_null_keys(df.where("series_id IS NOT NULL"), ["series_id"])

@@ -1,8 +1,11 @@
 """Table contract: key columns, required columns, null rules, ingest ordinal.
 
 Contract used by every operator: a long table ``(keys..., ts, value, ...)``
-with one row per (keys, ts).  Operators never run an un-keyed window, so an
-empty key list is rejected up front.
+with one row per (keys, ts) and non-NULL key columns.  Operators never run an
+un-keyed window, so an empty key list is rejected up front.  Internal joins
+are plain equi-joins on the key attributes (so existing hash partitioning is
+reused); a row with a NULL key belongs to no series -- check inputs with
+``require_non_null_keys``.
 """
 
 from __future__ import annotations
@@ -31,6 +34,15 @@ def require_keys(keys: str | Sequence[str] | None) -> list[str]:
     return ks
 
 
+def require_non_null_keys(df: DataFrame, keys: Sequence[str]) -> None:
+    """Raise if any key column holds NULL (one aggregate pass)."""
+    ks = require_keys(keys)
+    row = df.agg(*[F.count_if(F.col(f"`{k}`").isNull()).alias(k) for k in ks]).first()
+    bad = {k: v for k, v in row.asDict().items() if v}
+    if bad:
+        raise ValueError("NULL series keys: " + ", ".join(f"{k}={v}" for k, v in bad.items()))
+
+
 def require_columns(df: DataFrame, required: Sequence[str], what: str = "input") -> None:
     """B1: fail before any action, listing missing names in the given order."""
     have = set(df.columns)
