@@ -314,3 +314,19 @@ def test_feature_bundle_across_arrow_batches(spark):
     for c in got.columns:
         if c not in ("series_id", "ts"):
             assert list(got[c]) == pytest.approx(list(ref[c]), rel=1e-12), c
+
+
+def test_run_all_models_and_comparison_table(spark):
+    """G21 every configured model in one result set; F16 fixed-name table."""
+    days = [dt.date(2026, 1, 1) + dt.timedelta(days=i) for i in range(40)]
+    df = spark.createDataFrame([("s", d, 100.0 + (i % 5)) for i, d in enumerate(days)],
+                               "series_id string, ts date, y double")
+    cfg = bt.ForecastConfig(n_tests=4, n_forecasts=2, seasonal_periods=5, n_lags=2)
+    art = bt.run_all(df, ["series_id"], "ts", "y", ["drift", "mean", "seasonal_naive"], cfg)
+    assert sorted(r.run_model for r in art.metrics.select("run_model").distinct().collect()) == \
+        ["drift", "mean", "seasonal_naive"]
+    # period-5 pattern: the seasonal naive forecast repeats the values one season back
+    fc = art.forecast.where("model = 'seasonal_naive'").orderBy("step").collect()
+    assert [r["Future Predictions"] for r in fc] == [100.0, 101.0]
+    t = mt.comparison_table(art.final, "ts", "actual", "predicted", ["series_id"])
+    assert t.columns == ["series_id", "Date", "Actual", "Predicted"]

@@ -133,3 +133,10 @@ def model_comparison(final: DataFrame, keys, ts: str, actual: str, preds: dict[s
                      F.sqrt(_ordered_sum("_e2") / F.size("_e2")).alias("RMSE"))
     da = anchored_directional_accuracy(long, g, ts, "_a", "_p", horizon, tiebreak=tb, **kw)
     return err.join(da, g).withColumnRenamed("directional_accuracy", "Directional Accuracy")
+
+
+def comparison_table(df: DataFrame, ts: str, actual: str, pred: str, keys=(),
+                     names: tuple[str, str, str] = ("Date", "Actual", "Predicted")) -> DataFrame:
+    """F16: actual-vs-predicted (or predicted-change) table with fixed column names."""
+    d, a, p = names
+    return df.select(*as_list(keys), F.col(ts).alias(d), F.col(actual).alias(a), F.col(pred).alias(p))
