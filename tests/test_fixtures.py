@@ -4,7 +4,6 @@ import datetime as dt
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.operators import align as al

@@ -3,7 +3,6 @@
 import datetime as dt
 
 import numpy as np
-import pytest
 
 from tidemark.operators import decompose as dc
 from tidemark.operators import smoothing as sm
