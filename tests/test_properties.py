@@ -103,3 +103,24 @@ def test_reflect_smoothing_equals_padded_mean(spark):
         padded = np.pad(np.asarray(cases[k]), 3, mode="symmetric")
         want = np.convolve(padded, np.ones(7) / 7, mode="valid")
         assert np.allclose(g["value_smooth"].to_numpy(), want), k
+
+
+@pytest.mark.parametrize("limit,window", [(2, 5), (1, 4)])
+def test_interpolate_then_rolling_matches_pandas(spark, limit, window):
+    import pandas as pd
+    rng = np.random.default_rng(limit * 10 + window)
+    rows, cases = [], {}
+    for k in range(120):
+        n = int(rng.integers(2, 30))
+        x = [None if rng.random() < 0.45 else float(rng.integers(0, 50)) for _ in range(n)]
+        cases[k] = x
+        rows += [(k, dt.date(2020, 1, 1) + dt.timedelta(days=i), x[i]) for i in range(n)]
+    df = spark.createDataFrame(rows, "series_id int, ts date, value double")
+    got = im.interpolate_then_rolling(df, ["series_id"], "ts", "value", limit_linear=limit, rolling=window,
+                                      out="filled", block_rows=8).toPandas().sort_values(["series_id", "ts"])
+    for k, g in got.groupby("series_id"):
+        s = pd.Series(cases[k], dtype="float64")
+        lin = s.interpolate(method="linear", limit=limit, limit_direction="both")
+        avg = lin.rolling(window, center=True, min_periods=1).mean()
+        want = lin.where(lin.notna(), avg)
+        assert np.allclose(g["filled"].to_numpy(dtype=float), want.to_numpy(), equal_nan=True), (k, cases[k])

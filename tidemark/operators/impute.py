@@ -135,8 +135,8 @@ def interpolate_then_rolling(df: DataFrame, keys, ts: str, col: str, limit_linea
              .when(near_prev & F.col("_next").isNull(), pv)
              .when(near_next & F.col("_prev").isNull(), nv))
     d = d.withColumn("_s1", step1).drop("_kv", "_prev", "_next")
-    half = rolling // 2
-    lo, hi = -(rolling - 1 - half), half
+    # centred like pandas: an even window leans back, [i - R//2, i + (R-1)//2]
+    lo, hi = -(rolling // 2), (rolling - 1) // 2
 
     def compute(x, w):
         return x.withColumn(out, F.coalesce(F.col("_s1"), F.avg("_s1").over(w.rowsBetween(lo, hi))))
