@@ -124,3 +124,38 @@ def test_interpolate_then_rolling_matches_pandas(spark, limit, window):
         avg = lin.rolling(window, center=True, min_periods=1).mean()
         want = lin.where(lin.notna(), avg)
         assert np.allclose(g["filled"].to_numpy(dtype=float), want.to_numpy(), equal_nan=True), (k, cases[k])
+
+
+def test_pct_change_and_rsi_match_pandas(spark):
+    import pandas as pd
+    from tidemark.operators import indicators as ind
+    rng = np.random.default_rng(21)
+    rows, cases = [], {}
+    for k in range(100):
+        n = int(rng.integers(2, 40))
+        x = [None if rng.random() < 0.15 else float(rng.integers(0, 6)) for _ in range(n)]
+        cases[k] = x
+        rows += [(k, dt.date(2020, 1, 1) + dt.timedelta(days=i), x[i]) for i in range(n)]
+    df = spark.createDataFrame(rows, "series_id int, ts date, value double")
+    pc = ind.pct_change(df, ["series_id"], "ts", "value", "chg", bucket="week")
+    got = ind.rsi(pc, ["series_id"], "ts", ["value"], window=5, block_rows=8).toPandas() \
+        .sort_values(["series_id", "ts"])
+    for k, g in got.groupby("series_id"):
+        s = pd.Series(cases[k], dtype="float64")
+        with np.errstate(divide="ignore", invalid="ignore"):
+            chg = s.ffill() / s.ffill().shift(1) - 1
+        for w, v in zip(chg.tolist(), g["chg"].tolist()):
+            if math.isfinite(w):
+                assert v == pytest.approx(w)
+            else:
+                assert v is None or math.isnan(v)
+        delta = s.diff(1)
+        gain = delta.where(delta > 0, 0).rolling(5).mean()
+        loss = (-delta.where(delta < 0, 0)).rolling(5).mean()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            want = (100 - 100 / (1 + gain / loss)).tolist()
+        for w, v in zip(want, g["value_RSI_5"].tolist()):
+            if math.isfinite(w):
+                assert v == pytest.approx(w)
+            else:
+                assert v is None or math.isnan(v)
