@@ -25,8 +25,16 @@ def bfill(df: DataFrame, keys, ts: str, cols, **kw) -> DataFrame:
 
 
 def ffill_bfill(df: DataFrame, keys, ts: str, cols, **kw) -> DataFrame:
-    """Forward fill, then backward fill the leading gap."""
-    return bfill(ffill(df, keys, ts, cols, **kw), keys, ts, cols, **kw)
+    """Forward fill, then backward fill the leading gap.
+
+    After a forward fill only the leading gap is empty, and its backward fill
+    is the first known value; so the result is coalesce(ffill, bfill) of the
+    original column, both taken in one pass.
+    """
+    cols = as_list(cols)
+    d = seq.scan_both(df, keys, ts, cols, prev=lambda c: f"_ff_{c}", nxt=lambda c: f"_bf_{c}", **kw)
+    d = d.withColumns({c: F.coalesce(F.col(f"_ff_{c}"), F.col(f"_bf_{c}")) for c in cols})
+    return d.drop(*[f"_ff_{c}" for c in cols], *[f"_bf_{c}" for c in cols])
 
 
 def zero_fill(df: DataFrame, cols) -> DataFrame:
@@ -122,8 +130,8 @@ def interpolate_then_rolling(df: DataFrame, keys, ts: str, col: str, limit_linea
     out = out or col
     d = seq.index_rows(df, keys, ts, bucket=kw.get("bucket", seq.DEFAULT_BUCKET))
     d = d.withColumn("_kv", F.when(F.col(col).isNotNull(), F.struct(F.col(col).alias("v"), F.col(seq.RN).alias("p"))))
-    d = seq.scan_last(d, keys, ts, ["_kv"], out=lambda c: "_prev", bucket=kw.get("bucket", seq.DEFAULT_BUCKET))
-    d = seq.scan_first(d, keys, ts, ["_kv"], out=lambda c: "_next", bucket=kw.get("bucket", seq.DEFAULT_BUCKET))
+    d = seq.scan_both(d, keys, ts, ["_kv"], prev=lambda c: "_prev", nxt=lambda c: "_next",
+                      bucket=kw.get("bucket", seq.DEFAULT_BUCKET))
     p = F.col(seq.RN)
     pv, pp, nv, np_ = F.col("_prev.v"), F.col("_prev.p"), F.col("_next.v"), F.col("_next.p")
     near_prev = F.col("_prev").isNotNull() & (p - pp <= limit_linear)

@@ -357,3 +357,34 @@ def scan_sum(df: DataFrame, keys: Sequence[str] | str, ts: str, col: str, out: s
     return (_carry_join(local, carry, keys)
             .withColumn(out, F.col("_ls") + F.col("_cs"))
             .drop("_ls", "_cs", TB))
+
+
+def scan_both(df: DataFrame, keys: Sequence[str] | str, ts: str, cols: Sequence[str], *,
+              bucket: str = DEFAULT_BUCKET, prev: Callable[[str], str] | None = None,
+              nxt: Callable[[str], str] | None = None, tiebreak: Sequence[str] = ()) -> DataFrame:
+    """Last non-null value at or before, and first non-null value at or after, each row --
+    both directions in one (series, bucket) pass with one summary and two carries."""
+    keys = require_keys(keys)
+    cols = as_list(cols)
+    prev = prev or (lambda c: f"{c}_prev")
+    nxt = nxt or (lambda c: f"{c}_next")
+    order = [F.col(ts)] + [F.col(c) for c in tiebreak]
+    d = df.withColumn(TB, _bucket(ts, bucket))
+    w = Window.partitionBy(*keys, TB).orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    after = w.rowsBetween(0, Window.unboundedFollowing)
+    local = d.withColumns({**{f"_lp_{c}": F.last(c, True).over(upto) for c in cols},
+                           **{f"_lf_{c}": F.first(c, True).over(after) for c in cols}})
+    ord_struct = F.struct(*order)
+    summary = d.groupBy(*keys, TB).agg(
+        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), ord_struct)).alias(f"_sl_{c}") for c in cols],
+        *[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), ord_struct)).alias(f"_sf_{c}") for c in cols])
+    prior = Window.partitionBy(*keys).orderBy(TB).rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*keys).orderBy(TB).rowsBetween(1, Window.unboundedFollowing)
+    carry = summary.select(*keys, TB, *[F.last(f"_sl_{c}", True).over(prior).alias(f"_cl_{c}") for c in cols],
+                           *[F.first(f"_sf_{c}", True).over(later).alias(f"_cf_{c}") for c in cols])
+    res = _carry_join(local, carry, keys)
+    res = res.withColumns({**{prev(c): F.coalesce(F.col(f"_lp_{c}"), F.col(f"_cl_{c}")) for c in cols},
+                           **{nxt(c): F.coalesce(F.col(f"_lf_{c}"), F.col(f"_cf_{c}")) for c in cols}})
+    tmp = [f"_{p}_{c}" for p in ("lp", "lf", "cl", "cf") for c in cols] + [TB]
+    return res.drop(*tmp)
