@@ -8,7 +8,7 @@ a whole series.
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import as_list, require_keys
@@ -48,7 +48,8 @@ def append_future(history: DataFrame, future: DataFrame, keys, ts: str, conditio
 
 
 # D2 --------------------------------------------------------------------------
-def proportional_backcast(df: DataFrame, keys, ts: str, cols, target: str, **kw) -> DataFrame:
+def proportional_backcast(df: DataFrame, keys, ts: str, cols, target: str, *,
+                          bucket: str = seq.DEFAULT_BUCKET) -> DataFrame:
     """Walking backwards, a NULL ``c[i]`` next to a known ``c[i+1]`` becomes
     ``c[i+1] * t[i] / t[i+1]``, repeatedly.
 
@@ -56,22 +57,51 @@ def proportional_backcast(df: DataFrame, keys, ts: str, cols, target: str, **kw)
     row whose ``c`` is known, provided no ``t`` in ``(i, j]`` is NULL or 0 and
     ``t[i]`` is not NULL (otherwise the chain breaks and the row stays NULL).
     Trailing NULLs (no known value after) stay NULL.
+
+    One (series, bucket) pass: inside a bucket the next known value and the
+    running count of broken targets come from windows; across buckets a summary
+    per bucket (total broken count, first known value with its in-bucket broken
+    prefix) is scanned on the small bucket table.
     """
     keys = require_keys(keys)
     cols = as_list(cols)
     t = F.col(target)
-    d = df.withColumn("_bad", (t.isNull() | (t == 0)).cast("long"))
-    d = seq.scan_sum(d, keys, ts, "_bad", "_cum_bad", **kw)
-    d = d.withColumns({f"_k_{c}": F.when(F.col(c).isNotNull(),
-                                         F.struct(F.col(c).alias("c"), t.alias("t"), F.col("_cum_bad").alias("b")))
-                       for c in cols})
-    d = seq.scan_first(d, keys, ts, [f"_k_{c}" for c in cols], out=lambda c: f"_n{c}", **kw)
+    tb = seq.TB
+    d = df.withColumn(tb, F.date_trunc(bucket, F.col(ts))).withColumn(
+        "_bad", (t.isNull() | (t == 0)).cast("long"))
+    w = Window.partitionBy(*keys, tb).orderBy(ts)
+    d = d.withColumn("_lcb", F.sum("_bad").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    after = w.rowsBetween(0, Window.unboundedFollowing)
+    known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("c"), t.alias("t"), F.col("_lcb").alias("b")))
+             for c in cols}
+    d = d.withColumns({f"_ln_{c}": F.first(known[c], True).over(after) for c in cols})
+    summary = d.groupBy(*keys, tb).agg(
+        F.sum("_bad").alias("_tot"),
+        *[F.min_by(known[c], F.when(F.col(c).isNotNull(), F.col(ts))).alias(f"_fk_{c}") for c in cols])
+    wb = Window.partitionBy(*keys).orderBy(tb)
+    summary = summary.withColumn("_before", F.coalesce(
+        F.sum("_tot").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # first known value in a later bucket, with the broken count from the series start up to it
+    later = wb.rowsBetween(1, Window.unboundedFollowing)
+    carry = summary.select(*keys, tb, "_tot", "_before", *[
+        F.first(F.when(F.col(f"_fk_{c}").isNotNull(),
+                       F.struct(F.col(f"_fk_{c}.c").alias("c"), F.col(f"_fk_{c}.t").alias("t"),
+                                (F.col("_before") + F.col(f"_fk_{c}.b")).alias("g"))), True)
+        .over(later).alias(f"_cn_{c}") for c in cols])
+    d = d.join(carry, [*keys, tb], "left")
     fills = {}
     for c in cols:
-        nxt = F.col(f"_n_k_{c}")
-        ok = F.col(c).isNull() & nxt.isNotNull() & t.isNotNull() & (nxt["b"] == F.col("_cum_bad"))
-        fills[c] = F.when(ok, nxt["c"] * t / nxt["t"]).otherwise(F.col(c))
-    return d.withColumns(fills).drop("_bad", "_cum_bad", *[f"_k_{c}" for c in cols], *[f"_n_k_{c}" for c in cols])
+        ln, cn = F.col(f"_ln_{c}"), F.col(f"_cn_{c}")
+        # broken targets in (i, j]: same bucket from the local prefixes, else via global prefixes
+        broken = F.when(ln.isNotNull(), ln["b"] - F.col("_lcb")) \
+            .otherwise(cn["g"] - (F.col("_before") + F.col("_lcb")))
+        nv = F.when(ln.isNotNull(), ln["c"]).otherwise(cn["c"])
+        nt = F.when(ln.isNotNull(), ln["t"]).otherwise(cn["t"])
+        ok = F.col(c).isNull() & nv.isNotNull() & t.isNotNull() & (broken == 0)
+        fills[c] = F.when(ok, nv * t / nt).otherwise(F.col(c))
+    d = d.withColumns(fills)
+    return d.drop(tb, "_bad", "_lcb", "_tot", "_before", *[f"_ln_{c}" for c in cols],
+                  *[f"_cn_{c}" for c in cols])
 
 
 # D3 --------------------------------------------------------------------------
