@@ -104,7 +104,17 @@ def suffix_number(col: str | Column, strict: bool = False) -> Column:
 
     ``strict`` raises on unparsable text (ANSI cast), otherwise it yields NULL.
     """
-    t = F.translate(F.trim(_c(col)), ",", "")
+    return suffix_number_prepared(prepare_number_text(col), strict)
+
+
+def prepare_number_text(col: str | Column) -> Column:
+    """B17 first step: trimmed text without thousands commas (stage it as a column when
+    the parse is applied to many rows, so it is computed once)."""
+    return F.translate(F.trim(_c(col)), ",", "")
+
+
+def suffix_number_prepared(t: Column, strict: bool = False) -> Column:
+    """B17 second step on ``prepare_number_text`` output."""
     scale = F.when(t.endswith(" bil"), F.lit(1e9)).when(t.endswith(" mil"), F.lit(1e6))
     text = (F.when(t.isin("", MISSING_MARK), F.lit(None).cast("string"))
             .when(scale == 1e9, F.regexp_replace(t, " bil", ""))

@@ -131,8 +131,12 @@ def clean_quotes(df: DataFrame, keys=("symbol",), strict: bool = False) -> DataF
     for c in required:
         complete = complete & F.col(f"`{c}`").isNotNull()
 
+    nums = ["VN-INDEX", "Total Volume", "Total Value"]
+    # stage the prepared text so each parse reads it once per row
+    d = d.withColumns({f"_p{i}": tx.prepare_number_text(F.col(f"`{c}`")) for i, c in enumerate(nums)})
+
     def num(c):
-        parsed = tx.suffix_number(F.col(f"`{c}`"), strict=strict)
+        parsed = tx.suffix_number_prepared(F.col(f"_p{nums.index(c)}"), strict=strict)
         return F.when(complete, parsed) if strict else parsed
 
     d = d.select("_seq", *keys, tx.parse_date(F.col("Date"), "M/d/yyyy").alias("Date"),
