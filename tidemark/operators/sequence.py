@@ -15,10 +15,11 @@ three building blocks below instead:
   ``after`` rows into the previous one) as halo rows, the window runs per
   (series, block), and halo rows are dropped.  Results equal the per-series
   window for any lookback <= the halo.
-* ``scan_last`` / ``scan_first`` / ``scan_product`` / ``ema`` -- unbounded
-  prefix scans.  Each (series, time bucket) is scanned locally; a summary row
-  per bucket is scanned over the small bucket table to get the value carried
-  into each bucket; the carry is joined back.
+* ``scan_last`` / ``scan_first`` / ``scan_both`` / ``scan_sum`` /
+  ``scan_product`` / ``ema`` -- unbounded prefix (and suffix) scans.  Each
+  (series, time bucket) is scanned locally; a summary row per bucket is
+  scanned over the small bucket table to get the value carried into each
+  bucket; the carry is joined back.  One full shuffle per scan.
 
 Join sides that are summaries are left to AQE, which broadcasts them only when
 their measured size is under the threshold and shuffle-joins them otherwise.
