@@ -48,6 +48,15 @@ def q_lags(spark, sf):
     return ind.lags(td.daily(spark, sf), KEYS, "ts", ["value"], block_rows=BLOCK)
 
 
+@register("e1_hourly_lags", "series_id:s ts:t value:d value_Lag1:d value_Lag2:d value_Lag3:d value_Lag5:d value_Lag10:d",
+          td.with_views("SELECT series_id, ts, value, "
+                        + ", ".join(f"lag(value, {n}) OVER (PARTITION BY series_id ORDER BY ts) AS value_Lag{n}"
+                                    for n in ind.LAGS) + " FROM hourly", "hourly"))
+def q_hourly_lags(spark, sf):
+    """E1 lags on the hourly TIMESTAMP series: day buckets, 64-row blocks (halos cross days)."""
+    return ind.lags(td.hourly(spark, sf), KEYS, "ts", ["value"], block_rows=64, bucket="day")
+
+
 # ---------------------------------------------------------------- E2 / E6
 @register("e2_sma_e6_std", "series_id:s ts:t value_SMA_10:d value_SMA_20:d value_RollingStd_10:d",
           td.with_views("SELECT series_id, ts, "

@@ -7,7 +7,7 @@ them.  Each view has a DuckDB twin (``VIEW_SQL``) used by the oracle queries.
 * ``ship``   -- shipped line value per return flag and ship day
 * ``supplier_daily`` -- shipped quantity per supplier and day; the number of
   series grows with the scale factor (one per supplier)
-* ``hourly`` -- average event value per event type and hour
+* ``hourly`` -- total event value per event type and hour (TIMESTAMP series)
 * ``updates`` -- the last 30 dates of ``daily`` with value * 1.01
 """
 
@@ -46,7 +46,7 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     return (ev.groupBy(F.col("event_type").alias("series_id"),
                        F.date_trunc("hour", F.col("ts")).alias("ts"))
-            .agg(F.avg("value").alias("value")))
+            .agg(F.sum("value").alias("value")))
 
 
 def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ VIEW_SQL = {
     "supplier_daily": ("SELECT l_suppkey AS series_id, CAST(l_shipdate AS DATE) AS ts, "
                        "SUM(l_quantity) AS value FROM lineitem GROUP BY 1, 2"),
     "hourly": ("SELECT event_type AS series_id, date_trunc('hour', ts) AS ts, "
-               "AVG(value) AS value FROM events GROUP BY 1, 2"),
+               "SUM(value) AS value FROM events GROUP BY 1, 2"),
 }
 VIEW_SQL["updates"] = (
     "SELECT series_id, ts, value * 1.01 AS value FROM (" + VIEW_SQL["daily"] + ") d "
