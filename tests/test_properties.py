@@ -159,3 +159,49 @@ def test_pct_change_and_rsi_match_pandas(spark):
                 assert v == pytest.approx(w)
             else:
                 assert v is None or math.isnan(v)
+
+
+def test_asof_matches_pandas_merge_asof(spark):
+    import pandas as pd
+    from tidemark.operators import align as al
+    rng = np.random.default_rng(31)
+    ref_rows, probe_rows = [], []
+    for k in range(60):
+        days = sorted(rng.choice(200, size=int(rng.integers(1, 30)), replace=False).tolist())
+        ref_rows += [(k, dt.date(2020, 1, 1) + dt.timedelta(days=int(d)), float(rng.integers(0, 100))) for d in days]
+        pdays = sorted(rng.choice(220, size=int(rng.integers(1, 20)), replace=False).tolist())
+        probe_rows += [(k, dt.date(2020, 1, 1) + dt.timedelta(days=int(d))) for d in pdays]
+    ref = spark.createDataFrame(ref_rows, "series_id int, ts date, value double")
+    probe = spark.createDataFrame(probe_rows, "series_id int, ts date")
+    got = al.asof_backward(probe, ref, ["series_id"], "ts", "value", bucket="week").toPandas()
+    rp = pd.DataFrame(ref_rows, columns=["series_id", "ts", "value"])
+    pp = pd.DataFrame(probe_rows, columns=["series_id", "ts"])
+    rp["ts"], pp["ts"] = pd.to_datetime(rp["ts"]), pd.to_datetime(pp["ts"])
+    want = pd.merge_asof(pp.sort_values("ts"), rp.sort_values("ts"), on="ts", by="series_id",
+                         direction="backward", allow_exact_matches=True)
+    got["ts"] = pd.to_datetime(got["ts"])
+    m = want.merge(got, on=["series_id", "ts"], suffixes=("_w", "_g"))
+    assert len(m) == len(pp) == len(got)
+    assert np.allclose(m["value_w"].to_numpy(dtype=float), m["value_g"].to_numpy(dtype=float), equal_nan=True)
+
+
+def test_splice_matches_concat_rule(spark):
+    import pandas as pd
+    from tidemark.operators import align as al
+    rng = np.random.default_rng(41)
+    t_rows, p_rows, cases = [], [], {}
+    for k in range(50):
+        n_p = int(rng.integers(1, 20))
+        n_t = int(rng.integers(1, n_p + 1))
+        start = dt.date(2020, 1, 1)
+        proxy = [(k, start + dt.timedelta(days=i), float(100 + i)) for i in range(n_p)]
+        target = [(k, start + dt.timedelta(days=n_p - n_t + i), float(i)) for i in range(n_t)]  # same end date
+        p_rows += proxy
+        t_rows += target
+        cat = pd.concat([pd.DataFrame(target), pd.DataFrame(proxy)], ignore_index=True)
+        cases[k] = sorted(cat.iloc[:-len(target)].itertuples(index=False, name=None), key=lambda r: r[1])
+    schema = "series_id int, ts date, value double"
+    got = al.splice_history(spark.createDataFrame(t_rows, schema), spark.createDataFrame(p_rows, schema),
+                            ["series_id"], "ts").toPandas()
+    for k, g in got.groupby("series_id"):
+        assert sorted(g.itertuples(index=False, name=None), key=lambda r: r[1]) == cases[k]
