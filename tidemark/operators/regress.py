@@ -222,24 +222,36 @@ def pooled_linear(df: DataFrame, keys, ts: str, value: str, lags: int = 5, horiz
     from pyspark.ml.regression import LinearRegression
     from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 
+    from pyspark import StorageLevel
+
+    from ..session import cut_lineage
+
     keys = require_keys(keys)
     win = windows(df, keys, ts, value, lags, horizon, **kw)
     win = win.where(~F.exists("x", lambda v: v.isNull()))
-    win = win.withColumn("features", array_to_vector(F.slice("x", 2, int(lags))))
+    win = win.select(*keys, ts, "rn", "n", "y", array_to_vector(F.slice("x", 2, int(lags))).alias("features"))
     train, val, test = _split(F.col("rn"), F.col("n"), horizon)
+    # every grid cell of every step iterates over the same training rows:
+    # persist them once (spilling to disk if needed) for the fits
+    fit_rows = win.where(train).persist(StorageLevel.MEMORY_AND_DISK)
+    # the rows to predict (3 origins per series) are small: checkpoint them
+    origins = cut_lineage(win.where(val | test | (F.col("rn") == F.col("n"))).withColumn(
+        "split", F.when(val, "val").when(test, "test").otherwise("future")))
     outs = []
-    for k in range(1, horizon + 1):
-        lab = win.withColumn("label", F.element_at("y", k))
-        lr = LinearRegression(featuresCol="features", labelCol="label", standardization=True)
-        grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)) \
-            .addGrid(lr.elasticNetParam, list(elastic)).build()
-        tvs = TrainValidationSplit(estimator=lr, estimatorParamMaps=grid, trainRatio=0.8, seed=seed,
-                                   evaluator=RegressionEvaluator(metricName="mae"), parallelism=4)
-        model = tvs.fit(lab.where(train & F.col("label").isNotNull()))
-        pred = model.transform(lab.where(val | test | (F.col("rn") == F.col("n"))))
-        outs.append(pred.select(*keys, F.col(ts).alias("origin"), F.lit(k).alias("step"),
-                                F.col("prediction").alias("yhat"), F.col("label").alias("actual"),
-                                F.when(val, "val").when(test, "test").otherwise("future").alias("split")))
+    try:
+        for k in range(1, horizon + 1):
+            lr = LinearRegression(featuresCol="features", labelCol="label", standardization=True)
+            grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)) \
+                .addGrid(lr.elasticNetParam, list(elastic)).build()
+            tvs = TrainValidationSplit(estimator=lr, estimatorParamMaps=grid, trainRatio=0.8, seed=seed,
+                                       evaluator=RegressionEvaluator(metricName="mae"), parallelism=4)
+            lab = fit_rows.withColumn("label", F.element_at("y", k)).where(F.col("label").isNotNull())
+            model = tvs.fit(lab)
+            pred = model.transform(origins.withColumn("label", F.element_at("y", k)))
+            outs.append(pred.select(*keys, F.col(ts).alias("origin"), F.lit(k).alias("step"),
+                                    F.col("prediction").alias("yhat"), F.col("label").alias("actual"), "split"))
+    finally:
+        fit_rows.unpersist()
     res = outs[0]
     for o in outs[1:]:
         res = res.unionByName(o)
