@@ -7,6 +7,7 @@ the session already has.  ``local_session`` exists for tests and the bench.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,18 +37,23 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared checkpoint folder, registering it only when none is set.
 
-    On a cluster the setting names a shared folder (HDFS/object store) and is
-    used as is.  Only when it is unset (tests, local bench) a scratch folder
-    under the system temp dir is created and registered.
+    A folder set with ``sc.setCheckpointDir`` wins, then ``spark.checkpoint.dir``
+    (on a cluster it names a folder that driver and executors share).  Only a
+    local master (tests, bench) may fall back to a scratch folder: on a cluster
+    each executor would write to its own disk, so that raises.
     """
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    path = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tidemark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    sc.setCheckpointDir(path)
     return path
 
 
