@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import mix
+from . import chat, hosts, mix
 
 QUERIES = {
     "op1_mix": mix.op1_mix,
+    "op8_hosts": hosts.op8_hosts,
+    "op10_chat": chat.op10_chat,
 }
 ORACLES = {
     "op1_mix": mix.ORACLE,
+    "op8_hosts": hosts.ORACLE,
+    "op10_chat": chat.ORACLE,
 }
