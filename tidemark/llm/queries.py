@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, hosts, mix, simhash, substring
+from . import chat, hosts, mix, pagetext, simhash, substring
 
 QUERIES = {
     "op1_mix": mix.op1_mix,
     "op2_substring": substring.op2_substring,
     "op5_simhash": simhash.op5_simhash,
+    "op6_pagetext": pagetext.op6_pagetext,
     "op8_hosts": hosts.op8_hosts,
     "op10_chat": chat.op10_chat,
 }
