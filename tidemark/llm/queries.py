@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, hosts, mix, pagetext, simhash, substring
+from . import chat, hosts, mix, pagetext, simhash, substring, toxicity
 
 QUERIES = {
     "op1_mix": mix.op1_mix,
     "op2_substring": substring.op2_substring,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op5_simhash": simhash.op5_simhash,
     "op6_pagetext": pagetext.op6_pagetext,
     "op8_hosts": hosts.op8_hosts,
