@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, hosts, mix, pagetext, simhash, substring, toxicity
+from . import chat, hosts, mix, pagetext, pii, simhash, substring, toxicity
 
 QUERIES = {
     "op1_mix": mix.op1_mix,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_simhash": simhash.op5_simhash,
     "op6_pagetext": pagetext.op6_pagetext,
+    "op7_pii": pii.op7_pii,
     "op8_hosts": hosts.op8_hosts,
     "op10_chat": chat.op10_chat,
 }
