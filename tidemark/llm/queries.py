@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, hosts, mix, pagetext, pii, simhash, substring, toxicity
+from . import chat, decontam, hosts, mix, pagetext, pii, simhash, substring, toxicity
 
 QUERIES = {
     "op1_mix": mix.op1_mix,
     "op2_substring": substring.op2_substring,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_decontam": decontam.op4_decontam,
     "op5_simhash": simhash.op5_simhash,
     "op6_pagetext": pagetext.op6_pagetext,
     "op7_pii": pii.op7_pii,
