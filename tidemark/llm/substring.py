@@ -10,7 +10,8 @@ also starts in a document with a smaller id is removed; windows are judged on th
    byte planes apart, which the shuffle's compression shrinks well.
 2. Count: each hash range finds the smallest document of every window over all chunks and answers the later
    documents with the hashes they must drop.
-3. Apply: answers are gathered per document, joined to the texts, windows are hashed again, and hits merge
+   Answers travel packed by group of documents.
+3. Apply: a group's answers are sorted by document, joined to the texts, windows are hashed again, and hits merge
    into maximal removal intervals.
 
 Hash ranges grow in number with spark.sql.shuffle.partitions, so a task's memory does not follow the corpus.
@@ -111,9 +112,10 @@ def _reduce(hashes: list[np.ndarray], ids: list[int], ranges: int) -> pd.DataFra
 
 def find_repeats(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH, ranges: int | None = None,
                  chunk: int = CHUNK_WINDOWS) -> DataFrame:
-    """(__id, drops): for each document with windows of an earlier one, their hashes (packed, in parts)."""
+    """(__id, drops): for each document with windows of an earlier one, their hashes (packed)."""
     spark = docs.sparkSession
     ranges = ranges or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(1, ranges // 2)
 
     def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, hashes, ids, n = _WordHash(), [], [], 0
@@ -143,16 +145,26 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH
         rest = [i for i, x in enumerate(later) if x]
         hh = np.concatenate([hh[drop], *[h[i] for i in rest]])
         dd = np.concatenate([dd[drop], *[d[i] for i in rest]])
+        to = _range_of(dd.view(np.uint64) * _BASE, groups)  # answers travel packed, a row for each group of documents
+        by = np.argsort(to, kind="stable")
+        to, hh, dd = to[by], hh[by], dd[by]
+        cuts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1], [True]))) if to.size else np.zeros(1, np.int64)
+        return pd.DataFrame({"to": to[cuts[:-1]].astype(np.int64), "ids": [_pack(dd[a:b].view(np.uint64)) for a, b in zip(cuts, cuts[1:])],
+                             "drops": [hh[a:b].astype("<u8").tobytes() for a, b in zip(cuts, cuts[1:])]})
+
+    def gather(rows: pd.DataFrame) -> pd.DataFrame:
+        dd = np.concatenate([_unpack(b).view(np.int64) for b in rows["ids"]])
+        hh = np.concatenate([np.frombuffer(b, "<u8") for b in rows["drops"]])
         by = np.argsort(dd, kind="stable")
         hh, dd = hh[by], dd[by]
-        cuts = np.flatnonzero(np.concatenate(([True], dd[1:] != dd[:-1], [True]))) if dd.size else np.zeros(1, np.int64)
-        return pd.DataFrame({"__id": dd[cuts[:-1]], "drops": [hh[a:b].astype("<u8").tobytes() for a, b in zip(cuts, cuts[1:])]})
+        cuts = np.flatnonzero(np.concatenate(([True], dd[1:] != dd[:-1], [True])))
+        return pd.DataFrame({"__id": dd[cuts[:-1]], "drops": [hh[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]})
 
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
     packed = (docs.select(key.alias("__id"), F.col(text_col).alias("__text"))
               .mapInPandas(scan, "range int, later boolean, hashes binary, low long, ids binary"))
-    answers = packed.groupBy("range").applyInPandas(count, "__id long, drops binary")
-    return answers.groupBy("__id").agg(F.collect_list("drops").alias("drops"))
+    answers = packed.groupBy("range").applyInPandas(count, "to long, ids binary, drops binary")
+    return answers.groupBy("to").applyInPandas(gather, "__id long, drops binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
@@ -173,8 +185,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for doc, text, drop in zip(p["__doc"], p["__text"], p["drops"]):
                 words = words_of(text)
                 spans, n = [], 0
-                if drop is not None and len(drop):
-                    hit = np.isin(window_hashes(words, known, width), np.concatenate([np.frombuffer(b, "<u8") for b in drop]))
+                if drop is not None:
+                    hit = np.isin(window_hashes(words, known, width), np.frombuffer(drop, "<u8"))
                     edge = np.zeros(len(words) + 1, np.int32)
                     at = np.flatnonzero(hit)
                     edge[at] += 1
