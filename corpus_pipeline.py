@@ -1,4 +1,8 @@
-"""Corpus pipeline: each stage works on all that its predecessor kept, written as Parquet and read again."""
+"""Corpus pipeline: each stage works on all that its predecessor kept, written as Parquet and read again.
+
+Stages, in order: toxicity, SimHash near-dedup, benchmark decontamination, personal data, mixing.  A stage takes
+(spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
@@ -6,20 +10,46 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mix as _mix
+from tidemark.llm import decontam, mix, pii, simhash, toxicity
 from tidemark.llm.common import table
 from tidemark.session import ensure_checkpoint_dir
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: documents scored as toxic go.  The grammar is learned from the labelled rows of ``docs``."""
+    grammar = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, grammar, out="__toxic").where(f"__toxic < {toxicity.THRESHOLD}").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: one document of each near-duplicate group stays, the one with the smallest id."""
+    return simhash.dedup(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: documents that hold a benchmark item, or its template with other slots, go."""
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: personal data is replaced by its kind; every document stays."""
+    return pii.redact(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: the mixture's documents with the copies it takes of each."""
-    out = _mix.mix(docs)
-    return out.where(out["copies"] > 0)
+    """Operator 1: the documents of the mixture, with the copies it takes of each."""
+    return mix.mix(docs).where("copies > 0")
 
 
-STAGES = [("mixing sources to target weights", mix_sources)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("SimHash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_benchmark),
+    ("personal data", redact_personal_data),
+    ("mixing sources to target weights", mix_sources),
+]
 
-#: Learned scores and XXH64 fingerprints have no SQL form.
+#: Learned scores, XXH64 fingerprints and template matches have no SQL form; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
