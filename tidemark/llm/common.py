@@ -27,6 +27,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def packed_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that helper columns cannot clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")
+
+
 def lookup_join(df: DataFrame, small: DataFrame, on: Column | list[str], how: str = "left",
                 max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a materialised lookup table: broadcast only after its rows were counted to be few.

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from .common import checkpoint, packed_row, table
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -199,7 +199,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` without the contaminated ones."""
     bad = checkpoint(contaminated(docs, benchmark, id_col, text_col, **how).select("__id", "__th").distinct())
-    base = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).cast("long").alias("__i"),
+    base = docs.select(packed_row(docs), F.col(id_col).cast("long").alias("__i"),
                        F.xxhash64(F.col(text_col).cast("string")).alias("__t"))
     few = F.broadcast(bad) if bad.count() <= 100_000 else bad  # 16 bytes a row
     return base.join(few, F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__th")), "left_anti").select("__row.*")

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, lookup_join, table
+from .common import checkpoint, lookup_join, packed_row, table
 
 #: (verdict, host and path prefix)
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
@@ -91,7 +91,7 @@ def host_reputation(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
 def judge(pages: DataFrame, url_col: str = "url", rules=RULES, threshold: float = THRESHOLD, z: float = Z) -> DataFrame:
     """``pages`` with host, path, rule, verdict, and the reputation mean and bound used for undecided pages."""
     host, path = url_parts(F.col(url_col))
-    x = (pages.select(F.struct(*pages.columns).alias("__row"), host.alias("host"), path.alias("path"))
+    x = (pages.select(packed_row(pages), host.alias("host"), path.alias("path"))
          .withColumn("__rule", rule_match(F.col("host"), F.col("path"), rules)))
     decided = x.where(F.col("__rule").isNotNull()).select("host", (F.col("__rule.verdict") == "block").alias("bad"))
     by_host, by_domain, by_suffix, overall = host_reputation(decided)

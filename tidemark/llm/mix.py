@@ -17,7 +17,7 @@ u comes from an MD5 of the seed and the id (of the text where the id is null): r
 
 Edge cases: null source is a source of its own; null or empty text has size 0 and takes 0 words; an empty
 table gives no rows; rows that agree in id and size are one sampling unit and are taken together; columns
-of the input other than the three named are kept untouched by ``mix``.
+of the input other than the three named are kept untouched by ``mix`` (one named ``copies`` is replaced).
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint, lookup_join, n_words, table
+from .common import checkpoint, lookup_join, n_words, packed_row, table
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -138,9 +138,9 @@ def mix_table(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source
               weights=WEIGHTS, max_copies: int = MAX_COPIES, share: float = 1.0, seed: int = SEED,
               buckets: int = BUCKETS) -> DataFrame:
     """Per document: id, size, source_size, target, copies and taken (= copies * size)."""
-    sized = checkpoint(docs.select(F.col(id_col), *_sized(docs, id_col, source_col, text_col, seed)))
-    x = _copies(sized, mix_decisions(sized, id_col, weights, max_copies, share, buckets), id_col, buckets)
-    return x.select(id_col, F.col("__size").alias("size"), "source_size", "target", "copies",
+    sized = checkpoint(docs.select(F.col(id_col).alias("__doc"), *_sized(docs, id_col, source_col, text_col, seed)))
+    x = _copies(sized, mix_decisions(sized, "__doc", weights, max_copies, share, buckets), "__doc", buckets)
+    return x.select(F.col("__doc").alias(id_col), F.col("__size").alias("size"), "source_size", "target", "copies",
                     (F.col("copies") * F.col("__size")).alias("taken"))
 
 
@@ -152,10 +152,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     Texts are read once for the decisions and once for the result; they are never shuffled while the
     table of decisions (sources x digits of the size) is small enough to broadcast.
     """
-    base = docs.select(*docs.columns, *_sized(docs, id_col, source_col, text_col, seed))
-    sized = checkpoint(base.select(id_col, "__src", "__size", "__m", "__u"))
-    decisions = mix_decisions(sized, id_col, weights, max_copies, share, buckets)
-    return _copies(base, decisions, id_col, buckets).select(*docs.columns, "copies")
+    base = docs.select(packed_row(docs), F.col(id_col).alias("__doc"), *_sized(docs, id_col, source_col, text_col, seed))
+    sized = checkpoint(base.select("__doc", "__src", "__size", "__m", "__u"))
+    decisions = mix_decisions(sized, "__doc", weights, max_copies, share, buckets)
+    x = _copies(base, decisions, "__doc", buckets)
+    return x.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns if c != "copies"], "copies")
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

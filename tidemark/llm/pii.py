@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from .common import checkpoint, packed_row, table
 
 # What the base patterns match, kinds in order.
 BASE = {
@@ -218,7 +218,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     found = (find_pii(docs, id_col, text_col).where(F.size("spans") > 0)
              .groupBy(F.col(id_col).alias("__pid"), F.col("__th").alias("__pth")).agg(F.first("spans").alias("__spans")))
     th = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    base = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), th.alias("__th"))
+    base = docs.select(packed_row(docs), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), th.alias("__th"))
     x = base.join(found, F.col("__id").eqNullSafe(F.col("__pid")) & (F.col("__th") == F.col("__pth")), "left")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     text = F.col("__text")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint, table
+from .common import checkpoint, packed_row, table
 from .components import connected_components
 
 SHINGLE_WORDS = 4
@@ -161,7 +161,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     """One document of each group: the one with the smallest id (ties: smallest fingerprint, then any equal row)."""
     prints = checkpoint(with_fingerprint(docs.select(id_col, text_col), text_col, k).select(id_col, "__fp"))
     keep = checkpoint(groups(prints, id_col, d).select("keeper.id", "keeper.fp").distinct())
-    base = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).alias("__id"))
+    base = docs.select(packed_row(docs), F.col(id_col).alias("__id"))
     x = base.join(keep, F.col("__id").eqNullSafe(F.col("id")))
     twice = prints.groupBy(id_col).count().where("count > 1")
     if twice.isEmpty():  # ids are unique: the id alone names the row

@@ -179,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         fit_rows: int = FIT_ROWS) -> Grammar:
     """Grammar learned from the labelled rows that are not held out, at most ``fit_rows`` of them."""
     rows = (labels.where(F.col(label_col).isNotNull() & ~is_held_out(F.col(id_col)))
-            .select(F.col(id_col).alias("__lid"), F.col(label_col).cast("int").alias("label")))
+            .select(F.col(id_col).alias("__lid"), (F.col(label_col) != 0).cast("int").alias("label")))
     rows = checkpoint(rows.orderBy(F.xxhash64("__lid"), "__lid", "label").limit(fit_rows))
     picked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
     texts = checkpoint(picked.join(F.broadcast(rows), F.col("__id") == F.col("__lid")).select("text", "label"))  # fit_rows at most
