@@ -50,30 +50,30 @@ def test_suffix_number_strict_raises(spark):
 
 
 def _raw(spark, rows):
-    return spark.createDataFrame(rows, "_seq long, symbol string, Date string, `VN-INDEX` string, "
+    return spark.createDataFrame(rows, "_seq long, symbol string, Date string, `Price` string, "
                                        "`Total Volume` string, `Total Value` string, `Foreign Buy Value` string")
 
 
 def test_clean_keeps_rows_with_empty_side_column(spark):
-    raw = _raw(spark, [(1, "VNI", "04/24/2026", "1,234.56", "123,456", "1.50 bil", None),
-                       (2, "VNI", "04/25/2026", "1,240.00", "130,000", "1.75 bil", None)])
+    raw = _raw(spark, [(1, "IDX", "04/24/2026", "1,234.56", "123,456", "1.50 bil", None),
+                       (2, "IDX", "04/25/2026", "1,240.00", "130,000", "1.75 bil", None)])
     out = clean_quotes(raw).orderBy("Date").collect()
-    assert [r.VN_Index_Close for r in out] == [1234.56, 1240.0]
+    assert [r.Close for r in out] == [1234.56, 1240.0]
     assert [r["Total Volume"] for r in out] == [123456.0, 130000.0]
     assert [r["Total Value"] for r in out] == [1.5e9, 1.75e9]
     assert len(out[0]) == 5  # symbol + 4 output columns
 
 
 def test_clean_duplicate_parsed_dates_first_wins(spark):
-    raw = _raw(spark, [(1, "VNI", "04/09/2026", "1,736.68", "1", "1 bil", None),
-                       (2, "VNI", "4/9/2026", "1,700.00", "1", "1 bil", None),
-                       (3, "VNI", "04/10/2026", "1,750.00", "1", "1 bil", None)])
-    assert _col(clean_quotes(raw), "VN_Index_Close", "Date") == [1736.68, 1750.0]
+    raw = _raw(spark, [(1, "IDX", "04/09/2026", "1,736.68", "1", "1 bil", None),
+                       (2, "IDX", "4/9/2026", "1,700.00", "1", "1 bil", None),
+                       (3, "IDX", "04/10/2026", "1,750.00", "1", "1 bil", None)])
+    assert _col(clean_quotes(raw), "Close", "Date") == [1736.68, 1750.0]
 
 
 def test_clean_missing_columns_raise(spark):
-    raw = spark.createDataFrame([(1, "VNI", "04/09/2026")], "_seq long, symbol string, Date string")
-    with pytest.raises(ValueError, match="Missing required VN-Index columns: VN-INDEX, Total Volume, Total Value"):
+    raw = spark.createDataFrame([(1, "IDX", "04/09/2026")], "_seq long, symbol string, Date string")
+    with pytest.raises(ValueError, match="Missing required quote columns: Price, Total Volume, Total Value"):
         clean_quotes(raw)
 
 
@@ -161,7 +161,7 @@ def test_config_validation():
 def test_backtest_fixture(spark):
     """Source test: 8 business days, closes 100..107, n_tests 4, horizon 2."""
     days = [dt.date(2026, 1, d) for d in (1, 2, 5, 6, 7, 8, 9, 12)]
-    df = spark.createDataFrame([("VNI", d, 100.0 + i) for i, d in enumerate(days)],
+    df = spark.createDataFrame([("IDX", d, 100.0 + i) for i, d in enumerate(days)],
                                "series_id string, ts date, close double")
     calls = []
 
@@ -283,7 +283,7 @@ def test_golden_published_metrics(spark):
     rows = []
     for line in GOLDEN_FINAL.splitlines():
         d, a, b, m = line.split()
-        rows.append(("VNI", dt.date.fromisoformat(d), float(a), float(b), float(m)))
+        rows.append(("IDX", dt.date.fromisoformat(d), float(a), float(b), float(m)))
     final = spark.createDataFrame(rows, "series_id string, ts date, actual double, baseline double, predicted double")
     res = {r.Model: r for r in mt.model_comparison(final, ["series_id"], "ts", "actual",
                                                    {"ExponentialSmoothing": "baseline", "LSTM": "predicted"},

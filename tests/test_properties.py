@@ -1,4 +1,4 @@
-"""Property tests: closed forms against the source's loop semantics on many random cases,
+"""Property tests: operators against written definitions, DuckDB or pandas on many random cases,
 each family evaluated in one Spark job (one series per case)."""
 
 import datetime as dt
@@ -11,18 +11,19 @@ from tidemark.operators import impute as im
 from tidemark.operators import metrics as mt
 
 
-def _loop_backcast(c, t):
-    """The source's backward loop, with NumPy float semantics (x/0 -> inf, 0/0 -> nan)."""
-    c = [np.nan if v is None else float(v) for v in c]
-    t = [np.nan if v is None else float(v) for v in t]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        for i in reversed(range(len(c) - 1)):
-            if np.isnan(c[i]) and not np.isnan(c[i + 1]):
-                c[i] = c[i + 1] * (np.float64(t[i]) / np.float64(t[i + 1]))
-    return c
+def _expected_backcast(c, t):
+    """Definition per row: a missing value before the next known one, at row k, is c[k] * t[i] / t[k],
+    provided every guide value from i to k is known and every one after i is not zero."""
+    out = []
+    for i, v in enumerate(c):
+        k = next((j for j in range(i, len(c)) if c[j] is not None), None)
+        guide = [] if k is None else t[i:k + 1]
+        ok = k is not None and all(x is not None for x in guide) and all(guide[1:])
+        out.append(v if k == i else c[k] * t[i] / t[k] if ok else None)
+    return out
 
 
-def test_backcast_equals_loop(spark):
+def test_backcast_equals_definition(spark):
     rng = np.random.default_rng(11)
     rows, cases = [], {}
     for k in range(600):
@@ -37,37 +38,30 @@ def test_backcast_equals_loop(spark):
     got = got.sort_values(["series_id", "ts"])
     checked = 0
     for k, g in got.groupby("series_id"):
-        want = _loop_backcast(*cases[k])
-        for w, v in zip(want, g["c"].tolist()):
-            if math.isfinite(w):
+        for w, v in zip(_expected_backcast(*cases[k]), g["c"].tolist()):
+            if w is None:
+                assert v is None or math.isnan(v)
+            else:
                 assert v == pytest.approx(w, rel=1e-9, abs=1e-12)
-            else:  # non-finite in the loop (missing, x/0, 0/0) is NULL here
-                assert v is None or (isinstance(v, float) and math.isnan(v))
             checked += 1
     assert checked == len(rows)
 
 
-def _loop_da(true, pred, n):
-    """The source's anchored directional accuracy loop."""
-    correct = total = 0
-    if n == 1:
-        for i in range(1, len(true)):
-            correct += np.sign(pred[i] - true[i - 1]) == np.sign(true[i] - true[i - 1])
-            total += 1
-    else:
-        for i in range(1, len(true) - n + 1, n):
-            tb, pb = true[i:i + n], pred[i:i + n]
-            if len(tb) < n:
-                continue
-            correct += np.sign(tb[0] - true[i - 1]) == np.sign(pb[0] - true[i - 1])
-            for j in range(1, n):
-                correct += np.sign(tb[j] - tb[j - 1]) == np.sign(pb[j] - pb[j - 1])
-            total += n
-    return correct / total if total else None
+# A step counts when it lies in a complete block of n steps after the anchor row.  The first step of a block is
+# compared from the actual value before it, later ones from the prediction before them; actual steps are
+# always taken from the actual value before.
+DA_SQL = """
+WITH r AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY k) AS len,
+    lag(a) OVER w AS a0, lag(p) OVER w AS p0 FROM cases WINDOW w AS (PARTITION BY k ORDER BY day))
+SELECT k, avg(CASE WHEN sign(a - a0) = sign(p - CASE WHEN (i - 1) % {n} = 0 THEN a0 ELSE p0 END) THEN 1.0 ELSE 0.0 END)
+  FILTER (i > 0 AND (i - 1) // {n} < (len - 1) // {n}) AS da
+FROM r GROUP BY k"""
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5])
-def test_anchored_directional_accuracy_equals_loop(spark, n):
+def test_anchored_directional_accuracy_equals_sql(spark, n):
+    import duckdb
+    import pandas as pd
     rng = np.random.default_rng(n)
     rows, cases = [], {}
     for k in range(120):
@@ -79,12 +73,13 @@ def test_anchored_directional_accuracy_equals_loop(spark, n):
     df = spark.createDataFrame(rows, "series_id int, ts date, a double, p double")
     got = {r.series_id: r.directional_accuracy
            for r in mt.anchored_directional_accuracy(df, ["series_id"], "ts", "a", "p", n, block_rows=8).collect()}
-    for k, (a, p) in cases.items():
-        want = _loop_da(a, p, n)
-        if want is None:
-            assert got[k] is None
-        else:
-            assert got[k] == pytest.approx(want)
+    con = duckdb.connect()
+    con.register("cases", pd.DataFrame([(k, i, a[i], p[i]) for k, (a, p) in cases.items() for i in range(len(a))],
+                                       columns=["k", "day", "a", "p"]))
+    want = dict(con.execute(DA_SQL.format(n=n)).fetchall())
+    assert got.keys() == want.keys()
+    for k, w in want.items():
+        assert got[k] is None if w is None else got[k] == pytest.approx(w)
 
 
 def test_reflect_smoothing_equals_padded_mean(spark):
@@ -149,15 +144,14 @@ def test_pct_change_and_rsi_match_pandas(spark):
                 assert v == pytest.approx(w)
             else:
                 assert v is None or math.isnan(v)
-        delta = s.diff(1)
-        gain = delta.where(delta > 0, 0).rolling(5).mean()
-        loss = (-delta.where(delta < 0, 0)).rolling(5).mean()
-        with np.errstate(divide="ignore", invalid="ignore"):
-            want = (100 - 100 / (1 + gain / loss)).tolist()
-        for w, v in zip(want, g["value_RSI_5"].tolist()):
-            if math.isfinite(w):
-                assert v == pytest.approx(w)
-            else:
+        x = cases[k]
+        steps = [None if i == 0 or x[i] is None or x[i - 1] is None else x[i] - x[i - 1] for i in range(len(x))]
+        for i, v in enumerate(g["value_RSI_5"].tolist()):
+            last = [0.0 if d is None else d for d in steps[max(0, i - 4):i + 1]]  # an unknown step is neither up nor down
+            up, down = sum(d for d in last if d > 0), -sum(d for d in last if d < 0)
+            if i >= 4 and down > 0:  # five steps; without a fall the ratio has no finite value
+                assert v == pytest.approx(100.0 * up / (up + down))
+            elif i < 4:
                 assert v is None or math.isnan(v)
 
 

@@ -41,8 +41,8 @@ def translate_headers(df: DataFrame, mapping: Mapping[str, str] = tx.HEADER_TRAN
 
 
 def clean_headers(df: DataFrame) -> DataFrame:
-    """Remove '(...)' groups, then spaces -> '_' (metadata only)."""
-    names = [re.sub(r"\s+", "_", re.sub(r"\(.*?\)", "", c).strip()) for c in df.columns]
+    """Cut from the first '(' to the last ')', trim, then one '_' for each blank (metadata only)."""
+    names = [re.sub(r"\s", "_", re.sub(r"\(.*\)", "", c).strip()) for c in df.columns]
     return df.toDF(*names)
 
 
@@ -109,7 +109,7 @@ def dedupe(df: DataFrame, subset: Sequence[str], keep: str = "first", seq: str =
 
 
 # B16 / B17 / B20 -------------------------------------------------------------
-def normalize_scraped(df: DataFrame, date_col: str = "Date", index_col: str = "VN-INDEX") -> DataFrame:
+def normalize_scraped(df: DataFrame, date_col: str = "Date", index_col: str = "Price") -> DataFrame:
     """Apply B12-B15 to whichever of the known columns exist (one projection)."""
     exprs = {}
     if date_col in df.columns:

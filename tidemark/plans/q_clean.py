@@ -31,7 +31,7 @@ def raw_quotes(spark, sf: str) -> DataFrame:
         F.col("o_orderkey").alias("_seq"),
         F.col("o_orderpriority").alias("symbol"),
         F.date_format("o_orderdate", "dd/MM/yyyy").alias("Date"),
-        F.when(F.col("o_orderstatus") == "P", F.lit("---")).otherwise(vi_price).alias("VN-INDEX"),
+        F.when(F.col("o_orderstatus") == "P", F.lit("---")).otherwise(vi_price).alias("Price"),
         _vi_grouped(F.col("o_custkey") * 1000 + 7).alias("Total Volume"),
         F.when(F.col("o_orderstatus") == "O", F.lit("  "))
          .otherwise(F.concat(vi_price, unit)).alias("Total Value"),
@@ -39,7 +39,7 @@ def raw_quotes(spark, sf: str) -> DataFrame:
 
 
 RAW_QUOTES_SQL = """SELECT o_orderkey AS _seq, o_orderpriority AS symbol, strftime(o_orderdate, '%d/%m/%Y') AS "Date",
-  CASE WHEN o_orderstatus = 'P' THEN '---' ELSE vi_price END AS "VN-INDEX",
+  CASE WHEN o_orderstatus = 'P' THEN '---' ELSE vi_price END AS "Price",
   replace(format('{:,}', o_custkey * 1000 + 7), ',', '.') AS "Total Volume",
   CASE WHEN o_orderstatus = 'O' THEN '  '
        ELSE vi_price || CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN ' tỷ' ELSE ' triệu' END
@@ -73,13 +73,13 @@ def _sql_vi_money(x: str) -> str:
 
 _NORMALIZED_SQL = f"""SELECT _seq, symbol,
   coalesce(strftime(try_strptime("Date", '%d/%m/%Y'), '%m/%d/%Y'), "Date") AS "Date",
-  {_sql_vi_decimal('"VN-INDEX"')} AS "VN-INDEX",
+  {_sql_vi_decimal('"Price"')} AS "Price",
   {_sql_vi_integer('"Total Volume"')} AS "Total Volume",
   {_sql_vi_money('"Total Value"')} AS "Total Value"
 FROM ({RAW_QUOTES_SQL}) r"""
 
 
-@register("b12_b16_normalize_scraped", "_seq:i symbol:s Date:s VN-INDEX:s Total Volume:s Total Value:s",
+@register("b12_b16_normalize_scraped", "_seq:i symbol:s Date:s Price:s Total Volume:s Total Value:s",
           _NORMALIZED_SQL)
 def q_normalize(spark, sf):
     """B12-B16 locale normalisation of scraped text columns."""
@@ -98,12 +98,12 @@ def _blank(x: str) -> str:
     return f"CASE WHEN regexp_matches({x}, '^\\s*$') OR {x} = '---' THEN NULL ELSE {x} END"
 
 
-_CLEAN_SQL = f"""SELECT symbol, "Date", arg_min(close, _seq) AS "VN_Index_Close",
+_CLEAN_SQL = f"""SELECT symbol, "Date", arg_min(close, _seq) AS "Close",
   arg_min(vol, _seq) AS "Total Volume", arg_min(val, _seq) AS "Total Value"
 FROM (
   SELECT _seq, symbol, CAST(try_strptime("Date", '%m/%d/%Y') AS DATE) AS "Date",
     {_sql_suffix_number('c')} AS close, {_sql_suffix_number('v')} AS vol, {_sql_suffix_number('m')} AS val
-  FROM (SELECT _seq, symbol, {_blank('"Date"')} AS "Date", {_blank('"VN-INDEX"')} AS c,
+  FROM (SELECT _seq, symbol, {_blank('"Date"')} AS "Date", {_blank('"Price"')} AS c,
                {_blank('"Total Volume"')} AS v, {_blank('"Total Value"')} AS m
         FROM ({_NORMALIZED_SQL}) n) b
   WHERE "Date" IS NOT NULL AND c IS NOT NULL AND v IS NOT NULL AND m IS NOT NULL
@@ -124,14 +124,14 @@ def clean_quotes(df: DataFrame, keys=("symbol",), strict: bool = False) -> DataF
     a missing field is dropped rather than raising, as in the source.
     """
     keys = list(keys)
-    required = ["Date", "VN-INDEX", "Total Volume", "Total Value"]
-    cl.select_required(df, [*keys, *required], "VN-Index")
+    required = ["Date", "Price", "Total Volume", "Total Value"]
+    cl.select_required(df, [*keys, *required], "quote")
     d = cl.blanks_to_null(df.select("_seq", *keys, *required), required)
     complete = F.lit(True)
     for c in required:
         complete = complete & F.col(f"`{c}`").isNotNull()
 
-    nums = ["VN-INDEX", "Total Volume", "Total Value"]
+    nums = ["Price", "Total Volume", "Total Value"]
     # stage the prepared text so each parse reads it once per row
     d = d.withColumns({f"_p{i}": tx.prepare_number_text(F.col(f"`{c}`")) for i, c in enumerate(nums)})
 
@@ -140,16 +140,16 @@ def clean_quotes(df: DataFrame, keys=("symbol",), strict: bool = False) -> DataF
         return F.when(complete, parsed) if strict else parsed
 
     d = d.select("_seq", *keys, tx.parse_date(F.col("Date"), "M/d/yyyy").alias("Date"),
-                 num("VN-INDEX").alias("VN_Index_Close"), num("Total Volume").alias("Total Volume"),
+                 num("Price").alias("Close"), num("Total Volume").alias("Total Volume"),
                  num("Total Value").alias("Total Value"))
-    valid = F.col("VN_Index_Close").isNotNull() & F.col("`Total Volume`").isNotNull() \
+    valid = F.col("Close").isNotNull() & F.col("`Total Volume`").isNotNull() \
         & F.col("`Total Value`").isNotNull()
     out = cl.dedupe(d, [*keys, "Date"], keep="first", valid=valid).drop("_seq")
     return out.where(F.col("Date").isNotNull())
 
 
-@register("b17_g28_clean_quotes", "symbol:s Date:t VN_Index_Close:d Total Volume:d value_mil:d",
-          "SELECT symbol, \"Date\", \"VN_Index_Close\", \"Total Volume\", \"Total Value\" / 1e6 AS value_mil FROM ("
+@register("b17_g28_clean_quotes", "symbol:s Date:t Close:d Total Volume:d value_mil:d",
+          "SELECT symbol, \"Date\", \"Close\", \"Total Volume\", \"Total Value\" / 1e6 AS value_mil FROM ("
           + _CLEAN_SQL + ") c")
 def q_clean(spark, sf):
     """B1/B2/B6/B7/B10/B17/B3/B9 cleaning job over normalised scraped quotes (value shown in millions)."""
@@ -180,12 +180,12 @@ def q_volume(spark, sf):
 
 
 # B8 whole-row distinct / B25 minimum history ------------------------------------
-@register("b8_distinct_rows", "symbol:s Date:s VN-INDEX:s _seq:i",
-          f"""SELECT symbol, "Date", "VN-INDEX", min(_seq) AS _seq FROM ({RAW_QUOTES_SQL}) r
-GROUP BY symbol, "Date", "VN-INDEX\"""")
+@register("b8_distinct_rows", "symbol:s Date:s Price:s _seq:i",
+          f"""SELECT symbol, "Date", "Price", min(_seq) AS _seq FROM ({RAW_QUOTES_SQL}) r
+GROUP BY symbol, "Date", "Price\"""")
 def q_distinct(spark, sf):
-    """B8 whole-row distinct over (symbol, Date, VN-INDEX) keeping the first ordinal."""
-    return cl.distinct_rows(raw_quotes(spark, sf).select("symbol", "Date", "VN-INDEX", "_seq"))
+    """B8 whole-row distinct over (symbol, Date, Price) keeping the first ordinal."""
+    return cl.distinct_rows(raw_quotes(spark, sf).select("symbol", "Date", "Price", "_seq"))
 
 
 @register("b25_min_history", "series_id:s ts:t value:d",

@@ -21,12 +21,12 @@ KEYS = ["series_id"]
 
 
 # B9 keep last ----------------------------------------------------------------------
-@register("b9_dedupe_keep_last", "symbol:s Date:s VN-INDEX:s _seq:i",
-          f"""SELECT symbol, "Date", arg_max("VN-INDEX", _seq) AS "VN-INDEX", max(_seq) AS _seq
+@register("b9_dedupe_keep_last", "symbol:s Date:s Price:s _seq:i",
+          f"""SELECT symbol, "Date", arg_max("Price", _seq) AS "Price", max(_seq) AS _seq
 FROM ({RAW_QUOTES_SQL}) r GROUP BY 1, 2""")
 def q_keep_last(spark, sf):
     """B9 one row per (symbol, Date) keeping the last by ingest ordinal."""
-    return cl.dedupe(raw_quotes(spark, sf).select("symbol", "Date", "VN-INDEX", "_seq"), ["symbol", "Date"],
+    return cl.dedupe(raw_quotes(spark, sf).select("symbol", "Date", "Price", "_seq"), ["symbol", "Date"],
                      keep="last")
 
 
