@@ -179,10 +179,14 @@ def test_backtest_fixture(spark):
     cfg = bt.ForecastConfig(n_tests=4, n_forecasts=2, seasonal_periods=2, n_lags=2)
     art = bt.run_backtest(df, ["series_id"], "ts", "close", cfg, model="plus_one", baseline="plus_two")
     final = art.final.orderBy("ts").collect()
-    assert [r.ts for r in final] == days[3:]
-    assert [r.actual for r in final] == [103.0, 104.0, 105.0, 106.0, 107.0]
-    assert [r.baseline for r in final] == [103.0, 105.0, 107.0, 107.0, 109.0]
-    assert [r.predicted for r in final] == [103.0, 104.0, 105.0, 106.0, 107.0]
+    assert [r.ts for r in final] == days[4:]
+    assert [r.actual for r in final] == [104.0, 105.0, 106.0, 107.0]
+    assert [r.baseline for r in final] == [105.0, 107.0, 107.0, 109.0]
+    assert [r.predicted for r in final] == [104.0, 105.0, 106.0, 107.0]
+    assert art.rejected.count() == 0
+    pos = bt.positions(bt.prepare(df, ["series_id"], "ts", "close"), ["series_id"], "ts")
+    lengths = {r.fold: r.o for r in bt.origins(pos, ["series_id"], "y", cfg).collect()}
+    assert [lengths[f] for f in (0, 1, -1)] == [6, 4, 8]  # training rows of each fold, then of the forecast
     fc = art.forecast.orderBy("step").collect()
     assert [r["Future Predictions"] for r in fc] == [108.0, 109.0]
     assert [r.ts for r in fc] == [dt.date(2026, 1, 13), dt.date(2026, 1, 14)]
@@ -193,6 +197,60 @@ def test_backtest_fixture(spark):
     assert m["plus_two"].RMSE == pytest.approx(math.sqrt(2.5))
 
 
+def test_backtest_input_checks(spark):
+    cfg = bt.ForecastConfig(n_tests=4, n_forecasts=2, seasonal_periods=2, n_lags=2)
+    days = [f"2026-01-{d:02d}" for d in (1, 2, 5, 6, 7, 8, 9, 12)]
+    raw = [(k, "IDX", d, str(100.0 + k)) for k, d in enumerate(days)]
+    schema = "_seq long, series_id string, ts string, close string"
+    run = lambda rows, **kw: bt.run_backtest(spark.createDataFrame(rows, schema), ["series_id"], "ts", "close", cfg, **kw)
+    # a later row of a date replaces the earlier one
+    art = run([*raw, (9, "IDX", days[-1], "500")])
+    assert art.final.orderBy("ts").collect()[-1].actual == 500.0
+    with pytest.raises(Exception, match="invalid dates"):
+        run([*raw, (9, "IDX", "not a date", "5")])
+    for bad in ("abc", None):
+        with pytest.raises(Exception, match="invalid numbers"):
+            run([*raw, (9, "IDX", "2026-01-13", bad)])
+    with pytest.raises(ValueError, match="Missing required columns"):
+        bt.run_backtest(spark.createDataFrame(raw, schema).drop("close"), ["series_id"], "ts", "close", cfg)
+    short = [*raw, *[(20 + k, "NEW", d, "1") for k, d in enumerate(days[:5])]]
+    art = run(short)
+    assert [tuple(r) for r in art.rejected.collect()] == [("NEW", 5, 8)]
+    assert {r.series_id for r in art.final.collect()} == {"IDX"}
+    with pytest.raises(ValueError, match="Insufficient rows"):
+        run(short, strict=True)
+
+
+def test_prediction_checks(spark):
+    rows = [("s", "2026-01-01", "1"), ("s", "2026-01-02", "2"), ("s", "2026-01-05", "3")]
+    norm = lambda r, h=2: bt.normalize_predictions(spark.createDataFrame(r, "series_id string, ts string, yhat string"), ["series_id"], "ts", "yhat", h, "mine")
+    assert [r.yhat for r in norm(rows).orderBy("ts").collect()] == [2.0, 3.0]
+    with pytest.raises(Exception, match="mine returned 3 predictions; expected at least 4"):
+        norm(rows, 4).collect()
+    with pytest.raises(Exception, match="mine returned invalid predictions"):
+        norm([*rows, ("s", "2026-01-06", "abc")]).collect()
+    with pytest.raises(Exception, match="mine returned invalid prediction dates"):
+        norm([*rows, ("s", None, "4")]).collect()
+
+
+def test_windows_keep_nulls(spark):
+    d = _series(spark, [1, 2, None, 4, 5, 6, 7, 8, 9, 10])
+    w = ind.sliding_windows(d, ["series_id"], "ts", "value", 2, 1).orderBy("origin").collect()
+    assert len(w) == 8 and w[1].x == [2.0, None] and w[0].y == [None]
+
+
+def test_reflect_even_and_short(spark):
+    got = _col(ind.centred_mean_reflect(_series(spark, [1, 2, 3, 4, 5, 6]), ["series_id"], "ts", "value", width=4), "value_smooth")
+    assert got == [1.5, 1.75, 2.5, 3.5, 4.5, 5.25]
+    got = _col(ind.centred_mean_reflect(_series(spark, [1, 3]), ["series_id"], "ts", "value", width=7), "value_smooth")
+    assert got == pytest.approx([(3 + 3 + 1 + 1 + 3 + 3 + 1) / 7, (3 + 1 + 1 + 3 + 3 + 1 + 1) / 7])
+
+
+def test_header_rule(spark):
+    df = spark.createDataFrame([(1, 2)], ["A (x) B (y)", "a  b"])
+    assert cl.clean_headers(df).columns == ["A", "a__b"]
+
+
 def test_unknown_model_lists_supported():
     with pytest.raises(ValueError, match="Supported models"):
         bt.resolve("nope")

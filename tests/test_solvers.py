@@ -3,6 +3,7 @@
 import datetime as dt
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidemark.operators import decompose as dc
 from tidemark.operators import smoothing as sm
@@ -39,11 +40,9 @@ def test_holt_winters_fixed_recursion_and_grid_optimum():
     rng = np.random.default_rng(2)
     t = np.arange(120)
     y = 50 + 0.2 * t + 3 * np.sin(2 * np.pi * t / 12) + rng.normal(scale=0.2, size=t.size)
-    fit = sm.fit_holt_winters(y, 12)
-    A, B, G = np.meshgrid(sm.GRID, sm.GRID, sm.GRID, indexing="ij")
-    sse, *_ = sm.holt_winters_path(y, 12, A.ravel(), B.ravel(), G.ravel())
-    assert fit["sse"] <= sse.min() + 1e-9
-    fc = sm.forecast_holt_winters(fit, 12, 2)
+    s, best = sm.fit(y, 12)
+    assert s.sse[best] == s.sse.min() and len(s.sse) == 1000
+    fc = s.forecast(best, 2)
     assert abs(fc[0] - (50 + 0.2 * 120 + 3 * np.sin(2 * np.pi * 120 / 12))) < 2.0
 
 
@@ -102,3 +101,103 @@ def test_fourier_forecast_recovers_signal(spark):
     assert np.allclose(fc["trend"] + fc["seasonal"] + fc["residual"], fc["forecast"])
     last = rows[-1][2]
     assert abs(fc["forecast"].iloc[0] - last) < 5.0
+
+
+def _business(n, f, key="s", start=dt.date(2020, 1, 1)):
+    days = [d for d in (start + dt.timedelta(days=i) for i in range(2 * n + 10)) if d.weekday() < 5][:n]
+    return [(key, d, float(f(i))) for i, d in enumerate(days)]
+
+
+def test_smoothing_scan_equals_plain_fit(spark):
+    """All folds from one streamed pass, over tiny Arrow batches, equal a fit on each fold's history."""
+    from tidemark.operators import backtest as bt
+    rng = np.random.default_rng(9)
+    rows = [r for k in range(3) for r in _business(60 + k, lambda i: 20 + 0.3 * i + 4 * np.sin(i) + rng.normal(), f"s{k}")]
+    rows += _business(11, lambda i: i, "short")
+    df = spark.createDataFrame(rows, "series_id string, ts date, value double")
+    cfg = bt.ForecastConfig(n_tests=6, n_forecasts=2, seasonal_periods=5, n_lags=2)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for model, m in (("holt_winters", 5), ("holt", 1)):
+            pos = bt.positions(bt.prepare(df, ["series_id"], "ts", "value"), ["series_id"], "ts")
+            got = {(r.series_id, r.fold, r.step): r.yhat for r in bt.predictions(pos, ["series_id"], "y", cfg, model).collect()}
+            for k in range(3):
+                y = [v for s, _, v in rows if s == f"s{k}"]
+                for fold in (-1, 0, 1, 2):
+                    s, best = sm.fit(y[:len(y) - 2 * (fold + 1)], m)
+                    assert np.allclose([got[f"s{k}", fold, 1], got[f"s{k}", fold, 2]], s.forecast(best, 2))
+        art = bt.run_backtest(df, ["series_id"], "ts", "value", cfg, model="holt", baseline="holt_winters")
+        assert [r.series_id for r in art.rejected.collect()] == ["short"] and art.metrics.count() == 6
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_fitted_components(spark):
+    rows = _business(80, lambda i: 10 + 0.1 * i + 3 * (i % 5), "a") + _business(7, lambda i: i, "b")
+    df = spark.createDataFrame(rows, "series_id string, ts date, value double")
+    out = sm.fitted_components(df, ["series_id"], "ts", "value", 5).toPandas().sort_values(["series_id", "ts"])
+    a, b = out[out.series_id == "a"], out[out.series_id == "b"]
+    assert len(a) == 80 and len(b) == 7 and b["fitted"].isna().all()
+    assert np.abs(a["fitted"] - a["value"]).tail(20).max() < 0.02
+    assert np.allclose((a["level"] + a["season"]).tail(20), a["value"].tail(20), atol=0.02)
+
+
+def test_blocked_solvers_equal_whole(spark):
+    rng = np.random.default_rng(3)
+    y = rng.normal(size=1500).cumsum()
+    rows = _business(1500, lambda i: y[i])
+    df = spark.createDataFrame(rows, "series_id string, ts date, value double")
+    got = dc.hp_filter(df, ["series_id"], "ts", "value", lamb=100.0, block_rows=200).orderBy("ts").toPandas()
+    assert np.allclose(got["trend"], dc._hp_trend(y, 100.0), atol=1e-9)
+    from tidemark.operators.stl import stl_decompose
+    got = stl_decompose(df, ["series_id"], "ts", "value", 5, robust=False, block_rows=400).orderBy("ts").toPandas()
+    s, t, _, _ = stl(y, 5, robust=False)
+    # at a series' ends LOESS falls back to a flat fit by a rule on the length of what it is given
+    off = np.maximum(np.abs(got["trend"] - t), np.abs(got["seasonal"] - s)).to_numpy()
+    assert off[50:-50].max() < 1e-6 and off.max() < 0.1
+
+
+def test_regression_scales_with_the_data(spark):
+    """Forecasts of a series times 1e6 (and far from zero) are the forecasts times 1e6; alpha 0 is least squares."""
+    from tidemark.operators import regress as rg
+    rng = np.random.default_rng(0)
+    y = [10.0]
+    for _ in range(400):
+        y.append(4 + 0.6 * y[-1] + rng.normal())
+    rows = [(f"x{p}", d, v * 10.0 ** p) for p in (0, 6) for _, d, v in _business(len(y), lambda i: y[i])]
+    df = spark.createDataFrame(rows, "series_id string, ts date, value double")
+    for alphas in ([0.0], rg.DEFAULT_ALPHAS):
+        for model in (lambda: rg.direct_forecast(df, ["series_id"], "ts", "value", 2, 2, alphas=alphas), lambda: rg.ar_trend_forecast(df, ["series_id"], "ts", "value", 2, 2)):
+            out = model().toPandas().sort_values(["split", "step"])
+            a, b = out[out.series_id == "x0"], out[out.series_id == "x6"]
+            assert np.allclose(a["yhat"].to_numpy() * 1e6, b["yhat"].to_numpy(), rtol=1e-7)
+    got = rg.direct_forecast(df, ["series_id"], "ts", "value", 1, 1, alphas=[0.0]).toPandas()
+    slope, icept = np.polyfit(y[:-3], y[1:-2], 1)  # targets up to the one before the validation target
+    want = {"future": icept + slope * y[-1], "test": icept + slope * y[-2], "val": icept + slope * y[-3]}
+    for r in got[got.series_id == "x0"].itertuples():
+        assert abs(r.yhat - want[r.split]) < 1e-8
+
+
+def test_learned_models_in_the_backtest(spark):
+    """Fold forecasts equal least squares on each fold's own rows, and every model gives a result."""
+    from tidemark.operators import backtest as bt
+    from tidemark.operators import regress as rg
+    rng = np.random.default_rng(1)
+    y = [100.0]
+    for _ in range(200):
+        y.append(40 + 0.6 * y[-1] + rng.normal())
+    df = spark.createDataFrame(_business(len(y), lambda i: y[i]), "series_id string, ts date, value double")
+    cfg = bt.ForecastConfig(n_tests=6, n_forecasts=2, seasonal_periods=5, n_lags=1)
+    d = df.select("series_id", "ts", F.col("value").alias("y"))
+    got = {(r.fold, r.step): r.yhat for r in rg.fold_forecasts(d, ["series_id"], "y", cfg, alpha=0.0).collect()}
+    for fold in (-1, 0, 1, 2):
+        hist = y[:len(y) - 2 * (fold + 1)]
+        for step in (1, 2):
+            n = len(hist) - 2
+            slope, icept = np.polyfit(hist[:n], hist[step:n + step], 1)
+            assert abs(got[fold, step] - (icept + slope * hist[-1])) < 1e-7
+    models = ["ridge", "change_ridge", "ar_trend"]
+    art = bt.run_all(df, ["series_id"], "ts", "value", models, cfg)
+    assert {r.run_model for r in art.metrics.collect()} == set(models)
+    assert art.forecast.count() == 6 and art.forecast.where("`Future Predictions` is null").count() == 0

@@ -8,10 +8,12 @@ no actual and drop out of the inner join).
 
 Native forecasters are expressions of a few per-origin statistics, so all
 folds of all series are computed at once with joins on (series, position):
-no loop over folds and no copy of the history per fold.  Grouped forecasters
-(``applyInPandas``) receive, per (series, fold), the training rows, produced
-by exploding each row into the folds whose origin it precedes (a bounded
-fan-out of ``n_tests // H``).
+no loop over folds and no copy of the history per fold.  Scan forecasters
+(smoothing, regressions) get the positioned rows of all series and return the
+predictions of every fold from one pass.  Grouped forecasters, for models of
+the user's own, receive per (series, fold) the training rows, produced by
+exploding each row into the folds whose origin it precedes (a fan-out of
+``n_tests // H``); such a function sees one series at a time by its nature.
 """
 
 from __future__ import annotations
@@ -29,8 +31,6 @@ from . import metrics as mt
 from . import sequence as seq
 from .indicators import positions
 
-MAX_GROUP_ROWS = 1_000_000
-
 
 @dataclass(frozen=True)
 class ForecastConfig:
@@ -71,6 +71,17 @@ NATIVE: dict[str, Callable[[], Column]] = {
 
 GROUPED: dict[str, Callable[[pd.DataFrame, ForecastConfig], list[float]]] = {}
 
+#: name -> (forecaster over (pos, keys, value, cfg), rows a series must have)
+SCANS: dict[str, tuple[Callable[[DataFrame, list[str], str, ForecastConfig], DataFrame], Callable[[ForecastConfig], int]]] = {}
+
+
+def register_scan(name: str, need_rows: Callable[[ForecastConfig], int] = lambda cfg: cfg.min_rows):
+    """Register ``fn(pos, keys, value, cfg) -> (keys, fold, step, o, ots, yhat)`` for all folds at once."""
+    def deco(fn):
+        SCANS[name] = (fn, need_rows)
+        return fn
+    return deco
+
 
 def register_grouped(name: str):
     """Register ``fn(history_pdf, config) -> list of H predictions``."""
@@ -81,29 +92,45 @@ def register_grouped(name: str):
 
 
 def resolve(name: str) -> str:
-    if name in NATIVE or name in GROUPED:
+    from . import regress, smoothing  # noqa: F401  their forecasters register themselves
+    if name in NATIVE or name in GROUPED or name in SCANS:
         return name
-    supported = ", ".join(sorted([*NATIVE, *GROUPED]))
+    supported = ", ".join(sorted([*NATIVE, *GROUPED, *SCANS]))
     raise ValueError(f"Unsupported model '{name}'. Supported models: {supported}")
 
 
+def rows_needed(name: str, cfg: ForecastConfig) -> int:
+    """Rows that a series must have for a model's backtest."""
+    if name in SCANS:
+        return max(cfg.min_rows, SCANS[name][1](cfg))
+    if name == "seasonal_naive":
+        return max(cfg.min_rows, cfg.n_folds * cfg.n_forecasts + cfg.seasonal_periods)
+    return cfg.min_rows
+
+
 # ---------------------------------------------------------------- building blocks
-def prepare(df: DataFrame, keys, ts: str, value: str, cfg: ForecastConfig, check: bool = False) -> DataFrame:
-    """Required columns, non-null typed values, one row per (keys, ts) keeping the last."""
+def _or_raise(c: Column, kind: str, message: str) -> Column:
+    return F.coalesce(c.try_cast(kind), F.raise_error(F.lit(message)).cast(kind))
+
+
+def prepare(df: DataFrame, keys, ts: str, value: str, what: str = "input") -> DataFrame:
+    """(keys, ts, y) with dates and numbers checked and one row per (keys, ts), the last by ``_seq``.
+
+    An invalid or NULL date or number fails the job that reads it, with its own message.  Without an ingest
+    ordinal a second row for a date is an error of the same kind.
+    """
     from .clean import dedupe
     keys = require_keys(keys)
-    missing = [c for c in [ts, value] if c not in df.columns]
+    missing = [c for c in [*keys, ts, value] if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing required columns: {', '.join(missing)}")
-    d = df.select(*keys, F.col(ts).cast("date").alias(ts), F.col(value).cast("double").alias(value))
-    if "_seq" in df.columns:
-        d = dedupe(d.withColumn("_seq", df["_seq"]), [*keys, ts], keep="last").drop("_seq")
-    d = d.where(F.col(ts).isNotNull() & F.col(value).isNotNull())
-    if check:
-        short = d.groupBy(*keys).count().where(F.col("count") < cfg.min_rows).limit(1).collect()
-        if short:
-            raise ValueError(f"Insufficient rows for series {short[0][:len(keys)]}: need {cfg.min_rows}")
-    return d
+        raise ValueError(f"Missing required columns in {what}: {', '.join(missing)}")
+    kind = df.schema[ts].dataType.simpleString()
+    as_ts = F.col(ts) if kind in ("date", "timestamp", "timestamp_ntz") else F.col(ts).try_cast("date")
+    kind = kind if kind in ("date", "timestamp", "timestamp_ntz") else "date"
+    d = df.select(*keys, _or_raise(as_ts, kind, f"{what} contains invalid dates in {ts}").alias("ts"),
+                  _or_raise(F.col(value), "double", f"{what} contains invalid numbers in {value}").alias("y"),
+                  *([F.col("_seq")] if "_seq" in df.columns else []))
+    return dedupe(d, [*keys, "ts"], keep="last").drop("_seq") if "_seq" in df.columns else d
 
 
 def origins(pos: DataFrame, keys: list[str], value: str, cfg: ForecastConfig) -> DataFrame:
@@ -172,43 +199,71 @@ def predictions(pos, keys, value, cfg, name, **kw) -> DataFrame:
     name = resolve(name)
     if name in NATIVE:
         return native_predictions(pos, keys, value, cfg, name, **kw)
+    if name in SCANS:
+        return SCANS[name][0](pos, keys, value, cfg)
     return grouped_predictions(pos, keys, value, cfg, name)
 
 
 @dataclass
 class Artifacts:
+    """``rejected``: (keys, rows, needed) of series too short for the run; they are in no other table."""
     final: DataFrame
     metrics: DataFrame
     forecast: DataFrame
+    rejected: DataFrame
+
+
+def _checked(preds: DataFrame, name: str) -> DataFrame:
+    """A model's predictions must be numbers."""
+    bad = F.col("yhat").isNull() | F.isnan("yhat")
+    return preds.withColumn("yhat", F.when(bad, F.raise_error(F.lit(f"{name} returned invalid predictions")).cast("double")).otherwise(F.col("yhat")))
 
 
 def run_backtest(df: DataFrame, keys, ts: str, value: str, cfg: ForecastConfig = ForecastConfig(),
-                 model: str = "drift", baseline: str = "naive", materialize: bool = True, **kw) -> Artifacts:
-    """Rolling-origin backtest -> (final, metrics, forecast) tables for all series.
-
-    Everything after the positions pass works on the tail of each series
-    (``n_tests + 1`` rows and the fold origins), which is small; that tail and
-    the final table are checkpointed to the shared checkpoint folder so the
-    three artifacts and the metrics reuse them instead of recomputing the
-    positions of the whole history.
+                 model: str = "drift", baseline: str = "naive", materialize: bool = True, strict: bool = False,
+                 shared: dict | None = None, **kw) -> Artifacts:
+    """Rolling-origin backtest -> (final, metrics, forecast, rejected) tables for all series.
+
+    Input is checked first (G19) and predictions before they are used (G17).  A series with fewer rows than
+    the run and its models need goes to ``rejected``; with ``strict`` it raises instead.  ``final`` holds the
+    last ``n_tests`` joined rows of a series; metrics are taken before that cut, over the anchor row too.
+
+    Everything after the positions pass works on the tail of each series (``n_tests + 1`` rows and the fold
+    origins), which is small; with ``materialize`` that tail, and the predictions of fitted models (n_tests +
+    H rows a series), are checkpointed to the shared checkpoint folder so that the artifacts reuse them.
+    ``shared`` (see ``run_all``) carries the positioned rows and predictions from run to run.
     """
     keys = require_keys(keys)
-    resolve(model), resolve(baseline)
-    d = df.select(*keys, F.col(ts).alias("ts"), F.col(value).alias("y"))
-    pos = positions(d, keys, "ts", bucket=kw.get("bucket", seq.DEFAULT_BUCKET))
+    shared = {} if shared is None else shared
+    need = max(rows_needed(resolve(m), cfg) for m in (model, baseline, *shared.get("models", ())))
+    every = shared.get("every")
+    if every is None:
+        every = positions(prepare(df, keys, ts, value), keys, "ts", bucket=kw.get("bucket", seq.DEFAULT_BUCKET))
+        if "models" in shared:
+            shared["every"] = every = cut_lineage(every)
+    rows = F.col("rn") + F.col("rn_desc") - 1
+    rejected = every.where((F.col("rn") == 1) & (rows < need)).select(*keys, rows.alias("rows"), F.lit(need).alias("needed"))
+    if strict and (short := rejected.take(1)):
+        raise ValueError(f"Insufficient rows for series {tuple(short[0])[:len(keys)]}: need at least {need}, got {short[0]['rows']}")
+    pos = every.where(rows >= need)
     nt = cfg.n_tests
     depth = max(nt + 1, cfg.n_folds * cfg.n_forecasts + 1)
-    tail = pos.where(F.col("rn_desc") <= depth)
-    first = d.groupBy(*keys).agg(F.min_by("y", "ts").alias("y1"))
+    first = pos.where(F.col("rn") == 1).select(*keys, F.col("y").alias("y1"))
+    tail = pos.where(F.col("rn_desc") <= depth).join(first, keys)
     if materialize:
         tail = cut_lineage(tail)
+    first = tail.where(F.col("rn_desc") == 1).select(*keys, "y1")
+    tail = tail.drop("y1")
     anchor = tail.where(F.col("rn_desc") == nt + 1).select(*keys, "ts", F.col("y").alias("yhat"),
                                                            F.lit(0).alias("model_fold"))
 
     def preds(name):
         if name in NATIVE and name not in ("mean", "seasonal_naive"):
-            return native_predictions(tail, keys, "y", cfg, name, first=first, **kw)
-        return predictions(pos, keys, "y", cfg, name, **kw)
+            return _checked(native_predictions(tail, keys, "y", cfg, name, first=first, **kw), name)
+        if name not in shared:
+            p = _checked(predictions(pos, keys, "y", cfg, name, **kw), name)
+            shared[name] = cut_lineage(p) if materialize and name not in NATIVE else p
+        return shared[name]
 
     b = preds(baseline).where(F.col("fold") >= 0)
     b = b.withColumn("rn", F.col("o") + F.col("step")).join(tail.select(*keys, "rn", "ts"), [*keys, "rn"])
@@ -222,31 +277,35 @@ def run_backtest(df: DataFrame, keys, ts: str, value: str, cfg: ForecastConfig =
         .unionByName(anchor)
 
     actual = tail.where(F.col("rn_desc") <= nt + 1).select(*keys, "ts", F.col("y").alias("actual"))
-    final = actual.join(base.withColumnRenamed("yhat", "baseline")
-                        .join(mod.withColumnRenamed("yhat", "predicted"), [*keys, "ts"]), [*keys, "ts"])
+    joined = actual.join(base.withColumnRenamed("yhat", "baseline")
+                         .join(mod.withColumnRenamed("yhat", "predicted"), [*keys, "ts"]), [*keys, "ts"])
     forecast = m_all.where(F.col("fold") == -1).select(*keys, "step", "ts",
                                                         F.col("yhat").alias("Future Predictions"))
-    if materialize:
-        final = cut_lineage(final)
-    metrics = mt.model_comparison(final, keys, "ts", "actual", {baseline: "baseline", model: "predicted"},
+    metrics = mt.model_comparison(joined, keys, "ts", "actual", {baseline: "baseline", model: "predicted"},
                                   nt, cfg.n_forecasts, block_rows=kw.get("block_rows", seq.DEFAULT_BLOCK_ROWS),
                                   tiebreak=["model_fold"])
-    return Artifacts(final, metrics, forecast)
+    from pyspark.sql import Window
+    newest = Window.partitionBy(*keys).orderBy(F.col("ts").desc(), F.col("model_fold").desc())  # about n_tests rows
+    final = joined.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= nt).drop("_r")
+    return Artifacts(final, metrics, forecast, rejected)
 
 
 def run_all(df: DataFrame, keys, ts: str, value: str, models, cfg: ForecastConfig = ForecastConfig(),
             baseline: str = "naive", **kw) -> Artifacts:
     """Every configured model; the model name becomes another key of the outputs."""
-    outs = [run_backtest(df, keys, ts, value, cfg, model=m, baseline=baseline, **kw) for m in models]
+    shared = {"models": (baseline, *models)}  # positions and predictions are made once; all models run on the same series
+    outs = [run_backtest(df, keys, ts, value, cfg, model=m, baseline=baseline, shared=shared, **kw) for m in models]
     tag = [(o, m) for o, m in zip(outs, models)]
     final = tag[0][0].final.withColumn("model", F.lit(tag[0][1]))
     metrics = tag[0][0].metrics.withColumn("run_model", F.lit(tag[0][1]))
     fc = tag[0][0].forecast.withColumn("model", F.lit(tag[0][1]))
+    out = tag[0][0].rejected.withColumn("model", F.lit(tag[0][1]))
     for o, m in tag[1:]:
         final = final.unionByName(o.final.withColumn("model", F.lit(m)))
         metrics = metrics.unionByName(o.metrics.withColumn("run_model", F.lit(m)))
         fc = fc.unionByName(o.forecast.withColumn("model", F.lit(m)))
-    return Artifacts(final, metrics, fc)
+        out = out.unionByName(o.rejected.withColumn("model", F.lit(m)))
+    return Artifacts(final, metrics, fc, out)
 
 
 def diagonal_pick(wide: DataFrame, keys, ts: str, prefix: str = "yhat", horizon: int = 2,
@@ -266,11 +325,19 @@ def diagonal_pick(wide: DataFrame, keys, ts: str, prefix: str = "yhat", horizon:
 
 
 def normalize_predictions(pred: DataFrame, keys, ts: str, value: str, horizon: int, model: str) -> DataFrame:
-    """Required columns, last ``horizon`` rows per (keys, fold), coerced types."""
+    """The last ``horizon`` rows per keys, with dates and numbers checked.
+
+    Missing columns raise at once; a block of fewer than ``horizon`` rows, an invalid date or an invalid
+    number fails the job that reads it, naming the model.
+    """
     keys = require_keys(keys)
     missing = [c for c in [ts, value] if c not in pred.columns]
     if missing:
         raise ValueError(f"{model} forecast is missing required columns: {', '.join(missing)}")
-    d = pred.withColumns({ts: F.col(ts).cast("date"), value: F.col(value).try_cast("double")})
+    d = pred.withColumns({ts: _or_raise(F.col(ts), "date", f"{model} returned invalid prediction dates"),
+                          value: _or_raise(F.col(value), "double", f"{model} returned invalid predictions")})
     pos = positions(d, keys, ts)
-    return pos.where(F.col("rn_desc") <= horizon).drop("rn", "rn_desc")
+    short = F.col("rn") + F.col("rn_desc") - 1 < horizon
+    told = F.when(short, F.raise_error(F.concat(F.lit(f"{model} returned "), (F.col("rn") + F.col("rn_desc") - 1).cast("string"),
+                                                F.lit(f" predictions; expected at least {horizon}"))).cast("double")).otherwise(F.col(value))
+    return pos.where(F.col("rn_desc") <= horizon).withColumn(value, told).drop("rn", "rn_desc")

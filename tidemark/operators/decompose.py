@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import require_keys
+from ..session import cut_lineage
 from . import sequence as seq
 
-MAX_GROUP_ROWS = 1_000_000
 
 
 # G3 ----------------------------------------------------------------------------
@@ -54,17 +54,19 @@ def classical(df: DataFrame, keys, ts: str, col: str, period: int, **kw) -> Data
 
 
 # G5 / G6 -----------------------------------------------------------------------
-def fourier_design(ts_col: str, t0: str, span_days: str, annual: int = 3, weekly: int = 1) -> dict:
-    """Design columns: const, t, t^2, t^3 (t in [0, 1]) and Fourier terms by day count."""
-    days = F.datediff(F.col(ts_col), F.col(t0)).cast("double")
-    t = days / F.greatest(F.col(span_days).cast("double"), F.lit(1.0))
+def fourier_design(ts_col: str, t, annual: int = 3, weekly: int = 1) -> dict:
+    """Design columns: const, t, t^2, t^3 (t: position over the number of rows) and Fourier terms of the
+    share of the calendar year and of the week (from Monday) that has passed."""
+    days = F.date_trunc("year", F.col(ts_col)).cast("date")
+    year = (F.dayofyear(ts_col) - 1) / F.datediff(F.add_months(days, 12), days)
+    week = F.weekday(ts_col) / F.lit(7.0)
     cols = {"x_const": F.lit(1.0), "x_t1": t, "x_t2": t * t, "x_t3": t * t * t}
     for k in range(1, annual + 1):
-        cols[f"x_ys{k}"] = F.sin(F.lit(2 * math.pi * k / 365.25) * days)
-        cols[f"x_yc{k}"] = F.cos(F.lit(2 * math.pi * k / 365.25) * days)
+        cols[f"x_ys{k}"] = F.sin(F.lit(2 * math.pi * k) * year)
+        cols[f"x_yc{k}"] = F.cos(F.lit(2 * math.pi * k) * year)
     for k in range(1, weekly + 1):
-        cols[f"x_ws{k}"] = F.sin(F.lit(2 * math.pi * k / 7.0) * days)
-        cols[f"x_wc{k}"] = F.cos(F.lit(2 * math.pi * k / 7.0) * days)
+        cols[f"x_ws{k}"] = F.sin(F.lit(2 * math.pi * k) * week)
+        cols[f"x_wc{k}"] = F.cos(F.lit(2 * math.pi * k) * week)
     return cols
 
 
@@ -76,28 +78,26 @@ def _solve_groups(stats: DataFrame, keys: list[str], names: list[str], ridge: fl
     key_types = ", ".join(f"`{k}` {stats.schema[k].dataType.simpleString()}" for k in keys)
     schema = key_types + ", " + ", ".join(f"b_{n} double" for n in names)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for _, r in pdf.iterrows():
-            xtx = np.zeros((p, p))
-            for i in range(p):
-                for j in range(i, p):
-                    xtx[i, j] = xtx[j, i] = r[f"s_{i}_{j}"]
-            xty = np.array([r[f"y_{i}"] for i in range(p)])
-            xtx += ridge * np.eye(p) * max(1.0, np.trace(xtx) / p)
-            beta = np.linalg.lstsq(xtx, xty, rcond=None)[0]
-            rows.append([r[k] for k in keys] + list(beta))
-        return pd.DataFrame(rows, columns=[*keys, *[f"b_{n}" for n in names]])
+    def solve(batches):
+        i, j = np.triu_indices(p)
+        for pdf in batches:  # one row a series, all of a batch solved at once
+            xtx = np.zeros((len(pdf), p, p))
+            xtx[:, i, j] = pdf[[f"s_{a}_{b}" for a, b in zip(i, j)]].to_numpy(float)
+            xtx[:, j, i] = xtx[:, i, j]
+            xty = pdf[[f"y_{a}" for a in range(p)]].to_numpy(float)
+            xtx += ridge * np.eye(p) * np.maximum(1.0, np.trace(xtx, axis1=1, axis2=2) / p)[:, None, None]
+            beta = (np.linalg.pinv(xtx, rcond=1e-14, hermitian=True) @ xty[:, :, None])[:, :, 0]
+            yield pd.concat([pdf[keys].reset_index(drop=True), pd.DataFrame(beta, columns=[f"b_{n}" for n in names])], axis=1)
 
-    return stats.groupBy(*keys).applyInPandas(solve, schema)
+    return stats.mapInPandas(solve, schema)
 
 
 def fourier_fit(df: DataFrame, keys, ts: str, col: str, annual: int = 3, weekly: int = 1):
     """Fit the Fourier regression; returns (rows with design columns, coefficient table, names)."""
     keys = require_keys(keys)
-    span = df.groupBy(*keys).agg(F.min(ts).alias("_t0"), F.datediff(F.max(ts), F.min(ts)).alias("_span"))
-    d = df.join(span, keys)
-    design = fourier_design(ts, "_t0", "_span", annual, weekly)
+    span = seq.series_sizes(df, keys, "_span")
+    d = seq.index_rows(df, keys, ts).join(span, keys)
+    design = fourier_design(ts, F.col(seq.RN) / F.col("_span"), annual, weekly)
     names = list(design)
     d = d.withColumns(design)
     y = F.col(col)
@@ -108,7 +108,7 @@ def fourier_fit(df: DataFrame, keys, ts: str, col: str, annual: int = 3, weekly:
         aggs.append(F.sum(F.col(a) * y).alias(f"y_{i}"))
     stats = d.groupBy(*keys).agg(*aggs)
     beta = _solve_groups(stats, keys, names).join(span, keys)
-    return d.drop("_t0", "_span"), beta, names
+    return d.drop(seq.RN, "_span"), beta, names
 
 
 def _parts(names: list[str]):
@@ -122,7 +122,7 @@ def fourier(df: DataFrame, keys, ts: str, col: str, annual: int = 3, weekly: int
     part, residual = y - fit.  Adds ``fit``, ``trend``, ``seasonal``, ``residual``."""
     keys = require_keys(keys)
     d, beta, names = fourier_fit(df, keys, ts, col, annual, weekly)
-    out = d.join(beta.drop("_t0", "_span"), keys)
+    out = d.join(beta.drop("_span"), keys)
     fit, trend = _parts(names)
     out = out.withColumn("fit", fit).withColumn("trend", trend)
     out = out.withColumn("seasonal", F.col("fit") - F.col("trend")).withColumn("residual", F.col(col) - F.col("fit"))
@@ -153,10 +153,11 @@ def fourier_forecast(df: DataFrame, keys, ts: str, col: str, n_steps: int = 2, a
     keys = require_keys(keys)
     d, beta, names = fourier_fit(df, keys, ts, col)
     fit, trend = _parts(names)
-    hist = d.join(beta.drop("_t0", "_span"), keys).withColumn("residual", F.col(col) - fit) \
-        .select(*keys, ts, "residual")
+    beta = cut_lineage(beta)  # small: one row a series
+    # read for the AR statistics and for the last p rows
+    hist = cut_lineage(d.join(beta.drop("_span"), keys).withColumn("residual", F.col(col) - fit).select(*keys, ts, "residual"))
     fut = next_business_days(df, keys, ts, n_steps).join(beta, keys)
-    fut = fut.withColumns(fourier_design(ts, "_t0", "_span"))
+    fut = fut.withColumns(fourier_design(ts, (F.col("_span") + F.col("step")) / F.col("_span")))
     fut = fut.withColumn("_fit", fit).withColumn("trend", trend).withColumn("seasonal", F.col("_fit") - F.col("trend"))
     trend_season = fut.select(*keys, "step", ts, "trend", "seasonal")
 
@@ -167,21 +168,22 @@ def fourier_forecast(df: DataFrame, keys, ts: str, col: str, n_steps: int = 2, a
     last = positions(hist, keys, ts).where(F.col("rn_desc") <= p) \
         .groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rn_desc", "residual"))).alias("_last"))
     # _last is bounded by p rows per series by construction
-    state = last.join(coef, keys)
+    state = last.join(coef, keys).join(hist.groupBy(*keys).agg(F.avg("residual").alias("_mu")), keys)
     key_types = ", ".join(f"`{k}` {state.schema[k].dataType.simpleString()}" for k in keys)
 
-    def unroll(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for _, r in pdf.iterrows():
-            hist_r = [float(x["residual"]) for x in r["_last"]]  # newest first
-            b = np.asarray(r["beta"], dtype=float)
-            for k in range(1, n_steps + 1):
-                nxt = float(b[0] + np.dot(b[1:], hist_r[:p]))
-                rows.append([r[kk] for kk in keys] + [k, nxt])
-                hist_r = [nxt] + hist_r
-        return pd.DataFrame(rows, columns=[*keys, "step", "residual"])
-
-    resid_fc = state.groupBy(*keys).applyInPandas(unroll, f"{key_types}, step int, residual double")
+    state = state.select(*keys, F.transform("_last", lambda e: e["residual"] - F.col("_mu")).alias("_past"), "beta", "_mu")
+
+    def unroll(batches):
+        for pdf in batches:
+            rows = []
+            for *key, past, beta_, mu in pdf.itertuples(index=False, name=None):
+                past, b = [float(x) for x in past], np.asarray(beta_, dtype=float)  # newest first
+                for k in range(1, n_steps + 1):
+                    past.insert(0, float(b[0] + np.dot(b[1:], past[:p])))
+                    rows.append([*key, k, past[0] + mu])
+            yield pd.DataFrame(rows, columns=[*keys, "step", "residual"])
+
+    resid_fc = state.mapInPandas(unroll, f"{key_types}, step int, residual double")
     out = recompose({"trend": trend_season, "residual": resid_fc}, keys)
     return out.withColumn("forecast", F.col("trend") + F.col("seasonal") + F.col("residual")) \
         .select(*keys, "step", ts, "trend", "seasonal", "residual", "forecast")
@@ -243,22 +245,28 @@ def _hp_trend(y: np.ndarray, lamb: float) -> np.ndarray:
     return x
 
 
-def hp_filter(df: DataFrame, keys, ts: str, col: str, lamb: float = 129600.0) -> DataFrame:
-    """HP trend per series; seasonal := 0, residual := cycle."""
+def hp_filter(df: DataFrame, keys, ts: str, col: str, lamb: float = 129600.0, block_rows: int = 8192,
+              bucket: str = seq.DEFAULT_BUCKET) -> DataFrame:
+    """HP trend per series; seasonal := 0, residual := cycle.
+
+    A row's influence on the trend fades by e in about sqrt(2) * lamb^(1/4) rows, so a series is solved in
+    blocks with 40 such lengths of halo on both sides: what a cut there changes is below rounding.
+    """
     keys = require_keys(keys)
-    schema_fields = [f for f in df.schema.fields]
-    out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema_fields]
+    halo = int(np.ceil(40 * np.sqrt(2) * max(lamb, 1.0) ** 0.25))
+    d = seq.with_halo(seq.index_rows(df, keys, ts, bucket=bucket), keys, before=halo, after=halo, block_rows=max(block_rows, halo))
+    names = [f.name for f in df.schema.fields]
+    out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
                            + ["trend double", "seasonal double", "residual double"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MAX_GROUP_ROWS:
-            raise ValueError(f"series longer than {MAX_GROUP_ROWS} rows; use classical or fourier")
-        pdf = pdf.sort_values(ts)
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:  # one block: block_rows + 2 halos at most
+        pdf = pdf.sort_values(seq.RN)
         y = pdf[col].to_numpy(dtype=float)
         tr = _hp_trend(y, lamb)
-        return pdf.assign(trend=tr, seasonal=0.0, residual=y - tr)
+        own = ~pdf[seq.HALO].to_numpy(bool)
+        return pdf[names].assign(trend=tr, seasonal=0.0, residual=y - tr)[own]
 
-    return df.groupBy(*keys).applyInPandas(run, out_schema)
+    return d.groupBy(*keys, seq.BLK).applyInPandas(run, out_schema)
 
 
 def decompose(df: DataFrame, keys, ts: str, col: str, period: int, method: str = "classical", **kw) -> DataFrame:

@@ -182,10 +182,10 @@ def sliding_windows(df: DataFrame, keys, ts: str, col: str, input_len: int, hori
     L, H = int(input_len), int(horizon)
 
     def compute(d, w):
-        xs = F.collect_list(F.col(col)).over(w.rowsBetween(0, L - 1))
-        ys = F.collect_list(F.col(col)).over(w.rowsBetween(L, L + H - 1))
-        yd = F.collect_list(F.col(ts)).over(w.rowsBetween(L, L + H - 1))
-        return d.withColumns({"x": xs, "y": ys, "y_dates": yd})
+        one = F.struct(F.col(col).alias("v"), F.col(ts).alias("t"))  # a struct is collected also when its value is NULL
+        d = d.withColumns({"_x": F.collect_list(one).over(w.rowsBetween(0, L - 1)), "_y": F.collect_list(one).over(w.rowsBetween(L, L + H - 1))})
+        return d.withColumns({"x": F.transform("_x", lambda e: e["v"]), "y": F.transform("_y", lambda e: e["v"]),
+                              "y_dates": F.transform("_y", lambda e: e["t"])}).drop("_x", "_y")
 
     d = seq.bounded(df, keys, ts, compute, after=L + H - 1, **kw)
     return (d.where((F.size("x") == L) & (F.size("y") == H))
@@ -195,23 +195,26 @@ def sliding_windows(df: DataFrame, keys, ts: str, col: str, input_len: int, hori
 # E12 -----------------------------------------------------------------------
 def centred_mean_reflect(df: DataFrame, keys, ts: str, col: str, width: int = 7,
                          out: str | None = None, **kw) -> DataFrame:
-    """uniform_filter1d(size=width, mode='reflect'): edges mirrored (d c b a | a b c d)."""
+    """Mean over ``width`` rows around each row, edges mirrored as often as needed (d c b a | a b c d).
+
+    An even window reaches one row further back than ahead.
+    """
     keys = require_keys(keys)
     h = width // 2
     out = out or f"{col}_smooth"
     sizes = seq.series_sizes(df, keys)
 
     def compute(d, w):
-        offs = list(range(-h, h + 1))
+        offs = list(range(-h, h + 1))  # mirrored rows are never further away than h
         nb = {o: (F.col(col) if o == 0 else (F.lead(col, o) if o > 0 else F.lag(col, -o))).over(w)
               if o != 0 else F.col(col) for o in offs}
         d = d.withColumn("_nb", F.array(*[nb[o] for o in offs]))
         p = F.col(seq.RN) - 1
         n = F.col("_n")
         terms = []
-        for k in offs:
-            q = p + k
-            qr = F.when(q < 0, -q - 1).when(q >= n, 2 * n - 1 - q).otherwise(q)
+        for k in range(-h, width - h):
+            q = F.pmod(p + k, 2 * n)
+            qr = F.when(q >= n, 2 * n - 1 - q).otherwise(q)
             idx = (qr - p + h + 1).cast("int")
             terms.append(F.element_at(F.col("_nb"), idx))
         total = terms[0]

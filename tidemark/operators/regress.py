@@ -31,16 +31,18 @@ from pyspark.sql import functions as F
 
 from ..schema import as_list, require_keys
 from . import sequence as seq
+from .backtest import register_scan
 
 DEFAULT_ALPHAS = (0.0, 0.1, 1.0, 10.0, 100.0)
 
 
 def windows(df: DataFrame, keys, ts: str, value: str, lags: int, horizon: int,
             extra: Sequence[str] = (), **kw) -> DataFrame:
-    """(keys, ts, rn, n, x array<double>, y array<double>) for every origin row.
+    """(keys, ts, rn, n, mu, x array<double>, y array<double>) for every origin row.
 
     ``x`` = [1, value_t, value_{t-1}, ..., value_{t-L+1}, extra_t...];
-    ``y`` = [value_{t+1}, ..., value_{t+H}] (NULL entries where the series ends).
+    ``y`` = [value_{t+1}, ..., value_{t+H}] (NULL entries where the series ends).  Values are less the
+    series' mean ``mu``, so sums of squares lose no digits on a series far from zero.
     """
     keys = require_keys(keys)
     L, H = int(lags), int(horizon)
@@ -55,8 +57,10 @@ def windows(df: DataFrame, keys, ts: str, value: str, lags: int, horizon: int,
 
     d = seq.bounded(df.select(*keys, ts, value, *extra), keys, ts, compute, before=L - 1, after=H,
                     keep_rn=True, **kw)
-    sizes = seq.series_sizes(df, keys, "n")
-    return d.join(sizes, keys).withColumnRenamed(seq.RN, "rn")
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.col(value).cast("double")), F.lit(0.0)).alias("mu"))
+    d = d.join(sizes, keys).withColumnRenamed(seq.RN, "rn")
+    lagged = F.transform("x", lambda v, i: F.when((i >= 1) & (i <= L), v - F.col("mu")).otherwise(v))
+    return d.withColumns({"x": lagged, "y": F.transform("y", lambda v: v - F.col("mu"))})
 
 
 def _split(rn, n, horizon: int):
@@ -68,11 +72,15 @@ def _split(rn, n, horizon: int):
 
 def normal_equations(win: DataFrame, keys: Sequence[str], horizon: int) -> DataFrame:
     """(keys, i, j, v): entries of X'X (j < p) and X'Y (j = p + step - 1) over training origins."""
-    keys = list(keys)
     train, _, _ = _split(F.col("rn"), F.col("n"), horizon)
-    t = win.where(train & ~F.exists("x", lambda v: v.isNull()) & ~F.exists("y", lambda v: v.isNull()))
-    t = t.select(*keys, "x", "y")
-    key_types = ", ".join(f"`{k}` {win.schema[k].dataType.simpleString()}" for k in keys)
+    return _moments(win.where(train), keys)
+
+
+def _moments(t: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Entries of X'X and X'Y over the complete rows of ``t``, one sum per group and entry."""
+    keys = list(keys)
+    key_types = ", ".join(f"`{k}` {t.schema[k].dataType.simpleString()}" for k in keys)
+    t = t.where(~F.exists("x", lambda v: v.isNull()) & ~F.exists("y", lambda v: v.isNull())).select(*keys, "x", "y")
     schema = f"{key_types}, i int, j int, v double"
 
     def partial(batches):
@@ -95,36 +103,61 @@ def normal_equations(win: DataFrame, keys: Sequence[str], horizon: int) -> DataF
                     out.insert(0, k, val)
                 yield out[[*keys, "i", "j", "v"]]
 
-    parts = t.mapInPandas(partial, schema)
-    return parts.groupBy(*keys, "i", "j").agg(F.sum("v").alias("v"))
+    return t.mapInPandas(partial, schema).groupBy(*keys, "i", "j").agg(F.sum("v").alias("v"))
+
+
+def ridge(xtx: np.ndarray, xty: np.ndarray, alpha: float) -> np.ndarray:
+    """Coefficients from normal equations whose first column is the intercept.
+
+    Columns are centred and scaled by their own mean and deviation (both are in X'X), the penalty acts on the
+    scaled slopes only and the intercept is free, so results scale with the data; ``alpha`` 0 is least squares
+    (of least norm where columns are dependent), and a constant column gets coefficient 0.
+    """
+    n = xtx[0, 0]
+    out = np.zeros_like(xty)
+    if n <= 0:
+        return np.full_like(xty, np.nan)
+    mean, ymean = xtx[0, 1:] / n, xty[0] / n
+    cov = xtx[1:, 1:] / n - np.outer(mean, mean)
+    cross = xty[1:] / n - np.outer(mean, ymean)
+    sd = np.sqrt(np.maximum(np.diag(cov), 0.0))
+    use = sd > 1e-9 * np.maximum(1.0, np.sqrt(np.diag(xtx)[1:] / n))
+    if use.any():
+        r = cov[np.ix_(use, use)] / np.outer(sd[use], sd[use]) + np.eye(int(use.sum())) * (alpha / n)
+        slope = np.linalg.lstsq(r, cross[use] / sd[use][:, None], rcond=1e-11)[0] / sd[use][:, None]
+        out[1:][use] = slope
+    out[0] = ymean - mean @ out[1:]
+    return out
 
 
 def solve(stats: DataFrame, keys: Sequence[str], p: int, horizon: int,
           alphas: Sequence[float] = DEFAULT_ALPHAS) -> DataFrame:
-    """(keys, alpha, step, beta array<double>) ridge solutions; the intercept is not penalised."""
+    """(keys, alpha, step, beta array<double>) ridge solutions; the intercept is not penalised.
+
+    One row a series reaches Python (p x (p + H) numbers), many series in an Arrow batch.
+    """
     keys = list(keys)
     key_types = ", ".join(f"`{k}` {stats.schema[k].dataType.simpleString()}" for k in keys)
     schema = f"{key_types}, alpha double, step int, beta array<double>"
+    # at most p * (p + H) entries a series
+    packed = stats.groupBy(*keys).agg(F.collect_list(F.struct("i", "j", "v")).alias("_e")).select(
+        *keys, F.transform("_e", lambda e: e["i"]).alias("_i"), F.transform("_e", lambda e: e["j"]).alias("_j"),
+        F.transform("_e", lambda e: e["v"]).alias("_v"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        xtx = np.zeros((p, p))
-        xty = np.zeros((p, horizon))
-        for i, j, v in zip(pdf["i"].to_numpy(), pdf["j"].to_numpy(), pdf["v"].to_numpy()):
-            if j < p:
-                xtx[i, j] = xtx[j, i] = v
-            else:
-                xty[i, j - p] = v
-        scale = max(1.0, float(np.trace(xtx)) / p)
-        rows = []
-        for a in alphas:
-            pen = np.eye(p) * (a * scale / 1000.0 + 1e-10 * scale)
-            pen[0, 0] = 1e-10 * scale
-            beta = np.linalg.lstsq(xtx + pen, xty, rcond=None)[0]
-            for k in range(horizon):
-                rows.append([pdf[kk].iloc[0] for kk in keys] + [float(a), k + 1, beta[:, k].tolist()])
-        return pd.DataFrame(rows, columns=[*keys, "alpha", "step", "beta"])
-
-    return stats.groupBy(*keys).applyInPandas(run, schema)
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False, name=None):
+                m = np.zeros((p, p + horizon))
+                i, j = np.asarray(r[-3], int), np.asarray(r[-2], int)
+                m[i, j] = r[-1]
+                xtx = np.triu(m[:, :p]) + np.triu(m[:, :p], 1).T
+                for a in alphas:
+                    beta = ridge(xtx, m[:, p:], float(a))
+                    rows += [(*r[:-3], float(a), k + 1, beta[:, k].tolist()) for k in range(horizon)]
+            yield pd.DataFrame(rows, columns=[*keys, "alpha", "step", "beta"])
+
+    return packed.mapInPandas(run, schema)
 
 
 def _dot(x: str, beta: str):
@@ -146,10 +179,10 @@ def direct_forecast(df: DataFrame, keys, ts: str, value: str, lags: int = 5, hor
     _, val, test = _split(F.col("rn"), F.col("n"), horizon)
     future = F.col("rn") == F.col("n")
     origins = win.where(val | test | future).select(
-        *keys, F.col(ts).alias("origin"), "x", "y",
+        *keys, F.col(ts).alias("origin"), "mu", "x", "y",
         F.when(val, "val").when(test, "test").otherwise("future").alias("split"))
-    pred = origins.join(betas, keys).withColumn("yhat", _dot("x", "beta"))
-    pred = pred.withColumn("actual", F.element_at("y", F.col("step")))
+    pred = origins.join(betas, keys).withColumn("yhat", _dot("x", "beta") + F.col("mu"))
+    pred = pred.withColumn("actual", F.element_at("y", F.col("step")) + F.col("mu"))
     err = (pred.where(F.col("split") == "val").groupBy(*keys, "alpha")
            .agg(F.avg(F.abs(F.col("actual") - F.col("yhat"))).alias("val_mae")))
     best = err.groupBy(*keys).agg(F.min_by("alpha", F.struct(F.col("val_mae"), F.col("alpha"))).alias("best_alpha"))
@@ -229,7 +262,9 @@ def pooled_linear(df: DataFrame, keys, ts: str, value: str, lags: int = 5, horiz
     keys = require_keys(keys)
     win = windows(df, keys, ts, value, lags, horizon, **kw)
     win = win.where(~F.exists("x", lambda v: v.isNull()))
-    win = win.select(*keys, ts, "rn", "n", "y", array_to_vector(F.slice("x", 2, int(lags))).alias("features"))
+    raw = F.transform("x", lambda v: v + F.col("mu"))  # one model for all series: values as they are
+    win = win.select(*keys, ts, "rn", "n", F.transform("y", lambda v: v + F.col("mu")).alias("y"),
+                     array_to_vector(F.slice(raw, 2, int(lags))).alias("features"))
     train, val, test = _split(F.col("rn"), F.col("n"), horizon)
     # every grid cell of every step iterates over the same training rows:
     # persist them once (spilling to disk if needed) for the fits
@@ -256,3 +291,60 @@ def pooled_linear(df: DataFrame, keys, ts: str, value: str, lags: int = 5, horiz
     for o in outs[1:]:
         res = res.unionByName(o)
     return res
+
+
+# ---------------------------------------------------------------- forecasters of the backtest (U4)
+def fold_forecasts(d: DataFrame, keys: list[str], value: str, cfg, extra: Sequence[str] = (), alpha: float = 1.0) -> DataFrame:
+    """(keys, fold, step, o, ots, yo, yhat) of the direct ridge model for every fold from one pass.
+
+    A training row belongs to the folds whose origin its targets do not pass; it is counted for the newest
+    backtest fold that still may use it, and a running sum over the folds (at most n_tests / H + 1 rows a
+    series and entry) gives each fold its normal equations, so the history is never copied.
+    """
+    from pyspark.sql import Window
+
+    h, folds, lags = cfg.n_forecasts, cfg.n_folds, cfg.n_lags
+    win = windows(d, keys, "ts", value, lags, h, extra)
+    last = F.floor((F.col("n") - F.col("rn") - h) / h) - 1  # the oldest fold whose origin is not before the targets
+    era = F.least(last, F.lit(folds - 1)).cast("int")
+    parts = _moments(win.where(F.col("rn") + h <= F.col("n")).withColumn("fold", era), [*keys, "fold"])
+    upto = Window.partitionBy(*keys, "i", "j").orderBy(F.col("fold").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    betas = solve(parts.withColumn("v", F.sum("v").over(upto)), [*keys, "fold"], 1 + lags + len(as_list(extra)), h, [alpha])
+    back = F.col("n") - F.col("rn")
+    at = win.where((back % h == 0) & (back <= folds * h)).select(
+        *keys, (F.floor(back / h) - 1).cast("int").alias("fold"), F.col("rn").alias("o"), F.col("ts").alias("ots"),
+        F.col(value).alias("yo"), "mu", "x")
+    out = at.join(betas, [*keys, "fold"]).withColumn("yhat", _dot("x", "beta") + F.col("mu"))
+    return out.select(*keys, "fold", "step", "o", "ots", "yo", "yhat")
+
+
+def _lag_rows(cfg) -> int:
+    """Rows that leave the oldest fold as many training rows as there are coefficients, and one more."""
+    return cfg.n_folds * cfg.n_forecasts + cfg.n_forecasts + 2 * cfg.n_lags + 2
+
+
+@register_scan("ridge", _lag_rows)
+def _ridge(pos: DataFrame, keys: list[str], value: str, cfg) -> DataFrame:
+    """Direct ridge on the last n_lags values."""
+    return fold_forecasts(pos.select(*keys, "ts", value), keys, value, cfg)
+
+
+@register_scan("change_ridge", lambda cfg: _lag_rows(cfg) + 1)
+def _change(pos: DataFrame, keys: list[str], value: str, cfg) -> DataFrame:
+    """The same on percent changes, compounded from the value at the origin (a change from 0 counts as 0)."""
+    from pyspark.sql import Window
+
+    from .indicators import pct_change
+    d = pct_change(pos.select(*keys, "ts", value, F.col("rn").alias("_rn0")), keys, "ts", value, "_chg")
+    chg = d.withColumn("_chg", F.when(F.col("_rn0") == 1, None).when(F.abs("_chg") < float("inf"), F.col("_chg")).otherwise(0.0))
+    fc = fold_forecasts(chg.select(*keys, "ts", "_chg"), keys, "_chg", cfg)
+    fc = fc.drop("yo").join(pos.select(*keys, F.col("rn").alias("o"), F.col(value).alias("yo")), [*keys, "o"])
+    w = Window.partitionBy(*keys, "fold").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)  # H rows
+    return fc.withColumn("yhat", F.col("yo") * F.product(F.lit(1.0) + F.col("yhat")).over(w))
+
+
+@register_scan("ar_trend", lambda cfg: _lag_rows(cfg) + 40)
+def _ar_trend(pos: DataFrame, keys: list[str], value: str, cfg) -> DataFrame:
+    """Lags, piecewise-linear trend and yearly and weekly season."""
+    d, extra = trend_fourier_design(pos.select(*keys, "ts", value), keys, "ts")
+    return fold_forecasts(d, keys, value, cfg, extra)

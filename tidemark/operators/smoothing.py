@@ -1,147 +1,198 @@
-"""Holt linear trend and additive Holt-Winters (G7-G9), registered as grouped forecasters.
+"""Holt linear trend and additive Holt-Winters (G7-G9) as streamed state machines.
 
-The recursions are exact for given parameters (``holt_winters_path``).
-Parameters are chosen per group by a vectorised grid search over
-(alpha, beta, gamma) minimising one-step SSE -- every grid cell is evaluated
-in the same NumPy pass.  This does not reproduce a third-party optimiser
-bit for bit; it fixes the recursion and searches the parameters itself.
+The recursions need one value after the other, so a series is read in order, but never as a whole: rows
+stream through ``mapInPandas`` over partitions sorted by (series, parameter chunk, time), and the only state
+is level, trend and one season per parameter cell of the chunk.  Series and chunks of the parameter grid run
+in parallel.  One pass gives every backtest fold: at each fold's origin the errors so far pick the chunk's
+best cell and its forecast is emitted; the best chunk is an aggregate over a few rows.
+
+Parameters are chosen per series and fold from a grid by one-step squared error.  A missing value leaves the
+state to its own forecast.  A series of fewer than two seasons (Holt: two rows) has no start: it gives NULL
+fitted values and no forecast.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..schema import require_keys
-from .backtest import ForecastConfig, register_grouped
+from .backtest import ForecastConfig, origins, register_scan
 
 GRID = np.round(np.arange(0.05, 1.0, 0.1), 2)
-MAX_GROUP_ROWS = 1_000_000
-
-
-def _init(y: np.ndarray, m: int):
-    level = y[:m].mean()
-    trend = (y[m:2 * m].mean() - y[:m].mean()) / m
-    season = y[:m] - level
-    return level, trend, season
-
-
-def holt_winters_path(y: np.ndarray, m: int, alpha, beta, gamma):
-    """Additive trend + additive season recursion, vectorised over parameter cells.
-
-    Returns (sse, level, trend, season ring, fitted) with a leading cell axis.
-    """
-    y = np.asarray(y, dtype=float)
-    n = len(y)
-    if n < 2 * m:
-        raise ValueError(f"Holt-Winters needs at least two full seasons ({2 * m} rows), got {n}")
-    a, b, g = (np.atleast_1d(np.asarray(v, dtype=float)) for v in (alpha, beta, gamma))
-    cells = a.shape[0]
-    l0, t0, s0 = _init(y, m)
-    lvl = np.full(cells, l0)
-    trd = np.full(cells, t0)
-    sea = np.tile(s0, (cells, 1))
-    fitted = np.zeros((cells, n))
-    sse = np.zeros(cells)
-    for t in range(n):
-        si = t % m
-        f = lvl + trd + sea[:, si]
-        fitted[:, t] = f
-        if t >= m:
-            sse += (y[t] - f) ** 2
-        new_l = a * (y[t] - sea[:, si]) + (1 - a) * (lvl + trd)
-        trd = b * (new_l - lvl) + (1 - b) * trd
-        sea[:, si] = g * (y[t] - new_l) + (1 - g) * sea[:, si]
-        lvl = new_l
-    return sse, lvl, trd, sea, fitted
-
-
-def holt_path(y: np.ndarray, alpha, beta):
-    """Holt linear trend, vectorised over parameter cells."""
-    y = np.asarray(y, dtype=float)
-    a, b = (np.atleast_1d(np.asarray(v, dtype=float)) for v in (alpha, beta))
-    lvl = np.full(a.shape[0], y[0])
-    trd = np.full(a.shape[0], (y[1] - y[0]) if len(y) > 1 else 0.0)
-    sse = np.zeros(a.shape[0])
-    fitted = np.zeros((a.shape[0], len(y)))
-    for t in range(len(y)):
-        f = lvl + trd
-        fitted[:, t] = f
-        if t >= 1:
-            sse += (y[t] - f) ** 2
-        new_l = a * y[t] + (1 - a) * (lvl + trd)
-        trd = b * (new_l - lvl) + (1 - b) * trd
-        lvl = new_l
-    return sse, lvl, trd, fitted
-
-
-def fit_holt_winters(y: np.ndarray, m: int):
-    A, B, G = np.meshgrid(GRID, GRID, GRID, indexing="ij")
-    a, b, g = A.ravel(), B.ravel(), G.ravel()
-    sse, lvl, trd, sea, fitted = holt_winters_path(y, m, a, b, g)
-    i = int(np.argmin(sse))
-    return {"alpha": a[i], "beta": b[i], "gamma": g[i], "sse": sse[i], "level": lvl[i], "trend": trd[i],
-            "season": sea[i], "fitted": fitted[i], "n": len(y)}
-
-
-def fit_holt(y: np.ndarray):
-    A, B = np.meshgrid(GRID, GRID, indexing="ij")
-    a, b = A.ravel(), B.ravel()
-    sse, lvl, trd, fitted = holt_path(y, a, b)
-    i = int(np.argmin(sse))
-    return {"alpha": a[i], "beta": b[i], "sse": sse[i], "level": lvl[i], "trend": trd[i], "fitted": fitted[i]}
-
-
-def forecast_holt_winters(fit: dict, m: int, h: int) -> list[float]:
-    n = fit["n"]
-    return [float(fit["level"] + k * fit["trend"] + fit["season"][(n + k - 1) % m]) for k in range(1, h + 1)]
-
-
-@register_grouped("holt_winters")
-def _hw_forecaster(hist: pd.DataFrame, cfg: ForecastConfig) -> list[float]:
-    """G8 baseline: additive trend + season with the configured season length."""
-    y = hist["y"].to_numpy(dtype=float)
-    if len(y) > MAX_GROUP_ROWS:
-        raise ValueError(f"series longer than {MAX_GROUP_ROWS} rows")
-    fit = fit_holt_winters(y, cfg.seasonal_periods)
-    return forecast_holt_winters(fit, cfg.seasonal_periods, cfg.n_forecasts)
-
-
-@register_grouped("holt")
-def _holt_forecaster(hist: pd.DataFrame, cfg: ForecastConfig) -> list[float]:
-    """Holt linear trend."""
-    fit = fit_holt(hist["y"].to_numpy(dtype=float))
-    return [float(fit["level"] + k * fit["trend"]) for k in range(1, cfg.n_forecasts + 1)]
-
-
-def fitted_components(df: DataFrame, keys, ts: str, col: str, period: int) -> DataFrame:
-    """Fitted values plus the chosen parameters per series (one Arrow group per series)."""
+CELLS_PER_CHUNK = 125
+
+
+def grid(period: int) -> np.ndarray:
+    """(cells, 3): alpha, beta, gamma; gamma is 0 without a season."""
+    axes = (GRID, GRID, GRID if period > 1 else np.zeros(1))
+    return np.stack([x.ravel() for x in np.meshgrid(*axes, indexing="ij")], 1)
+
+
+class Smoother:
+    """Level, trend and season of many parameter cells of one series; ``period`` 1 is Holt's linear trend."""
+
+    def __init__(self, cells: np.ndarray, period: int):
+        self.a, self.b, self.g = cells.T
+        self.m, self.t, self.first, self.ready = period, 0, [], False
+
+    def start(self) -> bool:
+        """Initial state from the first two seasons (Holt: the first two values)."""
+        y, m = np.asarray(self.first), self.m
+        if len(y) < 2 * m:
+            return False
+        y = np.where(np.isnan(y), np.nanmean(y) if not np.isnan(y).all() else 0.0, y)
+        k = len(self.a)
+        level = y[:m].mean()
+        self.level, self.trend = np.full(k, level), np.full(k, (y[m:2 * m].mean() - level) / m)
+        if m == 1:
+            self.level = self.level - self.trend  # so that the first value is met exactly
+        self.season = np.tile(y[:m] - level if m > 1 else np.zeros(1), (k, 1))
+        self.sse, self.ready = np.zeros(k), True
+        return True
+
+    def step(self, y: float) -> np.ndarray:
+        """One-step forecast of every cell, before ``y`` is learned."""
+        i = self.t % self.m
+        s = self.season[:, i]
+        f = self.level + self.trend + s
+        if y != y:
+            y = f
+        elif self.t >= self.m:
+            self.sse = self.sse + (y - f) ** 2
+        level = self.a * (y - s) + (1 - self.a) * (self.level + self.trend)
+        self.trend = self.b * (level - self.level) + (1 - self.b) * self.trend
+        if self.m > 1:
+            self.season[:, i] = self.g * (y - level) + (1 - self.g) * s
+        self.level = level
+        self.t += 1
+        return f
+
+    def forecast(self, cell: int, h: int) -> list[float]:
+        return [float(self.level[cell] + k * self.trend[cell] + self.season[cell, (self.t + k - 1) % self.m]) for k in range(1, h + 1)]
+
+
+def fit(y: Sequence[float], period: int) -> tuple[Smoother, int]:
+    """Smoother over the whole grid after ``y``, and its best cell."""
+    s = Smoother(grid(period), period)
+    s.first = list(map(float, y[:2 * period]))
+    if not s.start():
+        raise ValueError(f"needs at least two full seasons ({2 * period} rows), got {len(y)}")
+    for v in y:
+        s.step(float(v))
+    return s, int(np.argmin(s.sse))
+
+
+def _typed(df: DataFrame, names: Sequence[str]) -> str:
+    return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in names)
+
+
+def scan_forecasts(rows: DataFrame, keys: list[str], order: str, value: str, mark: str, period: int, h: int) -> DataFrame:
+    """(keys, mark, sse, cell array, f array) of the best cell at every row whose ``mark`` is not null."""
+    cells = grid(period)
+    chunks = [cells[a:a + CELLS_PER_CHUNK] for a in range(0, len(cells), CELLS_PER_CHUNK)]
+    nk = len(keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, s, waiting = None, None, []
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False, name=None):
+                key, y, at = r[:nk + 1], r[nk + 1], r[nk + 2]
+                if key != now:
+                    now, s, waiting = key, Smoother(chunks[key[-1]], period), []
+                if not s.ready:
+                    s.first.append(float("nan") if y is None else float(y))
+                    waiting.append((y, at))
+                    if len(waiting) < 2 * period or not s.start():
+                        continue
+                    todo, waiting = waiting, []
+                else:
+                    todo = [(y, at)]
+                for v, mark_at in todo:
+                    s.step(float("nan") if v is None else float(v))
+                    if mark_at is not None and mark_at == mark_at and s.t >= 2 * period:
+                        best = int(np.argmin(s.sse))
+                        out.append((*key[:-1], int(mark_at), float(s.sse[best]), [float(x[best]) for x in (s.a, s.b, s.g)], s.forecast(best, h)))
+            yield pd.DataFrame(out, columns=[*keys, "mark", "sse", "cell", "f"])
+
+    x = rows.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(len(chunks) - 1))).alias("_chunk"), F.col(value).cast("double").alias("_y"),
+                    F.col(mark).cast("int").alias("_mark"), F.col(order).alias("_o"))
+    x = x.repartition(*keys, "_chunk").sortWithinPartitions(*keys, "_chunk", "_o")
+    got = x.select(*keys, "_chunk", "_y", "_mark").mapInPandas(run, f"{_typed(rows, keys)}, mark int, sse double, cell array<double>, f array<double>")
+    best = F.min_by(F.struct("sse", "cell", "f"), F.struct("sse", "cell"))
+    return got.groupBy(*keys, "mark").agg(best.alias("_b")).select(*keys, "mark", "_b.*")
+
+
+def _register(name: str, period) -> None:
+    @register_scan(name, need_rows=lambda cfg: cfg.n_folds * cfg.n_forecasts + 2 * period(cfg))
+    def forecast(pos: DataFrame, keys: list[str], value: str, cfg: ForecastConfig) -> DataFrame:
+        h = cfg.n_forecasts
+        at = F.when(((F.col("rn_desc") - 1) % h == 0) & (F.col("rn_desc") <= cfg.n_folds * h + 1), F.floor((F.col("rn_desc") - 1) / h) - 1)
+        got = scan_forecasts(pos.withColumn("_at", at), keys, "rn", value, "_at", period(cfg), h)
+        steps = got.select(*keys, F.col("mark").alias("fold"), F.posexplode("f").alias("_p", "yhat"))
+        return steps.withColumn("step", F.col("_p") + 1).drop("_p").join(origins(pos, keys, value, cfg), [*keys, "fold"])
+
+
+_register("holt", lambda cfg: 1)
+_register("holt_winters", lambda cfg: cfg.seasonal_periods)
+
+
+def smooth_fixed(df: DataFrame, keys, ts: str, col: str, period: int, alpha="alpha", beta="beta", gamma="gamma") -> DataFrame:
+    """``df`` with fitted, level, trend and season for given parameters (numbers or columns)."""
     keys = require_keys(keys)
-    out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
-                           + ["fitted double", "alpha double", "beta double", "gamma double"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MAX_GROUP_ROWS:
-            raise ValueError(f"series longer than {MAX_GROUP_ROWS} rows")
-        pdf = pdf.sort_values(ts)
-        fit = fit_holt_winters(pdf[col].to_numpy(dtype=float), period)
-        return pdf.assign(fitted=fit["fitted"], alpha=fit["alpha"], beta=fit["beta"], gamma=fit["gamma"])
+    names = df.columns
+    at = {c: i for i, c in enumerate(names)}
+    par = [F.col(p) if isinstance(p, str) else F.lit(float(p)) for p in (alpha, beta, gamma)]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"{c} double" for c in ("fitted", "level", "trend", "season")])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, s, waiting = None, None, []
+        none = (None, None, None, None)
+
+        def learned(r):
+            y = r[at[col]]
+            i = s.t % s.m
+            f = s.step(float("nan") if y is None else float(y))
+            return (*r, float(f[0]), float(s.level[0]), float(s.trend[0]), float(s.season[0, i]))
+
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False, name=None):
+                r, cell = row[:len(names)], row[len(names):]
+                key = tuple(r[at[k]] for k in keys)
+                if key != now:
+                    out += [(*w, *none) for w in waiting]  # too short to start
+                    now, s, waiting = key, Smoother(np.array([cell], float), period), []
+                if s.ready:
+                    out.append(learned(r))
+                    continue
+                y = r[at[col]]
+                s.first.append(float("nan") if y is None else float(y))
+                waiting.append(r)
+                if len(waiting) == 2 * period and s.start():
+                    out += [learned(w) for w in waiting]
+                    waiting = []
+            yield pd.DataFrame(out, columns=[*names, "fitted", "level", "trend", "season"])
+        if waiting:
+            yield pd.DataFrame([(*w, *none) for w in waiting], columns=[*names, "fitted", "level", "trend", "season"])
+
+    x = df.select("*", *[p.alias(f"_par{i}") for i, p in enumerate(par)]).repartition(*keys).sortWithinPartitions(*keys, ts)
+    return x.mapInPandas(run, schema)
 
-    return df.groupBy(*keys).applyInPandas(run, out_schema)
 
-
-def holt_winters_fixed(df: DataFrame, keys, ts: str, col: str, period: int, alpha: float, beta: float,
-                       gamma: float) -> DataFrame:
-    """G8 with given parameters: one-step fitted values (the exact recursion)."""
+def fitted_components(df: DataFrame, keys, ts: str, col: str, period: int) -> DataFrame:
+    """Fitted, level, trend and season with each series' best parameters (alpha, beta, gamma)."""
     keys = require_keys(keys)
-    out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
-                           + ["fitted double"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts)
-        *_, fitted = holt_winters_path(pdf[col].to_numpy(dtype=float), period, alpha, beta, gamma)
-        return pdf.assign(fitted=fitted[0])
-
-    return df.groupBy(*keys).applyInPandas(run, out_schema)
-
+    last = df.groupBy(*keys).agg(F.max(ts).alias("_last"))
+    marked = df.join(last, keys).withColumn("_mark", F.when(F.col(ts) == F.col("_last"), 0))
+    best = scan_forecasts(marked, keys, ts, col, "_mark", period, 1).select(
+        *keys, *[F.get("cell", F.lit(i)).alias(c) for i, c in enumerate(("alpha", "beta", "gamma"))])
+    filled = df.join(best, keys, "left")
+    for c in ("alpha", "beta", "gamma"):
+        filled = filled.withColumn(c, F.coalesce(c, F.lit(0.5)))  # of a series too short to start; its fitted values are NULL
+    return smooth_fixed(filled, keys, ts, col, period)

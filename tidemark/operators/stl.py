@@ -3,9 +3,8 @@
 NumPy implementation of the published algorithm (Cleveland, Cleveland,
 McRae & Terpenning, 1990): inner loop of cycle-subseries smoothing, low-pass
 filtering and trend smoothing; robust outer loop with bisquare weights.
-LOESS (degree 1, tricube) is vectorised over evaluation points.  Each series
-is one Arrow group (size checked against ``MAX_GROUP_ROWS``); many series run
-in parallel.
+LOESS (degree 1, tricube) is vectorised over evaluation points.  Long series are
+solved in overlapping blocks of rows, which run in parallel.
 """
 
 from __future__ import annotations
@@ -15,8 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..schema import require_keys
+from . import sequence as seq
 
-MAX_GROUP_ROWS = 1_000_000
 _CHUNK = 2048
 
 
@@ -111,17 +110,25 @@ def stl(y: np.ndarray, period: int, seasonal: int = 7, trend: int | None = None,
 
 
 def stl_decompose(df: DataFrame, keys, ts: str, col: str, period: int, seasonal: int = 7,
-                  robust: bool = True) -> DataFrame:
-    """Per-series STL; adds ``trend``, ``seasonal``, ``residual``, ``robust_weight``."""
+                  robust: bool = True, block_rows: int = 8192, bucket: str = seq.DEFAULT_BUCKET) -> DataFrame:
+    """STL per series; adds ``trend``, ``seasonal``, ``residual``, ``robust_weight``.
+
+    LOESS is local, so a series longer than a block is solved in blocks of ``block_rows`` rows or 64 seasons
+    with 16 seasons of halo on both sides; the scale of the robustness weights (a median) is each block's own.
+    Blocks shorter than two seasons belong to series that short and give NULL components.
+    """
     keys = require_keys(keys)
+    halo, own_rows = 16 * period, max(block_rows, 64 * period)
+    d = seq.with_halo(seq.index_rows(df, keys, ts, bucket=bucket), keys, before=halo, after=halo, block_rows=own_rows)
+    names = [f.name for f in df.schema.fields]
     out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
                            + ["trend double", "seasonal double", "residual double", "robust_weight double"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MAX_GROUP_ROWS:
-            raise ValueError(f"series longer than {MAX_GROUP_ROWS} rows; use the classical decomposition")
-        pdf = pdf.sort_values(ts)
-        s, t, r, w = stl(pdf[col].to_numpy(dtype=float), period, seasonal, robust=robust)
-        return pdf.assign(trend=t, seasonal=s, residual=r, robust_weight=w)
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:  # one block: block_rows + 2 halos at most
+        pdf = pdf.sort_values(seq.RN)
+        y = pdf[col].to_numpy(dtype=float)
+        parts = stl(y, period, seasonal, robust=robust) if len(y) >= 2 * period else [np.full(len(y), np.nan)] * 4
+        own = ~pdf[seq.HALO].to_numpy(bool)
+        return pdf[names].assign(trend=parts[1], seasonal=parts[0], residual=parts[2], robust_weight=parts[3])[own]
 
-    return df.groupBy(*keys).applyInPandas(run, out_schema)
+    return d.groupBy(*keys, seq.BLK).applyInPandas(run, out_schema)

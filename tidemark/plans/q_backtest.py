@@ -51,12 +51,47 @@ def _bt_sql(tail: str, ctes: str = _BT_CTES) -> str:
 
 
 @register("g18_backtest_native", "series_id:s ts:t actual:d baseline:d predicted:d model_fold:i",
-          _bt_sql("x AS (SELECT 1) SELECT * FROM final"))
+          _bt_sql(f"""x AS (SELECT 1) SELECT * FROM final
+QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY ts DESC, model_fold DESC) <= {NT}"""))
 def q_backtest(spark, sf):
     """G18 rolling-origin backtest (naive baseline on true dates, drift model on own business dates)."""
     return _artifacts(spark, sf).final
 
 
+# the same over every business day from the first to the last, gaps carried forward: all n_tests + 1 rows join
+DENSE_SQL = """(WITH d0 AS ({daily}), s AS (SELECT series_id, min(ts) AS a, max(ts) AS b FROM d0 GROUP BY 1),
+  days AS (SELECT series_id, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS ts FROM s)
+  SELECT series_id, ts, coalesce(last_value(value IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY ts),
+    first_value(value IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS value
+  FROM days LEFT JOIN d0 USING (series_id, ts) WHERE isodow(ts) <= 5)"""
+
+
+def dense_sql(ctes_and_tail: str) -> str:
+    """SQL over the dense business-day series under the name ``daily``."""
+    return "WITH daily AS " + DENSE_SQL.format(daily=td.VIEW_SQL["daily"]) + ",\n" + ctes_and_tail
+
+
+def dense_daily(spark, sf):
+    from ..operators import impute as im
+    return im.ffill_bfill(im.densify_business_days(td.daily(spark, sf), KEYS, "ts"), KEYS, "ts", ["value"])
+
+
+@register("g18_backtest_dense", "series_id:s ts:t actual:d baseline:d predicted:d model_fold:i",
+          dense_sql(_BT_CTES + f""" SELECT * FROM final
+QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY ts DESC, model_fold DESC) <= {NT}"""))
+def q_backtest_dense(spark, sf):
+    """G18 on gap-free series: exactly n_tests rows a series."""
+    return bt.run_backtest(dense_daily(spark, sf), KEYS, "ts", "value", CFG, block_rows=256).final
+
+
+@register("u4_run_all_learned", "run_model:s series_id:s Model:s MAE:d RMSE:d Directional Accuracy:d")
+def q_learned(spark, sf):
+    """The learned models (ridge, change, lag-trend-season) backtested against Holt-Winters."""
+    art = bt.run_all(dense_daily(spark, sf), KEYS, "ts", "value", ["ridge", "change_ridge", "ar_trend"], CFG,
+                     baseline="holt_winters", block_rows=256)
+    return art.metrics.select("run_model", "series_id", "Model", "MAE", "RMSE", "Directional Accuracy")
+
+
 @register("g18_forecast", "series_id:s step:i ts:t Future Predictions:d",
           _bt_sql("x AS (SELECT 1) SELECT series_id, step, ts, yhat AS \"Future Predictions\" FROM mall WHERE fold = -1"))
 def q_forecast(spark, sf):
