@@ -22,6 +22,11 @@ def test_html_rows_and_pager(spark):
     rows = hp.table_rows(df).orderBy("row_no").collect()
     assert [r.cells for r in rows] == [["Ngày", "Giá"], ["24/04/2026", "1.234,56"]]
     assert [r.is_header for r in rows] == [True, False]
+    later = hp.table_rows(df.withColumn("is_first", F.lit(False)), first_page="is_first").collect()
+    assert [r.cells for r in later] == [["24/04/2026", "1.234,56"]]
+    mixed = spark.createDataFrame([(1, "u", "<table><tr><th>Name</th><td>x</td></tr></table>out of 9 things")], "page_id long, url string, html string")
+    assert [r.cells for r in hp.table_rows(mixed).collect()] == [["Name"]]
+    assert hp.page_count(mixed).first().total_pages is None  # no pager
     pc = hp.page_count(df).first()
     assert pc.total_pages == 37 and pc.total_rows == 740
 
@@ -65,7 +70,7 @@ def test_stream_upsert_equals_batch(spark):
     upd.write.parquet(f"{src}/b1")
     q = up.start_upsert_stream(spark, f"{src}/b*", schema, table, ["series_id"], "ts")
     q.awaitTermination()
-    got = spark.read.parquet(table).drop(up.BATCH_COL, up.PART_COL)
+    got = spark.read.parquet(table).drop(up.BATCH_COL, up.STREAM_COL, up.PART_COL)
     want = al.upsert_latest(hist, upd, ["series_id"], "ts")
     # the update batch only rewrote the months it touched
     months = {r[0] for r in spark.read.parquet(table).where(F.col(up.BATCH_COL) == 1)
@@ -73,10 +78,60 @@ def test_stream_upsert_equals_batch(spark):
     assert months == {r[0] for r in upd.select((F.year("ts") * 100 + F.month("ts")).alias("m")).distinct().collect()}
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
     before = spark.read.parquet(table).collect()
-    up.upsert_batch(upd, 0, table, ["series_id"], "ts")  # replay of an old batch id
+    stream = spark.read.parquet(table).where(F.col(up.BATCH_COL) == 1).first()[up.STREAM_COL]
+    up.upsert_batch(upd, 1, table, ["series_id"], "ts", stream_id=stream)  # replay of an applied batch
     assert sorted(spark.read.parquet(table).collect()) == sorted(before)
 
 
+def test_upsert_duplicates_restarts_and_new_columns(spark):
+    table = tempfile.mkdtemp(prefix="tm-up-") + "/table"
+    schema = "series_id string, ts date, value double, _seq long"
+    import datetime as dt
+    day = dt.date(2026, 1, 5)
+    one = lambda rows, **kw: up.upsert_batch(spark.createDataFrame(rows, schema), 0, table, ["series_id"], "ts", **kw)
+    read = lambda: spark.read.option("mergeSchema", True).parquet(table)
+    one([("s", day, 1.0, 1), ("s", day, 2.0, 2), ("s", day, 1.5, 0)], stream_id="a")
+    assert [r.value for r in read().collect()] == [2.0]  # the last row of the first batch, once
+    one([("s", day, 9.0, 1)], stream_id="a")
+    assert [r.value for r in read().collect()] == [2.0]  # a replay
+    one([("s", day, 3.0, 1)], stream_id="b")
+    assert [r.value for r in read().collect()] == [3.0]  # another stream starts at batch 0 too
+    wider = spark.createDataFrame([("s", day, 4.0, 1, "x")], schema + ", note string")
+    up.upsert_batch(wider, 1, table, ["series_id"], "ts", stream_id="b")
+    assert [(r.value, r.note) for r in read().collect()] == [(4.0, "x")]
+
+
+def test_guarded_write_keeps_the_old_output(spark, monkeypatch):
+    out = tempfile.mkdtemp(prefix="tm-swap-") + "/clean"
+    fl.write_guarded(spark.createDataFrame([(1,)], "a int"), out, fmt="parquet")
+    with pytest.raises(ValueError, match="refusing to overwrite"):
+        fl.write_guarded(spark.createDataFrame([], "a int"), out, fmt="parquet")
+    assert [r.a for r in spark.read.parquet(out).collect()] == [1]
+    real = fl._fs(spark, out)
+
+    class Fails:
+        """A file system on which the staged folder cannot take its place."""
+        def __getattr__(self, name):
+            return getattr(real[0], name)
+
+        def rename(self, a, b):
+            return False if str(a.toString()).endswith(".staging") else real[0].rename(a, b)
+
+    monkeypatch.setattr(fl, "_fs", lambda s, p: (Fails(), *real[1:]))
+    with pytest.raises(OSError, match="could not move"):
+        fl.write_guarded(spark.createDataFrame([(2,)], "a int"), out, fmt="parquet")
+    assert [r.a for r in spark.read.parquet(out).collect()] == [1]
+    monkeypatch.undo()
+    fl.write_guarded(spark.createDataFrame([(3,)], "a int"), out, fmt="parquet")
+    assert [r.a for r in spark.read.parquet(out).collect()] == [3]
+
+
+def test_align_inner_long(spark):
+    rows = [("a", 1, 1.0), ("b", 1, 2.0), ("a", 2, 3.0), ("b", 2, None), ("a", 3, 4.0), ("b", 3, 5.0)]
+    df = spark.createDataFrame(rows, "symbol string, ts int, value double")
+    assert sorted(r.value for r in al.align_inner_long(df, "symbol", "ts", "value", 2).collect()) == [1.0, 2.0, 4.0, 5.0]
+
+
 def test_fault_isolated_runner(spark):
     """A failing model is recorded, the others are written, the run raises at the end."""
     from tidemark.plans import jobs

@@ -16,8 +16,6 @@ from ..schema import as_list, require_keys
 from . import sequence as seq
 from .impute import ffill_bfill
 
-MAX_PIVOT_VALUES = 10_000
-
 
 # C1 / C2 / C3 / C7 -------------------------------------------------------------
 def inner_on(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -48,20 +46,25 @@ def _check_values(values: Sequence[str]) -> list[str]:
     vals = list(values)
     if not vals:
         raise ValueError("pivot needs an explicit, non-empty list of symbols")
-    if len(vals) > MAX_PIVOT_VALUES:
-        raise ValueError(f"refusing to pivot more than {MAX_PIVOT_VALUES} symbols")
     return vals
 
 
 def align_inner(long: DataFrame, symbol: str, ts: str, value: str, symbols: Sequence[str]) -> DataFrame:
-    """C4: one row per ``ts`` that every listed symbol has; one column per symbol."""
+    """C4: one row per ``ts`` that every listed symbol has; one column per symbol.
+
+    A column per symbol is a form for the edge; ``align_inner_long`` is the same set of rows in long form.
+    """
     vals = _check_values(symbols)
     wide = (long.where(F.col(symbol).isin(vals))
             .groupBy(ts).pivot(symbol, vals).agg(F.first(value)))
-    complete = F.lit(True)
-    for v in vals:
-        complete = complete & F.col(f"`{v}`").isNotNull()
-    return wide.where(complete)
+    return wide.where(F.size(F.array_compact(F.array(*[F.col(f"`{v}`") for v in vals]))) == len(vals))
+
+
+def align_inner_long(long: DataFrame, symbol: str, ts: str, value: str, n_symbols: int) -> DataFrame:
+    """C4 in long form, for any number of symbols: the rows of each ``ts`` at which ``n_symbols`` have a value."""
+    known = long.where(F.col(value).isNotNull())
+    full = known.groupBy(ts).agg(F.count_distinct(symbol).alias("_k")).where(F.col("_k") == n_symbols).select(ts)
+    return known.join(full, [ts], "left_semi")
 
 
 def align_outer_filled(long: DataFrame, symbol: str, ts: str, value: str, symbols: Sequence[str],
@@ -126,15 +129,19 @@ def upsert_latest(history: DataFrame, batch: DataFrame, keys, ts: str, drop: Seq
     """Keyed upsert of a fresh batch over history, newest batch wins.
 
     Union with a batch rank and keep the highest rank per (keys, ts) as an
-    aggregate (map-side combined, safe for hot keys).
+    aggregate (map-side combined, safe for hot keys).  Inside one side the last
+    row by the ingest ordinal ``_seq`` wins (without one, the largest row, so the
+    result never depends on task order).  Columns that only the batch has are kept.
     """
     keys = require_keys(keys)
     h = history.drop(*[c for c in drop if c in history.columns])
     b = batch.drop(*[c for c in drop if c in batch.columns])
-    cols = [c for c in h.columns]
+    cols = h.columns + [c for c in b.columns if c not in h.columns]
     u = h.withColumn("_rank", F.lit(0)).unionByName(b.withColumn("_rank", F.lit(1)), allowMissingColumns=True)
     others = [c for c in cols if c not in (*keys, ts)]
-    out = u.groupBy(*keys, ts).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in others]), F.col("_rank")).alias("_r"))
+    row = F.struct(*[F.col(f"`{c}`") for c in others])
+    rank = F.struct("_rank", F.coalesce(F.col("_seq").cast("long"), F.lit(0)) if "_seq" in cols else F.lit(0), row)
+    out = u.groupBy(*keys, ts).agg(F.max_by(row, rank).alias("_r"))
     return out.select(*keys, ts, "_r.*").select(*cols)
 
 

@@ -29,7 +29,7 @@ def run_models_isolated(df: DataFrame, keys, ts: str, value: str, models: Sequen
             write(m, bt.run_backtest(df, keys, ts, value, cfg, model=m, baseline=baseline, **kw))
             status[m] = "ok"
         except Exception as e:  # noqa: BLE001 - isolation is the point
-            status[m] = f"failed: {type(e).__name__}: {str(e)[:300]}"
+            status[m] = f"failed: {type(e).__name__}: {e}"
     failed = {m: s for m, s in status.items() if s != "ok"}
     if failed:
         raise RuntimeError("Forecast run failed for: " + "; ".join(f"{m} ({s})" for m, s in failed.items()))

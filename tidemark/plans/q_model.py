@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from ..operators import backtest as bt
 from ..operators import decompose as dc
@@ -171,3 +172,81 @@ def q_fourier_fc(spark, sf):
     from ..operators import impute as im
     dense = im.ffill_bfill(im.densify_business_days(td.daily(spark, sf), KEYS, "ts"), KEYS, "ts", ["value"])
     return dc.fourier_forecast(dense, KEYS, "ts", "value", n_steps=2, ar_order=5, block_rows=256)
+
+
+# Closed forms: one or two lags, one step, no penalty ------------------------------------------
+def _lag_sql(values: str, tail: str) -> str:
+    """Origins with the value, one value back (b) and the next (y); ``tr``: targets before the validation target."""
+    return td.with_views(f"""v AS ({values}),
+p AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY series_id) AS n, lag(x) OVER w AS b, lead(x) OVER w AS y
+  FROM v WINDOW w AS (PARTITION BY series_id ORDER BY ts)),
+tr AS (SELECT * FROM p WHERE rn + 1 <= n - 2),
+o AS (SELECT *, CASE n - rn WHEN 0 THEN 'future' WHEN 1 THEN 'test' ELSE 'val' END AS split FROM p WHERE n - rn <= 2),
+{tail}""", "daily").replace("GROUP BY 1, 2)\nv AS", "GROUP BY 1, 2),\nv AS", 1)
+
+
+@register("g11_one_lag_ols", "series_id:s split:s origin:t yhat:d actual:d", _lag_sql(
+    "SELECT series_id, ts, value / 1e6 AS x FROM daily",
+    """f AS (SELECT series_id, regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM tr GROUP BY 1)
+SELECT o.series_id, split, ts AS origin, i + s * x AS yhat, y AS actual FROM o JOIN f USING (series_id)"""))
+def q_one_lag(spark, sf):
+    """G11 with one lag, one step, no penalty: simple regression (values in millions)."""
+    from ..operators import regress as rg
+    out = rg.direct_forecast(td.daily(spark, sf), KEYS, "ts", "value", 1, 1, alphas=[0.0], block_rows=256)
+    return out.withColumns({c: F.col(c) / 1e6 for c in ("yhat", "actual")})
+
+
+@register("g11_two_lag_ols", "series_id:s split:s origin:t yhat:d actual:d", _lag_sql(
+    "SELECT series_id, ts, value / 1e6 AS x FROM daily",
+    """c AS (SELECT series_id, avg(x) AS mx, avg(b) AS mb, avg(y) AS my, var_pop(x) AS vx, var_pop(b) AS vb, covar_pop(x, b) AS xb,
+    covar_pop(y, x) AS yx, covar_pop(y, b) AS yb FROM tr WHERE b IS NOT NULL GROUP BY 1),
+f AS (SELECT *, (yx * vb - yb * xb) / (vx * vb - xb * xb) AS s, (yb * vx - yx * xb) / (vx * vb - xb * xb) AS t FROM c)
+SELECT o.series_id, split, ts AS origin, my + s * (x - mx) + t * (b - mb) AS yhat, y AS actual FROM o JOIN f USING (series_id)"""))
+def q_two_lag(spark, sf):
+    """G11 with two lags: the two-regressor closed form (values in millions)."""
+    from ..operators import regress as rg
+    out = rg.direct_forecast(td.daily(spark, sf), KEYS, "ts", "value", 2, 1, alphas=[0.0], block_rows=256)
+    return out.withColumns({c: F.col(c) / 1e6 for c in ("yhat", "actual")})
+
+
+@register("g13_one_lag_change", "series_id:s split:s origin:t yhat:d price:d", _lag_sql(
+    "SELECT * FROM (SELECT series_id, ts, value, value / lag(value) OVER (PARTITION BY series_id ORDER BY ts) - 1 AS x FROM daily) q WHERE x IS NOT NULL",
+    """f AS (SELECT series_id, regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM tr GROUP BY 1)
+SELECT o.series_id, split, ts AS origin, i + s * x AS yhat, value * (1 + i + s * x) / 1e6 AS price FROM o JOIN f USING (series_id)"""))
+def q_one_lag_change(spark, sf):
+    """G13/G14 with one lag, one step, no penalty: simple regression of changes, compounded (price in millions)."""
+    from ..operators import regress as rg
+    out = rg.change_forecast(td.daily(spark, sf), KEYS, "ts", "value", 1, 1, alphas=[0.0], block_rows=256)
+    return out.withColumn("price", F.col("price") / 1e6)
+
+
+# Recursions with given parameters --------------------------------------------------------------
+@register("g7_holt_fixed", "series_id:s ts:t fitted:d level:d trend:d", td.with_views("""RECURSIVE p AS (SELECT series_id, ts, value / 1e6 AS y,
+    row_number() OVER w AS rn, lead(value / 1e6) OVER w AS y2 FROM daily WINDOW w AS (PARTITION BY series_id ORDER BY ts)),
+r AS (SELECT series_id, rn, ts, y AS fitted, y AS level, y2 - y AS trend FROM p WHERE rn = 1
+  UNION ALL SELECT series_id, rn, ts, f, l, 0.1 * (l - level) + 0.9 * trend FROM (
+    SELECT r.series_id, p.rn, p.ts, r.level, r.trend, r.level + r.trend AS f, 0.3 * p.y + 0.7 * (r.level + r.trend) AS l
+    FROM r JOIN p ON p.series_id = r.series_id AND p.rn = r.rn + 1) q)
+SELECT series_id, ts, fitted, level, trend FROM r""", "daily").replace("WITH daily", "WITH RECURSIVE daily").replace("GROUP BY 1, 2)\nRECURSIVE p", "GROUP BY 1, 2),\np", 1))
+def q_holt_fixed(spark, sf):
+    """G7 Holt's linear trend with alpha 0.3, beta 0.1 (values in millions)."""
+    from ..operators import smoothing as smo
+    d = td.daily(spark, sf).withColumn("value", F.col("value") / 1e6)
+    return smo.smooth_fixed(d, KEYS, "ts", "value", 1, 0.3, 0.1, 0.0)
+
+
+@register("g8_holt_winters_fixed", "series_id:s ts:t fitted:d level:d trend:d season:d", td.with_views("""RECURSIVE p AS (SELECT series_id, ts,
+    value / 1e6 AS y, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS rn FROM daily),
+i AS (SELECT series_id, avg(y) FILTER (rn <= 3) AS l, (avg(y) FILTER (rn > 3) - avg(y) FILTER (rn <= 3)) / 3 AS t,
+  max(y) FILTER (rn = 1) AS y1, max(y) FILTER (rn = 2) AS y2, max(y) FILTER (rn = 3) AS y3 FROM p WHERE rn <= 6 GROUP BY 1),
+r AS (SELECT series_id, 0::BIGINT AS rn, NULL::DATE AS ts, 0.0::DOUBLE AS fitted, l AS level, t AS trend, 0.0::DOUBLE AS season,
+    y1 - l AS s1, y2 - l AS s2, y3 - l AS s3 FROM i
+  UNION ALL SELECT series_id, rn, ts, f, l, 0.1 * (l - level) + 0.9 * trend, 0.2 * (y - l) + 0.8 * s1, s2, s3, 0.2 * (y - l) + 0.8 * s1 FROM (
+    SELECT r.series_id, p.rn, p.ts, p.y, r.level, r.trend, r.s1, r.s2, r.s3, r.level + r.trend + r.s1 AS f,
+      0.3 * (p.y - r.s1) + 0.7 * (r.level + r.trend) AS l FROM r JOIN p ON p.series_id = r.series_id AND p.rn = r.rn + 1) q)
+SELECT series_id, ts, fitted, level, trend, season FROM r WHERE rn > 0""", "daily").replace("WITH daily", "WITH RECURSIVE daily").replace("GROUP BY 1, 2)\nRECURSIVE p", "GROUP BY 1, 2),\np", 1))
+def q_hw_fixed(spark, sf):
+    """G8/G9 additive Holt-Winters with a season of 3, alpha 0.3, beta 0.1, gamma 0.2 (values in millions)."""
+    from ..operators import smoothing as smo
+    d = td.daily(spark, sf).withColumn("value", F.col("value") / 1e6)
+    return smo.smooth_fixed(d, KEYS, "ts", "value", 3, 0.3, 0.1, 0.2)

@@ -9,28 +9,38 @@ from ..sources import testdata as td
 from .registry import register
 
 
-@register("a6_html_table_rows", "page_id:i row_no:i cells:s",
-          r"""SELECT page_id, row_no, cells FROM (
-  SELECT page_id, row_no, list_transform(regexp_extract_all(tr, '(?is)<t[hd][^>]*>(.*?)</t[hd]>', 1),
-           lambda c: trim(regexp_replace(c, '(?s)<[^>]*>', '', 'g'))) AS cl, tr
-  FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<tr([^>]*)>(.*?)</tr>', 0)) AS tr,
-               generate_subscripts(regexp_extract_all(html, '(?is)<tr([^>]*)>(.*?)</tr>', 0), 1) - 1 AS row_no
-        FROM pages) r
-  WHERE NOT contains(lower(regexp_extract(tr, '(?is)^<tr([^>]*)>', 1)), 'footer')) x,
-  LATERAL (SELECT array_to_string(CASE WHEN len(cl) > 0 AND cl[-1] = '' THEN cl[1:len(cl) - 1] ELSE cl END, '|')
-           AS cells, CASE WHEN len(cl) > 0 AND cl[-1] = '' THEN len(cl) - 1 ELSE len(cl) END AS n) y
-WHERE n > 0""")
+PER_PAGE = 50
+
+
+def order_pages(spark, sf):
+    """The orders table as a listing of HTML pages: title row, at most ``PER_PAGE`` rows, a footer row with the pager."""
+    o = td.table(spark, sf, "orders")
+    page = F.floor(F.col("o_orderkey") / PER_PAGE).cast("long")
+    tr = F.concat(F.lit("<tr class='r'><td> "), F.col("o_orderkey").cast("string"), F.lit("</td><td><b>"), F.col("o_orderpriority"),
+                  F.lit("</b></td>\n<td class=x>"), F.col("o_orderstatus"), F.lit("</td><td></td></tr>"))
+    x = o.groupBy(page.alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", tr.alias("tr")))).alias("rows"))  # PER_PAGE at most
+    body = F.array_join(F.transform("rows", lambda r: r["tr"]), "")
+    last, n = o.agg(F.floor(F.max("o_orderkey") / PER_PAGE).cast("long"), F.count(F.lit(1))).first()
+    html = F.concat(F.lit("<table><tr><th>Key</th><th>Priority</th><th>Status</th></tr>"), body,
+                    F.lit("<tr class='TableFooter'><td><span>Page "), (F.col("page_id") + 1).cast("string"), F.lit(" of </span><b>"),
+                    F.lit(str(int(last or 0) + 1)), F.lit("</b></td><td><a onclick=\"GoPage('g', 'p', 2, "), F.lit(str(n)),
+                    F.lit(");\">Next</a></td></tr></table>"))
+    return x.select("page_id", (F.col("page_id") == 0).alias("is_first"), html.alias("html"))
+
+
+@register("a6_html_table_rows", "page_id:i row_no:i cells:s", f"""
+WITH o AS (SELECT o_orderkey // {PER_PAGE} AS page_id, row_number() OVER (PARTITION BY o_orderkey // {PER_PAGE} ORDER BY o_orderkey) AS row_no,
+  o_orderkey || '|' || o_orderpriority || '|' || o_orderstatus AS cells FROM orders)
+SELECT * FROM o UNION ALL SELECT 0, 0, 'Key|Priority|Status' WHERE EXISTS (SELECT 1 FROM o WHERE page_id = 0)""")
 def q_rows(spark, sf):
-    """A6 table rows and cell texts from every raw page (footer rows skipped)."""
-    r = hp.table_rows(td.table(spark, sf, "pages"))
+    """A6 rows and cells read back from the orders listing (title row of the first page only, no footer rows)."""
+    r = hp.table_rows(order_pages(spark, sf), first_page="is_first")
     return r.select("page_id", "row_no", F.array_join("cells", "|").alias("cells"))
 
 
-@register("a7_pager_counts", "page_id:i total_pages:d total_rows:d",
-          r"""SELECT page_id,
-  CAST(NULLIF(regexp_extract(html, '(?i)of\s+(\d+)', 1), '') AS BIGINT) AS total_pages,
-  CAST(NULLIF(regexp_extract(html, 'GoPage\(\s*[^,]*,\s*[^,]*,\s*[^,]*,\s*''?(\d+)', 1), '') AS BIGINT) AS total_rows
-FROM pages""")
+@register("a7_pager_counts", "page_id:i total_pages:i total_rows:i", f"""
+SELECT DISTINCT o_orderkey // {PER_PAGE} AS page_id, (SELECT max(o_orderkey) // {PER_PAGE} + 1 FROM orders) AS total_pages,
+  (SELECT count(*) FROM orders) AS total_rows FROM orders""")
 def q_pager(spark, sf):
-    """A7 page count from pager text and total rows from the pager link, per raw page."""
-    return hp.page_count(td.table(spark, sf, "pages")).select("page_id", "total_pages", "total_rows")
+    """A7 page count from the pager text and total rows from the pager link, per page of the orders listing."""
+    return hp.page_count(order_pages(spark, sf)).select("page_id", "total_pages", "total_rows")

@@ -53,29 +53,40 @@ def _fs(spark: SparkSession, path: str):
 
 def write_guarded(df: DataFrame, path: str, fmt: str = "csv", what: str = "rows",
                   partition_by: Sequence[str] = ()) -> None:
-    """Refuse to write an empty result; write to ``path.staging`` and swap.
+    """Write once to ``path.staging``, refuse an empty result, then put it in place.
 
-    ``partition_by`` with dynamic partition overwrite replaces only the
-    partitions present in ``df`` (A9).
+    A plain target is renamed to ``path.previous``, the staged folder takes its name, and only then is the
+    previous one removed; a crash in between leaves one of the two complete, and a failed rename is undone.
+    With ``partition_by`` the staged rows replace only the partitions they have (A9), by the writer's own
+    dynamic overwrite, whose job commits at its end.
     """
     spark = df.sparkSession
-    if df.isEmpty():
+    staging, previous = path.rstrip("/") + ".staging", path.rstrip("/") + ".previous"
+    plain = "parquet" if partition_by else fmt
+    df.write.mode("overwrite").options(**({"header": "true"} if plain == "csv" else {})).format(plain).save(staging)
+    fs, target, jvm = _fs(spark, path)
+    src, old = jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(previous)
+    read = spark.read.schema(df.schema) if plain == "parquet" else spark.read.option("header", True)
+    staged = read.format(plain).load(staging)
+    if staged.isEmpty():
+        fs.delete(src, True)
         raise ValueError(f"No valid {what} remain after preprocessing; refusing to overwrite {path}")
-    w = df.write.mode("overwrite")
-    if fmt == "csv":
-        w = w.option("header", True)
     if partition_by:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        w.partitionBy(*partition_by).format(fmt).save(path)
+        (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").options(**({"header": "true"} if fmt == "csv" else {}))
+         .partitionBy(*partition_by).format(fmt).save(path))
+        fs.delete(src, True)
         return
-    staging = path.rstrip("/") + ".staging"
-    w.format(fmt).save(staging)
-    fs, target, jvm = _fs(spark, path)
-    src = jvm.org.apache.hadoop.fs.Path(staging)
     if fs.exists(target):
-        fs.delete(target, True)
+        if fs.exists(old):
+            fs.delete(old, True)  # left by a run that ended after its rename
+        if not fs.rename(target, old):
+            raise OSError(f"could not set {path} aside")
     if not fs.rename(src, target):
+        if fs.exists(old):
+            fs.rename(old, target)
         raise OSError(f"could not move {staging} to {path}")
+    if fs.exists(old):
+        fs.delete(old, True)
 
 
 def write_artifacts(final: DataFrame, metrics: DataFrame, forecast: DataFrame, root: str,

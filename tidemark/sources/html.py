@@ -11,26 +11,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROW_RE = r"(?is)<tr([^>]*)>(.*?)</tr>"
-CELL_RE = r"(?is)<t[hd][^>]*>(.*?)</t[hd]>"
+TH_RE = r"(?is)<th(?:\s[^>]*)?>(.*?)</th>"
+TD_RE = r"(?is)<td(?:\s[^>]*)?>(.*?)</td>"
 TAG_RE = r"(?s)<[^>]*>"
 
 
+def _is_footer(attrs, footer_class: str):
+    return F.lower(attrs).contains(footer_class.lower())
+
+
 def table_rows(pages: DataFrame, page_col: str = "page_id", html_col: str = "html",
-               footer_class: str = "footer", first_page: DataFrame | None = None) -> DataFrame:
-    """(page, row_no, cells array<string>) for every table row.
+               footer_class: str = "footer", first_page: str | None = None) -> DataFrame:
+    """(page, row_no, is_header, cells array<string>) for every table row.
 
-    Rows whose ``<tr>`` carries ``footer_class`` are skipped; cell text has tags
-    stripped and is trimmed; a trailing empty cell is dropped.  Header rows
-    (``<th>`` cells) are kept only on a page's first table; ``is_header``
-    marks them so later pages can drop theirs.
+    Rows whose ``<tr>`` carries ``footer_class`` are skipped.  A row's cells are its ``<th>`` cells if it has
+    any, else its ``<td>`` cells; their text has tags stripped and is trimmed, and a trailing empty cell is
+    dropped.  ``first_page`` names a boolean column: on pages where it is false the first row of the table
+    (the title row, repeated on every page of a listing) is skipped.
     """
-    rows = pages.select(page_col, F.posexplode(F.regexp_extract_all(F.col(html_col), F.lit(ROW_RE), 0))
+    keep_first = F.lit(True) if first_page is None else F.coalesce(F.col(first_page), F.lit(False))
+    rows = pages.select(page_col, keep_first.alias("_first"), F.posexplode(F.regexp_extract_all(F.col(html_col), F.lit(ROW_RE), 0))
                         .alias("row_no", "tr"))
-    rows = rows.withColumn("attrs", F.regexp_extract("tr", r"(?is)^<tr([^>]*)>", 1))
-    rows = rows.where(~F.lower("attrs").contains(footer_class.lower()))
-    cells = F.transform(F.regexp_extract_all("tr", F.lit(CELL_RE), 1),
-                        lambda c: F.trim(F.regexp_replace(c, TAG_RE, "")))
-    rows = rows.withColumn("cells", cells).withColumn("is_header", F.lower("tr").contains("<th"))
+    rows = rows.where(F.col("_first") | (F.col("row_no") > 0))
+    rows = rows.where(~_is_footer(F.regexp_extract("tr", r"(?is)^<tr([^>]*)>", 1), footer_class))
+    head, body = F.regexp_extract_all("tr", F.lit(TH_RE), 1), F.regexp_extract_all("tr", F.lit(TD_RE), 1)
+    rows = rows.withColumn("is_header", F.size(head) > 0)
+    cells = F.transform(F.when(F.col("is_header"), head).otherwise(body), lambda c: F.trim(F.regexp_replace(c, TAG_RE, "")))
+    rows = rows.withColumn("cells", cells)
     last_empty = (F.size("cells") > 0) & (F.element_at("cells", -1) == "")
     rows = rows.withColumn("cells", F.when(last_empty, F.slice("cells", 1, F.size("cells") - 1))
                            .otherwise(F.col("cells")))
@@ -38,9 +45,11 @@ def table_rows(pages: DataFrame, page_col: str = "page_id", html_col: str = "htm
 
 
 def page_count(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """Total pages from pager text ``... of N`` and total rows from the 4th ``GoPage(...)`` argument."""
-    pages_n = F.regexp_extract(F.col(html_col), r"(?i)of\s+(\d+)", 1)
-    rows_n = F.regexp_extract(F.col(html_col), r"GoPage\(\s*[^,]*,\s*[^,]*,\s*[^,]*,\s*'?(\d+)", 1)
+    """Total pages and total rows from the pager: the text ``Page k of N`` (tags stripped), and the fourth
+    argument of the ``GoPage(...)`` call of its link; NULL on a page without them."""
+    text = F.regexp_replace(F.regexp_replace(F.col(html_col), TAG_RE, " "), r"\s+", " ")
+    pages_n = F.regexp_extract(text, r"(?i)\bpage \d+ of (\d+)", 1)
+    rows_n = F.regexp_extract(F.col(html_col), r"GoPage\(\s*[^,)]*,\s*[^,)]*,\s*[^,)]*,\s*'?(\d+)", 1)
     return pages.withColumns({
         "total_pages": F.when(pages_n != "", pages_n.cast("long")),
         "total_rows": F.when(rows_n != "", rows_n.cast("long")),

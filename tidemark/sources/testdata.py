@@ -8,7 +8,7 @@ them.  Each view has a DuckDB twin (``VIEW_SQL``) used by the oracle queries.
 * ``supplier_daily`` -- shipped quantity per supplier and day; the number of
   series grows with the scale factor (one per supplier)
 * ``hourly`` -- total event value per event type and hour (TIMESTAMP series)
-* ``updates`` -- the last 30 dates of ``daily`` with value * 1.01
+* ``updates`` -- a later batch for ``daily``: the partly shipped orders of each date, value * 1.01
 """
 
 from __future__ import annotations
@@ -50,11 +50,9 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = daily(spark, sf_dir)
-    last_dates = (d.select("ts").distinct()
-                  .orderBy(F.col("ts").desc()).limit(30))  # top-k is the feature here
-    return (d.join(F.broadcast(last_dates), "ts")  # at most 30 rows by construction
-            .select("series_id", "ts", (F.col("value") * 1.01).alias("value")))
+    o = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "P")
+    return (o.groupBy(F.col("o_orderpriority").alias("series_id"), F.to_date("o_orderdate").alias("ts"))
+            .agg((F.sum("o_totalprice") * 1.01).alias("value")))
 
 
 VIEW_SQL = {
@@ -67,9 +65,8 @@ VIEW_SQL = {
     "hourly": ("SELECT event_type AS series_id, date_trunc('hour', ts) AS ts, "
                "SUM(value) AS value FROM events GROUP BY 1, 2"),
 }
-VIEW_SQL["updates"] = (
-    "SELECT series_id, ts, value * 1.01 AS value FROM (" + VIEW_SQL["daily"] + ") d "
-    "WHERE ts IN (SELECT DISTINCT ts FROM (" + VIEW_SQL["daily"] + ") x ORDER BY ts DESC LIMIT 30)")
+VIEW_SQL["updates"] = ("SELECT o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS ts, "
+                       "SUM(o_totalprice) * 1.01 AS value FROM orders WHERE o_orderstatus = 'P' GROUP BY 1, 2")
 
 
 def with_views(sql: str, *names: str) -> str:

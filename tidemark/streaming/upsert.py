@@ -6,9 +6,10 @@ wins per (keys, ts)).  The table is partitioned by year-month of ``ts``; a
 batch reads only the partitions it touches (partition pruning on the batch's
 months, a short list) and replaces only those with a dynamic partition
 overwrite, committed in one job, so the cost of a batch follows the batch, not
-the table.  The batch id is stored in the rows: a replayed batch (after a
-failure between the write and the stream's commit) finds its id already
-applied to those partitions and is skipped, leaving the table unchanged.
+the table.  The ids of the stream and the batch are stored in the rows: a
+replayed batch (after a failure between the write and the stream's commit)
+finds its ids already applied to those partitions and is skipped, leaving the
+table unchanged.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ from pyspark.sql import types as T
 
 from ..operators.align import upsert_latest
 from ..schema import require_keys
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
 
 BATCH_COL = "_batch_id"
+STREAM_COL = "_stream_id"
 PART_COL = "_ym"
 
 
@@ -34,10 +36,16 @@ def _table_exists(spark: SparkSession, path: str) -> bool:
 
 
 def upsert_batch(batch: DataFrame, batch_id: int, table_path: str, keys: Sequence[str], ts: str,
-                 transform: Callable[[DataFrame], DataFrame] | None = None) -> None:
-    """H1 body: C9 upsert of one micro-batch into the partitions it touches (idempotent)."""
+                 transform: Callable[[DataFrame], DataFrame] | None = None, stream_id: str | None = None) -> None:
+    """H1 body: C9 upsert of one micro-batch into the partitions it touches (idempotent).
+
+    Every batch, the first too, is reduced to one row per (keys, ts).  A replay is known by its stream and
+    batch id, so a new stream, or one that lost its checkpoint, starts at batch 0 without being skipped.
+    """
     spark = batch.sparkSession
     keys = require_keys(keys)
+    # the query's id stays the same while its checkpoint is kept
+    stream = stream_id or spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
     b = transform(batch) if transform else batch
     b = b.withColumn(PART_COL, (F.year(ts) * 100 + F.month(ts)).cast("int"))
     # the months present in one batch: a short list, used for partition pruning
@@ -45,20 +53,18 @@ def upsert_batch(batch: DataFrame, batch_id: int, table_path: str, keys: Sequenc
     if not parts:
         return
     if _table_exists(spark, table_path):
-        cur = spark.read.parquet(table_path).where(F.col(PART_COL).isin(parts))
-        done = cur.agg(F.max(BATCH_COL)).first()[0]
+        cur = spark.read.option("mergeSchema", True).parquet(table_path).where(F.col(PART_COL).isin(parts))
+        done = cur.where(F.col(STREAM_COL) == stream).agg(F.max(BATCH_COL)).first()[0]
         if done is not None and batch_id <= done:
             return  # replay of an applied batch
-        hist = cur.drop(BATCH_COL)
-        merged = upsert_latest(hist, b.select(*hist.columns), keys, ts, drop=())
+        hist = cur.drop(BATCH_COL, STREAM_COL)
     else:
-        merged = b
-    out = merged.withColumn(BATCH_COL, F.lit(int(batch_id)).cast("long"))
+        hist = b.where(F.lit(False))
+    merged = upsert_latest(hist, b, keys, ts, drop=())
+    out = merged.withColumns({BATCH_COL: F.lit(int(batch_id)).cast("long"), STREAM_COL: F.lit(stream)})
     # the result reads the partitions it replaces: cut lineage in the shared checkpoint folder first
-    ensure_checkpoint_dir(spark)
-    out = out.checkpoint(eager=True)
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    out.write.mode("overwrite").partitionBy(PART_COL).parquet(table_path)
+    out = cut_lineage(out)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART_COL).parquet(table_path)
 
 
 def start_upsert_stream(spark: SparkSession, source_dir: str, schema: T.StructType | str, table_path: str,
