@@ -40,9 +40,12 @@ def blank_to_null(col: str | Column) -> Column:
 
 
 def parse_date(col: str | Column, fmt: str = "M/d/yyyy", strict: bool = False) -> Column:
-    """Text -> DATE.  Unpadded patterns accept padded input too."""
+    """Text -> DATE.  Unpadded patterns accept padded input too; two-digit years 69 to 99 are of the 1900s."""
     c = _c(col)
-    return F.to_date(c, fmt) if strict else F.try_to_date(c, fmt)
+    d = F.to_date(c, fmt) if strict else F.try_to_date(c, fmt)
+    if "yy" in fmt and "yyyy" not in fmt:
+        d = F.when(F.year(d) > 2068, F.add_months(d, -1200)).otherwise(d)
+    return d
 
 
 def parse_instant_utc_date(col: str | Column, formats=("yyyy-MM-dd HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ssXXX",

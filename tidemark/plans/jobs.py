@@ -11,6 +11,7 @@ from ..operators import align as al
 from ..operators import backtest as bt
 from ..operators import clean as cl
 from ..operators import impute as im
+from ..functions import text as tx
 from ..operators import indicators as ind
 from ..schema import require_keys
 
@@ -91,3 +92,46 @@ def merge_instruments(target: DataFrame, others: DataFrame, symbol: str, ts: str
     filled = im.proportional_backcast(long, [symbol], ts, [value], target_col, **kw)
     wide = filled.groupBy(ts).pivot(symbol, vals).agg(F.first(value)).join(t, ts, "full")
     return cl.drop_all_zero_columns(wide)
+
+
+def merge_on_dates(target: DataFrame, tables: Sequence[DataFrame], ts: str, value: str, **kw) -> DataFrame:
+    """G29, inner form: the target and the wide tables on the dates all have, all-zero columns dropped (B24),
+    then the other columns backcast proportionally to the target (D2)."""
+    out = target
+    for t in tables:
+        out = al.inner_on(out, t, [ts])
+    out = cl.drop_all_zero_columns(out)
+    names = al.other_columns(out, target)
+    long = out.unpivot([ts, value], [F.col(f"`{c}`") for c in names], "_symbol", "_v")
+    filled = im.proportional_backcast(long, ["_symbol"], ts, ["_v"], value, **kw)
+    wide = filled.groupBy(ts).pivot("_symbol", names).agg(F.first("_v"))
+    return out.select(*target.columns).join(wide, ts)
+
+
+# G28 cleaning jobs ---------------------------------------------------------------
+def clean_ohlc(raw: DataFrame, keys, proxy: DataFrame | None = None, date_format: str = "d/M/yyyy", price: str = "Price",
+               out: str = "close", max_change: float = 0.03, **kw) -> DataFrame:
+    """Index and futures files: (keys, ts, close) from text dates and prices with thousands separators.
+
+    Incomplete rows and repeated rows go, then rows whose change from the row before is over ``max_change``
+    (B22); with ``proxy`` (keys, ts, close) its older history is put in front (C8).
+    """
+    keys = require_keys(keys)
+    d = raw.select(*keys, tx.parse_date(F.col("Date"), date_format).alias("ts"), tx.thousands_number(F.col(f"`{price}`")).alias(out))
+    d = cl.distinct_rows(cl.drop_null_rows(d))
+    d = cl.remove_outliers(d, keys, "ts", out, max_change)
+    return d if proxy is None else al.splice_history(d, proxy.select(*keys, "ts", out), keys, "ts", **kw)
+
+
+def clean_list(raw: DataFrame, symbol: str, min_rows: int = 4000, date_format: str = "M/d/yyyy") -> DataFrame:
+    """Stock list files: (symbol, ts, close) of the symbols with at least ``min_rows`` rows; headers are cleaned."""
+    d = cl.clean_headers(cl.min_history(raw, [symbol], min_rows))
+    return d.select(symbol, tx.parse_date(F.col("Date"), date_format).alias("ts"), F.col("Close").try_cast("double").alias("close"))
+
+
+def clean_external(raw: DataFrame, symbol: str, min_rows: int = 4500) -> DataFrame:
+    """External instruments: mixed date texts as UTC dates, the first row of a date (by ``_seq``), symbols with
+    at least ``min_rows`` dates."""
+    d = raw.withColumnsRenamed({c: c.title() for c in ("close", "date") if c in raw.columns and c.title() not in raw.columns})
+    d = d.select("_seq", symbol, tx.parse_instant_utc_date("Date").alias("ts"), F.col("Close").try_cast("double").alias("close"))
+    return cl.min_history(cl.dedupe(d, [symbol, "ts"], keep="first").drop("_seq"), [symbol], min_rows)

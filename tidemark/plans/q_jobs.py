@@ -160,3 +160,72 @@ def q_merge(spark, sf):
     backcast proportionally to it, all-zero columns dropped, one pivot at the end."""
     target = td.daily(spark, sf).where(F.col("series_id") == "1-URGENT")
     return jobs.merge_instruments(target, td.ship(spark, sf), "series_id", "ts", "value", ["A", "N", "R"])
+
+
+# G28 jobs over raw-text views of the given tables --------------------------------------------
+MAX_CHANGE = 0.5
+LIST_ROWS = 1500
+
+
+def _raw_prices(spark, sf, date_format: str):
+    """Daily values as text files have them; every Sunday's price is missing, and every row is there twice."""
+    d = td.daily(spark, sf)
+    one = d.select("series_id", F.date_format("ts", date_format).alias("Date"),
+                   F.when(F.dayofweek("ts") == 1, None).otherwise(F.format_number("value", 2)).alias("Price"))
+    return one.unionByName(one)
+
+
+_PRICES_SQL = f"""t0 AS (SELECT series_id, ts, round(value, 2) AS close FROM daily WHERE isodow(ts) <> 7),
+t AS (SELECT series_id, ts, close FROM (SELECT *, lag(close) OVER (PARTITION BY series_id ORDER BY ts) AS p FROM t0) q
+  WHERE p IS NULL OR abs(close / p - 1) <= {MAX_CHANGE})"""
+
+
+@register("g28_clean_ohlc", "series_id:s ts:t close:d", td.with_views(_PRICES_SQL + ",\n" + """p AS (SELECT series_id, ts, value / 2 AS close FROM daily)
+SELECT series_id, ts, close FROM t UNION ALL SELECT series_id, ts, close FROM (
+  SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS rn, count(*) OVER (PARTITION BY series_id) AS np FROM p) x
+JOIN (SELECT series_id, count(*) AS nt FROM t GROUP BY 1) c USING (series_id) WHERE rn <= np - nt""", "daily").replace("GROUP BY 1, 2)\nt0", "GROUP BY 1, 2),\nt0", 1))
+def q_ohlc(spark, sf):
+    """G28 index file: day/month/year dates, separators, repeats, outliers, older history of a proxy."""
+    proxy = td.daily(spark, sf).select("series_id", "ts", (F.col("value") / 2).alias("close"))
+    return jobs.clean_ohlc(_raw_prices(spark, sf, "d/M/yyyy"), ["series_id"], proxy, max_change=MAX_CHANGE)
+
+
+@register("g28_clean_futures", "series_id:s ts:t close:d",
+          td.with_views(_PRICES_SQL + "\nSELECT series_id, ts, close FROM t", "daily").replace("GROUP BY 1, 2)\nt0", "GROUP BY 1, 2),\nt0", 1))
+def q_futures(spark, sf):
+    """G28 futures file: day-month-short-year dates."""
+    return jobs.clean_ohlc(_raw_prices(spark, sf, "d-M-yy"), ["series_id"], date_format="d-M-yy", max_change=MAX_CHANGE)
+
+
+@register("g28_clean_list", "series_id:s ts:t close:d", td.with_views(f"""SELECT series_id, ts, value AS close FROM ship
+WHERE series_id IN (SELECT series_id FROM ship GROUP BY 1 HAVING count(*) >= {LIST_ROWS})""", "ship"))
+def q_list(spark, sf):
+    """G28 stock list: one text file a symbol, symbols with a short history left out."""
+    s = td.ship(spark, sf)
+    raw = s.select("series_id", F.date_format("ts", "M/d/yyyy").alias("Date"), F.col("value").cast("string").alias("Close (thousands)"))
+    return jobs.clean_list(raw, "series_id", LIST_ROWS)
+
+
+@register("g28_clean_external", "series_id:s ts:t close:d", td.with_views(f"""e AS (SELECT series_id, CAST(ts + INTERVAL 5 HOUR AS DATE) AS d, ts, value FROM hourly),
+f AS (SELECT series_id, d AS ts, arg_min(value, ts) AS close FROM e GROUP BY 1, 2)
+SELECT * FROM f WHERE series_id IN (SELECT series_id FROM f GROUP BY 1 HAVING count(*) >= 5)""", "hourly").replace("GROUP BY 1, 2)\ne AS", "GROUP BY 1, 2),\ne AS", 1))
+def q_external(spark, sf):
+    """G28 external instruments: instants with an offset as UTC dates, the first row of a date."""
+    h = td.hourly(spark, sf)
+    raw = h.select("series_id", F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("-05:00")).alias("date"),
+                   F.col("value").cast("string").alias("close"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("_seq"))
+    return jobs.clean_external(raw, "series_id", 5)
+
+
+@register("g29_merge_on_dates", "ts:t value:d A:d N:d R:d x:d", td.with_views("""t AS (SELECT ts, value FROM daily WHERE series_id = '2-HIGH'),
+w AS (SELECT ts, max(value) FILTER (series_id = 'A') AS "A", max(value) FILTER (series_id = 'N') AS "N", max(value) FILTER (series_id = 'R') AS "R" FROM ship GROUP BY 1),
+c AS (SELECT ts, "A", "N", "R" FROM w WHERE "A" IS NOT NULL AND "N" IS NOT NULL AND "R" IS NOT NULL),
+x AS (SELECT CAST(o_orderdate AS DATE) AS ts, sum(o_totalprice) AS x FROM orders GROUP BY 1)
+SELECT ts, value, "A", "N", "R", x FROM t JOIN c USING (ts) JOIN x USING (ts)""", "daily", "ship").replace("GROUP BY 1, 2)\nt AS", "GROUP BY 1, 2),\nt AS", 1))
+def q_merge_on_dates(spark, sf):
+    """G29 index merge: target, list and external columns on common dates; a column of zeros is dropped."""
+    from ..operators import align as al
+    target = td.daily(spark, sf).where(F.col("series_id") == "2-HIGH").select("ts", "value")
+    listed = al.align_inner(td.ship(spark, sf), "series_id", "ts", "value", ["A", "N", "R"])
+    external = td.table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("ts")).agg(F.sum("o_totalprice").alias("x"), F.sum(F.col("o_totalprice") * 0).alias("zero"))
+    return jobs.merge_on_dates(target, [listed, external], "ts", "value")
