@@ -201,3 +201,14 @@ def test_learned_models_in_the_backtest(spark):
     art = bt.run_all(df, ["series_id"], "ts", "value", models, cfg)
     assert {r.run_model for r in art.metrics.collect()} == set(models)
     assert art.forecast.count() == 6 and art.forecast.where("`Future Predictions` is null").count() == 0
+
+
+def test_price_composition(spark):
+    """On a line with a weekly season the composed forecast goes on with both."""
+    from tidemark.operators import regress as rg
+    f = lambda i: 100 + 0.5 * i + 2 * np.sin(2 * np.pi * i / 5)
+    df = spark.createDataFrame(_business(300, f), "series_id string, ts date, value double")
+    out = rg.price_composition(df, ["series_id"], "ts", "value", 5).orderBy("step").toPandas()
+    assert list(out["step"]) == [1, 2] and np.allclose(out["residual"] + out["trend"] + out["seasonal"], out["forecast"])
+    assert np.abs(out["trend"] - [100 + 0.5 * 300, 100 + 0.5 * 301]).max() < 0.5
+    assert np.abs(out["forecast"] - [f(300), f(301)]).max() < 4.5  # the smoothed season is flat

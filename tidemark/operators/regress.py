@@ -348,3 +348,69 @@ def _ar_trend(pos: DataFrame, keys: list[str], value: str, cfg) -> DataFrame:
     """Lags, piecewise-linear trend and yearly and weekly season."""
     d, extra = trend_fourier_design(pos.select(*keys, "ts", value), keys, "ts")
     return fold_forecasts(d, keys, value, cfg, extra)
+
+
+# ---------------------------------------------------------------- price composition
+FEATURES = ("residual", "trend", "seasonal", "dow_sin", "dow_cos", "month_sin", "month_cos")
+
+
+def price_composition(df: DataFrame, keys, ts: str, value: str, period: int, lags: int = 5, horizon: int = 2, method: str = "stl",
+                      alpha: float = 1.0, betas: Sequence[Sequence[float]] | None = None,
+                      trend_params: tuple[float, float] | None = None, **kw) -> DataFrame:
+    """(keys, step, ts, residual, trend, seasonal, forecast) of the next ``horizon`` business days.
+
+    The series is decomposed (G1); windows over the seven features predict the residual by direct ridge, Holt
+    continues the trend, and the last ``horizon`` values of the smoothed season (E12) are repeated; the parts
+    are added (G10).  ``betas`` (per step: intercept, then all features of lag 0, of lag 1, ...) and
+    ``trend_params`` (alpha, beta) fix the two models instead of fitting them.  Rows without a complete
+    decomposition are left out first, so dates go on from the last complete row.
+    """
+    from ..session import cut_lineage
+    from . import smoothing as sm
+    from .decompose import decompose, recompose
+    from .indicators import centred_mean_reflect, next_business_days, positions
+    keys = require_keys(keys)
+    parts = decompose(df.select(*keys, ts, value), keys, ts, value, period, method, **kw).select(*keys, ts, *FEATURES)
+    d = cut_lineage(parts.where(F.col("trend").isNotNull() & F.col("seasonal").isNotNull() & F.col("residual").isNotNull()))
+
+    # windows over all features: the residual's lags come from ``windows``, those of the others as extra columns
+    others = FEATURES[1:]
+    extra = [f"_{c}_{i}" for i in range(lags) for c in others]
+
+    def lagged(x, w):
+        return x.withColumns({f"_{c}_{i}": F.lag(c, i).over(w) if i else F.col(c) for i in range(lags) for c in others})
+
+    win = windows(seq.bounded(d, keys, ts, lagged, before=lags - 1, **kw), keys, ts, "residual", lags, horizon, extra, **kw)
+    last = win.where(F.col("rn") == F.col("n"))
+    if betas is None:
+        coef = solve(_moments(win.where(F.col("rn") + horizon <= F.col("n")), keys), keys, 1 + lags * len(FEATURES), horizon, [alpha])
+        resid = last.join(coef, keys).select(*keys, "step", (_dot("x", "beta") + F.col("mu")).alias("residual"))
+    else:
+        order = [0] + [1 + i if f == 0 else 1 + lags + i * len(others) + f - 1 for i in range(lags) for f in range(len(FEATURES))]
+        fixed = []
+        for b in betas:
+            x = [0.0] * (1 + lags * len(FEATURES))
+            for at, v in zip(order, b):
+                x[at] = float(v)
+            fixed.append(x)
+        beta = F.array(*[F.array(*[F.lit(v) for v in b]) for b in fixed])
+        raw = F.transform("x", lambda v, i: F.when((i >= 1) & (i <= lags), v + F.col("mu")).otherwise(v))
+        steps = last.select(*keys, raw.alias("x"), F.posexplode(beta).alias("_p", "beta"))
+        resid = steps.select(*keys, (F.col("_p") + 1).alias("step"), _dot("x", "beta").alias("residual"))
+
+    end = positions(d, keys, ts)
+    if trend_params is None:
+        got = sm.scan_forecasts(end.withColumn("_mark", F.when(F.col("rn_desc") == 1, 0)), keys, ts, "trend", "_mark", 1, horizon)
+        trend = got.select(*keys, F.posexplode("f").alias("_p", "trend")).select(*keys, (F.col("_p") + 1).alias("step"), "trend")
+    else:
+        held = sm.smooth_fixed(d.select(*keys, ts, F.col("trend").alias("_t")), keys, ts, "_t", 1, *trend_params, 0.0)
+        at = held.groupBy(*keys).agg(F.max_by(F.struct("level", "trend"), ts).alias("_s"))
+        trend = at.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"), "_s").select(
+            *keys, "step", (F.col("_s.level") + F.col("step") * F.col("_s.trend")).alias("trend"))
+
+    smooth = centred_mean_reflect(d.select(*keys, ts, "seasonal"), keys, ts, "seasonal", out="_season", **kw)
+    season = smooth.join(end.where(F.col("rn_desc") <= horizon).select(*keys, ts, "rn_desc"), [*keys, ts]).select(
+        *keys, (F.lit(horizon + 1) - F.col("rn_desc")).cast("int").alias("step"), F.col("_season").alias("seasonal"))
+    dates = next_business_days(d, keys, ts, horizon)
+    out = recompose({"residual": resid, "trend": trend, "seasonal": season}, keys)
+    return out.join(dates, [*keys, "step"]).select(*keys, "step", ts, "residual", "trend", "seasonal", "forecast")

@@ -250,3 +250,40 @@ def q_hw_fixed(spark, sf):
     from ..operators import smoothing as smo
     d = td.daily(spark, sf).withColumn("value", F.col("value") / 1e6)
     return smo.smooth_fixed(d, KEYS, "ts", "value", 3, 0.3, 0.1, 0.2)
+
+
+# G12 / G10 ---------------------------------------------------------------------------------------
+_G12_BETAS = [[0.01, 0.5, 0.02, 0.1, 0.03], [0.02, 0.25, 0.01, 0.2, 0.04]]
+_G12_SQL = _G3_SQL.replace("FROM daily WINDOW w", "FROM (SELECT series_id, ts, value / 1e6 AS value FROM daily) WINDOW w")
+
+
+@register("g12_price_composition", "series_id:s step:i ts:t residual:d trend:d seasonal:d forecast:d", f"""
+WITH RECURSIVE g AS MATERIALIZED (SELECT * FROM ({_G12_SQL}) q WHERE trend IS NOT NULL),
+p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS rn, count(*) OVER (PARTITION BY series_id) AS n,
+  lead(trend) OVER (PARTITION BY series_id ORDER BY ts) AS next FROM g),
+h AS (SELECT series_id, rn, trend AS l, next - trend AS b FROM p WHERE rn = 1
+  UNION ALL SELECT series_id, rn, nl, 0.1 * (nl - l) + 0.9 * b FROM (SELECT p.series_id, p.rn, h.l, h.b, 0.3 * p.trend + 0.7 * (h.l + h.b) AS nl
+    FROM h JOIN p ON p.series_id = h.series_id AND p.rn = h.rn + 1) q),
+e AS (SELECT p.*, h.l, h.b FROM p JOIN h USING (series_id, rn) WHERE rn = n),
+s AS (SELECT series_id, k AS step, e.ts AS ots, CASE k WHEN 1 THEN 0.01 + 0.5 * residual + 0.02 * trend + 0.1 * seasonal + 0.03 * sin(2 * pi() * (isodow(ts) - 1) / 7)
+    ELSE 0.02 + 0.25 * residual + 0.01 * trend + 0.2 * seasonal + 0.04 * sin(2 * pi() * (isodow(ts) - 1) / 7) END AS residual, l + k * b AS trend, n
+  FROM e, (SELECT unnest([1, 2]) AS k)),
+m AS (SELECT s.series_id, s.step, avg(p.seasonal) AS seasonal FROM (SELECT *, unnest(range(-3, 4)) AS o FROM s) s JOIN p ON p.series_id = s.series_id
+  AND p.rn = CASE WHEN s.step + o > 2 THEN s.n + 3 - s.step - o ELSE s.n - 2 + s.step + o END GROUP BY 1, 2),
+d AS (SELECT series_id, d, row_number() OVER (PARTITION BY series_id ORDER BY d) AS step FROM (SELECT DISTINCT series_id,
+  CAST(unnest(generate_series(ots + INTERVAL 1 DAY, ots + INTERVAL 9 DAY, INTERVAL 1 DAY)) AS DATE) AS d FROM s) q WHERE isodow(d) <= 5)
+SELECT s.series_id, s.step, d.d AS ts, residual, trend, seasonal, residual + trend + seasonal AS forecast
+FROM s JOIN m USING (series_id, step) JOIN d USING (series_id, step)""")
+def q_composition(spark, sf):
+    """G12/G10/G11 with fixed models: windows over the seven features, Holt trend, last smoothed season (millions)."""
+    from ..operators import regress as rg
+    d = td.daily(spark, sf).withColumn("value", F.col("value") / 1e6)
+    return rg.price_composition(d, KEYS, "ts", "value", 7, lags=5, horizon=2, method="classical", betas=_G12_BETAS,
+                                trend_params=(0.3, 0.1), block_rows=256)
+
+
+@register("g12_price_forecast", "series_id:s step:i ts:t residual:d trend:d seasonal:d forecast:d")
+def q_price_forecast(spark, sf):
+    """G12 with fitted models: STL, ridge on the feature windows, Holt by grid search."""
+    from ..operators import regress as rg
+    return rg.price_composition(td.daily(spark, sf), KEYS, "ts", "value", 7, lags=5, horizon=2)
