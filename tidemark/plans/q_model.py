@@ -161,7 +161,7 @@ def q_ar_trend(spark, sf):
 
 @register("g24_pooled_mllib", "series_id:i origin:t step:i yhat:d actual:d split:s")
 def q_pooled(spark, sf):
-    """G11/G24 MLlib LinearRegression per step pooled over suppliers, tuned by TrainValidationSplit."""
+    """G11/G24 MLlib LinearRegression per step pooled over suppliers, chosen on the validation origins."""
     from ..operators import regress as rg
     return rg.pooled_linear(td.supplier_daily(spark, sf), KEYS, "ts", "value", lags=5, horizon=2, block_rows=256)
 

@@ -243,10 +243,11 @@ def q_direction(spark, sf):
           td.with_views("""SELECT series_id, ts,
   100.0 * product(1.0 + r) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
     AS price
-FROM (SELECT series_id, ts, (value - 500000.0) / 5.0e7 AS r FROM daily) a""", "daily"))
+FROM (SELECT series_id, ts, coalesce(value / lag(value) OVER (PARTITION BY series_id ORDER BY ts) - 1.0, 0.0) AS r FROM daily) a""", "daily"))
 def q_compound(spark, sf):
-    """E14 compound small returns derived from the daily value into a price path from base 100."""
-    d = td.daily(spark, sf).withColumn("r", (F.col("value") - 500000.0) / 5.0e7).withColumn("base", F.lit(100.0))
+    """E14 compound the daily changes (E10) into a price path from base 100."""
+    d = ind.pct_change(td.daily(spark, sf), KEYS, "ts", "value", "_chg")
+    d = d.withColumn("r", F.coalesce("_chg", F.lit(0.0))).withColumn("base", F.lit(100.0))
     return ind.compound(d, KEYS, "ts", "r", "base")
 
 
