@@ -34,7 +34,7 @@ from .common import checkpoint, lookup_join, table
 from .components import connected_components
 
 THRESHOLD = 0.93
-SHARD = 1500
+SHARD = 6000
 SAMPLE = 8192
 MAX_SPLIT = 64
 LEVELS = 4
@@ -42,7 +42,7 @@ OVERLAP = 3
 ALPHA = 1.2
 DEGREE = 24
 CANDIDATES = 48
-BEAM = 32
+BEAM = 16
 AUDIT = 256
 MIN_RECALL = 0.95
 ATTEMPTS = 4
@@ -122,11 +122,11 @@ def shards(one: DataFrame, overlap: int, limit: int = SHARD) -> DataFrame:
                  .select(F.xxhash64("old", "part").alias("cell"), "gid", "x", "copies"))
         rest = lookup_join(members, names, F.col("cell") == F.col("bcell"), "left_anti")
         members = checkpoint(rest.unionByName(split))
-    return _blocks(members, 4 * limit)
+    return _blocks(members, 2 * limit)
 
 
 def _blocks(members: DataFrame, most: int) -> DataFrame:
-    """Cells of more than ``most`` vectors as shards of every two blocks."""
+    """Cells of more than ``most`` vectors as shards of every two blocks (each of half as many)."""
     n = checkpoint(members.groupBy(F.col("cell").alias("bcell")).agg(F.ceil(2 * F.count(F.lit(1)) / F.lit(most)).cast("int").alias("b")).where("b > 2"))
     if n.isEmpty():
         return members
@@ -140,22 +140,23 @@ def _blocks(members: DataFrame, most: int) -> DataFrame:
 def build_graph(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATES, alpha: float = ALPHA) -> list[np.ndarray]:
     """Robust-pruned neighbours of each row of unit vectors, with reverse edges."""
     n = len(x)
-    take, far = min(candidates, n - 1), min(8, n - 1)
     if n < 2:
         return [np.empty(0, np.int64)] * n
+    x = x.astype(np.float32)
+    take, far = min(candidates, n - 1), min(8, n - 1)
     out: list[np.ndarray] = []
     random = np.random.default_rng(7).integers(0, n, (n, far))
-    for a in range(0, n, 512):
-        rows = np.arange(a, min(n, a + 512))
+    for a in range(0, n, 256):
+        rows = np.arange(a, min(n, a + 256))
         s = x[rows] @ x.T
         s[np.arange(rows.size), rows] = -2
         near = np.argpartition(-s, take - 1, axis=1)[:, :take]
         cand = np.concatenate((near, random[rows]), 1)
         d = np.take_along_axis(s, cand, 1)
-        d[cand == rows[:, None]] = -2
         by = np.argsort(-d, axis=1, kind="stable")
         cand, d = np.take_along_axis(cand, by, 1), np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(d, by, 1)))
-        between = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ijd,ikd->ijk", x[cand], x[cand])))
+        v = x[cand]
+        between = np.sqrt(np.maximum(0, 2 - 2 * (v @ v.transpose(0, 2, 1))))
         alive = cand != rows[:, None]
         picked = np.zeros_like(alive)
         for j in range(cand.shape[1]):
@@ -168,8 +169,9 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATE
     back: list[list[int]] = [[] for _ in range(n)]
     for i, nb in enumerate(out):
         for j in nb.tolist():
-            back[j].append(i)
-    return [np.unique(np.concatenate((nb, np.array(b[:degree], np.int64)))) for nb, b in zip(out, back)]
+            if len(back[j]) < degree:
+                back[j].append(i)
+    return [np.unique(np.concatenate((nb, np.array(b, np.int64)))) for nb, b in zip(out, back)]
 
 
 def medoids(x: np.ndarray, most: int = 16) -> np.ndarray:
@@ -178,46 +180,73 @@ def medoids(x: np.ndarray, most: int = 16) -> np.ndarray:
     return np.unique((c @ x.T).argmax(1))
 
 
-def range_search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, threshold: float, beam: int = BEAM) -> np.ndarray:
-    """Matrix of found pairs: greedy beam search of all rows at once, then expansion of everything in range.
+def range_search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, threshold: float, beam: int = BEAM, width: int = 4,
+                 block: int = 256) -> np.ndarray:
+    """Matrix of found pairs of unit vectors, verified in double precision.
 
+    Greedy: a block of queries moves together, each expanding the best ``width`` unexpanded nodes of its beam
+    until none is left.  Range: everything found within the threshold is expanded too, until nothing is new.
     ``graph`` is an array of neighbours, padded with -1.
     """
-    n = len(x)
+    n, x32 = len(x), x.astype(np.float32)
     found = np.zeros((n, n), bool)
-    for a in range(0, n, 256):
-        q = np.arange(a, min(n, a + 256))
-        sims = np.full((q.size, n), -2.0)  # of what has been visited
-        done = np.zeros((q.size, n), bool)
-
-        def visit(r: np.ndarray, nodes: np.ndarray, q=q, sims=sims) -> None:
-            r, nodes = np.repeat(r, nodes.shape[1]), nodes.ravel()
-            new = nodes >= 0
-            r, nodes = r[new], nodes[new]
-            new = sims[r, nodes] == -2.0
-            r, nodes = r[new], nodes[new]
-            sims[r, nodes] = np.einsum("ij,ij->i", x[q[r]], x[nodes])
-
-        visit(np.arange(q.size), np.broadcast_to(starts, (q.size, starts.size)))
-        while True:  # the best of the beam that is not expanded yet, for every query that has one
-            width = min(beam, n)
-            top = np.argpartition(-sims, width - 1, axis=1)[:, :width]
-            s = np.where(np.take_along_axis(done, top, 1), -2.0, np.take_along_axis(sims, top, 1))
-            best = s.argmax(1)
-            r = np.flatnonzero(s[np.arange(q.size), best] > -2.0)
-            if not r.size:
+    for a in range(0, n, block):
+        q = np.arange(a, min(n, a + block))
+        k = q.size
+        seen, expanded = np.zeros((k, n), bool), np.zeros((k, n), bool)
+        turn = np.zeros((k, n), np.int32)
+        hits = found[a:a + k]
+
+        def look(r: np.ndarray, nodes: np.ndarray, q=q, seen=seen, turn=turn, hits=hits) -> np.ndarray:
+            """Similarity of pairs seen for the first time (others: -2); those in range become hits."""
+            out = np.full(nodes.size, -2.0, np.float32)
+            new = np.flatnonzero((nodes >= 0) & ~seen[r, nodes])
+            turn[r[new], nodes[new]] = new
+            new = new[turn[r[new], nodes[new]] == new]  # of equal pairs, one
+            seen[r[new], nodes[new]] = True
+            for c in range(0, new.size, 100_000):
+                at = new[c:c + 100_000]
+                out[at] = np.einsum("ij,ij->i", x32[q[r[at]]], x32[nodes[at]])
+            at = new[out[new] >= threshold - 1e-3]
+            at = at[np.einsum("ij,ij->i", x[q[r[at]]], x[nodes[at]]) >= threshold]
+            hits[r[at], nodes[at]] = True
+            return out
+
+        ids = np.full((k, beam), -1, np.int64)
+        sim = np.full((k, beam), -2.0, np.float32)
+        nodes = np.broadcast_to(starts, (k, starts.size))
+        new = look(np.repeat(np.arange(k), starts.size), nodes.ravel()).reshape(k, -1)
+        while True:
+            every, val = np.concatenate((ids, nodes), 1), np.concatenate((sim, new), 1)
+            top = np.argpartition(-val, beam - 1, axis=1)[:, :beam]
+            ids, sim = np.take_along_axis(every, top, 1), np.take_along_axis(val, top, 1)
+            open_ = np.where((sim > -2.0) & ~expanded[np.arange(k)[:, None], ids], sim, -2.0)
+            best = np.argpartition(-open_, width - 1, axis=1)[:, :width]
+            go = np.take_along_axis(open_, best, 1) > -2.0
+            if not go.any():
                 break
-            node = top[r, best[r]]
-            done[r, node] = True
-            visit(r, graph[node])
-        while True:  # everything within range is expanded
-            r, node = np.nonzero((sims >= threshold) & ~done)
+            r, c = np.nonzero(go)
+            node = ids[r, best[r, c]]
+            expanded[r, node] = True
+            nb = graph[node]
+            nodes = np.full((k, width, graph.shape[1]), -1, np.int64)
+            new = np.full(nodes.shape, -2.0, np.float32)
+            nodes[r, c] = nb
+            new[r, c] = look(np.repeat(r, nb.shape[1]), nb.ravel()).reshape(nb.shape)
+            nodes, new = nodes.reshape(k, -1), new.reshape(k, -1)
+        while True:
+            r, node = np.nonzero(hits & ~expanded)
             if not r.size:
                 break
-            done[r, node] = True
-            visit(r, graph[node])
-        found[q] = sims >= threshold
-    found |= found.T
+            r, node = r[:8192], node[:8192]  # the rest in the next round
+            expanded[r, node] = True
+            nb = graph[node]
+            look(np.repeat(r, nb.shape[1]), nb.ravel())
+    for a in range(0, n, 1024):  # a link found from either side
+        for b in range(a, n, 1024):
+            both = found[a:a + 1024, b:b + 1024] | found[b:b + 1024, a:a + 1024].T
+            found[a:a + 1024, b:b + 1024] = both
+            found[b:b + 1024, a:a + 1024] = both.T
     np.fill_diagonal(found, False)
     return found
 
@@ -272,7 +301,8 @@ def find_links(one: DataFrame, threshold: float, overlap: int, limit: int = SHAR
                     earlier.setdefault(int(c), []).append(i)
         for rows in earlier.values():  # pairs that an earlier shard holds too
             found[np.ix_(rows, rows)] = False
-        links = found @ g["copies"].to_numpy(np.int64)
+        copies = g["copies"].to_numpy(np.float64)  # exact below 2^53
+        links = np.concatenate([found[i:i + 512] @ copies for i in range(0, len(ids), 512)]).astype(np.int64)
         some = np.flatnonzero(links)
         a = [ids[i] for i, _ in edges] + ids[some].tolist()
         b = [ids[j] for _, j in edges] + [None] * some.size
