@@ -202,14 +202,15 @@ def ema(df: DataFrame, keys: Sequence[str] | str, ts: str, cols: Sequence[str],
         spans: Sequence[int], *, bucket: str = DEFAULT_BUCKET,
         out: Callable[[str, int], str] | None = None, keep_bucket: bool = False,
         emit_local_rn: str | None = None) -> DataFrame:
-    """``e_t = (1-a) e_{t-1} + a x_t`` with ``a = 2/(span+1)``, seeded by the first value.
-
-    Null inputs are skipped (the state carries over and is reported).
-    Plan: (1) native per-bucket summary ``L_b = a * sum x_q (1-a)^(#later obs)``
-    and ``n_b`` = observations, weights all <= 1 so nothing overflows;
-    (2) per-series carry ``c_b = (1-a)^n_b c_{b-1} + L_b`` over the small bucket
-    table; (3) one Arrow pass per (series, bucket) running the recursion from
-    the carried state.
+    """``e_t = (b e + a x_t) / (b + a)`` with ``a = 2/(span+1)`` and ``b = (1-a)^g``, seeded by the first value.
+
+    ``g`` is the number of rows since the last value, so without NULLs this is ``(1-a) e + a x_t`` and a value
+    after NULL rows weighs more (weights by absolute position).  A NULL row reports the state; rows before the
+    first value are NULL.
+    Plan: (1) native per-bucket summary: the first value, the product ``P`` of the keep weights ``b / (b + a)``
+    of the later values and their weighted sum ``L`` (weights <= 1, nothing overflows), and the NULL rows at
+    both ends; (2) per-series carry over the small bucket table; (3) one Arrow pass per (series, bucket) running
+    the recursion from the carried state.
     """
     keys = require_keys(keys)
     cols = as_list(cols)
@@ -220,52 +221,58 @@ def ema(df: DataFrame, keys: Sequence[str] | str, ts: str, cols: Sequence[str],
     d = df.withColumn(TB, _bucket(ts, bucket)).repartition(*keys, TB)
 
     # (1) bucket summaries, native
-    upto = Window.partitionBy(*keys, TB).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys, TB)
-    s = d
-    aggs = []
+    rows = Window.partitionBy(*keys, TB).orderBy(ts)
+    earlier, later = rows.rowsBetween(Window.unboundedPreceding, -1), rows.rowsBetween(1, Window.unboundedFollowing)
+    s = d.withColumn("_rnb", F.row_number().over(rows))
+    aggs = [F.count(F.lit(1)).alias("_cnt")]
+    for c in cols:
+        at = F.when(F.col(c).isNotNull(), F.col("_rnb"))
+        s = s.withColumn(f"_g_{c}", at - F.max(at).over(earlier))  # NULL at the first value of a bucket
+        aggs += [F.count(F.col(c)).alias(f"_n_{c}"), F.min_by(F.col(c), at).alias(f"_x0_{c}"),
+                 (F.min(at) - 1).alias(f"_lead_{c}"), (F.max(F.col("_rnb")) - F.max(at)).alias(f"_trail_{c}")]
     for c in cols:
-        obs = F.col(c).isNotNull().cast("long")
-        s = s.withColumn(f"_cum_{c}", F.sum(obs).over(upto)).withColumn(f"_tot_{c}", F.sum(obs).over(whole))
-        aggs.append(F.sum(F.col(c).isNotNull().cast("long")).alias(f"_n_{c}"))
-        aggs.append(F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(ts))).alias(f"_x0_{c}"))
         for sp in spans:
             a = alphas[sp]
-            w = F.pow(F.lit(1.0 - a), F.col(f"_tot_{c}") - F.col(f"_cum_{c}"))
-            aggs.append((F.lit(a) * F.sum(F.col(c) * w)).alias(f"_L_{c}_{sp}"))
+            w = F.pow(F.lit(1.0 - a), F.col(f"_g_{c}"))
+            keep = F.when(w.isNotNull(), F.log(F.greatest(w / (w + a), F.lit(1e-300))))
+            s = s.withColumn(f"_k_{c}_{sp}", keep)
+            s = s.withColumn(f"_s_{c}_{sp}", F.exp(F.coalesce(F.sum(f"_k_{c}_{sp}").over(later), F.lit(0.0))))
+            aggs += [F.exp(F.coalesce(F.sum(f"_k_{c}_{sp}"), F.lit(0.0))).alias(f"_P_{c}_{sp}"),
+                     F.coalesce(F.sum(F.col(c) * (a / (w + a)) * F.col(f"_s_{c}_{sp}")), F.lit(0.0)).alias(f"_L_{c}_{sp}")]
     summary = s.groupBy(*keys, TB).agg(*aggs)
 
     # (2) carry over buckets: the bucket table (series x buckets rows) is
     # hash-partitioned by series and sorted, then streamed; the state of the
     # current series is carried across Arrow batch boundaries.
-    carry_fields = [f"_c_{c}_{sp}" for c in cols for sp in spans]
+    carry_fields = [f"_c_{c}_{sp}" for c in cols for sp in spans] + [f"_b_{c}" for c in cols]
     carry_schema = ", ".join([*(f"`{k}` {t}" for k, t in _key_types(df, keys)), f"{TB} timestamp"]
                              + [f"{f} double" for f in carry_fields])
 
     def _carry(batches):
-        last_key, state = None, {}
+        last_key, state, blank = None, {}, {}
         for pdf in batches:
             if pdf.empty:
                 continue
             res = pdf[[*keys, TB]].copy()
             starts = _unit_starts(pdf, keys, last_key)
             cols_out = {f: [0.0] * len(pdf) for f in carry_fields}
-            n = {c: pdf[f"_n_{c}"].tolist() for c in cols}
-            x0 = {c: pdf[f"_x0_{c}"].tolist() for c in cols}
-            L = {(c, sp): pdf[f"_L_{c}_{sp}"].tolist() for c in cols for sp in spans}
+            col = {f: pdf[f].tolist() for f in pdf.columns if f not in (*keys, TB)}
             for i in range(len(pdf)):
                 if starts[i]:
-                    state = {(c, sp): None for c in cols for sp in spans}
+                    state, blank = {(c, sp): None for c in cols for sp in spans}, dict.fromkeys(cols, 0)
                 for c in cols:
-                    ni = n[c][i]
+                    ni = col[f"_n_{c}"][i]
+                    cols_out[f"_b_{c}"][i] = float(blank[c])
                     for sp in spans:
                         st = state[(c, sp)]
-                        if st is None and ni > 0:
-                            st = x0[c][i]
                         cols_out[f"_c_{c}_{sp}"][i] = float("nan") if st is None else st
-                        if st is not None and ni > 0:
-                            st = (1.0 - alphas[sp]) ** ni * st + L[(c, sp)][i]
-                        state[(c, sp)] = st
+                        if ni > 0:
+                            x0 = col[f"_x0_{c}"][i]
+                            if st is not None:
+                                w = (1.0 - alphas[sp]) ** (blank[c] + col[f"_lead_{c}"][i] + 1)
+                                x0 = (w * st + alphas[sp] * x0) / (w + alphas[sp])
+                            state[(c, sp)] = col[f"_P_{c}_{sp}"][i] * x0 + col[f"_L_{c}_{sp}"][i]
+                    blank[c] = int(col[f"_trail_{c}"][i]) if ni > 0 else blank[c] + int(col["_cnt"][i])
             for f, v in cols_out.items():
                 res[f] = v
             last_key = tuple(pdf[k].iloc[-1] for k in keys)
@@ -286,10 +293,9 @@ def ema(df: DataFrame, keys: Sequence[str] | str, ts: str, cols: Sequence[str],
                             if f.name not in out_names] + [f"`{n}` double" for n in out_names]
                            + ([f"`{emit_local_rn}` long"] if emit_local_rn else []))
     unit_cols = [*keys, TB]
-    pairs = [(c, sp) for c in cols for sp in spans]
 
     def _run(batches):
-        last_unit, last_state, last_count = None, {}, 0
+        last_unit, last_state, last_blank, last_count = None, {}, {}, 0
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -303,19 +309,29 @@ def ema(df: DataFrame, keys: Sequence[str] | str, ts: str, cols: Sequence[str],
                 lrn[code == 0] += last_count
             if emit_local_rn:
                 res[emit_local_rn] = lrn.astype("int64")
-            for c, sp in pairs:
-                start = pdf[f"_c_{c}_{sp}"].to_numpy(dtype="float64")[first_rows].copy()
+            for c in cols:
+                x = pdf[c].to_numpy(dtype="float64")
+                known = np.flatnonzero(~np.isnan(x))
+                units, at = np.unique(code[known], return_index=True)
+                at = known[at]  # each unit's first value
+                blank = pdf[f"_b_{c}"].to_numpy(dtype="float64")[first_rows].copy()  # NULL rows just before each unit
                 if continues:
-                    start[0] = last_state[(c, sp)]
-                x = np.insert(pdf[c].to_numpy(dtype="float64"), first_rows, start)
-                u = np.insert(code, first_rows, code[first_rows])
-                is_seed = np.zeros(len(x), dtype=bool)
-                is_seed[first_rows + np.arange(len(first_rows))] = True
-                e = (pd.Series(x).groupby(u, sort=False).ewm(span=sp, adjust=False, ignore_na=True).mean()
-                     .to_numpy())
-                vals = e[~is_seed]
-                res[out(c, sp)] = vals
-                last_state[(c, sp)] = vals[-1]
+                    blank[0] = last_blank[c]
+                gap = blank[units] + at - first_rows[units] + 1
+                for sp in spans:
+                    start = pdf[f"_c_{c}_{sp}"].to_numpy(dtype="float64")[first_rows].copy()
+                    if continues:
+                        start[0] = last_state[(c, sp)]
+                    w = (1.0 - alphas[sp]) ** gap
+                    met = (w * start[units] + alphas[sp] * x[at]) / (w + alphas[sp])
+                    y = x.copy()
+                    y[at] = np.where(np.isnan(start[units]), x[at], met)
+                    e = pd.Series(y).groupby(code, sort=False).ewm(span=sp, adjust=False, ignore_na=False).mean().to_numpy()
+                    vals = np.where(np.isnan(e), start[code], e)
+                    res[out(c, sp)] = vals
+                    last_state[(c, sp)] = vals[-1]
+                last = known[-1] if known.size and code[known[-1]] == code[-1] else None
+                last_blank[c] = len(x) - 1 - last if last is not None else blank[-1] + len(x) - first_rows[-1]
             last_unit = tuple(pdf[k].iloc[-1] for k in unit_cols)
             last_count = int(lrn[-1])
             yield res
