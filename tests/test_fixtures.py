@@ -233,6 +233,12 @@ def test_prediction_checks(spark):
         norm([*rows, ("s", None, "4")]).collect()
 
 
+def test_rows_without_time_are_refused(spark):
+    df = spark.createDataFrame([("s", dt.date(2026, 1, 1), 1.0), ("s", None, 2.0)], "series_id string, ts date, value double")
+    with pytest.raises(Exception, match="NULL in the time column ts"):
+        ind.lags(df, ["series_id"], "ts", ["value"]).collect()
+
+
 def test_windows_keep_nulls(spark):
     d = _series(spark, [1, 2, None, 4, 5, 6, 7, 8, 9, 10])
     w = ind.sliding_windows(d, ["series_id"], "ts", "value", 2, 1).orderBy("origin").collect()

@@ -47,7 +47,9 @@ DEFAULT_BUCKET = "month"
 
 
 def _bucket(ts: str, bucket: str) -> Column:
-    return F.date_trunc(bucket, F.col(ts))
+    """Time bucket of a row; a row without a time has no place in a series and fails the job."""
+    none = F.raise_error(F.lit(f"NULL in the time column {ts}"))
+    return F.coalesce(F.date_trunc(bucket, F.col(ts)), none.cast("timestamp"))
 
 
 def index_rows(df: DataFrame, keys: Sequence[str] | str, ts: str, *,

@@ -232,7 +232,7 @@ def q_interp(spark, sf):
 WHERE gap_seconds IS NOT NULL GROUP BY 1, 2""", "hourly"))
 def q_gaps(spark, sf):
     """D9 distribution of gaps between consecutive hourly timestamps."""
-    return im.gap_distribution(td.hourly(spark, sf), KEYS, "ts", block_rows=256)
+    return im.gap_distribution(td.hourly(spark, sf), KEYS, "ts", block_rows=256, bucket="day")
 
 
 @register("d10_drop_null_target", "series_id:s ts:t value:d value_o:d",
