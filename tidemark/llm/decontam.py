@@ -137,12 +137,13 @@ def _window_rows(width: int, only: np.ndarray | None):
                     n = int(np.unique(w[ok]).size) if only is None else 0
                     seen = {(int(w[i]), tuple(_slots(words, slot, i, width))) for i in at.tolist()}
                     out += [(rid, th, x - (1 << 64) if x >> 63 else x, list(s), n) for x, s in seen]
-            yield pd.DataFrame(out, columns=["rid", "th", "hash", "slots", "n"]).astype({"rid": "Int64"})
+            yield pd.DataFrame(out, columns=["rid", "th", "hash", "slots", "n"])
 
     return rows
 
 
-_ROWS = "rid long, th long, hash long, slots array<string>, n long"
+#: Ids travel as text: pandas would turn a column of numbers with nulls to floats.
+_ROWS = "rid string, th long, hash long, slots array<string>, n long"
 
 
 def agreeing(item_slots: list[list[str]], doc_slots: list[list[str]], hashes: list[int]) -> int:
@@ -161,7 +162,7 @@ def agreeing(item_slots: list[list[str]], doc_slots: list[list[str]], hashes: li
 
 def _item_key(benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
     text = F.col(item_text_col).cast("string")
-    return benchmark.select(F.col(item_col).cast("long").alias("rid"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return benchmark.select(F.col(item_col).cast("string").alias("rid"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -176,7 +177,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         only = np.sort(distinct.toPandas()["hash"].to_numpy(np.int64).view(np.uint64))
         if not only.size:
             only = np.array([0], np.uint64)
-    rows = docs.select(F.col(id_col).cast("long").alias("rid"), F.xxhash64(F.col(text_col).cast("string")).alias("th"),
+    rows = docs.select(F.col(id_col).cast("string").alias("rid"), F.xxhash64(F.col(text_col).cast("string")).alias("th"),
                        F.col(text_col).cast("string").alias("text"))
     # a scan that can be sent few or very many rows is written once: the join below reads it twice
     found = checkpoint(rows.mapInPandas(_window_rows(width, only), _ROWS).drop("n"))
@@ -192,8 +193,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         return pd.DataFrame({"__id": first["rid"], "__th": first["th"], "item_id": first["item"],
                              "similarity": [m / float(first["n"].iloc[0])]})
 
-    out = near.groupBy("rid", "th", "item", "item_th").applyInPandas(check, "__id long, __th long, item_id long, similarity double")
-    return out.where(F.col("similarity") >= similarity)
+    out = near.groupBy("rid", "th", "item", "item_th").applyInPandas(check, "__id string, __th long, item_id string, similarity double")
+    return (out.where(F.col("similarity") >= similarity)
+            .withColumns({"__id": F.col("__id").cast("long"), "item_id": F.col("item_id").cast("long")}))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
