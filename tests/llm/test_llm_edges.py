@@ -134,3 +134,17 @@ def test_chat(spark):
     assert [tuple(t) for t in got[None].back] == [("we\nird\\n<|r", "t")]
     assert len(got[2].loss) == 200_000
     assert chat.format_chat(df.where("false")).count() == 0
+
+
+def test_large_ids_stay_exact(spark):
+    """Ids over 2^53 beside null ids."""
+    big = (1 << 62) + 1
+    text = ROWS[0][1]
+    df = spark.createDataFrame([(big, text), (None, text), (big + 1, text), (None, None)], "doc_id long, text string").coalesce(1)
+    got = sorted(((r.doc_id, r.n_removed) for r in substring.remove_repeats(df, ranges=2).collect()), key=repr)
+    assert got == sorted([(big, 0), (big + 1, 14), (None, 14), (None, 0)], key=repr)
+    items = spark.createDataFrame([(big + 2, text), (None, "x")], "item_id long, text string")
+    hits = {(r["__id"], r.item_id) for r in decontam.contaminated(df, items).collect()}
+    assert hits == {(big, big + 2), (big + 1, big + 2), (None, big + 2)}
+    near = {r.doc_id: r.component_id for r in simhash.near_duplicates(df.where("text is not null")).collect()}
+    assert near == {big: big, None: big, big + 1: big}

@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ from .common import table
 
 WIDTH = 13
 #: Windows that a scan task reduces at a time.
-CHUNK_WINDOWS = 1_500_000
+CHUNK_WINDOWS = 1_000_000
 _NO_ID = (1 << 63) - 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -47,7 +48,7 @@ class _WordHash(dict):
     """Hash of a word, remembered while it is common."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -175,15 +176,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     drops = find_repeats(docs, id_col, text_col, width, ranges, chunk)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
-    x = (docs.select(F.col(id_col).cast("long").alias("__doc"), key.alias("__key"), F.col(text_col).alias("__text"))
-         .join(drops, F.col("__key") == F.col("__id"), "left").select("__doc", "__text", "drops"))
+
+    def shrink(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pack = zstandard.ZstdCompressor(level=1)
+        for p in parts:
+            yield p.assign(__text=[None if t is None else pack.compress(t.encode("utf-8", "surrogatepass")) for t in p["__text"]])
+
+    # whole texts meet their answers in a shuffle: packed, they take two thirds of what its own compression leaves
+    # (pandas would turn a column of ids with nulls to floats: the key is never null)
+    texts = docs.select(key.alias("__key"), F.col(id_col).isNotNull().alias("__has"), F.col(text_col).cast("string").alias("__text"))
+    x = (texts.mapInPandas(shrink, "__key long, __has boolean, __text binary")
+         .join(drops, F.col("__key") == F.col("__id"), "left").select("__key", "__has", "__text", "drops"))
 
     def apply(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _WordHash()
+        known, unpack = _WordHash(), zstandard.ZstdDecompressor()
         for p in parts:
             out = []
-            for doc, text, drop in zip(p["__doc"], p["__text"], p["drops"]):
-                words = words_of(text)
+            for doc, has, text, drop in zip(p["__key"], p["__has"], p["__text"], p["drops"]):
+                words = unpack.decompress(text).split() if text is not None else []
                 spans, n = [], 0
                 if drop is not None:
                     hit = np.isin(window_hashes(words, known, width), np.frombuffer(drop, "<u8"))
@@ -198,13 +208,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
                 else:
                     kept = b" ".join(words)
-                out.append((doc, len(words), n, spans, hashlib.sha256(kept).hexdigest(),
+                out.append((doc, has, len(words), n, spans, hashlib.sha256(kept).hexdigest(),
                             kept.decode("utf-8", "surrogatepass") if with_text else None))
-            yield pd.DataFrame(out, columns=["doc", "n_words", "n_removed", "removed", "kept_sha256", "kept"]).astype({"doc": "Int64"})
+            yield pd.DataFrame(out, columns=["doc", "has", "n_words", "n_removed", "removed", "kept_sha256", "kept"])
 
-    y = x.mapInPandas(apply, "doc long, n_words long, n_removed long, removed array<struct<start:int,end:int>>, "
+    y = x.mapInPandas(apply, "doc long, has boolean, n_words long, n_removed long, removed array<struct<start:int,end:int>>, "
                              "kept_sha256 string, kept string")
-    return y.withColumnRenamed("doc", id_col)
+    return y.select(F.when(F.col("has"), F.col("doc")).alias(id_col), "n_words", "n_removed", "removed", "kept_sha256", "kept")
 
 
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
