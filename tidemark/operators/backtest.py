@@ -279,6 +279,8 @@ def run_backtest(df: DataFrame, keys, ts: str, value: str, cfg: ForecastConfig =
     actual = tail.where(F.col("rn_desc") <= nt + 1).select(*keys, "ts", F.col("y").alias("actual"))
     joined = actual.join(base.withColumnRenamed("yhat", "baseline")
                          .join(mod.withColumnRenamed("yhat", "predicted"), [*keys, "ts"]), [*keys, "ts"])
+    if materialize:  # n_tests + 1 rows a series, read by the final table and several metrics
+        joined = cut_lineage(joined)
     forecast = m_all.where(F.col("fold") == -1).select(*keys, "step", "ts",
                                                         F.col("yhat").alias("Future Predictions"))
     metrics = mt.model_comparison(joined, keys, "ts", "actual", {baseline: "baseline", model: "predicted"},
