@@ -1,10 +1,15 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexical transducer maps words to weighted symbols: insult, threat, target, negation, reported speech and
-clause boundary.  Two small clause machines, one for modality (plain, negated, reported, both) and one for
-whether a target was named, are composed into one table; running it over a text's symbols emits, per matched
-clause, the insults' and threats' weights sorted by the state they were read in.  A document's score is a
-logistic function of those sums, so what a negation or a quotation takes off is learned, not fixed.
+A lexical transducer maps words to weighted symbols: insult, threat, target, negation, reported speech, clause
+boundary, colon and the marks of a reported quotation.  Two small clause machines, one for modality (plain, negated,
+reported, both) and one for whether a target was named, are composed into one table.  Running it over a text's symbols
+holds the insults' and threats' weights until their clause ends and emits them by the modality they were read in and by
+whether the clause names a target before them, only after them, or not at all (a threat without one adds nothing).
+A document's score is a logistic function of those sums, so what a negation or a quotation takes off is learned, not fixed.
+
+A report lasts to the clause's end, across a colon, and through a quotation opened under it until that closes; a
+quotation is also reported if a word of report follows its end within ``TAIL`` words.  Quotation marks without a
+report, or without their other mark in the same paragraph, are passed over.
 
 Function words and English insults are fixed lists; further insult stems (prefixes of words) are learned with
 their weights from labelled texts, as log ratios of document rates.  Stems and the logistic part are fitted on
@@ -51,22 +56,31 @@ REPORTS = ("said says say wrote writes claimed claims quoted quote reported told
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;:\n\"“”„«»]")
 _LETTER = re.compile(r"[^\W\d_]")
-INSULT, THREAT, TARGET, NEGATION, REPORT, BOUNDARY = range(6)
+INSULT, THREAT, TARGET, NEGATION, REPORT, BOUNDARY, COLON, OPEN, CLOSE, QUOTE = range(10)
 #: Words that a negation reaches.
 SCOPE = 3
+#: Words after a quotation among which a word of report makes it reported.
+TAIL = 3
+#: The marks that end a quotation, by the mark that opens it.
+CLOSES = {'"': '"', "“": "”“\"", "„": "“”\"", "«": "»", "»": "«", "”": "”"}
 
 
 def compose(a: list[dict[int, int]], b: list[dict[int, int]]) -> list[list[int]]:
     """Product of two machines over the same symbols: state i * len(b) + j, a row of next states each."""
-    return [[a[i].get(s, i) * len(b) + b[j].get(s, j) for s in range(6)] for i in range(len(a)) for j in range(len(b))]
+    return [[a[i].get(s, i) * len(b) + b[j].get(s, j) for s in range(QUOTE)] for i in range(len(a)) for j in range(len(b))]
 
 
-#: Modality: 0 plain, 1 negated, 2 reported, 3 reported and negated.
-MODALITY = [{NEGATION: 1, REPORT: 2}, {REPORT: 3, BOUNDARY: 0}, {NEGATION: 3, BOUNDARY: 0}, {BOUNDARY: 0}]
+#: Modality: 0 plain, 1 negated, 2 reported, 3 reported and negated, 4 and 5 the last two inside a reported quotation.
+MODALITY = [{NEGATION: 1, REPORT: 2, OPEN: 4}, {REPORT: 3, BOUNDARY: 0, COLON: 0, OPEN: 5}, {NEGATION: 3, BOUNDARY: 0, OPEN: 4},
+            {BOUNDARY: 0, COLON: 2, OPEN: 5}, {NEGATION: 5, CLOSE: 0}, {BOUNDARY: 4, COLON: 4, CLOSE: 0}]
 #: Whether the clause has named a target.
-AIM = [{TARGET: 1}, {BOUNDARY: 0}]
+AIM = [{TARGET: 1}, {BOUNDARY: 0, COLON: 0}]
 CLAUSE = compose(MODALITY, AIM)
-FEATURES = 2 * len(CLAUSE) + 6
+#: Modality of a state as it is counted.
+MODE = [m for m in (0, 1, 2, 3, 2, 3) for _ in AIM]
+#: Sums: symbol by modality by target before or none; then symbol by modality with the target only after; then the whole's.
+HALF, AFTER, WHOLE = 8, 16, 24
+FEATURES = WHOLE + 6
 
 
 @dataclass
@@ -96,7 +110,7 @@ class _Lexicon(dict):
             self.clear()
         hit = None
         if not _LETTER.match(word):
-            hit = (BOUNDARY, 0.0)
+            hit = (QUOTE if word in CLOSES else COLON if word == ":" else BOUNDARY, 0.0)
         else:
             w = word.lower().replace("’", "'")
             hit = self.fixed.get(w)
@@ -110,33 +124,76 @@ class _Lexicon(dict):
         return hit
 
 
+def quotations(tokens: list[str], hits: list) -> dict[int, int]:
+    """Closing mark by opening mark (positions); none spans a blank line, marks of other kinds inside are passed over."""
+    out, start, closes = {}, -1, ""
+    for i, hit in enumerate(hits):
+        if hit is None:
+            continue
+        if hit[0] == QUOTE:
+            if start < 0:
+                start, closes = i, CLOSES[tokens[i]]
+            elif tokens[i] in closes:
+                out[start], start = i, -1
+        elif tokens[i] == "\n" and i and tokens[i - 1] == "\n":
+            start = -1
+    return out
+
+
+def _told(hits: list, at: int) -> bool:
+    """Whether a word of report follows the closing mark at ``at``."""
+    for hit in hits[at + 1:at + 1 + TAIL]:
+        if hit is not None and hit[0] >= REPORT:
+            return hit[0] == REPORT
+    return False
+
+
 def features(text: str | None, lexicon: _Lexicon) -> np.ndarray:
     """Sums of the matched clauses' weights by symbol and state, and a few of their whole."""
     out = np.zeros(FEATURES)
     tokens = _TOKEN.findall(text or "")
-    state, clause, best, total, seen, negated_at = 0, 0.0, 0.0, 0.0, set(), -SCOPE - 1
-    half = len(CLAUSE)
-    for i, (word, hit) in enumerate(zip(tokens, map(lexicon.__getitem__, tokens))):
+    hits = list(map(lexicon.__getitem__, tokens))
+    ends = quotations(tokens, hits) if any(hit is not None and hit[0] == QUOTE for hit in hits) else {}
+    state, best, total, seen, negated_at, closing = 0, 0.0, 0.0, set(), -SCOPE - 1, -1
+    held: list[tuple[int, float, int, int, str]] = []  # the clause's matches: symbol, weight, modality, target before, word
+
+    def end_clause(aimed: int) -> None:
+        nonlocal best, total
+        clause = 0.0
+        for symbol, weight, mode, before, word in held:
+            if symbol == THREAT and not aimed:
+                continue  # a threat needs a target
+            out[AFTER + HALF // 2 * symbol + mode if aimed > before else HALF * symbol + 2 * mode + before] += weight
+            clause += weight
+            seen.add(word)
+        held.clear()
+        total += clause
+        best = max(best, clause)
+
+    for i, hit in enumerate(hits):
         if hit is None:
             continue
         symbol, weight = hit
+        if symbol == QUOTE:
+            if i == closing:
+                symbol = CLOSE
+            elif i in ends and (MODE[state] >= 2 or _told(hits, ends[i])):
+                symbol, closing = OPEN, ends[i]
+            else:
+                continue
+        if held and symbol in (BOUNDARY, COLON):
+            end_clause(state % 2)
         state = CLAUSE[state][symbol]
         if symbol == NEGATION:
             negated_at = i
         elif symbol <= THREAT:
-            at = state
-            if at // 2 in (1, 3) and i - negated_at > SCOPE:
-                at -= 2  # out of the negation's reach
-            if symbol == THREAT and not at % 2:
-                continue  # a threat needs a target
-            out[at + half * symbol] += weight
-            clause += weight
-            total += weight
-            seen.add(word)
-        elif symbol == BOUNDARY:
-            best, clause = max(best, clause), 0.0
+            mode = MODE[state]
+            if mode in (1, 3) and i - negated_at > SCOPE:
+                mode -= 1  # out of the negation's reach
+            held.append((symbol, weight, mode, state % 2, tokens[i]))
+    end_clause(state % 2)
     n = len(tokens)
-    out[2 * half:] = (max(best, clause), np.log1p(n), total / np.sqrt(1.0 + n), np.sqrt(total), len(seen), 100.0 * total / (20.0 + n))
+    out[WHOLE:] = (best, np.log1p(n), total / np.sqrt(1.0 + n), np.sqrt(total), len(seen), 100.0 * total / (20.0 + n))
     return out
 
 
@@ -193,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     data = texts.mapInPandas(read, "x array<double>, label int").toPandas()
     y = data["label"].to_numpy(float) if len(data) else np.zeros(0)
     if not 0 < y.sum() < y.size:
-        g.mean, g.scale, g.coef = [0.0] * FEATURES, [1.0] * FEATURES, [-3.0] + [1.0] * len(CLAUSE) * 2 + [0.0] * 6
+        g.mean, g.scale, g.coef = [0.0] * FEATURES, [1.0] * FEATURES, [-3.0] + [1.0] * WHOLE + [0.0] * 6
         return g
     x = np.stack(data["x"].to_numpy())
     mean, scale = x.mean(0), x.std(0) + 1e-9
