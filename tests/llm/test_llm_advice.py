@@ -7,7 +7,7 @@ import numpy as np
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-from tidemark.llm import toxicity  # noqa: E402
+from tidemark.llm import decontam, toxicity  # noqa: E402
 
 
 # ---- toxicity
@@ -31,3 +31,22 @@ def test_reports_last_through_quotations():
         assert at(t) == [5], t
     assert at('she wrote: "fine". You are an idiot') == [1]  # closed: no longer reported
     assert at('you are an "idiot"') == [1] and at('she wrote "a. You are an idiot') == [1]  # no report; never closed
+
+
+# ---- decontamination
+
+ITEM = "If Anna Miller has 12 apples weighing 3 kg and gives 5 apples to Bob, how many apples does Anna keep at the end of the day?"
+
+
+def variant(name, a, b, c, to):
+    return f"If {name} has {a} apples weighing {b} lb and gives {c} apples to {to}, how many apples does {name.split()[0]} keep at the end of the day?"
+
+
+def test_instances_of_one_template_do_not_outvote_each_other(spark):
+    x, y, z = variant("Carla Stone", 10, 8, 2, "Dave"), variant("Eve Wood", 90, 7, 4, "Zoe"), variant("Ann Hill", 31, 6, 9, "Al")
+    texts = [f"{ITEM} {x}", f"{x} {ITEM} {y}", f"{x} {x} {y} {y} {ITEM} {z}", f"{x} {y}", f"{z} Some words between them. {y} {x}",
+             "If Carla Stone has 10 apples weighing 8 lb and gives 2 apples to Eve and Zoe has 3 apples weighing 5 lb and gives 1 apple to Al"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(9, ITEM)], "item_id long, text string")
+    got = {r["__id"]: r.similarity for r in decontam.contaminated(docs, bench).collect()}
+    assert got == {i: 1.0 for i in range(5)}

@@ -5,13 +5,15 @@ by typed placeholders, other words are lower-cased.  Windows of ``WIDTH`` templa
 item's windows are joined to the documents' on the hash.  Of the pairs whose item has at least ``SIMILARITY`` of
 its windows in the document, the slots are checked: over the matched windows, the same slot value of the item
 must stand for the same value in the document and the other way round (majority per value); windows that
-disagree do not count.  What still reaches the similarity is a contaminated document: a verbatim copy, or a
+disagree do not count, windows with the item's own values always do.  This is judged over the whole document and over
+each stretch of it in which the item could lie once, and the best counts, so that several instances of one template
+do not outvote each other.  What still reaches the similarity is a contaminated document: a verbatim copy, or a
 question asked again with other numbers, names or units.
 
 Windows without two plain words say nothing about a template and are left out, on both sides.  The scan drops
 document windows that no item has by a table of the items' hashes, while those are at most ``FILTER_WINDOWS``
 (8 bytes each); with a larger benchmark every window goes to the join instead.  Per document each window is
-sent once for each set of slot values, so a text that repeats itself costs no more.
+sent once for each set of slot values, with all its positions, so a text that repeats itself costs no more rows.
 
 Edge cases: null and empty texts have no windows; an item of fewer than ``WIDTH`` words has none and matches
 nothing; null ids and repeated rows are judged row by row (rows are known by id and a hash of the text); an
@@ -21,6 +23,7 @@ empty benchmark or an empty table leaves everything as it is; columns of the inp
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -112,7 +115,7 @@ def _slots(words: list[str], slot: np.ndarray, at: int, width: int) -> list[str]
 
 
 def _window_rows(width: int, only: np.ndarray | None):
-    """Rows (rid, th, hash, slots, n) of a (rid, th, text) table; ``only``: sorted hashes to keep."""
+    """Rows (rid, th, hash, slots, at, n) of a (rid, th, text) table; ``only``: sorted hashes to keep."""
     near = None
     if only is not None:
         near = np.zeros(1 << 20, bool)
@@ -135,19 +138,21 @@ def _window_rows(width: int, only: np.ndarray | None):
                     at = np.flatnonzero(ok)
                 if at.size:
                     n = int(np.unique(w[ok]).size) if only is None else 0
-                    seen = {(int(w[i]), tuple(_slots(words, slot, i, width))) for i in at.tolist()}
-                    out += [(rid, th, x - (1 << 64) if x >> 63 else x, list(s), n) for x, s in seen]
-            yield pd.DataFrame(out, columns=["rid", "th", "hash", "slots", "n"])
+                    seen: dict[tuple, list[int]] = {}
+                    for i in at.tolist():
+                        seen.setdefault((int(w[i]), tuple(_slots(words, slot, i, width))), []).append(i)
+                    out += [(rid, th, x - (1 << 64) if x >> 63 else x, list(s), i, n) for (x, s), i in seen.items()]
+            yield pd.DataFrame(out, columns=["rid", "th", "hash", "slots", "at", "n"])
 
     return rows
 
 
 #: Ids travel as text: pandas would turn a column of numbers with nulls to floats.
-_ROWS = "rid string, th long, hash long, slots array<string>, n long"
+_ROWS = "rid string, th long, hash long, slots array<string>, at array<int>, n long"
 
 
 def agreeing(item_slots: list[list[str]], doc_slots: list[list[str]], hashes: list[int]) -> int:
-    """Windows (by hash) of which one match agrees with the majority meaning of every slot value, both ways."""
+    """Windows (by hash) of which one match has the item's values or agrees with each value's majority meaning, both ways."""
     pairs = [list(zip(a, b)) for a, b in zip(item_slots, doc_slots)]
     votes = Counter(p for ps in pairs for p in ps)
     to: dict[str, tuple] = {}
@@ -157,7 +162,32 @@ def agreeing(item_slots: list[list[str]], doc_slots: list[list[str]], hashes: li
             to[a] = (n, b)
         if n > back.get(b, (0,))[0]:
             back[b] = (n, a)
-    return len({h for h, ps in zip(hashes, pairs) if all(to[a][1] == b and back[b][1] == a for a, b in ps)})
+    return len({h for h, ps in zip(hashes, pairs) if all(a == b for a, b in ps) or all(to[a][1] == b and back[b][1] == a for a, b in ps)})
+
+
+def best_agreeing(item_slots: list[list[str]], doc_slots: list[list[str]], hashes: list[int], item_at: list[list[int]],
+                  doc_at: list[list[int]], least: float) -> int:
+    """``agreeing`` over the whole document, or over the best stretch that can hold the item once.
+
+    A stretch starts where a match puts the item's start and is as long as the item, or a quarter longer for words put
+    in; one with fewer than ``least`` windows is not looked at.
+    """
+    best, whole = agreeing(item_slots, doc_slots, hashes), len(set(hashes))
+    spots = sorted({(p, k) for k, ps in enumerate(doc_at) for p in ps})
+    length = max(p for ps in item_at for p in ps) + 1
+    if best == whole or spots[-1][0] - spots[0][0] < length:
+        return best
+    at = [p for p, _ in spots]
+    for start in sorted({p - q for p, k in spots for q in item_at[k]}):
+        lo = bisect_left(at, start)
+        for size in (length, length + max(1, length // 4)):
+            ks = sorted({k for _, k in spots[lo:bisect_left(at, start + size)]})
+            found = len({hashes[k] for k in ks})
+            if found > best and found >= least:
+                best = max(best, agreeing([item_slots[k] for k in ks], [doc_slots[k] for k in ks], [hashes[k] for k in ks]))
+                if best == whole:
+                    return best
+    return best
 
 
 def _item_key(benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
@@ -170,7 +200,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                  similarity: float = SIMILARITY) -> DataFrame:
     """(__id, __th, item_id, similarity): pairs of documents and items that reach the similarity."""
     items = checkpoint(_item_key(benchmark, item_col, item_text_col).mapInPandas(_window_rows(width, None), _ROWS)
-                       .select(F.col("rid").alias("item"), F.col("th").alias("item_th"), "hash", F.col("slots").alias("item_slots"), "n"))
+                       .select(F.col("rid").alias("item"), F.col("th").alias("item_th"), "hash", F.col("slots").alias("item_slots"),
+                               F.col("at").alias("item_at"), "n"))
     distinct = items.select("hash").distinct()
     only = None
     if distinct.count() <= FILTER_WINDOWS:  # the bound of what is sent along with the scan
@@ -188,8 +219,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     near = hits.join(enough, pair[0] & pair[1] & pair[2] & pair[3], "left_semi")
 
     def check(g: pd.DataFrame) -> pd.DataFrame:
-        m = agreeing(g["item_slots"].tolist(), g["slots"].tolist(), g["hash"].tolist())
         first = g.iloc[[0]]
+        m = best_agreeing(*(g[c].tolist() for c in ("item_slots", "slots", "hash", "item_at", "at")), similarity * first["n"].iloc[0])
         return pd.DataFrame({"__id": first["rid"], "__th": first["th"], "item_id": first["item"],
                              "similarity": [m / float(first["n"].iloc[0])]})
 
