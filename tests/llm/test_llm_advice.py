@@ -50,3 +50,13 @@ def test_instances_of_one_template_do_not_outvote_each_other(spark):
     bench = spark.createDataFrame([(9, ITEM)], "item_id long, text string")
     got = {r["__id"]: r.similarity for r in decontam.contaminated(docs, bench).collect()}
     assert got == {i: 1.0 for i in range(5)}
+
+
+def test_items_without_usable_windows_and_copies_in_other_case(spark):
+    names = "Then Anna Miller met Bob Stone and Carla Wood near Dave Hill before Eve Brook saw Zoe Lake with Al Marsh at Tom Field."
+    items = [ITEM, names, "What is 12 + 30?", "12 7 30 45 6 81 90 11", "Anna Bob Carla Dave Eve Zoe Tom", "Der Hund Der Katze Die Maus Das Haus"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [f"Some words. {t} More of them." for t in items] + [t.lower() for t in items] + [names.upper(), "What is 12 + 31?", "12 7 30 45 7 81 90 11"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["__id"], r.item_id): r.similarity for r in decontam.contaminated(docs, bench).collect()}
+    assert got == {(i, i % 6): 1.0 for i in range(12)} | {(12, 1): 1.0}

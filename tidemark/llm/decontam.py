@@ -10,13 +10,17 @@ each stretch of it in which the item could lie once, and the best counts, so tha
 do not outvote each other.  What still reaches the similarity is a contaminated document: a verbatim copy, or a
 question asked again with other numbers, names or units.
 
-Windows without two plain words say nothing about a template and are left out, on both sides.  The scan drops
+Windows without two plain words say nothing about a template; they and all others also have a plain form, the
+lower-cased words as they stand.  An item's window that stands in a document in its plain form counts as agreeing, and
+a document with ``SIMILARITY`` of all of an item's windows in that form is contaminated whatever their templates: an
+item of numbers or names, or a copy in other case.  An item shorter than a window is one plain window of its own length.
+Plain forms have letters and digits only, so 'What is 12 + 30?' and 'What is 12 - 30?' are one item.  The scan drops
 document windows that no item has by a table of the items' hashes, while those are at most ``FILTER_WINDOWS``
 (8 bytes each); with a larger benchmark every window goes to the join instead.  Per document each window is
 sent once for each set of slot values, with all its positions, so a text that repeats itself costs no more rows.
 
-Edge cases: null and empty texts have no windows; an item of fewer than ``WIDTH`` words has none and matches
-nothing; null ids and repeated rows are judged row by row (rows are known by id and a hash of the text); an
+Edge cases: null and empty texts have no windows and match nothing; an item of one word is in every document with
+that word; null ids and repeated rows are judged row by row (rows are known by id and a hash of the text); an
 empty benchmark or an empty table leaves everything as it is; columns of the input are kept by ``decontaminate``.
 """
 
@@ -70,11 +74,11 @@ class _Tokens(dict):
         return x
 
 
-def template(text: str | None, known: _Tokens) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(words, template hashes, slot type: 0 plain, 1 number, 2 name, 3 unit) of a text."""
+def template(text: str | None, known: _Tokens) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(words, template hashes, slot type: 0 plain, 1 number, 2 name, 3 unit; hashes of the lower-cased words) of a text."""
     tokens = _TOKEN.findall(text or "")
     if not tokens:
-        return [], np.empty(0, np.uint64), np.empty(0, np.int8)
+        return [], np.empty(0, np.uint64), np.empty(0, np.int8), np.empty(0, np.uint64)
     pairs = list(map(known.__getitem__, tokens))
     h = np.fromiter((p[0] for p in pairs), np.uint64, len(pairs))
     kind = np.fromiter((p[1] for p in pairs), np.int8, len(pairs))
@@ -83,13 +87,14 @@ def template(text: str | None, known: _Tokens) -> tuple[list[str], np.ndarray, n
     slot[kind == _DIGITS] = 1
     slot[(kind == _CAPITAL) & (before != _END)] = 2
     slot[(kind == _MAYBE_UNIT) & (before == _DIGITS)] = 3
-    for s, code in ((1, _NUMBER), (2, _NAME), (3, _UNIT)):
-        h[slot == s] = code
     word = kind != _END
     if not word.all():
         tokens = [t for t, w in zip(tokens, word.tolist()) if w]
         h, slot = h[word], slot[word]
-    return tokens, h, slot
+    low = h.copy()
+    for s, code in ((1, _NUMBER), (2, _NAME), (3, _UNIT)):
+        h[slot == s] = code
+    return tokens, h, slot, low
 
 
 def windows(h: np.ndarray, slot: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -114,41 +119,96 @@ def _slots(words: list[str], slot: np.ndarray, at: int, width: int) -> list[str]
     return [words[i] for i in range(at, at + width) if slot[i]]
 
 
-def _window_rows(width: int, only: np.ndarray | None):
-    """Rows (rid, th, hash, slots, at, n) of a (rid, th, text) table; ``only``: sorted hashes to keep."""
-    near = None
-    if only is not None:
-        near = np.zeros(1 << 20, bool)
-        near[(only & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _item_rows(width: int):
+    """Rows (rid, th, hash, slots, at, unit, whole, n, n_whole) of a (rid, th, text) table of items.
+
+    A usable window has a row of its template; one with slots, usable or not, a row of its plain form, without slots.
+    ``unit`` is the usable window's template, ``whole`` its plain form where the row has that; ``n`` and ``n_whole``
+    are the item's numbers of them.
+    """
 
     def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Tokens()
         for p in parts:
             out = []
             for rid, th, text in zip(p["rid"], p["th"], p["text"]):
-                words, h, slot = template(text, known)
+                words, h, slot, low = template(text, known)
+                wide = min(width, len(words))
+                if not wide:
+                    continue
+                w, ok = windows(h, slot, wide)
+                x, _ = windows(low, np.zeros_like(slot), wide)
+                ok &= len(words) >= width
+                n, n_whole = int(np.unique(w[ok]).size), int(np.unique(x).size)
+                seen: dict[tuple, list[int]] = {}
+                for i, (t, f, usable) in enumerate(zip(w.tolist(), x.tolist(), ok.tolist())):
+                    slots = tuple(_slots(words, slot, i, wide))
+                    unit = _signed(t) if usable else None
+                    if usable:
+                        seen.setdefault((t, slots, unit, None if slots else _signed(f)), []).append(i)
+                    if slots or not usable:
+                        seen.setdefault((f, (), unit, _signed(f)), []).append(i)
+                out += [(rid, th, _signed(t), list(s), i, u, f, n, n_whole, wide) for (t, s, u, f), i in seen.items()]
+            out = pd.DataFrame(out, columns=["rid", "th", "hash", "slots", "at", "unit", "whole", "n", "n_whole", "wide"])
+            yield out.astype({"unit": "Int64", "whole": "Int64"})
+
+    return rows
+
+
+class _Only:
+    """Membership in a set of hashes."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = np.sort(hashes)
+        self.near = np.zeros(1 << 20, bool)
+        self.near[(self.hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+
+    def __call__(self, w: np.ndarray) -> np.ndarray:
+        """Positions of the hashes that are in the set."""
+        at = np.flatnonzero(self.near[(w & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        if at.size:
+            k = np.minimum(np.searchsorted(self.hashes, w[at]), self.hashes.size - 1)
+            at = at[self.hashes[k] == w[at]]
+        return at
+
+
+def _window_rows(width: int, only: np.ndarray | None, short: list[int]):
+    """Rows (rid, th, hash, slots, at) of a (rid, th, text) table of documents.
+
+    ``only``: hashes to keep; ``short``: lengths of the items shorter than a window.
+    """
+
+    def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, keep = _Tokens(), _Only(only) if only is not None else lambda w: np.arange(w.size)
+        for p in parts:
+            out = []
+            for rid, th, text in zip(p["rid"], p["th"], p["text"]):
+                words, h, slot, low = template(text, known)
+                seen: dict[tuple, list[int]] = {}
                 w, ok = windows(h, slot, width)
-                if only is not None:
-                    ok = ok & near[(w & np.uint64((1 << 20) - 1)).astype(np.int64)]
-                    at = np.flatnonzero(ok)
-                    if at.size:
-                        k = np.minimum(np.searchsorted(only, w[at]), only.size - 1)
-                        at = at[only[k] == w[at]]
-                else:
-                    at = np.flatnonzero(ok)
-                if at.size:
-                    n = int(np.unique(w[ok]).size) if only is None else 0
-                    seen: dict[tuple, list[int]] = {}
-                    for i in at.tolist():
+                for i in keep(w).tolist():
+                    if ok[i]:
                         seen.setdefault((int(w[i]), tuple(_slots(words, slot, i, width))), []).append(i)
-                    out += [(rid, th, x - (1 << 64) if x >> 63 else x, list(s), i, n) for (x, s), i in seen.items()]
-            yield pd.DataFrame(out, columns=["rid", "th", "hash", "slots", "at", "n"])
+                for wide in (*short, width):
+                    if wide == width and not slot.any():
+                        continue  # the templates are the plain forms
+                    x, _ = windows(low, np.zeros_like(slot), wide)
+                    for i in keep(x).tolist():
+                        if wide < width or not ok[i] or x[i] != w[i]:  # a usable window without slots was sent above
+                            seen.setdefault((int(x[i]), ()), []).append(i)
+                out += [(rid, th, _signed(x), list(s), i) for (x, s), i in seen.items()]
+            yield pd.DataFrame(out, columns=["rid", "th", "hash", "slots", "at"])
 
     return rows
 
 
 #: Ids travel as text: pandas would turn a column of numbers with nulls to floats.
-_ROWS = "rid string, th long, hash long, slots array<string>, at array<int>, n long"
+_ROWS = "rid string, th long, hash long, slots array<string>, at array<int>"
+_ITEM_ROWS = _ROWS + ", unit long, whole long, n long, n_whole long, wide int"
 
 
 def agreeing(item_slots: list[list[str]], doc_slots: list[list[str]], hashes: list[int]) -> int:
@@ -199,30 +259,40 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                  item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH,
                  similarity: float = SIMILARITY) -> DataFrame:
     """(__id, __th, item_id, similarity): pairs of documents and items that reach the similarity."""
-    items = checkpoint(_item_key(benchmark, item_col, item_text_col).mapInPandas(_window_rows(width, None), _ROWS)
+    items = checkpoint(_item_key(benchmark, item_col, item_text_col).mapInPandas(_item_rows(width), _ITEM_ROWS)
                        .select(F.col("rid").alias("item"), F.col("th").alias("item_th"), "hash", F.col("slots").alias("item_slots"),
-                               F.col("at").alias("item_at"), "n"))
+                               F.col("at").alias("item_at"), "unit", "whole", "n", "n_whole", "wide"))
+    short = sorted(r["wide"] for r in items.select("wide").where(F.col("wide") < width).distinct().collect())  # width - 1 at most
     distinct = items.select("hash").distinct()
     only = None
     if distinct.count() <= FILTER_WINDOWS:  # the bound of what is sent along with the scan
-        only = np.sort(distinct.toPandas()["hash"].to_numpy(np.int64).view(np.uint64))
+        only = distinct.toPandas()["hash"].to_numpy(np.int64).view(np.uint64)
         if not only.size:
             only = np.array([0], np.uint64)
     rows = docs.select(F.col(id_col).cast("string").alias("rid"), F.xxhash64(F.col(text_col).cast("string")).alias("th"),
                        F.col(text_col).cast("string").alias("text"))
     # a scan that can be sent few or very many rows is written once: the join below reads it twice
-    found = checkpoint(rows.mapInPandas(_window_rows(width, only), _ROWS).drop("n"))
-    hits = found.join(items, "hash")
-    enough = (hits.groupBy("rid", "th", "item", "item_th").agg(F.count_distinct("hash").alias("m"), F.first("n").alias("n"))
-              .where(F.col("m") >= similarity * F.col("n")).select("rid", "th", "item", "item_th"))
+    found = checkpoint(rows.mapInPandas(_window_rows(width, only, short), _ROWS))
+    hits = found.join(items.drop("wide"), ["hash"]).where(F.size("slots") == F.size("item_slots"))
+    # collect_set: two distinct counts would make each row three
+    enough = (hits.groupBy("rid", "th", "item", "item_th").agg(
+        F.size(F.collect_set("unit")).alias("m"), F.first("n").alias("n"),
+        F.size(F.collect_set("whole")).alias("f"), F.first("n_whole").alias("n_whole"))
+        .where(((F.col("n") > 0) & (F.col("m") >= similarity * F.col("n"))) | (F.col("f") >= similarity * F.col("n_whole")))
+        .select("rid", "th", "item", "item_th"))
     pair = [hits[c].eqNullSafe(enough[c]) for c in ("rid", "th", "item", "item_th")]
-    near = hits.join(enough, pair[0] & pair[1] & pair[2] & pair[3], "left_semi")
+    near = (hits.join(enough, pair[0] & pair[1] & pair[2] & pair[3], "left_semi")
+            .withColumns({c: F.col(c).cast("string") for c in ("unit", "whole")}))  # exact beside nulls
 
     def check(g: pd.DataFrame) -> pd.DataFrame:
         first = g.iloc[[0]]
-        m = best_agreeing(*(g[c].tolist() for c in ("item_slots", "slots", "hash", "item_at", "at")), similarity * first["n"].iloc[0])
+        n, score = int(first["n"].iloc[0]), g["whole"].nunique() / float(first["n_whole"].iloc[0])
+        g = g[g["unit"].notna()]
+        if n and len(g):
+            columns = (g["item_slots"], g["slots"], g["unit"], g["item_at"], g["at"])
+            score = max(score, best_agreeing(*(c.tolist() for c in columns), similarity * n) / n)
         return pd.DataFrame({"__id": first["rid"], "__th": first["th"], "item_id": first["item"],
-                             "similarity": [m / float(first["n"].iloc[0])]})
+                             "similarity": [score]})
 
     out = near.groupBy("rid", "th", "item", "item_th").applyInPandas(check, "__id string, __th long, item_id string, similarity double")
     return (out.where(F.col("similarity") >= similarity)
