@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, hosts, mix, pagetext, pii, simhash, substring, toxicity, vectors
+from . import chat, decontam, hosts, mix, pagetext, pii, simhash, substring, tokenfiles, toxicity, vectors
 
 QUERIES = {
     "op1_mix": mix.op1_mix,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_hosts": hosts.op8_hosts,
     "op9_vectors": vectors.op9_vectors,
     "op10_chat": chat.op10_chat,
+    "op12_tokenfiles": tokenfiles.op12_tokenfiles,
 }
 #: A learned score (op3), template matches (op4), XXH64 (op5), page structure (op6) and learned patterns (op7) have
 #: no SQL form; tests hold them against brute force or held-out labels.
