@@ -99,8 +99,8 @@ def test_edges_small_blocks_and_ranges(spark, tokenizer_json, tmp_path):
     want = wanted(rows, tokenizer_json)
     assert got == want
     assert spark.read.parquet(f"{path}/blocks").count() > 5
-    whole = np.concatenate([Tokenizer.from_str(tokenizer_json).encode(t, add_special_tokens=False).ids + [0] for _, t in sorted(
-        ((d, t or "") for d, t in rows if d is not None and d >= 100))]).astype(int)
+    tok = Tokenizer.from_str(tokenizer_json)
+    whole = np.concatenate([tok.encode(t, add_special_tokens=False).ids + [0] for d, t in sorted(r for r in rows if r[0] and r[0] >= 100)]).astype(int)
     start = next(s for d, s, *_ in want if d == 100)
     assert tokenfiles.read_ids(spark, path, start + 250, start + 900).tolist() == whole[250:900].tolist()
 

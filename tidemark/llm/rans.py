@@ -55,11 +55,11 @@ class Table:
         rest = (1 << bits) - int(freq.sum())
         if rest > 0:
             freq[np.argsort(freq - share, kind="stable")[:rest]] += 1
-        while rest < 0:  # many rare ids were lifted to 1: take from the greatest
-            most = np.argsort(-freq, kind="stable")[:min(len(freq), -rest)]
-            most = most[freq[most] > 1]
-            freq[most] -= 1
-            rest += len(most)
+        if rest < 0:  # many rare ids were lifted to 1: take from the others in proportion, then from the greatest
+            spare = freq - 1
+            freq -= np.floor(spare * (-rest / spare.sum())).astype(np.int64)
+            rest = (1 << bits) - int(freq.sum())
+            freq[np.argsort(-freq, kind="stable")[:-rest or 0]] -= 1
         return cls(symbols, freq, bits)
 
     def _slot(self) -> np.ndarray:

@@ -63,8 +63,13 @@ class Encoder:
     """
 
     def __init__(self, tokenizer_json: str, remembered: int = REMEMBERED):
-        from tokenizers import Tokenizer
-        self.tok, spec = Tokenizer.from_str(tokenizer_json), json.loads(tokenizer_json)
+        # a worker process keeps its tokenizer and memory over its tasks; the package itself travels by value
+        kept = sys.modules.setdefault("_tidemark_words", types.ModuleType("_tidemark_words")).__dict__
+        mark = zlib.crc32(tokenizer_json.encode())
+        if mark not in kept:
+            from tokenizers import Tokenizer
+            kept[mark] = Tokenizer.from_str(tokenizer_json), json.loads(tokenizer_json), {}, {}
+        self.tok, spec, self.words, self.pieces = kept[mark]
         pre = spec.get("pre_tokenizer") or {}
         self.cut = (not spec.get("normalizer") and not spec.get("post_processor") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space")
                     and pre.get("use_regex", True) and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout"))
@@ -72,9 +77,6 @@ class Encoder:
         self.dtype, self.model = np.dtype(_dtype(self.tok)), self.tok.model
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the vocabulary writes as themselves
         self.letters = dict(zip([b for b in range(256) if b not in shown], map(chr, range(256, 512))))
-        # a worker process keeps its memory over its tasks; the package itself travels by value
-        kept = sys.modules.setdefault("_tidemark_words", types.ModuleType("_tidemark_words")).__dict__
-        self.words, self.pieces = kept.setdefault(zlib.crc32(tokenizer_json.encode()), ({}, {}))
         self.remembered = remembered
 
     def _whole(self, texts: list[str]) -> list[bytes]:
