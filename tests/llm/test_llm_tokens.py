@@ -79,7 +79,8 @@ def test_encoder_equals_the_tokenizer_on_odd_texts(tokenizer_json):
     tok, enc = Tokenizer.from_str(tokenizer_json), tokenfiles.Encoder(tokenizer_json)
     rng = np.random.default_rng(2)
     bits = ["a", "Bc", " ", "  ", "\n", "\t", "\r\n", "'s", "'", "9", "é", "ñ", "日本", " ", " ", "\x0b", "\x1c", "!", "…", "😀", "<|endoftext|>", "_", "…", "ſ"]
-    texts = ["".join(rng.choice(bits, rng.integers(0, 14))) for _ in range(3000)] + ["x" * 30_000, "ab " * 20_000]
+    texts = [f"a{chr(k)} {chr(k)}b {chr(k)}{chr(k)} 1{chr(k)}" for k in [*range(0x500), *range(0x2000, 0x2100)]]  # every class of character
+    texts += ["".join(rng.choice(bits, rng.integers(0, 14))) for _ in range(3000)] + ["x" * 30_000, "ab " * 20_000]
     for t, got in zip(texts, enc.encode(texts)):
         assert np.frombuffer(got, enc.dtype).tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 

@@ -280,9 +280,9 @@ def mine(vectors: DataFrame, anchor: Column, id_col: str = "vec_id", vec_col: st
                     lambda s, i, label, v, _: [(i, p, score) for score, p in s.positives(i, label, v, positives)], window, *args)
     best = Window.partitionBy("anchor_id").orderBy(F.desc("score"), "positive_id")
     found = near_.withColumn("k", F.row_number().over(best).cast("long")).where(F.col("k") <= positives)
-    found = found.withColumns({"l": F.col("score") * -low, "h": F.col("score") * high})  # whole-number division, exact beyond 2^53
-    found = found.select("anchor_id", F.struct(F.expr("-((l - pmod(l, 100)) div 100)").alias("low"), F.expr("(h - pmod(h, 100)) div 100").alias("high"), "k",
-                                               F.col("positive_id").alias("positive"), "score").alias("w")).where("w.low <= w.high")
+    share = lambda x: F.floor(F.col("score").cast("decimal(20,0)") * x / 100).cast("long")  # noqa: E731  exact at any score
+    found = found.select("anchor_id", F.struct((-share(-low)).alias("low"), share(high).alias("high"), "k", F.col("positive_id").alias("positive"), "score").alias("w")) \
+        .where("w.low <= w.high")
     windows = found.groupBy("anchor_id").agg(F.collect_list("w").alias("windows"))  # at most ``positives`` of an anchor
     asked = checkpoint(who.join(windows, F.col("id") == F.col("anchor_id")).select("id", "label", "v", "windows"))
     names = "anchor_id long, k long, positive_id long, positive_score long, negative_id long, negative_score long"

@@ -20,8 +20,8 @@ import zlib
 import numpy as np
 
 MAGIC = b"TMR1"
-LANES = 1024
-CHECKPOINT_STEPS = 256
+LANES = 4096
+CHECKPOINT_STEPS = 128
 _HEAD = "<4s7I"
 _HEAD_SIZE = struct.calcsize(_HEAD)
 _LOW = np.uint64(1 << 31)

@@ -21,17 +21,18 @@ rows; other columns are ignored.  A damaged block or another frequency table rai
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import sys
 import types
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,14 +43,22 @@ from .common import lookup_join, table
 BLOCK_IDS = 1 << 20
 #: Rows a part is meant to hold; parts are at least as many as shuffle partitions.
 PART_ROWS = 200_000
-#: Entries of a worker's memories of words and pieces; a full one starts anew.
-REMEMBERED = 1_000_000
-#: Fixed value: the split of byte-level BPE vocabularies of this family (``regex`` reads it as the tokenizer does
-#: for the characters that _ODD leaves).
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Characters that the two regular expression libraries may class differently, and a blank inside or at the end of
-#: wider white space: there the cut before blanks is not the tokenizer's.
-_ODD = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\u024f\u2010-\u2027\u2030-\u205e\u20ac]|\s (?!\S)")
+#: Entries of a worker's memories of words and of pieces; a full one starts anew.
+REMEMBERED = 800_000, 400_000
+#: Characters (Latin-1) that ``re`` and the tokenizer's regular expressions class alike; with the next one.
+_PLAIN = bytes([*b"\t\n\r", *range(0x20, 0x7F), *(b for b in range(0xA1, 0x100) if b not in b"\xb2\xb3\xb9\xbc\xbd\xbe")])
+_ODD = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027\u2030-\u205e\u20ac]")
+#: A blank inside or at the end of wider white space: there the cut before blanks is not the tokenizer's.
+_WIDE = re.compile(r"\s (?!\S)")
+#: Fixed value: the split of byte-level BPE vocabularies of this family, in the classes of ``re``.
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+
+
+def _plain(text: str) -> bool:
+    try:
+        return not text.encode("latin-1").translate(None, _PLAIN)
+    except UnicodeEncodeError:
+        return not _ODD.search(text)
 
 
 class Encoder:
@@ -62,7 +71,7 @@ class Encoder:
     string, or any text under another kind of tokenizer are encoded as a whole.
     """
 
-    def __init__(self, tokenizer_json: str, remembered: int = REMEMBERED):
+    def __init__(self, tokenizer_json: str, remembered: tuple[int, int] = REMEMBERED):
         # a worker process keeps its tokenizer and memory over its tasks; the package itself travels by value
         kept = sys.modules.setdefault("_tidemark_words", types.ModuleType("_tidemark_words")).__dict__
         mark = zlib.crc32(tokenizer_json.encode())
@@ -84,31 +93,42 @@ class Encoder:
 
     def _learn(self, new: set[str]) -> None:
         """Ids of words, each with the blank before it, that were not met yet."""
-        words, pieces, split, tokenize, dtype, letters = self.words, self.pieces, _PIECE.findall, self.model.tokenize, self.dtype, self.letters
+        words, pieces, tokenize, kind, letters = self.words, self.pieces, self.model.tokenize, "H" if self.dtype.itemsize == 2 else "I", self.letters
         for w in new:
+            if w.isalpha():
+                cut = (" " + w,)
+            elif w[-1:] in (".", ",") and w[:-1].isalpha():
+                cut = (" " + w[:-1], w[-1])
+            else:
+                cut = _PIECE.findall(" " + w)
             ids = b""
-            for p in split(" " + w):
+            for p in cut:
                 got = pieces.get(p)
                 if got is None:
                     shown = p.encode("utf-8").decode("latin-1").translate(letters)
-                    got = pieces[p] = np.array([t.id for t in tokenize(shown)], dtype).tobytes()
-                ids += got
+                    got = pieces[p] = array(kind, [t.id for t in tokenize(shown)]).tobytes()
+                ids = ids + got if ids else got
             words[w] = ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list = [None] * len(texts)
-        plain = [i for i, t in enumerate(texts) if self.cut and not _ODD.search(t) and not any(s in t for s in self.special)]
-        if len(plain) < len(texts):
-            rest = sorted(set(range(len(texts))).difference(plain))
-            for i, b in zip(rest, self._whole([texts[i] for i in rest])):
-                out[i] = b
-        for kept in (self.words, self.pieces):
-            if len(kept) > self.remembered:
+        cut = {}
+        for i, t in enumerate(texts):
+            if self.cut and _plain(t) and not any(s in t for s in self.special):
+                c = t.split(" ")
+                if "" in c or "\n " in t or "\t " in t or "\r " in t:
+                    if _WIDE.search(t):
+                        continue
+                cut[i] = c
+        rest = [i for i in range(len(texts)) if i not in cut]
+        for i, b in zip(rest, self._whole([texts[i] for i in rest])):
+            out[i] = b
+        for kept, most in zip((self.words, self.pieces), self.remembered):
+            if len(kept) > most:
                 kept.clear()
         get = self.words.get
-        cut = [texts[i].split(" ") for i in plain]
-        heads = self._whole([c.pop(0) for c in cut])  # not after a blank
-        for i, c, h in zip(plain, cut, heads):
+        heads = self._whole([c.pop(0) for c in cut.values()])  # not after a blank
+        for (i, c), h in zip(cut.items(), heads):
             ids = list(map(get, c))
             if None in ids:
                 self._learn({w for w, b in zip(c, ids) if b is None})
@@ -137,6 +157,7 @@ def packed_blocks(docs: DataFrame, tokenizer_json: str, end_id: int, id_col: str
     x = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # millions of small objects without cycles
         enc = Encoder(tokenizer_json)
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
@@ -145,8 +166,8 @@ def packed_blocks(docs: DataFrame, tokenizer_json: str, end_id: int, id_col: str
                 ids = b.column(0)
                 part = np.searchsorted(bounds, ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "left")
                 got = [e + end for e in enc.encode(b.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), ids, pa.array(got, pa.large_binary()).cast(pa.binary()) if sum(map(len, got)) < 1 << 30
-                                                  else pa.array(got, pa.binary())], ["part", "doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), ids, pa.array(got, pa.binary())], ["part", "doc_id", "ids"])
+        gc.enable()
 
     size = np.dtype(_id_type(tokenizer_json)).itemsize
 
