@@ -431,9 +431,9 @@ z AS (SELECT d.*, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transfor
 x AS (SELECT conv_id, turn, z, CASE WHEN z = 4 THEN 'user' ELSE role END AS role,
   CASE z WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM z WHERE z <> 0),
 y AS (SELECT * FROM x UNION ALL SELECT * FROM x WHERE z = 3),
-o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i,
-  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS later,
-  NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS open FROM y),
+i AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM y),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS later,
+  NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS open FROM i),
 f AS (SELECT conv_id, turn, role, text, i, blank, later AND NOT blank AS dup, open AND NOT blank AND NOT later AS cut, left(role, 1) AS c,
   lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) NOT IN ('su', 'ua', 'au') AS bad FROM o),
 dp AS (
