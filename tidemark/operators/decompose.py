@@ -8,8 +8,8 @@
   come from one grouped aggregate of sufficient statistics (``X'X``, ``X'y``)
   per series, so the data is never gathered; only the 12x12 systems are
   solved in a pandas function over the tiny statistics table.
-* ``hp_filter`` (G4): Hodrick-Prescott trend, a banded solve per series in an
-  Arrow group (bounded by ``MAX_GROUP_ROWS``).
+* ``hp_filter`` (G4): Hodrick-Prescott trend, a block elimination of each series' pentadiagonal system: blocks of
+  rows in parallel, two unknowns a block left to solve together.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from ..session import cut_lineage
 from . import sequence as seq
 
 
-
 # G3 ----------------------------------------------------------------------------
 def classical(df: DataFrame, keys, ts: str, col: str, period: int, **kw) -> DataFrame:
     """Additive classical decomposition by row position (``seasonal_decompose``)."""
@@ -190,97 +189,161 @@ def fourier_forecast(df: DataFrame, keys, ts: str, col: str, n_steps: int = 2, a
 
 
 # G4 ----------------------------------------------------------------------------
-def _hp_trend(y: np.ndarray, lamb: float) -> np.ndarray:
-    """Solve (I + lamb D'D) tau = y with D the second-difference operator (pentadiagonal)."""
-    n = len(y)
-    if n < 3:
-        return y.copy()
-    # bands of D'D, accumulated from the rows [1, -2, 1] of D
-    r = np.arange(n - 2)
-    c0 = np.zeros(n)
-    c1 = np.zeros(n - 1)
-    c2 = np.zeros(n - 2)
-    np.add.at(c0, r, 1.0)
-    np.add.at(c0, r + 1, 4.0)
-    np.add.at(c0, r + 2, 1.0)
-    np.add.at(c1, r, -2.0)
-    np.add.at(c1, r + 1, -2.0)
-    np.add.at(c2, r, 1.0)
-    diag = 1.0 + lamb * c0
-    off1 = lamb * c1
-    off2 = lamb * c2
-    # banded LDL^T solve (symmetric, positive definite)
-    a = np.zeros((3, n))
-    a[0] = diag
-    a[1, :-1] = off1
-    a[2, :-2] = off2
-    L1 = np.zeros(n)
-    L2 = np.zeros(n)
-    d = np.zeros(n)
-    for i in range(n):
-        s = a[0, i]
-        if i >= 1:
-            s -= L1[i - 1] ** 2 * d[i - 1]
-        if i >= 2:
-            s -= L2[i - 2] ** 2 * d[i - 2]
-        d[i] = s
-        if i + 1 < n:
-            v = a[1, i] - (L1[i - 1] * L2[i - 1] * d[i - 1] if i >= 1 else 0.0)
-            L1[i] = v / d[i]
-        if i + 2 < n:
-            L2[i] = a[2, i] / d[i]
-    z = y.astype(float).copy()
-    for i in range(n):
-        if i >= 1:
-            z[i] -= L1[i - 1] * z[i - 1]
-        if i >= 2:
-            z[i] -= L2[i - 2] * z[i - 2]
-    z = z / d
-    x = z.copy()
-    for i in range(n - 1, -1, -1):
-        if i + 1 < n:
-            x[i] -= L1[i] * x[i + 1]
-        if i + 2 < n:
-            x[i] -= L2[i] * x[i + 2]
+def _bands(i: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Diagonal, first and second off-diagonal of D'D at 1-based rows ``i``; D takes second differences of n rows."""
+    first, mid, last = i <= n - 2, (i >= 2) & (i <= n - 1), (i >= 3) & (i <= n)
+    return first + 4.0 * mid + last, -2.0 * first - 2.0 * mid, 1.0 * first
+
+
+def _pairs(start: int, y: np.ndarray, n: int, lamb: float):
+    """The system (W + lamb D'D) x = W y on rows start.. (1-based, odd) as pairs of rows: D, E (to the next pair), f.
+
+    W is 0 where ``y`` is NaN.  A row past the end stands alone with x = 0.
+    """
+    k = -(-len(y) // 2)
+    i = np.arange(start, start + 2 * k)
+    c0, c1, c2 = (lamb * c for c in _bands(i, n))
+    w = np.zeros(2 * k)
+    w[:len(y)] = ~np.isnan(y)
+    w[i > n] = 1.0
+    f = np.zeros(2 * k)
+    f[:len(y)] = np.nan_to_num(y)
+    d, e = np.zeros((k, 2, 2)), np.zeros((k, 2, 2))
+    d[:, 0, 0], d[:, 1, 1] = (w + c0)[::2], (w + c0)[1::2]
+    d[:, 0, 1] = d[:, 1, 0] = c1[::2]
+    e[:, 0, 0], e[:, 1, 0], e[:, 1, 1] = c2[::2], c1[1::2], c2[1::2]
+    return d, e, f.reshape(k, 2, 1)
+
+
+def _solve_pairs(d: np.ndarray, e: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Symmetric block tridiagonal solve by cyclic reduction: ``e[k]`` couples pair k to k + 1; f is (k, 2, columns).
+
+    Each level eliminates every other pair at once, so the work is a few batched 2x2 products a level.
+    """
+    k = len(d)
+    if k == 0:
+        return f
+    if k == 1:
+        return np.linalg.solve(d, f)
+    t = lambda x: np.swapaxes(x, 1, 2)
+    inv = np.linalg.inv(d[1::2])
+    left, right = e[0:k - 1:2], e[1:k - 1:2]  # of the odd pairs: from the pair before, to the pair after
+    m, r = len(inv), len(right)
+    fo = f[1::2]
+    de, fe = d[0::2].copy(), f[0::2].copy()
+    pull = left @ inv  # the even pair before takes E inv(D)
+    de[:m] -= pull @ t(left)
+    fe[:m] -= pull @ fo
+    push = t(right) @ inv[:r]  # the even pair after
+    de[1:r + 1] -= push @ right
+    fe[1:r + 1] -= push @ fo[:r]
+    x = np.empty_like(f)
+    x[0::2] = xe = _solve_pairs(de, -(pull[:r] @ right), fe)
+    rest = fo - t(left) @ xe[:m]
+    rest[:r] -= right @ xe[1:r + 1]
+    x[1::2] = inv @ rest
     return x
 
 
+def _inside(d: np.ndarray, e: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Pairs 1.. of a block solved for (its values, the block's first pair, the next block's first pair) as sources."""
+    k = len(d)
+    rhs = np.zeros((k - 1, 2, 5))
+    rhs[:, :, :1] = f[1:]
+    rhs[0, :, 1:3] = e[0].T
+    rhs[-1, :, 3:5] = e[-1]
+    return _solve_pairs(d[1:], e[1:-1], rhs)
+
+
+def _hp_trend(y: np.ndarray, lamb: float) -> np.ndarray:
+    """Solve (W + lamb D'D) tau = W y with D the second-difference operator; NaN rows have weight 0."""
+    y = np.asarray(y, dtype=float)
+    known = ~np.isnan(y)
+    if len(y) < 3 or known.sum() < 2:
+        return np.where(known, y, y[known][0] if known.any() else np.nan) if known.sum() == 1 else y.copy()
+    d, e, f = _pairs(1, y, len(y), lamb)
+    return _solve_pairs(d, e[:-1], f).reshape(-1)[:len(y)]
+
+
 def hp_filter(df: DataFrame, keys, ts: str, col: str, lamb: float = 129600.0, block_rows: int = 8192,
               bucket: str = seq.DEFAULT_BUCKET) -> DataFrame:
     """HP trend per series; seasonal := 0, residual := cycle.
 
-    A row's influence on the trend fades by e in about sqrt(2) * lamb^(1/4) rows, so a series is solved in
-    blocks with 40 such lengths of halo on both sides: what a cut there changes is below rounding.
+    Exact at any length: every block of rows eliminates all but its first two, the few equations left of a series
+    are solved together (two unknowns a block), and the blocks fill in the rest.  A missing value has weight 0: it
+    gets a trend but no residual.  A series with one value has it as its trend, one without values has NULL.
     """
     keys = require_keys(keys)
-    halo = int(np.ceil(40 * np.sqrt(2) * max(lamb, 1.0) ** 0.25))
-    d = seq.with_halo(seq.index_rows(df, keys, ts, bucket=bucket), keys, before=halo, after=halo, block_rows=max(block_rows, halo))
-    names = [f.name for f in df.schema.fields]
-    out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
-                           + ["trend double", "seasonal double", "residual double"])
+    rows = max(4, block_rows + block_rows % 2)
+    value = F.nanvl(F.col(col).cast("double"), F.lit(None))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.count(value).alias("_known"), F.max(value).alias("_one"))
+    placed = seq.index_rows(df, keys, ts, bucket=bucket).join(sizes, keys).withColumn(seq.BLK, F.floor((F.col(seq.RN) - 1) / rows).cast("long"))
+    key_types = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:  # one block: block_rows + 2 halos at most
+    def block(pdf: pd.DataFrame):
         pdf = pdf.sort_values(seq.RN)
-        y = pdf[col].to_numpy(dtype=float)
-        tr = _hp_trend(y, lamb)
-        own = ~pdf[seq.HALO].to_numpy(bool)
-        return pdf[names].assign(trend=tr, seasonal=0.0, residual=y - tr)[own]
-
-    return d.groupBy(*keys, seq.BLK).applyInPandas(run, out_schema)
-
-
-def decompose(df: DataFrame, keys, ts: str, col: str, period: int, method: str = "classical", **kw) -> DataFrame:
-    """G1 dispatcher: period < 2 -> HP filter; else classical, STL (robust) or Fourier; adds E9 encodings."""
+        start, n = int(pdf[seq.RN].iloc[0]), int(pdf["_n"].iloc[0])
+        d, e, f = _pairs(start, pdf["_y"].to_numpy(dtype=float), n, lamb)
+        return pdf, d, e, f, start + len(pdf) > n
+
+    def eliminate(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, d, e, f, last = block(pdf)
+        if len(d) == 1:
+            own, b, to, add, c = d[0], f[0, :, 0], e[0], np.zeros((2, 2)), np.zeros(2)
+        else:
+            g = _inside(d, e, f)
+            own, b, to = d[0] - e[0] @ g[0, :, 1:3], f[0, :, 0] - e[0] @ g[0, :, 0], -e[0] @ g[0, :, 3:5]
+            add, c = -e[-1].T @ g[-1, :, 3:5], -e[-1].T @ g[-1, :, 0]
+        return pd.DataFrame([[*pdf[keys].iloc[0], pdf[seq.BLK].iloc[0], *own.ravel(), *b, *to.ravel(), *add.ravel(), *c]], columns=[*keys, seq.BLK, *cells])
+
+    cells = [f"_c{i}" for i in range(16)]
+    few = placed.where((F.col("_known") >= 2) & (F.col("_n") >= 3)).select(*keys, seq.BLK, seq.RN, "_n", value.alias("_y"))
+    left = few.groupBy(*keys, seq.BLK).applyInPandas(eliminate, f"{key_types}, {seq.BLK} long, " + ", ".join(f"{c} double" for c in cells))
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:  # one row a block of a series
+        pdf = pdf.sort_values(seq.BLK)
+        x = pdf[cells].to_numpy(dtype=float)
+        k = len(x)
+        d, f, e = x[:, :4].reshape(k, 2, 2).copy(), x[:, 4:6].reshape(k, 2, 1).copy(), x[:, 6:10].reshape(k, 2, 2)
+        d[1:] += x[:-1, 10:14].reshape(k - 1, 2, 2)
+        f[1:, :, 0] += x[:-1, 14:16]
+        got = _solve_pairs(d, e[:-1], f)[:, :, 0]
+        after = np.r_[got[1:], np.zeros((1, 2))]
+        return pdf[[*keys, seq.BLK]].assign(_x0=got[:, 0], _x1=got[:, 1], _x2=after[:, 0], _x3=after[:, 1])
+
+    ends = left.groupBy(*keys).applyInPandas(meet, f"{key_types}, {seq.BLK} long, _x0 double, _x1 double, _x2 double, _x3 double")
+    names = [f.name for f in df.schema.fields]
+    out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + ["trend double"])
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:  # one block
+        if np.isnan(pdf["_x0"].iloc[0]):
+            few = pdf["_known"].iloc[0] == 1
+            return pdf[names].assign(trend=np.full(len(pdf), pdf["_one"].iloc[0]) if few else pdf["_y"].to_numpy(dtype=float))
+        pdf, d, e, f, _ = block(pdf)
+        ends = pdf[["_x0", "_x1", "_x2", "_x3"]].iloc[0].to_numpy(dtype=float)
+        trend = ends[:2]
+        if len(d) > 1:
+            g = _inside(d, e, f)
+            trend = np.r_[trend, (g[:, :, 0] - g[:, :, 1:5] @ ends).ravel()]
+        return pdf[names].assign(trend=trend[:len(pdf)])
+
+    out = placed.withColumn("_y", value).join(ends, [*keys, seq.BLK], "left").groupBy(*keys, seq.BLK).applyInPandas(fill, out_schema)
+    out = out.withColumn("trend", F.nanvl("trend", F.lit(None)))
+    return out.withColumn("seasonal", F.when(F.col("trend").isNotNull(), 0.0)).withColumn("residual", value - F.col("trend"))
+
+
+def decompose(df: DataFrame, keys, ts: str, col: str, period: int, method: str = "stl", **kw) -> DataFrame:
+    """G1 dispatcher: period < 2 -> HP filter; else STL (robust), classical or Fourier; adds E9 encodings."""
     from .indicators import calendar_encoding
     if period < 2:
-        out = hp_filter(df, keys, ts, col)
+        out = hp_filter(df, keys, ts, col, **kw)
     elif method == "classical":
         out = classical(df, keys, ts, col, period, **kw)
     elif method == "fourier":
         out = fourier(df, keys, ts, col)
     elif method == "stl":
         from .stl import stl_decompose
-        out = stl_decompose(df, keys, ts, col, period).drop("robust_weight")
+        out = stl_decompose(df, keys, ts, col, period, **kw).drop("robust_weight")
     else:
         raise ValueError("method must be 'classical', 'stl' or 'fourier'")
     return calendar_encoding(out, ts)

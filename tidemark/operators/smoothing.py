@@ -1,7 +1,8 @@
 """Holt linear trend and additive Holt-Winters (G7-G9) as streamed state machines.
 
-The recursions need one value after the other, so a series is read in order, but never as a whole: rows
-stream through ``mapInPandas`` over partitions sorted by (series, parameter chunk, time), and the only state
+The recursions need one value after the other, so a series is read in order, but never as a whole: with
+given parameters it runs as a parallel scan of affine maps over blocks of rows (``smooth_fixed``).  For the search
+rows stream through ``mapInPandas`` over partitions sorted by (series, parameter chunk, time), and the only state
 is level, trend and one season per parameter cell of the chunk.  Series and chunks of the parameter grid run
 in parallel.  One pass gives every backtest fold: at each fold's origin the errors so far pick the chunk's
 best cell and its forecast is emitted; the best chunk is an aggregate over a few rows.
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import require_keys
+from . import sequence as seq
 from .backtest import ForecastConfig, origins, register_scan
 
 GRID = np.round(np.arange(0.05, 1.0, 0.1), 2)
@@ -142,47 +144,119 @@ _register("holt", lambda cfg: 1)
 _register("holt_winters", lambda cfg: cfg.seasonal_periods)
 
 
-def smooth_fixed(df: DataFrame, keys, ts: str, col: str, period: int, alpha="alpha", beta="beta", gamma="gamma") -> DataFrame:
-    """``df`` with fitted, level, trend and season for given parameters (numbers or columns)."""
+class Lanes:
+    """One parameter cell's recursion on many states at once: lane k starts from the k-th unit vector and sees only
+    zeros, the last lane starts from zero and sees the values.  A step is affine in the state (level, trend, season
+    of each phase), so after a block the lanes are the columns of its map: state after = A @ state before + b."""
+
+    def __init__(self, cell: tuple[float, float, float], period: int):
+        self.a, self.b, self.g, self.m = *cell, period
+        eye = np.eye(period + 2, period + 3)
+        self.level, self.trend, self.season = eye[0].copy(), eye[1].copy(), eye[2:].copy()
+
+    def run(self, y: np.ndarray, phase: int) -> np.ndarray:
+        a, b, g, m = self.a, self.b, self.g, self.m
+        seen = np.zeros(m + 3)
+        for v in y:
+            s = self.season[phase]
+            ahead = self.level + self.trend
+            if v == v:
+                seen[-1] = v
+                now = seen
+            else:
+                now = ahead + s  # a missing value is its own forecast
+            level = a * (now - s) + (1 - a) * ahead
+            self.trend = b * (level - self.level) + (1 - b) * self.trend
+            if m > 1:
+                self.season[phase] = g * (now - level) + (1 - g) * s
+            self.level = level
+            phase = (phase + 1) % m
+        return np.vstack([self.level, self.trend, self.season])
+
+
+def default_block(period: int) -> int:
+    """Rows a block, so that its map is small beside its rows."""
+    return max(4096, 8 * (period + 2) ** 2)
+
+
+def smooth_fixed(df: DataFrame, keys, ts: str, col: str, period: int, alpha="alpha", beta="beta", gamma="gamma",
+                 block_rows: int | None = None, bucket: str = seq.DEFAULT_BUCKET) -> DataFrame:
+    """``df`` with fitted, level, trend and season for given parameters (numbers, or columns constant in a series).
+
+    A parallel scan: blocks of rows reduce to affine maps of the state, a series' maps (one a block) run over its
+    start state in order, and the blocks run their rows from the states so carried.  No task holds a series.
+    """
     keys = require_keys(keys)
     names = df.columns
-    at = {c: i for i, c in enumerate(names)}
+    rows = block_rows or default_block(period)
     par = [F.col(p) if isinstance(p, str) else F.lit(float(p)) for p in (alpha, beta, gamma)]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"{c} double" for c in ("fitted", "level", "trend", "season")])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, s, waiting = None, None, []
-        none = (None, None, None, None)
-
-        def learned(r):
-            y = r[at[col]]
-            i = s.t % s.m
-            f = s.step(float("nan") if y is None else float(y))
-            return (*r, float(f[0]), float(s.level[0]), float(s.trend[0]), float(s.season[0, i]))
-
+    value = F.nanvl(F.col(col).cast("double"), F.lit(None))
+    x = seq.index_rows(df, keys, ts, bucket=bucket).withColumns({**{f"_p{i}": c.cast("double") for i, c in enumerate(par)}, "_y": value})
+    x = x.withColumn(seq.BLK, F.floor((F.col(seq.RN) - 1) / rows).cast("long"))
+    key_types = _typed(df, keys)
+
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:  # the first two seasons of a series
+        y = pdf.sort_values(seq.RN)["_y"].to_numpy(dtype=float)
+        s = Smoother(np.array([[0.5, 0.5, 0.5]]), period)
+        s.first = y.tolist()
+        state = [*s.level, *s.trend, *s.season[0]] if s.start() else None
+        return pd.DataFrame([[*pdf[keys].iloc[0], state]], columns=[*keys, "_state"])
+
+    start = x.where(F.col(seq.RN) <= 2 * period).select(*keys, seq.RN, "_y").groupBy(*keys).applyInPandas(first, f"{key_types}, _state array<double>")
+
+    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:  # one block
+        pdf = pdf.sort_values(seq.RN)
+        lanes = Lanes(tuple(pdf[["_p0", "_p1", "_p2"]].iloc[0]), period)
+        got = lanes.run(pdf["_y"].to_numpy(dtype=float), int(pdf[seq.RN].iloc[0] - 1) % period)
+        return pd.DataFrame([[*pdf[keys].iloc[0], pdf[seq.BLK].iloc[0], got.tobytes()]], columns=[*keys, seq.BLK, "_map"])
+
+    slim = x.select(*keys, seq.BLK, seq.RN, "_y", "_p0", "_p1", "_p2")
+    maps = slim.groupBy(*keys, seq.BLK).applyInPandas(reduce, f"{key_types}, {seq.BLK} long, _map binary")
+    ordered = maps.join(start, keys).repartition(*keys).sortWithinPartitions(*keys, seq.BLK).select(*keys, seq.BLK, "_map", "_state")
+
+    def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, None
         for pdf in batches:
             out = []
-            for row in pdf.itertuples(index=False, name=None):
-                r, cell = row[:len(names)], row[len(names):]
-                key = tuple(r[at[k]] for k in keys)
+            for *key, blk, raw, first_state in pdf.itertuples(index=False, name=None):
                 if key != now:
-                    out += [(*w, *none) for w in waiting]  # too short to start
-                    now, s, waiting = key, Smoother(np.array([cell], float), period), []
-                if s.ready:
-                    out.append(learned(r))
-                    continue
-                y = r[at[col]]
-                s.first.append(float("nan") if y is None else float(y))
-                waiting.append(r)
-                if len(waiting) == 2 * period and s.start():
-                    out += [learned(w) for w in waiting]
-                    waiting = []
-            yield pd.DataFrame(out, columns=[*names, "fitted", "level", "trend", "season"])
-        if waiting:
-            yield pd.DataFrame([(*w, *none) for w in waiting], columns=[*names, "fitted", "level", "trend", "season"])
-
-    x = df.select("*", *[p.alias(f"_par{i}") for i, p in enumerate(par)]).repartition(*keys).sortWithinPartitions(*keys, ts)
-    return x.mapInPandas(run, schema)
+                    now, state = key, None if first_state is None else np.asarray(first_state, dtype=float)
+                out.append((*key, blk, None if state is None else state.tolist()))
+                if state is not None:
+                    step = np.frombuffer(raw).reshape(period + 2, period + 3)
+                    state = step[:, :-1] @ state + step[:, -1]
+            yield pd.DataFrame(out, columns=[*keys, seq.BLK, "_state"])
+
+    carried = ordered.mapInPandas(carry, f"{key_types}, {seq.BLK} long, _state array<double>")
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"{c} double" for c in OUT])
+
+    def run(pdf: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:  # one block and its one state
+        pdf = pdf.sort_values(seq.RN)
+        state = None if states.empty else states["_state"].iloc[0]
+        if state is None:
+            return pdf[names].assign(**dict.fromkeys(OUT, np.nan))
+        (a, b, g), phase = pdf[["_p0", "_p1", "_p2"]].iloc[0].tolist(), int(pdf[seq.RN].iloc[0] - 1) % period
+        level, trend, *season = np.asarray(state, dtype=float).tolist()
+        got = []
+        for y in pdf["_y"].to_numpy(dtype=float).tolist():
+            s = season[phase]
+            f = level + trend + s
+            if y != y:
+                y = f
+            was = level
+            level = a * (y - s) + (1 - a) * (level + trend)
+            trend = b * (level - was) + (1 - b) * trend
+            if period > 1:
+                season[phase] = g * (y - level) + (1 - g) * s
+            got.append((f, level, trend, season[phase]))
+            phase = (phase + 1) % period
+        return pdf[names].assign(**dict(zip(OUT, np.array(got).T)))
+
+    out = x.groupBy(*keys, seq.BLK).cogroup(carried.groupBy(*keys, seq.BLK)).applyInPandas(run, schema)
+    return out.withColumns({c: F.nanvl(c, F.lit(None)) for c in OUT})
+
+
+OUT = ["fitted", "level", "trend", "season"]
 
 
 def fitted_components(df: DataFrame, keys, ts: str, col: str, period: int) -> DataFrame:

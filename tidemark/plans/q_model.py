@@ -109,6 +109,35 @@ def q_stl(spark, sf):
         "series_id", "ts", "value", "trend", "seasonal", "residual")
 
 
+@register("g2_stl_blocks", "series_id:s ts:t value:d trend:d seasonal:d residual:d robust_weight:d")
+def q_stl_blocks(spark, sf):
+    """G2 robust STL with period 7 over several blocks a series: Spark passes with exact medians of |residual|."""
+    from ..operators.stl import stl_decompose
+    return stl_decompose(td.daily(spark, sf), KEYS, "ts", "value", 7, block_rows=512, outer=2)
+
+
+@register("g4_hp_normal_equations", "series_id:s ts:t value:d trend_known:i equation:d", td.with_views("""p AS (SELECT series_id, ts,
+    value / 1e6 AS value, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS rn FROM daily)
+SELECT series_id, ts, CASE WHEN rn % 10 <> 3 THEN value END AS value, 1 AS trend_known, 0.0 AS equation FROM p""", "daily").replace("GROUP BY 1, 2)\np AS", "GROUP BY 1, 2),\np AS", 1))
+def q_hp_equations(spark, sf):
+    """G4 with every tenth value missing, over several blocks a series: each row of (W + lambda D'D) trend = W value
+    holds (values in millions), so ``equation``, the difference of its sides, is 0."""
+    from ..operators import sequence as seq
+    d = seq.index_rows(td.daily(spark, sf), KEYS, "ts")
+    d = d.withColumn("value", F.when(F.col(seq.RN) % 10 != 3, F.col("value") / 1e6)).drop(seq.RN)
+    hp = dc.hp_filter(d, KEYS, "ts", "value", block_rows=512)
+
+    def bends(x, w):
+        return x.withColumn("_d", F.lag("trend", 2).over(w) - 2 * F.lag("trend").over(w) + F.col("trend"))
+
+    def equation(x, w):
+        bend = lambda k: F.coalesce(F.lead("_d", k).over(w) if k else F.col("_d"), F.lit(0.0))
+        return x.withColumn("equation", F.coalesce(F.col("trend") - F.col("value"), F.lit(0.0)) + 129600.0 * (bend(0) - 2 * bend(1) + bend(2)))
+
+    out = seq.bounded(seq.bounded(hp, KEYS, "ts", bends, before=2, block_rows=256), KEYS, "ts", equation, after=2, block_rows=256)
+    return out.withColumn("trend_known", F.col("trend").isNotNull().cast("int"))
+
+
 @register("g4_hp_filter", "series_id:s ts:t value:d trend:d residual:d")
 def q_hp(spark, sf):
     """G4 Hodrick-Prescott trend (lambda 129600) per series."""
@@ -232,7 +261,7 @@ def q_holt_fixed(spark, sf):
     """G7 Holt's linear trend with alpha 0.3, beta 0.1 (values in millions)."""
     from ..operators import smoothing as smo
     d = td.daily(spark, sf).withColumn("value", F.col("value") / 1e6)
-    return smo.smooth_fixed(d, KEYS, "ts", "value", 1, 0.3, 0.1, 0.0)
+    return smo.smooth_fixed(d, KEYS, "ts", "value", 1, 0.3, 0.1, 0.0, block_rows=256)
 
 
 @register("g8_holt_winters_fixed", "series_id:s ts:t fitted:d level:d trend:d season:d", td.with_views("""RECURSIVE p AS (SELECT series_id, ts,
@@ -249,7 +278,7 @@ def q_hw_fixed(spark, sf):
     """G8/G9 additive Holt-Winters with a season of 3, alpha 0.3, beta 0.1, gamma 0.2 (values in millions)."""
     from ..operators import smoothing as smo
     d = td.daily(spark, sf).withColumn("value", F.col("value") / 1e6)
-    return smo.smooth_fixed(d, KEYS, "ts", "value", 3, 0.3, 0.1, 0.2)
+    return smo.smooth_fixed(d, KEYS, "ts", "value", 3, 0.3, 0.1, 0.2, block_rows=256)
 
 
 # G12 / G10 ---------------------------------------------------------------------------------------
