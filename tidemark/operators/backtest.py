@@ -92,7 +92,7 @@ def register_grouped(name: str):
 
 
 def resolve(name: str) -> str:
-    from . import regress, smoothing  # noqa: F401  their forecasters register themselves
+    from . import composition, regress, smoothing  # noqa: F401  their forecasters register themselves
     if name in NATIVE or name in GROUPED or name in SCANS:
         return name
     supported = ", ".join(sorted([*NATIVE, *GROUPED, *SCANS]))

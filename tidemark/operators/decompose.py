@@ -27,9 +27,8 @@ from . import sequence as seq
 
 
 # G3 ----------------------------------------------------------------------------
-def classical(df: DataFrame, keys, ts: str, col: str, period: int, **kw) -> DataFrame:
-    """Additive classical decomposition by row position (``seasonal_decompose``)."""
-    keys = require_keys(keys)
+def moving_trend(col: str, period: int):
+    """Window computation of ``trend``: centred mean over a period (even: 2 x m, half weights at both ends)."""
     m = int(period)
     h = m // 2
 
@@ -38,11 +37,19 @@ def classical(df: DataFrame, keys, ts: str, col: str, period: int, **kw) -> Data
         full = F.count(F.col(col)).over(frame) == (2 * h + 1)
         if m % 2:
             tr = F.avg(col).over(frame)
-        else:  # 2 x m moving average: half weights at both ends
+        else:
             tr = (F.sum(col).over(frame) - 0.5 * (F.lag(col, h).over(w) + F.lead(col, h).over(w))) / m
         return d.withColumn("trend", F.when(full, tr))
 
-    d = seq.bounded(df, keys, ts, compute, before=h, after=h, keep_rn=True, **kw)
+    return compute
+
+
+def classical(df: DataFrame, keys, ts: str, col: str, period: int, **kw) -> DataFrame:
+    """Additive classical decomposition by row position (``seasonal_decompose``)."""
+    keys = require_keys(keys)
+    m = int(period)
+    h = m // 2
+    d = seq.bounded(df, keys, ts, moving_trend(col, m), before=h, after=h, keep_rn=True, **kw)
     d = d.withColumn("_phase", (F.col(seq.RN) - 1) % m).withColumn("_detr", F.col(col) - F.col("trend"))
     phase = d.groupBy(*keys, "_phase").agg(F.avg("_detr").alias("_pm"))
     centre = phase.groupBy(*keys).agg(F.avg("_pm").alias("_pc"))

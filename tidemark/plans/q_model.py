@@ -311,6 +311,46 @@ def q_composition(spark, sf):
                                 trend_params=(0.3, 0.1), block_rows=256)
 
 
+_COMP_CFG = bt.ForecastConfig(n_tests=20, n_forecasts=2, seasonal_periods=7, n_lags=5)
+
+
+@register("g12_backtest_composition", "series_id:s fold:i step:i origin:t residual:d trend:d seasonal:d yhat:d", td.with_views("""b AS MATERIALIZED (SELECT series_id,
+    ts, value / 1e6 AS y, row_number() OVER w AS rn, count(*) OVER (PARTITION BY series_id) AS n,
+    CASE WHEN count(value) OVER (w ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) = 7 THEN avg(value / 1e6) OVER (w ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) END AS trend
+  FROM daily WINDOW w AS (PARTITION BY series_id ORDER BY ts)),
+f AS (SELECT unnest(range(-1, 10)) AS fold),
+t AS (SELECT b.*, fold FROM b, f WHERE trend IS NOT NULL AND rn + 3 <= n - 2 * (fold + 1)),
+p AS (SELECT series_id, fold, (rn - 1) % 7 AS ph, avg(y - trend) AS pm FROM t GROUP BY ALL),
+s AS MATERIALIZED (SELECT series_id, fold, ph, pm - avg(pm) OVER (PARTITION BY series_id, fold) AS s FROM p),
+h AS (SELECT b.series_id, b.rn, b.trend AS l, c.trend - b.trend AS g FROM b JOIN b c ON c.series_id = b.series_id AND b.rn = 4 AND c.rn = 5
+  UNION ALL SELECT series_id, rn, nl, 0.1 * (nl - l) + 0.9 * g FROM (SELECT b.series_id, b.rn, h.l, h.g, 0.3 * b.trend + 0.7 * (h.l + h.g) AS nl
+    FROM h JOIN b ON b.series_id = h.series_id AND b.rn = h.rn + 1 AND b.trend IS NOT NULL) q),
+e AS (SELECT t.*, h.l, h.g, s.s FROM t JOIN h USING (series_id, rn) JOIN s ON s.series_id = t.series_id AND s.fold = t.fold AND s.ph = (t.rn - 1) % 7
+  WHERE t.rn + 3 = n - 2 * (t.fold + 1)),
+k AS (SELECT e.*, unnest([1, 2]) AS step FROM e),
+m AS (SELECT k.series_id, k.fold, k.step, avg(s.s) AS seasonal FROM (SELECT *, unnest(range(-3, 4)) AS o FROM k) k JOIN s ON s.series_id = k.series_id AND s.fold = k.fold
+  AND s.ph = (CASE WHEN k.step - 2 + o > 0 THEN k.rn + 3 - k.step - o ELSE k.rn - 2 + k.step + o END - 1) % 7 GROUP BY ALL),
+r AS (SELECT series_id, fold, step, CASE step WHEN 1 THEN 0.01 + 0.5 * (y - trend - s) + 0.02 * trend + 0.1 * s + 0.03 * sin(2 * pi() * (isodow(ts) - 1) / 7)
+    ELSE 0.02 + 0.25 * (y - trend - s) + 0.01 * trend + 0.2 * s + 0.04 * sin(2 * pi() * (isodow(ts) - 1) / 7) END AS residual, l + (3 + step) * g AS trend, n FROM k)
+SELECT series_id, fold, step, b.ts AS origin, residual, r.trend, seasonal, residual + r.trend + seasonal AS yhat
+FROM r JOIN m USING (series_id, fold, step) JOIN b USING (series_id) WHERE b.rn = r.n - 2 * (fold + 1)""", "daily").replace("WITH daily", "WITH RECURSIVE daily").replace(
+    "GROUP BY 1, 2)\nb AS", "GROUP BY 1, 2),\nb AS", 1))
+def q_backtest_composition(spark, sf):
+    """G12 in G18 with fixed models: every fold's decomposition, windows, Holt trend and season from its training rows
+    (values in millions)."""
+    from ..operators import composition as cp
+    from ..operators.indicators import positions
+    d = td.daily(spark, sf).withColumn("value", F.col("value") / 1e6)
+    out = cp.fold_composition(positions(d, KEYS, "ts"), KEYS, "value", _COMP_CFG, betas=_G12_BETAS, trend_params=(0.3, 0.1), block_rows=256)
+    return out.withColumnRenamed("ots", "origin")
+
+
+@register("g21_run_all_composition", "series_id:s run_model:s Model:s MAE:d RMSE:d Directional Accuracy:d")
+def q_run_all_composition(spark, sf):
+    """G21 over the fitted composition and a native model, with seasonal naive as the baseline."""
+    return bt.run_all(td.daily(spark, sf), KEYS, "ts", "value", ["price_composition", "drift"], _COMP_CFG, baseline="seasonal_naive", block_rows=256).metrics
+
+
 @register("g12_price_forecast", "series_id:s step:i ts:t residual:d trend:d seasonal:d forecast:d")
 def q_price_forecast(spark, sf):
     """G12 with fitted models: STL, ridge on the feature windows, Holt by grid search."""
