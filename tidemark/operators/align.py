@@ -60,11 +60,35 @@ def align_inner(long: DataFrame, symbol: str, ts: str, value: str, symbols: Sequ
     return wide.where(F.size(F.array_compact(F.array(*[F.col(f"`{v}`") for v in vals]))) == len(vals))
 
 
-def align_inner_long(long: DataFrame, symbol: str, ts: str, value: str, n_symbols: int) -> DataFrame:
-    """C4 in long form, for any number of symbols: the rows of each ``ts`` at which ``n_symbols`` have a value."""
+def align_inner_long(long: DataFrame, symbol: str, ts: str, value: str, n_symbols: int | None = None) -> DataFrame:
+    """C4 in long form, for any number of symbols: the rows of each ``ts`` at which ``n_symbols`` have a value
+    (by default as many as the data hold)."""
     known = long.where(F.col(value).isNotNull())
-    full = known.groupBy(ts).agg(F.count_distinct(symbol).alias("_k")).where(F.col("_k") == n_symbols).select(ts)
-    return known.join(full, [ts], "left_semi")
+    full = known.groupBy(ts).agg(F.count_distinct(symbol).alias("_k"))
+    if n_symbols is None:  # one row, joined as such
+        full = full.join(known.agg(F.count_distinct(symbol).alias("_all")), F.col("_k") == F.col("_all"))
+    else:
+        full = full.where(F.col("_k") == n_symbols)
+    return known.join(full.select(ts), [ts], "left_semi")
+
+
+def every_date(items: DataFrame, dates: DataFrame, ts: str) -> DataFrame:
+    """Every row of ``items`` at every date of ``dates`` (both distinct), spread by month.
+
+    The months between the first and the last date come with each item; dates join by month, so neither list is
+    gathered and no join is without a key.
+    """
+    span = dates.agg(F.date_trunc("month", F.min(ts)).alias("_m0"), F.date_trunc("month", F.max(ts)).alias("_m1"))  # one row
+    month = F.explode(F.sequence("_m0", "_m1", F.expr("interval 1 month"))).alias("_m")
+    spread = items.join(span, F.col("_m0").isNotNull()).select(*items.columns, month)
+    return spread.join(dates.select(ts, F.date_trunc("month", F.col(ts)).alias("_m")), "_m").drop("_m")
+
+
+def align_outer_long(long: DataFrame, symbol: str, ts: str, value: str, **kw) -> DataFrame:
+    """C5 in long form, for any number of symbols: every symbol at every ``ts`` that any symbol has, gaps forward-
+    then backward-filled per symbol.  Symbols and dates are read from the data; nothing is pivoted."""
+    grid = every_date(long.select(symbol).distinct(), long.select(ts).distinct(), ts)
+    return ffill_bfill(grid.join(long.select(symbol, ts, value), [symbol, ts], "left"), [symbol], ts, [value], **kw)
 
 
 def align_outer_filled(long: DataFrame, symbol: str, ts: str, value: str, symbols: Sequence[str],

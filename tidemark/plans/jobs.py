@@ -108,6 +108,43 @@ def merge_on_dates(target: DataFrame, tables: Sequence[DataFrame], ts: str, valu
     return out.select(*target.columns).join(wide, ts)
 
 
+def merge_instruments_long(target: DataFrame, others: DataFrame, keys, symbol: str, ts: str, value: str,
+                           target_col: str = "target", tolerance: float = 1e-8, **kw) -> DataFrame:
+    """G29 for every target series and any number of instruments: (keys, ts, symbol, target, value).
+
+    Each series is merged with all instruments on the union of its dates and theirs, missing instrument values are
+    backcast proportionally to the series (D2), and an instrument that is zero throughout is left out of the
+    series (B24).  Everything is keyed by series and symbol; symbols are read from the data and nothing is
+    computed before the result is asked for.
+    """
+    keys = require_keys(keys)
+    series = target.select(*keys, ts, F.col(value).alias(target_col))
+    dates = al.every_date(target.select(*keys).distinct(), others.select(ts).distinct(), ts).unionByName(target.select(*keys, ts)).distinct()
+    symbols = others.agg(F.collect_set(symbol).alias("_s"))  # one row: the names of the instruments
+    grid = dates.join(symbols, F.col("_s").isNotNull()).select(*keys, ts, F.explode("_s").alias(symbol))
+    long = grid.join(others.select(symbol, ts, value), [symbol, ts], "left").join(series, [*keys, ts], "left")
+    filled = im.proportional_backcast(long, [*keys, symbol], ts, [value], target_col, **kw).select(*keys, ts, symbol, target_col, value)
+    return filled.join(zero_throughout(filled, [*keys, symbol], value, tolerance), [*keys, symbol], "left_anti")
+
+
+def zero_throughout(long: DataFrame, keys, value: str, tolerance: float = 1e-8) -> DataFrame:
+    """B24 in long form: the keys whose every value is within ``tolerance`` of 0; one with a NULL is not among them."""
+    keys = require_keys(keys)
+    got = long.groupBy(*keys).agg(F.max(F.abs(F.col(value))).alias("_m"), F.count_if(F.col(value).isNull()).alias("_k"))
+    return got.where((F.col("_k") == 0) & (F.col("_m") <= tolerance)).select(*keys)
+
+
+def merge_on_dates_long(target: DataFrame, others: DataFrame, keys, symbol: str, ts: str, value: str, target_col: str = "target",
+                        tolerance: float = 1e-8, **kw) -> DataFrame:
+    """G29, inner form, for every target series: (keys, ts, symbol, target, value) on the dates that the series and
+    every instrument have; instruments that are zero throughout go (B24), the others are backcast (D2)."""
+    keys = require_keys(keys)
+    common = al.align_inner_long(others, symbol, ts, value)
+    out = common.join(target.select(*keys, ts, F.col(value).alias(target_col)), [ts])
+    out = out.join(zero_throughout(out, [*keys, symbol], value, tolerance), [*keys, symbol], "left_anti")
+    return im.proportional_backcast(out, [*keys, symbol], ts, [value], target_col, **kw).select(*keys, ts, symbol, target_col, value)
+
+
 # G28 cleaning jobs ---------------------------------------------------------------
 def clean_ohlc(raw: DataFrame, keys, proxy: DataFrame | None = None, date_format: str = "d/M/yyyy", price: str = "Price",
                out: str = "close", max_change: float = 0.03, **kw) -> DataFrame:

@@ -93,6 +93,24 @@ def q_align_outer(spark, sf):
     return al.align_outer_filled(td.ship(spark, sf), "series_id", "ts", "value", FLAGS)
 
 
+@register("c4_align_inner_long", "series_id:s ts:t value:d", td.with_views("""u AS (SELECT * FROM daily UNION ALL SELECT * FROM ship)
+SELECT u.* FROM u JOIN (SELECT ts FROM u WHERE value IS NOT NULL GROUP BY ts HAVING count(DISTINCT series_id) = (SELECT count(DISTINCT series_id) FROM u)) c USING (ts)
+WHERE value IS NOT NULL""", "daily", "ship").replace("GROUP BY 1, 2)\nu AS", "GROUP BY 1, 2),\nu AS", 1))
+def q_align_inner_long(spark, sf):
+    """C4 in long form: the dates that every series of two tables has; symbols read from the data."""
+    return al.align_inner_long(td.daily(spark, sf).unionByName(td.ship(spark, sf)), "series_id", "ts", "value")
+
+
+@register("c5_align_outer_suppliers", "series_id:i ts:t value:d", td.with_views("""g AS (SELECT s.series_id, c.ts, d.value
+  FROM (SELECT DISTINCT series_id FROM supplier_daily) s, (SELECT DISTINCT ts FROM supplier_daily) c LEFT JOIN supplier_daily d ON d.series_id = s.series_id AND d.ts = c.ts)
+SELECT series_id, ts, coalesce(last_value(value IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  first_value(value IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS value FROM g""",
+    "supplier_daily").replace("GROUP BY 1, 2)\ng AS", "GROUP BY 1, 2),\ng AS", 1))
+def q_align_suppliers(spark, sf):
+    """C5 in long form over every supplier: all suppliers at all dates, gaps filled per supplier, no pivot."""
+    return al.align_outer_long(td.supplier_daily(spark, sf), "series_id", "ts", "value")
+
+
 # C6 ----------------------------------------------------------------------------
 def ship_probes(spark, sf):
     li = td.table(spark, sf, "lineitem").select("l_orderkey", "l_shipdate")
@@ -115,18 +133,19 @@ def q_asof(spark, sf):
 
 # C8 ----------------------------------------------------------------------------
 @register("c8_splice_history", "series_id:s ts:t value:d",
-          td.with_views(f"""WITH t AS (SELECT series_id, ts, value FROM daily WHERE ts >= DATE '1997-01-01'),
+          td.with_views(f"""t AS (SELECT series_id, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS rn,
+  count(*) OVER (PARTITION BY series_id) AS n FROM daily) q WHERE 2 * rn > n),
 p AS (SELECT series_id, ts, value_o AS value FROM ({O_SQL}) o)
 SELECT series_id, ts, value FROM (
   SELECT p.*, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS rn,
          count(*) OVER (PARTITION BY series_id) AS np FROM p) x
 JOIN (SELECT series_id, count(*) AS nt FROM t GROUP BY 1) c USING (series_id)
 WHERE rn <= np - nt
-UNION ALL SELECT * FROM t""", "daily").replace("WITH daily AS", "WITH daily AS", 1).replace(
-              ")\nWITH t AS", "),\nt AS"))
+UNION ALL SELECT * FROM t""", "daily").replace("GROUP BY 1, 2)\nt AS", "GROUP BY 1, 2),\nt AS", 1))
 def q_splice(spark, sf):
-    """C8 prepend the open-order series' older history to the recent daily series (count rule)."""
-    target = td.daily(spark, sf).where(F.col("ts") >= F.lit("1997-01-01").cast("date"))
+    """C8 prepend the open-order series' older history to the later half of each daily series (count rule)."""
+    d = ind.positions(td.daily(spark, sf), KEYS, "ts")
+    target = d.where(2 * F.col("rn") > F.col("rn") + F.col("rn_desc") - 1).drop("rn", "rn_desc")
     proxy = by_status(spark, sf, "O").withColumnRenamed("value_o", "value")
     return al.splice_history(target, proxy, KEYS, "ts")
 

@@ -139,19 +139,20 @@ def q_comparison(spark, sf):
       sqrt(avg((actual - predicted) * (actual - predicted))) AS "RMSE",
       1.0 - sum((actual - predicted) * (actual - predicted)) / NULLIF(var_pop(actual) * count(actual), 0) AS "R2",
       count(*) AS n,
-      avg(CASE WHEN coalesce(sign(actual - 1700000.0) = sign(predicted - 1700000.0), false) THEN 1.0 ELSE 0.0 END)
-        AS sign_accuracy FROM final GROUP BY 1),
+      avg(CASE WHEN coalesce(sign(actual - level) = sign(predicted - level), false) THEN 1.0 ELSE 0.0 END)
+        AS sign_accuracy FROM (SELECT *, median(actual) OVER (PARTITION BY series_id) AS level FROM final) f GROUP BY 1),
 d AS (SELECT series_id, avg(CASE WHEN da IS NULL THEN NULL WHEN coalesce(sign(da) = sign(dp), false) THEN 1.0 ELSE 0.0 END)
         AS diff_directional_accuracy FROM (
       SELECT series_id, actual - lag(actual) OVER w AS da, predicted - lag(predicted) OVER w AS dp
       FROM final WINDOW w AS (PARTITION BY series_id ORDER BY ts, model_fold)) q GROUP BY 1)
 SELECT * FROM m JOIN d USING (series_id)"""))
 def q_errors(spark, sf):
-    """F1 MAE, F2 RMSE, F3 R^2, F5 difference-sign accuracy, F6 sign accuracy (vs a level of 1.7e6)."""
+    """F1 MAE, F2 RMSE, F3 R^2, F5 difference-sign accuracy, F6 sign accuracy (vs the series' median)."""
     fin = _artifacts(spark, sf).final
     e = mt.error_metrics(fin, KEYS, "actual", "predicted")
     d = mt.diff_directional_accuracy(fin, KEYS, "ts", "actual", "predicted", tiebreak=["model_fold"], block_rows=256)
-    s = mt.sign_accuracy(fin.withColumn("a", F.col("actual") - 1.7e6).withColumn("p", F.col("predicted") - 1.7e6),
+    level = fin.join(fin.groupBy(*KEYS).agg(F.median("actual").alias("_level")), KEYS)  # n_tests rows a series
+    s = mt.sign_accuracy(level.withColumn("a", F.col("actual") - F.col("_level")).withColumn("p", F.col("predicted") - F.col("_level")),
                          KEYS, "a", "p")
     return e.join(d, KEYS).join(s, KEYS)
 

@@ -136,30 +136,27 @@ def q_change_feat(spark, sf):
 
 
 # G29 ----------------------------------------------------------------------------------
-_G29_SQL = td.with_views("""grid AS (
-  SELECT coalesce(p.ts, t.ts) AS ts, t.target, p."A", p."N", p."R" FROM (
-    SELECT ts, max(CASE WHEN series_id = 'A' THEN value END) AS "A", max(CASE WHEN series_id = 'N' THEN value END) AS "N",
-           max(CASE WHEN series_id = 'R' THEN value END) AS "R" FROM ship GROUP BY ts) p
-  FULL OUTER JOIN (SELECT ts, value AS target FROM daily WHERE series_id = '1-URGENT') t ON p.ts = t.ts),
-lng AS (SELECT ts, target, 'A' AS symbol, "A" AS value FROM grid UNION ALL SELECT ts, target, 'N', "N" FROM grid
-        UNION ALL SELECT ts, target, 'R', "R" FROM grid),
-m AS (SELECT *, sum(CASE WHEN target IS NULL OR target = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ts
+_G29_SQL = td.with_views("""sh AS (SELECT series_id AS symbol, ts, value FROM ship),
+dates AS (SELECT s.series_id, c.ts FROM (SELECT DISTINCT series_id FROM daily) s, (SELECT DISTINCT ts FROM sh) c UNION SELECT series_id, ts FROM daily),
+lng AS (SELECT d.series_id, d.ts, y.symbol, t.value AS target, sh.value FROM dates d, (SELECT DISTINCT symbol FROM sh) y
+  LEFT JOIN sh ON sh.symbol = y.symbol AND sh.ts = d.ts LEFT JOIN daily t ON t.series_id = d.series_id AND t.ts = d.ts),
+m AS (SELECT *, sum(CASE WHEN target IS NULL OR target = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY series_id, symbol ORDER BY ts
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cb FROM lng),
 n AS (SELECT *, first_value(CASE WHEN value IS NOT NULL THEN {'c': value, 't': target, 'b': cb} END IGNORE NULLS)
-        OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nx FROM m),
-f AS (SELECT ts, target, symbol, CASE WHEN value IS NULL AND nx IS NOT NULL AND target IS NOT NULL AND nx.b = cb
-        THEN nx.c * target / nx.t ELSE value END AS v FROM n)
-SELECT ts, max(target) AS target, max(CASE WHEN symbol = 'A' THEN v END) AS "A",
-  max(CASE WHEN symbol = 'N' THEN v END) AS "N", max(CASE WHEN symbol = 'R' THEN v END) AS "R"
-FROM f GROUP BY ts""", "daily", "ship").replace("GROUP BY 1, 2)\ngrid AS", "GROUP BY 1, 2),\ngrid AS", 1)
+        OVER (PARTITION BY series_id, symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nx FROM m)
+SELECT series_id, ts, symbol, target, CASE WHEN value IS NULL AND nx IS NOT NULL AND target IS NOT NULL AND nx.b = cb
+  THEN nx.c * target / nx.t ELSE value END AS value FROM n""", "daily", "ship").replace("GROUP BY 1, 2)\nsh AS", "GROUP BY 1, 2),\nsh AS", 1)
 
 
-@register("g29_merge_instruments", "ts:t target:d A:d N:d R:d", _G29_SQL)
+def _instruments(spark, sf):
+    return td.ship(spark, sf).withColumnRenamed("series_id", "symbol")
+
+
+@register("g29_merge_instruments", "series_id:s ts:t symbol:s target:d value:d", _G29_SQL)
 def q_merge(spark, sf):
-    """G29 merge job: the ship-value instruments outer-merged onto the 1-URGENT daily series,
-    backcast proportionally to it, all-zero columns dropped, one pivot at the end."""
-    target = td.daily(spark, sf).where(F.col("series_id") == "1-URGENT")
-    return jobs.merge_instruments(target, td.ship(spark, sf), "series_id", "ts", "value", ["A", "N", "R"])
+    """G29 merge job: all ship-value instruments outer-merged onto every daily series, backcast proportionally to it,
+    all-zero instruments left out; long form, symbols read from the data."""
+    return jobs.merge_instruments_long(td.daily(spark, sf), _instruments(spark, sf), KEYS, "symbol", "ts", "value")
 
 
 # G28 jobs over raw-text views of the given tables --------------------------------------------
@@ -217,15 +214,16 @@ def q_external(spark, sf):
     return jobs.clean_external(raw, "series_id", 5)
 
 
-@register("g29_merge_on_dates", "ts:t value:d A:d N:d R:d x:d", td.with_views("""t AS (SELECT ts, value FROM daily WHERE series_id = '2-HIGH'),
-w AS (SELECT ts, max(value) FILTER (series_id = 'A') AS "A", max(value) FILTER (series_id = 'N') AS "N", max(value) FILTER (series_id = 'R') AS "R" FROM ship GROUP BY 1),
-c AS (SELECT ts, "A", "N", "R" FROM w WHERE "A" IS NOT NULL AND "N" IS NOT NULL AND "R" IS NOT NULL),
-x AS (SELECT CAST(o_orderdate AS DATE) AS ts, sum(o_totalprice) AS x FROM orders GROUP BY 1)
-SELECT ts, value, "A", "N", "R", x FROM t JOIN c USING (ts) JOIN x USING (ts)""", "daily", "ship").replace("GROUP BY 1, 2)\nt AS", "GROUP BY 1, 2),\nt AS", 1))
+@register("g29_merge_on_dates", "series_id:s ts:t symbol:s target:d value:d", td.with_views("""o AS (SELECT series_id AS symbol, ts, value FROM ship
+  UNION ALL SELECT 'x', CAST(o_orderdate AS DATE), sum(o_totalprice) FROM orders GROUP BY 2),
+c AS (SELECT ts FROM o GROUP BY 1 HAVING count(DISTINCT symbol) = (SELECT count(DISTINCT symbol) FROM o))
+SELECT d.series_id, d.ts, o.symbol, d.value AS target, o.value FROM daily d JOIN c USING (ts) JOIN o USING (ts)""", "daily", "ship").replace(
+    "GROUP BY 1, 2)\no AS", "GROUP BY 1, 2),\no AS", 1))
 def q_merge_on_dates(spark, sf):
-    """G29 index merge: target, list and external columns on common dates; a column of zeros is dropped."""
-    from ..operators import align as al
-    target = td.daily(spark, sf).where(F.col("series_id") == "2-HIGH").select("ts", "value")
-    listed = al.align_inner(td.ship(spark, sf), "series_id", "ts", "value", ["A", "N", "R"])
-    external = td.table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("ts")).agg(F.sum("o_totalprice").alias("x"), F.sum(F.col("o_totalprice") * 0).alias("zero"))
-    return jobs.merge_on_dates(target, [listed, external], "ts", "value")
+    """G29 index merge for every daily series: instruments and an external total on the dates all have; one that is
+    zero throughout is dropped."""
+    orders = td.table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("ts"))
+    external = orders.agg(F.sum("o_totalprice").alias("value")).withColumn("symbol", F.lit("x"))
+    zero = orders.agg(F.sum(F.col("o_totalprice") * 0).alias("value")).withColumn("symbol", F.lit("zero"))
+    others = _instruments(spark, sf).unionByName(external).unionByName(zero)
+    return jobs.merge_on_dates_long(td.daily(spark, sf), others, KEYS, "symbol", "ts", "value")
