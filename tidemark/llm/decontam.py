@@ -42,6 +42,8 @@ from .common import checkpoint, packed_row, table
 WIDTH = 5
 SIMILARITY = 0.8
 FILTER_WINDOWS = 4_000_000
+#: Texts that are hashed together.
+BATCH = 64
 #: Units of measure; a unit only after a number.
 UNITS = frozenset(
     "mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg t lb lbs oz ounce ounces pound pounds gram grams kilogram "
@@ -56,11 +58,12 @@ _WORD, _CAPITAL, _MAYBE_UNIT, _DIGITS, _END = range(5)
 
 
 class _Tokens(dict):
-    """Token to (hash of its lower case, kind), remembered."""
+    """Token to its place in two arrays, remembered: the hash of its lower case, and its kind."""
 
-    def __missing__(self, t: str) -> tuple[int, int]:
-        if len(self) > 500_000:
-            self.clear()
+    def __init__(self) -> None:
+        self.hash, self.kind = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int8)
+
+    def __missing__(self, t: str) -> int:
         low = t.lower()
         if t[0].isdigit():
             kind = _DIGITS
@@ -70,31 +73,76 @@ class _Tokens(dict):
             kind = _CAPITAL
         else:
             kind = _MAYBE_UNIT if low in UNITS else _WORD
-        self[t] = x = (xxhash.xxh3_64_intdigest(low), kind)
-        return x
+        self[t] = at = len(self)
+        if at == len(self.kind):
+            self.hash, self.kind = np.resize(self.hash, 2 * at), np.resize(self.kind, 2 * at)
+        self.hash[at], self.kind[at] = xxhash.xxh3_64_intdigest(low), kind
+        return at
+
+
+class Templates:
+    """Words of several texts, one after the other: ``h`` template hashes, ``slot`` types (0 plain, 1 number, 2 name,
+    3 unit), ``low`` hashes of the lower-cased words, ``doc`` the text of each, ``start`` each text's first."""
+
+    def __init__(self, texts: list[str | None], known: _Tokens):
+        if len(known) > 500_000:
+            known.clear()
+        self.tokens: list[str] = []
+        sizes = []
+        for text in texts:
+            found = _TOKEN.findall(text or "")
+            sizes.append(len(found))
+            self.tokens += found
+        at = np.fromiter(map(known.__getitem__, self.tokens), np.int64, len(self.tokens))
+        h, kind = known.hash[at], known.kind[at]
+        ends = np.cumsum(sizes)
+        before = np.concatenate(([_END], kind[:-1])) if kind.size else kind
+        before[(ends - sizes)[np.asarray(sizes) > 0]] = _END
+        slot = np.zeros(kind.size, np.int8)
+        slot[kind == _DIGITS] = 1
+        slot[(kind == _CAPITAL) & (before != _END)] = 2
+        slot[(kind == _MAYBE_UNIT) & (before == _DIGITS)] = 3
+        self.place = np.flatnonzero(kind != _END)
+        self.doc = np.repeat(np.arange(len(texts)), sizes)[self.place]
+        self.start = np.searchsorted(self.doc, np.arange(len(texts)))
+        self.low, self.slot = h[self.place], slot[self.place]
+        self.h = self.low.copy()
+        for s, code in ((1, _NUMBER), (2, _NAME), (3, _UNIT)):
+            self.h[self.slot == s] = code
+
+    def words(self) -> list[str]:
+        return [self.tokens[i] for i in self.place.tolist()]
+
+    def slots(self, at: int, width: int) -> list[str]:
+        """Slot values of one window, in order."""
+        return [self.tokens[self.place[i]] for i in range(at, at + width) if self.slot[i]]
+
+    def inside(self, width: int) -> np.ndarray:
+        """Whether the window that starts at each word lies in one text."""
+        n = max(0, self.doc.size - width + 1)
+        return self.doc[:n] == self.doc[width - 1:width - 1 + n]
 
 
 def template(text: str | None, known: _Tokens) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """(words, template hashes, slot type: 0 plain, 1 number, 2 name, 3 unit; hashes of the lower-cased words) of a text."""
-    tokens = _TOKEN.findall(text or "")
-    if not tokens:
-        return [], np.empty(0, np.uint64), np.empty(0, np.int8), np.empty(0, np.uint64)
-    pairs = list(map(known.__getitem__, tokens))
-    h = np.fromiter((p[0] for p in pairs), np.uint64, len(pairs))
-    kind = np.fromiter((p[1] for p in pairs), np.int8, len(pairs))
-    before = np.concatenate(([_END], kind[:-1]))
-    slot = np.zeros(kind.size, np.int8)
-    slot[kind == _DIGITS] = 1
-    slot[(kind == _CAPITAL) & (before != _END)] = 2
-    slot[(kind == _MAYBE_UNIT) & (before == _DIGITS)] = 3
-    word = kind != _END
-    if not word.all():
-        tokens = [t for t, w in zip(tokens, word.tolist()) if w]
-        h, slot = h[word], slot[word]
-    low = h.copy()
-    for s, code in ((1, _NUMBER), (2, _NAME), (3, _UNIT)):
-        h[slot == s] = code
-    return tokens, h, slot, low
+    """(words, template hashes, slot types, hashes of the lower-cased words) of a text."""
+    t = Templates([text], known)
+    return t.words(), t.h, t.slot, t.low
+
+
+def _mixed(w: np.ndarray) -> np.ndarray:
+    w ^= w >> np.uint64(29)
+    w *= np.uint64(0xD6E8FEB86659FD93)
+    w ^= w >> np.uint64(32)
+    return w
+
+
+def hashes_at(h: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the windows that start at ``at``."""
+    w = np.zeros(at.size, np.uint64)
+    for j in range(width):
+        w *= _BASE
+        w += h[at + j]
+    return _mixed(w)
 
 
 def windows(h: np.ndarray, slot: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -108,10 +156,7 @@ def windows(h: np.ndarray, slot: np.ndarray, width: int = WIDTH) -> tuple[np.nda
         w *= _BASE
         w += h[j:j + n]
         plain += free[j:j + n]
-    w ^= w >> np.uint64(29)
-    w *= np.uint64(0xD6E8FEB86659FD93)
-    w ^= w >> np.uint64(32)
-    return w, plain >= min(2, width)
+    return _mixed(w), plain >= min(2, width)
 
 
 def _slots(words: list[str], slot: np.ndarray, at: int, width: int) -> list[str]:
@@ -186,21 +231,32 @@ def _window_rows(width: int, only: np.ndarray | None, short: list[int]):
         known, keep = _Tokens(), _Only(only) if only is not None else lambda w: np.arange(w.size)
         for p in parts:
             out = []
-            for rid, th, text in zip(p["rid"], p["th"], p["text"]):
-                words, h, slot, low = template(text, known)
+            rids, ths, texts = p["rid"].tolist(), p["th"].tolist(), p["text"].tolist()
+            for a in range(0, len(texts), BATCH):
+                t = Templates(texts[a:a + BATCH], known)
                 seen: dict[tuple, list[int]] = {}
-                w, ok = windows(h, slot, width)
-                for i in keep(w).tolist():
-                    if ok[i]:
-                        seen.setdefault((int(w[i]), tuple(_slots(words, slot, i, width))), []).append(i)
-                for wide in (*short, width):
-                    if wide == width and not slot.any():
-                        continue  # the templates are the plain forms
-                    x, _ = windows(low, np.zeros_like(slot), wide)
-                    for i in keep(x).tolist():
-                        if wide < width or not ok[i] or x[i] != w[i]:  # a usable window without slots was sent above
-                            seen.setdefault((int(x[i]), ()), []).append(i)
-                out += [(rid, th, _signed(x), list(s), i) for (x, s), i in seen.items()]
+
+                def sent(at: np.ndarray, w: np.ndarray, wide: int | None) -> None:
+                    for i, k, x in zip(at.tolist(), t.doc[at].tolist(), w.tolist()):
+                        seen.setdefault((k, x, tuple(t.slots(i, wide)) if wide else ()), []).append(i - int(t.start[k]))
+
+                w, ok = windows(t.h, t.slot, width)
+                ok &= t.inside(width)
+                at = keep(w)
+                at = at[ok[at]]
+                sent(at, w[at], width)
+                # plain forms: a window without slots has been sent above
+                filled = np.cumsum(np.concatenate(([0], t.slot != 0)))
+                at = np.flatnonzero((filled[width:] > filled[:filled.size - width]) & t.inside(width)) if w.size else np.empty(0, int)
+                x = hashes_at(t.low, at, width)
+                hit = keep(x)
+                sent(at[hit], x[hit], None)
+                for wide in short:
+                    x, _ = windows(t.low, t.slot, wide)
+                    at = keep(x)
+                    at = at[t.inside(wide)[at]]
+                    sent(at, x[at], None)
+                out += [(rids[a + k], ths[a + k], _signed(x), list(s), i) for (k, x, s), i in seen.items()]
             yield pd.DataFrame(out, columns=["rid", "th", "hash", "slots", "at"])
 
     return rows
