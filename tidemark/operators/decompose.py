@@ -147,15 +147,14 @@ def recompose(parts: dict[str, DataFrame], keys, on: str = "step", out: str = "f
 
 
 def fourier_forecast(df: DataFrame, keys, ts: str, col: str, n_steps: int = 2, ar_order: int = 5,
-                     **kw) -> DataFrame:
+                     exact: bool = True, **kw) -> DataFrame:
     """Future trend + seasonal from the Fourier fit on the next business days, plus an
-    AR(p) forecast of the residual (conditional least squares), recomposed (G10).
+    AR(p) forecast of the residual (by exact likelihood, or conditional least squares), recomposed (G10).
 
     Input should be densified and filled (D3 + D1), as in the source.  Returns
     (keys, step, ts, trend, seasonal, residual, forecast).
     """
-    from . import regress as rg
-    from .indicators import next_business_days, positions
+    from .indicators import next_business_days
     keys = require_keys(keys)
     d, beta, names = fourier_fit(df, keys, ts, col)
     fit, trend = _parts(names)
@@ -167,8 +166,22 @@ def fourier_forecast(df: DataFrame, keys, ts: str, col: str, n_steps: int = 2, a
     fut = fut.withColumn("_fit", fit).withColumn("trend", trend).withColumn("seasonal", F.col("_fit") - F.col("trend"))
     trend_season = fut.select(*keys, "step", ts, "trend", "seasonal")
 
-    # AR(p) on the residuals by least squares on (1, r_t .. r_{t-p+1}) -> r_{t+1}
     p = int(ar_order)
+    if exact:
+        from .arima import exact_ar
+        ahead = exact_ar(hist, keys, ts, "residual", p, n_steps, **kw)
+        resid_fc = ahead.select(*keys, F.posexplode("forecast").alias("_p", "residual")).select(*keys, (F.col("_p") + 1).alias("step"), "residual")
+    else:
+        resid_fc = _least_squares_ar(hist, keys, ts, p, n_steps, **kw)
+    out = recompose({"trend": trend_season, "residual": resid_fc}, keys)
+    return out.withColumn("forecast", F.col("trend") + F.col("seasonal") + F.col("residual")) \
+        .select(*keys, "step", ts, "trend", "seasonal", "residual", "forecast")
+
+
+def _least_squares_ar(hist: DataFrame, keys: list[str], ts: str, p: int, n_steps: int, **kw) -> DataFrame:
+    """(keys, step, residual): AR(p) by least squares on (1, r_t .. r_{t-p+1}) -> r_{t+1}, unrolled."""
+    from . import regress as rg
+    from .indicators import positions
     win = rg.windows(hist, keys, ts, "residual", p, 1, **kw)
     coef = rg.solve(rg.normal_equations(win, keys, 1), keys, p + 1, 1, alphas=[0.0]).select(*keys, "beta")
     last = positions(hist, keys, ts).where(F.col("rn_desc") <= p) \
@@ -189,10 +202,7 @@ def fourier_forecast(df: DataFrame, keys, ts: str, col: str, n_steps: int = 2, a
                     rows.append([*key, k, past[0] + mu])
             yield pd.DataFrame(rows, columns=[*keys, "step", "residual"])
 
-    resid_fc = state.mapInPandas(unroll, f"{key_types}, step int, residual double")
-    out = recompose({"trend": trend_season, "residual": resid_fc}, keys)
-    return out.withColumn("forecast", F.col("trend") + F.col("seasonal") + F.col("residual")) \
-        .select(*keys, "step", ts, "trend", "seasonal", "residual", "forecast")
+    return state.mapInPandas(unroll, f"{key_types}, step int, residual double")
 
 
 # G4 ----------------------------------------------------------------------------

@@ -203,6 +203,26 @@ def q_fourier_fc(spark, sf):
     return dc.fourier_forecast(dense, KEYS, "ts", "value", n_steps=2, ar_order=5, block_rows=256)
 
 
+@register("g6_ar_likelihood", "series_id:s loglik:d", td.with_views("""p AS (SELECT series_id, value / 1e6 AS y, row_number() OVER w AS rn,
+    lag(value / 1e6, 1) OVER w AS y1, lag(value / 1e6, 2) OVER w AS y2 FROM daily WINDOW w AS (PARTITION BY series_id ORDER BY ts)),
+e AS (SELECT series_id, CASE rn WHEN 1 THEN y - 1.5 WHEN 2 THEN y - 1.5 - 0.625 * (y1 - 1.5) ELSE y - 1.5 - 0.5 * (y1 - 1.5) - 0.2 * (y2 - 1.5) END AS e,
+  0.04 * CASE rn WHEN 1 THEN 1 / ((1 - 0.625 * 0.625) * (1 - 0.2 * 0.2)) WHEN 2 THEN 1 / (1 - 0.2 * 0.2) ELSE 1 END AS v FROM p)
+SELECT series_id, sum(-0.5 * (ln(2 * pi() * v) + e * e / v)) AS loglik FROM e GROUP BY 1""", "daily").replace("GROUP BY 1, 2)\np AS", "GROUP BY 1, 2),\np AS", 1))
+def q_ar_likelihood(spark, sf):
+    """G6 exact likelihood of an AR(2) with given parameters, from sums of products (values in millions)."""
+    from ..operators import arima
+    d = td.daily(spark, sf).withColumn("value", F.col("value") / 1e6)
+    return arima.ar_log_likelihood(d, KEYS, "ts", "value", [0.5, 0.2], 1.5, 0.04, block_rows=256)
+
+
+@register("g6_exact_ar", "series_id:s mean:d sigma2:d loglik:d")
+def q_exact_ar(spark, sf):
+    """G6 residual model: AR(5) of greatest exact likelihood on the daily values (in millions)."""
+    from ..operators import arima
+    d = td.daily(spark, sf).withColumn("value", F.col("value") / 1e6)
+    return arima.exact_ar(d, KEYS, "ts", "value", 5, block_rows=256)
+
+
 # Closed forms: one or two lags, one step, no penalty ------------------------------------------
 def _lag_sql(values: str, tail: str) -> str:
     """Origins with the value, one value back (b) and the next (y); ``tr``: targets before the validation target."""
