@@ -130,9 +130,55 @@ def ridge(xtx: np.ndarray, xty: np.ndarray, alpha: float) -> np.ndarray:
     return out
 
 
+def lasso(g: np.ndarray, c: np.ndarray, penalty: np.ndarray, rounds: int = 10_000) -> np.ndarray:
+    """Slopes that minimise b'Gb/2 - c'b + sum(penalty |b|), by coordinate descent on the sums of products."""
+    b, grad = np.zeros(len(c)), c.astype(float).copy()  # grad = c - G b
+    live = np.flatnonzero(np.diag(g) > 0)
+    for _ in range(rounds):
+        most = 0.0
+        for j in live:
+            free = grad[j] + g[j, j] * b[j]
+            new = np.sign(free) * max(abs(free) - penalty[j], 0.0) / g[j, j]
+            if new != b[j]:
+                grad -= g[:, j] * (new - b[j])
+                most = max(most, abs(new - b[j]) * np.sqrt(g[j, j]))
+                b[j] = new
+        if most <= 1e-12 * max(1.0, np.abs(c).max()):
+            break
+    return b
+
+
+def changepoints(xtx: np.ndarray, xty: np.ndarray, hinges: Sequence[int], share: float) -> np.ndarray:
+    """Coefficients with an L1 penalty on the hinge slopes only, per step.
+
+    The other columns are projected out exactly; hinges are penalised on the scale of what is left of them, by
+    ``share`` of the least penalty that leaves none.  Slopes that are not needed are exactly 0.
+    """
+    p = len(xtx)
+    h = np.asarray(hinges, dtype=int)
+    u = np.setdiff1d(np.arange(p), h)
+    scale = np.sqrt(np.maximum(np.diag(xtx), 1e-300))
+    a, y = xtx / np.outer(scale, scale), xty / scale[:, None]
+    inv = np.linalg.pinv(a[np.ix_(u, u)], rcond=1e-11, hermitian=True)
+    cross = inv @ a[np.ix_(u, h)]
+    g, c = a[np.ix_(h, h)] - a[np.ix_(h, u)] @ cross, y[h] - cross.T @ y[u]
+    left = np.sqrt(np.maximum(np.diag(g), 0.0))
+    g[left < 1e-6] = 0.0
+    g[:, left < 1e-6] = 0.0
+    out = np.zeros_like(xty)
+    for k in range(y.shape[1]):
+        c_k = np.where(left < 1e-6, 0.0, c[:, k])
+        top = np.max(np.abs(c_k) / np.where(left < 1e-6, np.inf, left), initial=0.0)
+        b = lasso(g, c_k, share * top * left)
+        out[h, k] = b / scale[h]
+        out[u, k] = (inv @ y[u, k] - cross @ b) / scale[u]
+    return out
+
+
 def solve(stats: DataFrame, keys: Sequence[str], p: int, horizon: int,
-          alphas: Sequence[float] = DEFAULT_ALPHAS) -> DataFrame:
-    """(keys, alpha, step, beta array<double>) ridge solutions; the intercept is not penalised.
+          alphas: Sequence[float] = DEFAULT_ALPHAS, hinges: Sequence[int] = ()) -> DataFrame:
+    """(keys, alpha, step, beta array<double>) ridge solutions; the intercept is not penalised.  With ``hinges``
+    (columns) the penalties are shares of an L1 penalty on those alone (``changepoints``).
 
     One row a series reaches Python (p x (p + H) numbers), many series in an Arrow batch.
     """
@@ -153,7 +199,7 @@ def solve(stats: DataFrame, keys: Sequence[str], p: int, horizon: int,
                 m[i, j] = r[-1]
                 xtx = np.triu(m[:, :p]) + np.triu(m[:, :p], 1).T
                 for a in alphas:
-                    beta = ridge(xtx, m[:, p:], float(a))
+                    beta = changepoints(xtx, m[:, p:], hinges, float(a)) if len(hinges) else ridge(xtx, m[:, p:], float(a))
                     rows += [(*r[:-3], float(a), k + 1, beta[:, k].tolist()) for k in range(horizon)]
             yield pd.DataFrame(rows, columns=[*keys, "alpha", "step", "beta"])
 
@@ -165,7 +211,7 @@ def _dot(x: str, beta: str):
 
 
 def direct_forecast(df: DataFrame, keys, ts: str, value: str, lags: int = 5, horizon: int = 2,
-                    extra: Sequence[str] = (), alphas: Sequence[float] = DEFAULT_ALPHAS, **kw) -> DataFrame:
+                    extra: Sequence[str] = (), alphas: Sequence[float] = DEFAULT_ALPHAS, hinges: Sequence[str] = (), **kw) -> DataFrame:
     """Per-series direct ridge model; the penalty is chosen per series on the
     validation origin (G24), then the test origin and the future origin are predicted.
 
@@ -175,7 +221,8 @@ def direct_forecast(df: DataFrame, keys, ts: str, value: str, lags: int = 5, hor
     keys = require_keys(keys)
     p = 1 + int(lags) + len(as_list(extra))
     win = windows(df, keys, ts, value, lags, horizon, extra, **kw)
-    betas = solve(normal_equations(win, keys, horizon), keys, p, horizon, alphas)
+    at = [1 + int(lags) + as_list(extra).index(c) for c in hinges]
+    betas = solve(normal_equations(win, keys, horizon), keys, p, horizon, alphas, at)
     _, val, test = _split(F.col("rn"), F.col("n"), horizon)
     future = F.col("rn") == F.col("n")
     origins = win.where(val | test | future).select(
@@ -216,12 +263,19 @@ def trend_fourier_design(df: DataFrame, keys, ts: str, changepoints: int = 10, y
     return d.withColumns(cols).drop("_t0", "_t1"), list(cols)
 
 
+#: Shares of the least L1 penalty that leaves no changepoint.
+L1_SHARES = (0.01, 0.05, 0.2, 0.5, 1.0)
+
+
 def ar_trend_forecast(df: DataFrame, keys, ts: str, value: str, lags: int = 5, horizon: int = 2,
-                      changepoints: int = 10, **kw) -> DataFrame:
-    """Autoregressive lags + piecewise-linear trend + yearly/weekly season, direct n-step,
-    ridge-regularised (the linear re-aim of the source's neural forecaster)."""
+                      changepoints: int = 10, l1: Sequence[float] | None = L1_SHARES, **kw) -> DataFrame:
+    """Autoregressive lags + piecewise-linear trend + yearly/weekly season, direct n-step (the linear re-aim of
+    the source's neural forecaster).  Changepoints are selected by an L1 penalty on their slopes, whose share is
+    chosen per series on the validation origin; with ``l1`` None all columns are ridge-regularised instead."""
     d, extra = trend_fourier_design(df, keys, ts, changepoints)
-    return direct_forecast(d, keys, ts, value, lags, horizon, extra, **kw)
+    if l1 is None:
+        return direct_forecast(d, keys, ts, value, lags, horizon, extra, **kw)
+    return direct_forecast(d, keys, ts, value, lags, horizon, extra, alphas=l1, hinges=[c for c in extra if c.startswith("d_h")], **kw)
 
 
 def change_forecast(df: DataFrame, keys, ts: str, value: str, lags: int = 5, horizon: int = 2,

@@ -180,11 +180,13 @@ def default_block(period: int) -> int:
 
 
 def smooth_fixed(df: DataFrame, keys, ts: str, col: str, period: int, alpha="alpha", beta="beta", gamma="gamma",
-                 block_rows: int | None = None, bucket: str = seq.DEFAULT_BUCKET) -> DataFrame:
+                 block_rows: int | None = None, bucket: str = seq.DEFAULT_BUCKET, initial: DataFrame | None = None) -> DataFrame:
     """``df`` with fitted, level, trend and season for given parameters (numbers, or columns constant in a series).
 
     A parallel scan: blocks of rows reduce to affine maps of the state, a series' maps (one a block) run over its
     start state in order, and the blocks run their rows from the states so carried.  No task holds a series.
+    ``initial`` (keys, state) gives the states before the first rows (level, trend, seasons) instead of the first
+    two seasons' means.
     """
     keys = require_keys(keys)
     names = df.columns
@@ -202,7 +204,10 @@ def smooth_fixed(df: DataFrame, keys, ts: str, col: str, period: int, alpha="alp
         state = [*s.level, *s.trend, *s.season[0]] if s.start() else None
         return pd.DataFrame([[*pdf[keys].iloc[0], state]], columns=[*keys, "_state"])
 
-    start = x.where(F.col(seq.RN) <= 2 * period).select(*keys, seq.RN, "_y").groupBy(*keys).applyInPandas(first, f"{key_types}, _state array<double>")
+    if initial is None:
+        start = x.where(F.col(seq.RN) <= 2 * period).select(*keys, seq.RN, "_y").groupBy(*keys).applyInPandas(first, f"{key_types}, _state array<double>")
+    else:
+        start = initial.select(*[F.col(k).alias(k) for k in keys], F.col("state").alias("_state"))
 
     def reduce(pdf: pd.DataFrame) -> pd.DataFrame:  # one block
         pdf = pdf.sort_values(seq.RN)
@@ -212,7 +217,7 @@ def smooth_fixed(df: DataFrame, keys, ts: str, col: str, period: int, alpha="alp
 
     slim = x.select(*keys, seq.BLK, seq.RN, "_y", "_p0", "_p1", "_p2")
     maps = slim.groupBy(*keys, seq.BLK).applyInPandas(reduce, f"{key_types}, {seq.BLK} long, _map binary")
-    ordered = maps.join(start, keys).repartition(*keys).sortWithinPartitions(*keys, seq.BLK).select(*keys, seq.BLK, "_map", "_state")
+    ordered = maps.join(start, keys, "left").repartition(*keys).sortWithinPartitions(*keys, seq.BLK).select(*keys, seq.BLK, "_map", "_state")
 
     def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, state = None, None
@@ -259,14 +264,22 @@ def smooth_fixed(df: DataFrame, keys, ts: str, col: str, period: int, alpha="alp
 OUT = ["fitted", "level", "trend", "season"]
 
 
-def fitted_components(df: DataFrame, keys, ts: str, col: str, period: int) -> DataFrame:
-    """Fitted, level, trend and season with each series' best parameters (alpha, beta, gamma)."""
+def fitted_components(df: DataFrame, keys, ts: str, col: str, period: int, rounds: int = 0, **kw) -> DataFrame:
+    """Fitted, level, trend and season with each series' best parameters (alpha, beta, gamma).
+
+    They come from the grid; with ``rounds`` a search goes on from there, with an estimated initial state.
+    """
     keys = require_keys(keys)
     last = df.groupBy(*keys).agg(F.max(ts).alias("_last"))
     marked = df.join(last, keys).withColumn("_mark", F.when(F.col(ts) == F.col("_last"), 0))
     best = scan_forecasts(marked, keys, ts, col, "_mark", period, 1).select(
         *keys, *[F.get("cell", F.lit(i)).alias(c) for i, c in enumerate(("alpha", "beta", "gamma"))])
+    initial = None
+    if rounds:
+        from .smoothing_fit import optimise
+        found = optimise(df, keys, ts, col, period, best, rounds, **kw)
+        best, initial = found.select(*keys, "alpha", "beta", "gamma"), found.select(*keys, "state")
     filled = df.join(best, keys, "left")
     for c in ("alpha", "beta", "gamma"):
         filled = filled.withColumn(c, F.coalesce(c, F.lit(0.5)))  # of a series too short to start; its fitted values are NULL
-    return smooth_fixed(filled, keys, ts, col, period)
+    return smooth_fixed(filled, keys, ts, col, period, initial=initial, **kw)

@@ -164,6 +164,13 @@ def q_fitted(spark, sf):
     return smo.fitted_components(td.daily(spark, sf), KEYS, "ts", "value", 7)
 
 
+@register("g8_g9_optimised", "series_id:s ts:t value:d fitted:d alpha:d beta:d gamma:d")
+def q_optimised(spark, sf):
+    """G8/G9 Holt-Winters fitted values (season 7): the grid's best cell improved by a pattern search with an
+    estimated initial state, over several blocks a series."""
+    from ..operators import smoothing as smo
+    return smo.fitted_components(td.daily(spark, sf), KEYS, "ts", "value", 7, rounds=3, block_rows=512)
+
 
 # G11-G15 / G24 (least squares; no SQL twin) ------------------------------------------
 @register("g11_g24_direct_ridge", "series_id:s split:s origin:t step:i target_ts:t yhat:d actual:d alpha:d")
