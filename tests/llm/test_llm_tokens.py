@@ -51,7 +51,7 @@ def test_codec_size_is_near_the_entropy():
     ids = np.minimum(np.random.default_rng(1).zipf(1.2, 400_000), 50_000).astype("<u2")
     s, c = np.unique(ids, return_counts=True)
     p = c / c.sum()
-    block = rans.encode(ids, rans.Table.of_counts(s, c))
+    block = rans.encode(ids, rans.Table.of_counts(s, c), lanes=512)  # few lanes: their states are not what is measured
     assert len(block) * 8 < 1.06 * len(ids) * -(p * np.log2(p)).sum()
 
 

@@ -29,10 +29,12 @@ import types
 import uuid
 import zlib
 from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +45,8 @@ from .common import lookup_join, table
 BLOCK_IDS = 1 << 20
 #: Rows a part is meant to hold; parts are at least as many as shuffle partitions.
 PART_ROWS = 200_000
+#: Texts that are encoded together.
+BATCH = 3072
 #: Entries of a worker's memories of words and of pieces; a full one starts anew.
 REMEMBERED = 800_000, 400_000
 #: Characters (Latin-1) that ``re`` and the tokenizer's regular expressions class alike; with the next one.
@@ -84,8 +88,9 @@ class Encoder:
                     and pre.get("use_regex", True) and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout"))
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.dtype, self.model = np.dtype(_dtype(self.tok)), self.tok.model
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the vocabulary writes as themselves
-        self.letters = dict(zip([b for b in range(256) if b not in shown], map(chr, range(256, 512))))
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}  # bytes that the vocabulary writes as themselves
+        other = iter(range(256, 512))
+        self.letters = "".join(chr(b if b in shown else next(other)) for b in range(256))
         self.remembered = remembered
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -105,35 +110,42 @@ class Encoder:
             for p in cut:
                 got = pieces.get(p)
                 if got is None:
-                    shown = p.encode("utf-8").decode("latin-1").translate(letters)
+                    shown = charmap_decode(p.encode("utf-8"), "strict", letters)[0]
                     got = pieces[p] = array(kind, [t.id for t in tokenize(shown)]).tobytes()
                 ids = ids + got if ids else got
             words[w] = ids
 
+    def _cuts(self, t: str) -> bool:
+        """Whether the cut before blanks is the tokenizer's own in this text."""
+        if not self.cut or not _plain(t) or any(s in t for s in self.special):
+            return False
+        return not ("  " in t or "\n " in t or "\t " in t or "\r " in t) or not _WIDE.search(t)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list = [None] * len(texts)
-        cut = {}
-        for i, t in enumerate(texts):
-            if self.cut and _plain(t) and not any(s in t for s in self.special):
-                c = t.split(" ")
-                if "" in c or "\n " in t or "\t " in t or "\r " in t:
-                    if _WIDE.search(t):
-                        continue
-                cut[i] = c
-        rest = [i for i in range(len(texts)) if i not in cut]
+        plain = [i for i, t in enumerate(texts) if self._cuts(t)]
+        known = set(plain)
+        rest = [i for i in range(len(texts)) if i not in known]
         for i, b in zip(rest, self._whole([texts[i] for i in rest])):
             out[i] = b
+        if not plain:
+            return out
         for kept, most in zip((self.words, self.pieces), self.remembered):
             if len(kept) > most:
                 kept.clear()
-        get = self.words.get
-        heads = self._whole([c.pop(0) for c in cut.values()])  # not after a blank
-        for (i, c), h in zip(cut.items(), heads):
-            ids = list(map(get, c))
-            if None in ids:
-                self._learn({w for w, b in zip(c, ids) if b is None})
-                ids = [get(w) if b is None else b for w, b in zip(c, ids)]
-            out[i] = h + b"".join(ids)
+        # Arrow cuts all texts and numbers their distinct words; Python sees each of those once
+        cut = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+        first, numbered = cut.offsets.to_numpy(), cut.values.dictionary_encode()
+        words = numbered.dictionary.to_pylist()
+        ids = list(map(self.words.get, words))
+        if None in ids:
+            self._learn({w for w, b in zip(words, ids) if b is None})
+            ids = list(map(self.words.__getitem__, words))
+        row = pa.array(ids, pa.large_binary()).take(numbered.indices)  # the ids of all words, one after the other
+        at, raw = np.frombuffer(row.buffers()[1], np.int64), memoryview(row.buffers()[2])
+        heads = self._whole(cut.values.take(pa.array(first[:-1])).to_pylist())  # not after a blank
+        for i, h, a, b in zip(plain, heads, at[first[:-1] + 1].tolist(), at[first[1:]].tolist()):
+            out[i] = h + raw[a:b]
         return out
 
 
@@ -161,8 +173,8 @@ def packed_blocks(docs: DataFrame, tokenizer_json: str, end_id: int, id_col: str
         enc = Encoder(tokenizer_json)
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                b = batch.slice(a, 512)
+            for a in range(0, batch.num_rows, BATCH):
+                b = batch.slice(a, BATCH)
                 ids = b.column(0)
                 part = np.searchsorted(bounds, ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "left")
                 got = [e + end for e in enc.encode(b.column(1).to_pylist())]
