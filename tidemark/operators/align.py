@@ -164,7 +164,7 @@ def upsert_latest(history: DataFrame, batch: DataFrame, keys, ts: str, drop: Seq
     u = h.withColumn("_rank", F.lit(0)).unionByName(b.withColumn("_rank", F.lit(1)), allowMissingColumns=True)
     others = [c for c in cols if c not in (*keys, ts)]
     row = F.struct(*[F.col(f"`{c}`") for c in others])
-    rank = F.struct("_rank", F.coalesce(F.col("_seq").cast("long"), F.lit(0)) if "_seq" in cols else F.lit(0), row)
+    rank = F.struct("_rank", F.col("_seq") if "_seq" in cols else F.lit(0), row)
     out = u.groupBy(*keys, ts).agg(F.max_by(row, rank).alias("_r"))
     return out.select(*keys, ts, "_r.*").select(*cols)
 

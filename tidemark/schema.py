@@ -12,7 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,12 +62,13 @@ def nan_to_null(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 def with_ingest_ordinal(df: DataFrame, name: str = SEQ) -> DataFrame:
     """Attach an ingest ordinal that follows file order (keep-first / keep-last).
 
-    ``monotonically_increasing_id`` is increasing within a partition and across
-    partitions of a single ordered scan, which is what "raw order" means for a
-    file read.  Call it directly after the read, before any shuffle.
+    The ordinal of a file scan is a struct that sorts by file path, then by the place of the row's split in the file,
+    then by the row's place in the split (``monotonically_increasing_id`` grows along a split, whatever the task that
+    reads it), so it does not depend on how files are split or packed into tasks.  Call it directly after the read,
+    before any column is cut.  Data that do not come from files get the id alone.
     """
-    return df.withColumn(name, F.monotonically_increasing_id())
-
-
-def order_cols(ts: str, tiebreak: Sequence[str] = ()) -> list[Column]:
-    return [F.col(ts).asc()] + [F.col(c).asc() for c in tiebreak]
+    row = F.monotonically_increasing_id()
+    try:
+        return df.withColumn(name, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), row.alias("row")))
+    except AnalysisException:
+        return df.withColumn(name, row)

@@ -8,13 +8,15 @@ or empty run never destroys the previous output.
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import with_ingest_ordinal
+from ..schema import SEQ, with_ingest_ordinal
 
 FILE_SUFFIX = "_historical_data.csv"
 
@@ -30,19 +32,18 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     if schema is not None:
         r = r.schema(schema)
     df = r.csv(path)
-    if columns:
-        df = df.select(*[F.col(f"`{c}`") for c in columns])
-    return with_ingest_ordinal(df) if ordinal else df
+    if ordinal:
+        df = with_ingest_ordinal(df)
+    return df.select(*[F.col(f"`{c}`") for c in columns], *([SEQ] if ordinal else [])) if columns else df
 
 
 def read_instrument_dir(spark: SparkSession, directory: str, suffix: str = FILE_SUFFIX,
                         columns: Sequence[str] | None = None) -> DataFrame:
     """A4: one scan of every ``{symbol}{suffix}`` file; ``symbol`` from the file name."""
     df = spark.read.option("header", True).option("pathGlobFilter", f"*{suffix}").csv(directory)
-    if columns:
-        df = df.select(*[F.col(f"`{c}`") for c in columns], "_metadata")
-    name = F.col("_metadata.file_name")
-    return with_ingest_ordinal(df.withColumn("symbol", F.regexp_replace(name, f"{suffix.replace('.', '[.]')}$", "")))
+    symbol = F.regexp_replace(F.col("_metadata.file_name"), f"{suffix.replace('.', '[.]')}$", "")
+    df = with_ingest_ordinal(df.select(*(F.col(f"`{c}`") for c in columns or df.columns), symbol.alias("symbol"), "_metadata"))
+    return df.drop("_metadata")
 
 
 def _fs(spark: SparkSession, path: str):
@@ -89,16 +90,73 @@ def write_guarded(df: DataFrame, path: str, fmt: str = "csv", what: str = "rows"
         fs.delete(old, True)
 
 
+ARTIFACTS = ("final", "metrics", "forecast")
+
+
+def _manifests(spark: SparkSession, root: str) -> list[str]:
+    fs, p, _ = _fs(spark, f"{root.rstrip('/')}/_manifests")
+    return sorted(f.getPath().getName() for f in fs.listStatus(p) if f.getPath().getName().endswith(".json")) if fs.exists(p) else []
+
+
+def artifact_versions(spark: SparkSession, root: str) -> dict[str, str]:
+    """{model: version} of the newest manifest; empty before the first complete write."""
+    names = _manifests(spark, root)
+    if not names:
+        return {}
+    return json.loads(spark.read.text(f"{root.rstrip('/')}/_manifests/{names[-1]}", wholetext=True).first()[0])
+
+
 def write_artifacts(final: DataFrame, metrics: DataFrame, forecast: DataFrame, root: str,
                     model_col: str = "run_model") -> None:
-    """The three artifact tables, each partitioned by ``model_col`` (dynamic overwrite).
+    """The three artifact tables of some models, visible together or not at all.
 
-    The default name differs from the comparison table's ``Model`` column (Spark resolves
-    column names case-insensitively).
+    Each table's rows go to a folder of their own version, ``root/name/version=.../model_col=...``; then one manifest
+    that names the version of every model is put in place by a rename to a new name.  Readers (``read_artifacts``)
+    resolve through the newest manifest, so a run that ends between any two writes leaves the triple as it was.
+    An empty table is refused (A8).  The default column name differs from the comparison table's ``Model`` column
+    (Spark resolves column names case-insensitively).
     """
-    for name, df in (("final", final), ("metrics", metrics), ("forecast", forecast)):
-        write_guarded(df, f"{root.rstrip('/')}/{name}", fmt="parquet", what=f"{name} rows",
-                      partition_by=[model_col])
+    spark, root, version = final.sparkSession, root.rstrip("/"), uuid.uuid4().hex
+    models: set[str] = set()
+    for name, df in zip(ARTIFACTS, (final, metrics, forecast)):
+        path = f"{root}/{name}/version={version}"
+        df.write.partitionBy(model_col).parquet(path)
+        found = {r[0] for r in spark.read.schema(df.schema).parquet(path).select(model_col).distinct().collect()}  # a few models
+        if not found:
+            raise ValueError(f"No valid {name} rows remain after preprocessing; refusing to overwrite {root}")
+        models |= found
+    names = _manifests(spark, root)
+    number = int(names[-1].split(".")[0]) + 1 if names else 0
+    content = json.dumps(artifact_versions(spark, root) | dict.fromkeys(models, version), sort_keys=True)
+    fs, folder, jvm = _fs(spark, f"{root}/_manifests")
+    fs.mkdirs(folder)
+    staged, target = jvm.org.apache.hadoop.fs.Path(folder, f"{version}.staging"), jvm.org.apache.hadoop.fs.Path(folder, f"{number:012d}.json")
+    out = fs.create(staged, True)
+    out.write(bytearray(content, "utf-8"))
+    out.close()
+    if fs.exists(target) or not fs.rename(staged, target):
+        raise OSError(f"another run wrote artifacts to {root} meanwhile; nothing was replaced")
+
+
+def read_artifacts(spark: SparkSession, root: str, model_col: str = "run_model") -> dict[str, DataFrame]:
+    """{name: rows of every model} as the newest manifest has them; raises ValueError where there is none."""
+    versions = artifact_versions(spark, root)
+    if not versions:
+        raise ValueError(f"no artifacts at {root}")
+    named = F.concat("version", F.lit("/"), F.col(model_col).cast("string")).isin([f"{v}/{m}" for m, v in versions.items()])
+    return {n: spark.read.parquet(f"{root.rstrip('/')}/{n}").where(F.col("version").isin(sorted(set(versions.values()))) & named).drop("version") for n in ARTIFACTS}
+
+
+def vacuum_artifacts(spark: SparkSession, root: str) -> int:
+    """Remove the versions that the newest manifest does not name; returns how many folders went.  Not beside a writer."""
+    kept, gone = set(artifact_versions(spark, root).values()), 0
+    for name in ARTIFACTS:
+        fs, p, _ = _fs(spark, f"{root.rstrip('/')}/{name}")
+        for f in fs.listStatus(p) if fs.exists(p) else []:
+            at = f.getPath().getName()
+            if at.startswith("version=") and at.removeprefix("version=") not in kept:
+                gone += bool(fs.delete(f.getPath(), True))
+    return gone
 
 
 def read_artifact(spark: SparkSession, path: str, date_col: str = "Date", fmt: str = "csv",

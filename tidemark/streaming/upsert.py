@@ -1,5 +1,8 @@
 """Incremental keyed upsert and streaming clean (H1, H2).
 
+``start_clean_stream`` is the stateful form of H2: the first row of each (keys, ts) within an event-time watermark
+goes out, rows that come later than the watermark are dropped, and the state holds only what the watermark spans.
+
 New files arriving in a folder are read with ``readStream`` and applied with
 ``foreachBatch``: each micro-batch is upserted into the table (newest batch
 wins per (keys, ts)).  The table is partitioned by year-month of ``ts``; a
@@ -80,3 +83,24 @@ def start_upsert_stream(spark: SparkSession, source_dir: str, schema: T.StructTy
     src = spark.readStream.schema(schema).format(fmt).option("header", True).load(source_dir)
     return (src.writeStream.trigger(availableNow=True).option("checkpointLocation", ck)
             .foreachBatch(lambda df, bid: upsert_batch(df, bid, table_path, keys, ts, transform)).start())
+
+
+def first_within_watermark(rows: DataFrame, keys: Sequence[str], ts: str, delay: str) -> DataFrame:
+    """The first row of each (keys, ts) that arrives within ``delay`` of event time; later rows are dropped."""
+    keys = require_keys(keys)
+    timed = rows.withColumn("_event", F.col(ts).cast("timestamp")).withWatermark("_event", delay)
+    return timed.dropDuplicatesWithinWatermark([*keys, ts]).drop("_event")
+
+
+def start_clean_stream(spark: SparkSession, source_dir: str, schema: T.StructType | str, out_path: str, keys: Sequence[str], ts: str,
+                       delay: str = "7 days", transform: Callable[[DataFrame], DataFrame] | None = None, fmt: str = "parquet",
+                       checkpoint: str | None = None, files_per_batch: int | None = None):
+    """H2: clean new files row by row (``transform``: stateless), keep the first row of each (keys, ts) within the
+    watermark, and append to ``out_path``."""
+    ck = checkpoint or ensure_checkpoint_dir(spark).rstrip("/") + "/clean-" + out_path.strip("/").replace("/", "_")
+    src = spark.readStream.schema(schema).format(fmt).option("header", True)
+    if files_per_batch:
+        src = src.option("maxFilesPerTrigger", files_per_batch)
+    rows = src.load(source_dir)
+    rows = first_within_watermark(transform(rows) if transform else rows, keys, ts, delay)
+    return rows.writeStream.trigger(availableNow=True).option("checkpointLocation", ck).format("parquet").option("path", out_path).start()
