@@ -230,6 +230,15 @@ def q_exact_ar(spark, sf):
     return arima.exact_ar(d, KEYS, "ts", "value", 5, block_rows=256)
 
 
+@register("g24_trial_search", "series_id:s trial:i penalty:s lags:i alpha:d origins:i mae:d best:i")
+def q_trials(spark, sf):
+    """G24 ten seeded trials of a windowed regression with successive halving, all trials of all series in one job."""
+    from ..operators import trials
+    grid = [{"penalty": "ridge", "lags": 5, "alpha": a} for a in (0.1, 1.0, 10.0)]
+    return trials.search(td.daily(spark, sf), KEYS, "ts", "value", horizon=2, n_trials=10, seed=7, first=grid, block_rows=256) \
+        .withColumn("best", F.col("best").cast("int"))
+
+
 # Closed forms: one or two lags, one step, no penalty ------------------------------------------
 def _lag_sql(values: str, tail: str) -> str:
     """Origins with the value, one value back (b) and the next (y); ``tr``: targets before the validation target."""
