@@ -185,3 +185,17 @@ def q_losses(spark, sf):
     long = long.select("series_id", "window", (F.col("pos") + 1).alias("step"),
                        (F.col("v") / 1e5).alias("v"), (F.col("p") / 1e5).alias("p"))
     return mt.combined_loss(long, KEYS, "step", "v", "p").select("series_id", "huber", "directional_loss", "loss")
+
+
+@register("g25_test_predict", "series_id:s Model:s MAE:d RMSE:d Directional Accuracy:d", comparison_sql(10, 5))
+def q_short_cut(spark, sf):
+    """G25 short-cut: the metrics of a ten-row backtest with a horizon of five."""
+    from . import jobs
+    return jobs.test_predict(td.daily(spark, sf), KEYS, "ts", "value", n_tests=10, n_forecasts=5, block_rows=256)[1]
+
+
+@register("f16_comparison_table", "series_id:s Date:t Actual:d Predicted:d", _bt_sql(f"""x AS (SELECT 1) SELECT series_id, ts AS "Date", actual AS "Actual",
+  predicted AS "Predicted" FROM final QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY ts DESC, model_fold DESC) <= {NT}"""))
+def q_table(spark, sf):
+    """F16 actual against predicted with fixed names."""
+    return mt.comparison_table(_artifacts(spark, sf).final, "ts", "actual", "predicted", KEYS)
