@@ -4,7 +4,6 @@ import datetime as dt
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tidemark.operators import smoothing as sm
 from tidemark.operators import smoothing_fit as sf
