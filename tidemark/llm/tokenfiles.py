@@ -46,9 +46,9 @@ BLOCK_IDS = 1 << 20
 #: Rows a part is meant to hold; parts are at least as many as shuffle partitions.
 PART_ROWS = 200_000
 #: Texts that are encoded together.
-BATCH = 1536
+BATCH = 768
 #: Entries of a worker's memories of words and of pieces; a full one starts anew.
-REMEMBERED = 500_000, 250_000
+REMEMBERED = 400_000, 200_000
 #: Characters (Latin-1) that ``re`` and the tokenizer's regular expressions class alike; with the next one.
 _PLAIN = bytes([*b"\t\n\r", *range(0x20, 0x7F), *(b for b in range(0xA1, 0x100) if b not in b"\xb2\xb3\xb9\xbc\xbd\xbe")])
 _ODD = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027\u2030-\u205e\u20ac]")
@@ -179,6 +179,7 @@ def packed_blocks(docs: DataFrame, tokenizer_json: str, end_id: int, id_col: str
                 part = np.searchsorted(bounds, ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "left")
                 got = [e + end for e in enc.encode(b.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), ids, pa.array(got, pa.binary())], ["part", "doc_id", "ids"])
+                pa.default_memory_pool().release_unused()
         gc.enable()
 
     size = np.dtype(_id_type(tokenizer_json)).itemsize
