@@ -26,6 +26,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -296,6 +297,57 @@ def change_forecast(df: DataFrame, keys, ts: str, value: str, lags: int = 5, hor
     return out.drop("_base")
 
 
+def _points(win: DataFrame, lags: int, horizon: int) -> DataFrame:
+    """(step, x array<double>, label, weight): the rows of ``win`` (``_x0``.. the lags, ``_y1``.. the targets) as a
+    few weighted points a task and step, whose weight, mean and covariance are those of the task's complete rows.
+
+    Least squares know rows by those alone, so a fit on the points is the fit on the rows.  A task adds its Arrow
+    batches up about running means; points lie in pairs around the mean, along the axes of the covariance.  Their
+    number is a power of two, so that weights (count / number) are exact.
+    """
+    L, H = int(lags), int(horizon)
+    xs, ys = [f"_x{i}" for i in range(L)], [f"_y{k}" for k in range(1, H + 1)]
+    d = L + 1
+    m = 1 << (2 * d - 1).bit_length()
+
+    def points(n: int, mean: np.ndarray, m2: np.ndarray) -> np.ndarray:
+        out = np.tile(mean, (m, 1))
+        if not np.isfinite(m2).all():
+            return out + np.nan  # refused by the fit, as the rows would be
+        use = np.flatnonzero(np.diag(m2) > 0)
+        if len(use):
+            root, axes = np.linalg.eigh(m2[np.ix_(use, use)] / n)
+            step = (axes * np.sqrt(np.maximum(root, 0.0) * (m / 2))).T
+            out[np.ix_(np.arange(len(use)), use)] += step
+            out[np.ix_(np.arange(d, d + len(use)), use)] -= step
+        return out
+
+    def run(batches):
+        sums = {k: (0, np.zeros(d), np.zeros((d, d))) for k in range(H)}
+        for batch in batches:
+            z = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in [*xs, *ys]]) if batch.num_rows else np.zeros((0, L + H))
+            for k in range(H):
+                known = batch.column(ys[k]).is_valid().to_numpy(zero_copy_only=False)
+                a = z[known][:, [*range(L), L + k]]
+                if not len(a):
+                    continue
+                n, mean, m2 = sums[k]
+                a0 = a - a[0]  # a constant column stays exact
+                at = a0.mean(axis=0)
+                a0 -= at
+                at = at + a[0]
+                gap = at - mean if n else np.zeros(d)
+                both = n + len(a)
+                sums[k] = both, mean + gap * (len(a) / both) if n else at, m2 + a0.T @ a0 + np.outer(gap, gap) * (n * len(a) / both)
+        for k, (n, mean, m2) in sums.items():
+            if n:
+                p = points(n, mean, m2)
+                yield pa.RecordBatch.from_arrays([pa.array([k + 1] * m, pa.int32()), pa.array(p[:, :L].tolist(), pa.list_(pa.float64())),
+                                                  pa.array(p[:, L]), pa.array([n / m] * m)], ["step", "x", "label", "weight"])
+
+    return win.select(*xs, *ys).mapInArrow(run, "step int, x array<double>, label double, weight double")
+
+
 def pooled_linear(df: DataFrame, keys, ts: str, value: str, lags: int = 5, horizon: int = 2,
                   reg_params: Sequence[float] = (0.0, 0.01, 0.1), elastic: Sequence[float] = (0.0, 0.5),
                   **kw) -> DataFrame:
@@ -303,6 +355,9 @@ def pooled_linear(df: DataFrame, keys, ts: str, value: str, lags: int = 5, horiz
     (regParam, elasticNetParam) is fitted on the training rows and the one with the smallest mean absolute error
     on the validation origins, whose targets lie after all training targets, is kept.
 
+    Positions are taken once.  All training rows are read once, into the weighted points of ``_points``, on which
+    the grid is fitted; the origins' windows are made of the last rows of each series alone.
+
     Returns predictions for every origin: (keys, origin, step, yhat, actual, split).
     """
     from pyspark.ml.functions import array_to_vector
@@ -314,34 +369,46 @@ def pooled_linear(df: DataFrame, keys, ts: str, value: str, lags: int = 5, horiz
     from ..session import cut_lineage
 
     keys = require_keys(keys)
-    win = windows(df, keys, ts, value, lags, horizon, **kw)
-    win = win.where(~F.exists("x", lambda v: v.isNull()))
-    raw = F.transform("x", lambda v: v + F.col("mu"))  # one model for all series: values as they are
-    win = win.select(*keys, ts, "rn", "n", F.transform("y", lambda v: v + F.col("mu")).alias("y"),
-                     array_to_vector(F.slice(raw, 2, int(lags))).alias("features"))
-    train, val, test = _split(F.col("rn"), F.col("n"), horizon)
-    # every grid cell of every step iterates over the same training rows:
-    # persist them once (spilling to disk if needed) for the fits
-    fit_rows = win.where(train).persist(StorageLevel.MEMORY_AND_DISK)
-    # the rows to predict (3 origins per series) are small: checkpoint them
-    origins = cut_lineage(win.where(val | test | (F.col("rn") == F.col("n"))).withColumn(
-        "split", F.when(val, "val").when(test, "test").otherwise("future")))
-    outs = []
+    L, H = int(lags), int(horizon)
+
+    def compute(d, w):
+        return d.withColumns({**{f"_x{i}": (F.lag(value, i).over(w) if i else F.col(value)).cast("double") for i in range(L)},
+                              **{f"_y{k}": F.lead(value, k).over(w).cast("double") for k in range(1, H + 1)}})
+
+    def wide(d):  # one model for all series: values as they are
+        out = seq.bounded(d, keys, ts, compute, before=L - 1, after=H, keep_rn=True, **kw)
+        for i in range(L):
+            out = out.where(F.col(f"_x{i}").isNotNull())
+        return out.withColumnRenamed(seq.RN, "rn")
+
+    idx = {k: v for k, v in kw.items() if k in ("bucket", "tiebreak", "counts_from", "local_rn")}
+    # read twice (training rows, origins): narrow rows, spilling to disk if needed
+    pos = seq.index_rows(df.select(*keys, ts, value), keys, ts, size="n", **idx).persist(StorageLevel.MEMORY_AND_DISK)
+    train, val, test = _split(F.col("rn"), F.col("n"), H)
     try:
-        for k in range(1, horizon + 1):
-            lr = LinearRegression(featuresCol="features", labelCol="label", standardization=True)
-            grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)) \
-                .addGrid(lr.elasticNetParam, list(elastic)).build()
-            lab = fit_rows.withColumn("label", F.element_at("y", k)).where(F.col("label").isNotNull())
-            held = origins.where(F.col("split") == "val").withColumn("label", F.element_at("y", k)).where(F.col("label").isNotNull())
-            errors = [(m.transform(held).agg(F.avg(F.abs(F.col("label") - F.col("prediction")))).first()[0], i, m)
-                      for i, m in enumerate(lr.fit(lab, grid))]
-            model = min(errors, key=lambda e: (float("inf") if e[0] is None else e[0], e[1]))[2]
-            pred = model.transform(origins.withColumn("label", F.element_at("y", k)))
-            outs.append(pred.select(*keys, F.col(ts).alias("origin"), F.lit(k).alias("step"),
-                                    F.col("prediction").alias("yhat"), F.col("label").alias("actual"), "split"))
+        # a few rows a task, fitted by every cell of the grid
+        points = cut_lineage(_points(wide(pos).where(train), L, H))
+        # the rows to predict (3 origins per series) are small: checkpoint them
+        ends = pos.where(F.col(seq.RN) > F.col("n") - 2 * H - L)
+        origins = cut_lineage(wide(ends).where(val | test | (F.col("rn") == F.col("n"))).select(
+            *keys, ts, "rn", "n", F.array(*[f"_y{k}" for k in range(1, H + 1)]).alias("y"),
+            array_to_vector(F.array(*[f"_x{i}" for i in range(L)])).alias("features"),
+            F.when(val, "val").when(test, "test").otherwise("future").alias("split")))
     finally:
-        fit_rows.unpersist()
+        pos.unpersist()
+    outs = []
+    for k in range(1, H + 1):
+        lr = LinearRegression(featuresCol="features", labelCol="label", weightCol="weight", standardization=True)
+        grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)) \
+            .addGrid(lr.elasticNetParam, list(elastic)).build()
+        lab = points.where(F.col("step") == k).select(array_to_vector("x").alias("features"), "label", "weight")
+        held = origins.where(F.col("split") == "val").withColumn("label", F.element_at("y", k)).where(F.col("label").isNotNull())
+        errors = [(m.transform(held).agg(F.avg(F.abs(F.col("label") - F.col("prediction")))).first()[0], i, m)
+                  for i, m in enumerate(lr.fit(lab, grid))]
+        model = min(errors, key=lambda e: (float("inf") if e[0] is None else e[0], e[1]))[2]
+        pred = model.transform(origins.withColumn("label", F.element_at("y", k)))
+        outs.append(pred.select(*keys, F.col(ts).alias("origin"), F.lit(k).alias("step"),
+                                F.col("prediction").alias("yhat"), F.col("label").alias("actual"), "split"))
     res = outs[0]
     for o in outs[1:]:
         res = res.unionByName(o)

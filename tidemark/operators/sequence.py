@@ -54,14 +54,16 @@ def _bucket(ts: str, bucket: str) -> Column:
 
 def index_rows(df: DataFrame, keys: Sequence[str] | str, ts: str, *,
                bucket: str = DEFAULT_BUCKET, tiebreak: Sequence[str] = (),
-               counts_from: DataFrame | None = None, local_rn: str | None = None) -> DataFrame:
+               counts_from: DataFrame | None = None, local_rn: str | None = None,
+               size: str | None = None) -> DataFrame:
     """Add ``_rn``: 1-based position of the row in its series ordered by (ts, tiebreak).
 
     ``counts_from`` may name a cheaper frame with exactly the same (keys, ts)
     rows (e.g. the input of an opaque Python stage) to take bucket counts from,
     so the expensive frame is not computed twice.  ``local_rn`` names a column
     that already holds the 1-based row number inside (keys, bucket) (e.g. from
-    ``ema(emit_local_rn=True)``); the row-number window is then skipped.
+    ``ema(emit_local_rn=True)``); the row-number window is then skipped.  ``size``
+    names a column for the number of rows of the series (from the same counts).
     """
     keys = require_keys(keys)
     order = [F.col(ts)] + [F.col(c) for c in tiebreak]
@@ -76,7 +78,8 @@ def index_rows(df: DataFrame, keys: Sequence[str] | str, ts: str, *,
     src = d if counts_from is None else counts_from.withColumn(TB, _bucket(ts, bucket))
     counts = src.groupBy(*keys, TB).agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy(*keys).orderBy(TB).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, TB, F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
+    offsets = counts.select(*keys, TB, F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
+                            *([F.sum("_cnt").over(Window.partitionBy(*keys)).alias(size)] if size else []))
     return (local.join(offsets, [*keys, TB])
             .withColumn(RN, (F.col("_off") + F.col("_lrn")).cast("long"))
             .drop(TB, "_lrn", "_off"))
