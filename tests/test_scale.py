@@ -57,3 +57,49 @@ def test_points_keep_constant_columns_exact(spark):
     assert {(r.x[0], r.label) for r in p} == {(7.1, 3.3)} and sum(r.weight for r in p) == 50
     m = sum(r.weight * r.x[1] for r in p) / 50
     assert m == pytest.approx(24.5) and sum(r.weight * (r.x[1] - m) ** 2 for r in p) / 50 == pytest.approx(np.var(range(50)))
+
+
+def _outer_reference(rows):
+    """Every symbol at every date by plain loops; one value a symbol and date."""
+    dates = sorted({t for _, t, _ in rows if t is not None})
+    out = {}
+    for s in {s for s, _, _ in rows}:
+        known = {t: v for a, t, v in rows if a == s and s is not None and t is not None and v is not None}
+        for t in dates:
+            back = [u for u in known if u <= t]
+            ahead = [u for u in known if u >= t]
+            out[(s, t)] = known[max(back)] if back else known[min(ahead)] if ahead else None
+    return out
+
+
+def _outer_rows():
+    day = lambda i: D0 + dt.timedelta(days=i)
+    rows = [(1, day(0), 1.0), (1, day(40), 2.0), (1, day(41), None), (2, day(3), None), (2, day(35), 5.0), (2, day(70), None),
+            (3, day(100), 7.0), (4, day(9), None), (5, None, 3.0), (None, day(50), 9.0), (None, None, 9.0)]
+    return rows, "s int, ts date, value double"
+
+
+def test_outer_alignment_fills_every_symbol_at_every_date(spark, monkeypatch):
+    from tidemark.operators import align as al
+    rows, schema = _outer_rows()
+    want = _outer_reference(rows)
+    df = spark.createDataFrame(rows, schema)
+    for few, stretch in ((1_000_000, 4096), (0, 3)):
+        monkeypatch.setattr(al, "FEW_DATES", few, raising=False)
+        monkeypatch.setattr(al, "STRETCH", stretch, raising=False)
+        got = al.align_outer_long(df, "s", "ts", "value").collect()
+        assert len(got) == len(want) and {(r.s, r.ts): r.value for r in got} == want
+    twice = al.align_outer_long(spark.createDataFrame(rows[:2] + rows[:1] + rows[4:5] * 2, schema), "s", "ts", "value").collect()
+    assert sorted((r.s, (r.ts - D0).days, r.value) for r in twice) == [
+        (1, 0, 1.0), (1, 0, 1.0), (1, 35, 1.0), (1, 40, 2.0), (2, 0, 5.0), (2, 35, 5.0), (2, 35, 5.0), (2, 40, 5.0)]
+    assert al.align_outer_long(df.where("ts is null"), "s", "ts", "value").count() == 0
+
+
+def test_outer_alignment_makes_its_grid_after_all_sorts(spark):
+    from tidemark.operators import align as al
+    rows, schema = _outer_rows()
+    plan = al.align_outer_long(spark.createDataFrame(rows, schema), "s", "ts", "value")._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.split("\n")
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    at = min(i for i, x in enumerate(lines) if "Generate explode" in x)
+    assert not any("Window" in x or "Aggregate" in x for x in lines[:at] if depth(x) < depth(lines[at]))

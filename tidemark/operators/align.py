@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import as_list, require_keys
+from ..session import cut_lineage
 from . import sequence as seq
 from .impute import ffill_bfill
 
@@ -84,11 +85,41 @@ def every_date(items: DataFrame, dates: DataFrame, ts: str) -> DataFrame:
     return spread.join(dates.select(ts, F.date_trunc("month", F.col(ts)).alias("_m")), "_m").drop("_m")
 
 
+#: Distinct dates up to which their places go with every task; more are joined by a shuffle.
+FEW_DATES = 1_000_000
+#: Dates that one step of the spreading makes of a row.
+STRETCH = 4096
+
+
 def align_outer_long(long: DataFrame, symbol: str, ts: str, value: str, **kw) -> DataFrame:
     """C5 in long form, for any number of symbols: every symbol at every ``ts`` that any symbol has, gaps forward-
-    then backward-filled per symbol.  Symbols and dates are read from the data; nothing is pivoted."""
-    grid = every_date(long.select(symbol).distinct(), long.select(ts).distinct(), ts)
-    return ffill_bfill(grid.join(long.select(symbol, ts, value), [symbol, ts], "left"), [symbol], ts, [value], **kw)
+    then backward-filled per symbol.  Symbols and dates are read from the data; nothing is pivoted.
+
+    The fill runs over the given rows alone.  A filled row then stands for the dates from its own up to the symbol's
+    next row (the first row also for those before), so the grid is made at the end and is never shuffled or sorted.
+    """
+    long = long.select(symbol, ts, value)
+    dates = cut_lineage(long.where(F.col(ts).isNotNull()).select(ts).distinct())  # one column of the result
+    place = seq.index_rows(dates.withColumn("_of", F.lit(1)), ["_of"], ts).drop("_of")
+    near = F.broadcast if dates.count() <= FEW_DATES else (lambda d: d)
+    ends = place.agg(F.coalesce(F.max(seq.RN), F.lit(0)).alias("_n"))  # one row
+
+    known = long.where(F.col(symbol).isNotNull() & F.col(ts).isNotNull()).join(near(place), ts).withColumnRenamed(seq.RN, "_a")
+    filled = ffill_bfill(known, [symbol], ts, [value], **kw)
+    row = seq.next_row(filled, [symbol], ts, "_a", "_b", "_first", bucket=kw.get("bucket", seq.DEFAULT_BUCKET))
+    # a symbol without a row that has a place in a series: no value at any date
+    bare = long.groupBy(symbol).agg(F.count(ts).alias("_k")).where(F.col(symbol).isNull() | (F.col("_k") == 0))
+    bare = bare.select(symbol, F.lit(None).cast(long.schema[value].dataType).alias(value), F.lit(1).cast("long").alias("_a"),
+                       F.lit(None).cast("long").alias("_b"), F.lit(True).alias("_first"))
+    stretch = row.select(symbol, value, "_a", "_b", "_first").unionByName(bare).join(F.broadcast(ends), F.col("_n") > 0)
+    start = F.when(F.col("_first"), F.lit(1).cast("long")).otherwise(F.col("_a"))
+    # rows that repeat a date are kept, each at its own place
+    stretch = stretch.select(symbol, value, start.alias("_a"), F.greatest(F.coalesce(F.col("_b") - 1, F.col("_n")), F.col("_a")).alias("_z"))
+    part = F.explode(F.sequence(F.floor(F.col("_a") / STRETCH), F.floor(F.col("_z") / STRETCH)))
+    stretch = stretch.withColumn("_c", part)
+    each = F.sequence(F.greatest(F.col("_a"), F.col("_c") * STRETCH), F.least(F.col("_z"), (F.col("_c") + 1) * STRETCH - 1))
+    grid = stretch.select(symbol, value, F.explode(each).alias(seq.RN))
+    return grid.join(near(place), seq.RN).select(symbol, ts, value)
 
 
 def align_outer_filled(long: DataFrame, symbol: str, ts: str, value: str, symbols: Sequence[str],

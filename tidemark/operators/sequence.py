@@ -410,3 +410,19 @@ def scan_both(df: DataFrame, keys: Sequence[str] | str, ts: str, cols: Sequence[
                            **{nxt(c): F.coalesce(F.col(f"_lf_{c}"), F.col(f"_cf_{c}")) for c in cols}})
     tmp = [f"_{p}_{c}" for p in ("lp", "lf", "cl", "cf") for c in cols] + [TB]
     return res.drop(*tmp)
+
+
+def next_row(df: DataFrame, keys: Sequence[str] | str, ts: str, col: str, out: str, first: str, *,
+             bucket: str = DEFAULT_BUCKET) -> DataFrame:
+    """``out``: ``col`` (ascending with ``ts``, not NULL) of the series' next row, NULL on the last; ``first``: whether
+    the row is the series' first.  One (series, bucket) pass; a bucket's last row takes the next bucket's least."""
+    keys = require_keys(keys)
+    d = df.withColumn(TB, _bucket(ts, bucket))
+    w = Window.partitionBy(*keys, TB).orderBy(ts)
+    local = d.withColumns({"_ln": F.lead(col).over(w), "_lf": F.row_number().over(w) == 1})
+    series = Window.partitionBy(*keys).orderBy(TB)
+    carry = d.groupBy(*keys, TB).agg(F.min(col).alias("_least")).select(
+        *keys, TB, F.lead("_least").over(series).alias("_cn"), (F.row_number().over(series) == 1).alias("_cf"))
+    return (_carry_join(local, carry, keys)
+            .withColumns({out: F.coalesce("_ln", "_cn"), first: F.col("_lf") & F.col("_cf")})
+            .drop("_ln", "_lf", "_cn", "_cf", TB))
