@@ -103,3 +103,30 @@ def test_outer_alignment_makes_its_grid_after_all_sorts(spark):
     depth = lambda x: len(x) - len(x.lstrip(" :+-"))
     at = min(i for i, x in enumerate(lines) if "Generate explode" in x)
     assert not any("Window" in x or "Aggregate" in x for x in lines[:at] if depth(x) < depth(lines[at]))
+
+
+def test_short_units_step_together_as_each_alone(monkeypatch):
+    from tidemark.operators import sequence as seq
+    rng = np.random.default_rng(5)
+    size = rng.integers(1, 40, 60)
+    first = np.r_[0, np.cumsum(size)[:-1]]
+    code = np.repeat(np.arange(60), size)
+    y = np.repeat(rng.normal(size=(len(code), 1)).round(1), 3, axis=1)
+    y[rng.random(len(code)) < 0.3] = np.nan
+    together = seq._ewm(y, first, code, (3, 10, 26))
+    monkeypatch.setattr(seq, "SHORT_UNIT", 0)
+    np.testing.assert_allclose(together, seq._ewm(y, first, code, (3, 10, 26)), rtol=1e-12)
+
+
+def test_feature_bundle_reads_its_rows_once_for_values_and_positions(spark, tmp_path):
+    from tidemark.operators import indicators as ind
+    rows, df = _panel(spark, 3, 60)
+    df.repartition(2).write.parquet(str(tmp_path / "t"))
+    src = spark.read.parquet(str(tmp_path / "t")).groupBy("series_id", "ts").agg(F.sum("value").alias("value"))
+    one = src.unionByName(spark.createDataFrame([(None, D0, 1.0)], src.schema))
+    got = ind.feature_bundle(one, ["series_id"], "ts", ["value"], dropna=False, block_rows=16).collect()
+    assert sorted((r.series_id, r.ts) for r in got) == sorted((s, t) for s, t, _ in rows)  # a row without a key is in no series
+    lag = {(s, t): v for s, t, v in rows}
+    assert all(r.value_Lag3 == lag.get((r.series_id, r.ts - dt.timedelta(days=3))) for r in got)
+    plan = ind.feature_bundle(src, ["series_id"], "ts", ["value"], block_rows=16)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 2  # the rows and their bucket summary, which share one scan and exchange

@@ -121,13 +121,10 @@ def feature_bundle(df: DataFrame, keys, ts: str, cols, *, dropna: bool = True,
             d = rsi_expr(d, c, 14, w, f"{c}_RSI_14")
         return d
 
-    # EMAs first on the base rows (one Python pass); the halo windows then run on
-    # its output, taking bucket counts from the base rows so that pass is not repeated
-    # the EMA pass also numbers rows inside each (series, bucket), so positions
-    # need only the bucket offsets, not another row-number window
-    e = seq.ema(df, keys, ts, cols, EMA_SPANS, bucket=bucket, keep_bucket=True, emit_local_rn="_elrn")
-    d = seq.bounded(e, keys, ts, compute, before=20, block_rows=block_rows, bucket=bucket,
-                    counts_from=df.select(*keys, ts), local_rn="_elrn")
+    # EMAs first on the base rows (one Python pass), which also gives the positions
+    # from the counts of its own bucket summary; the halo windows then run on its output
+    e = seq.ema(df, keys, ts, cols, EMA_SPANS, bucket=bucket, emit_rn=seq.RN)
+    d = seq.bounded(e, keys, ts, compute, before=20, block_rows=block_rows)
     d = d.withColumns({f"{c}_MACD": F.col(f"{c}_EMA_12") - F.col(f"{c}_EMA_26") for c in cols})
     d = ema_ratio(d, keys, ts, cols)
     ordered = list(df.columns)

@@ -206,7 +206,7 @@ def scan_product(df: DataFrame, keys: Sequence[str] | str, ts: str, col: str, ou
 def ema(df: DataFrame, keys: Sequence[str] | str, ts: str, cols: Sequence[str],
         spans: Sequence[int], *, bucket: str = DEFAULT_BUCKET,
         out: Callable[[str, int], str] | None = None, keep_bucket: bool = False,
-        emit_local_rn: str | None = None) -> DataFrame:
+        emit_local_rn: str | None = None, emit_rn: str | None = None) -> DataFrame:
     """``e_t = (b e + a x_t) / (b + a)`` with ``a = 2/(span+1)`` and ``b = (1-a)^g``, seeded by the first value.
 
     ``g`` is the number of rows since the last value, so without NULLs this is ``(1-a) e + a x_t`` and a value
@@ -216,6 +216,8 @@ def ema(df: DataFrame, keys: Sequence[str] | str, ts: str, cols: Sequence[str],
     of the later values and their weighted sum ``L`` (weights <= 1, nothing overflows), and the NULL rows at
     both ends; (2) per-series carry over the small bucket table; (3) one Arrow pass per (series, bucket) running
     the recursion from the carried state.
+    ``emit_rn`` names a column for the row's 1-based position in its series, from the counts of the same summary;
+    rows without a key, which have none, are then left out.
     """
     keys = require_keys(keys)
     cols = as_list(cols)
@@ -249,35 +251,48 @@ def ema(df: DataFrame, keys: Sequence[str] | str, ts: str, cols: Sequence[str],
     # (2) carry over buckets: the bucket table (series x buckets rows) is
     # hash-partitioned by series and sorted, then streamed; the state of the
     # current series is carried across Arrow batch boundaries.
-    carry_fields = [f"_c_{c}_{sp}" for c in cols for sp in spans] + [f"_b_{c}" for c in cols]
+    carry_fields = [f"_c_{c}_{sp}" for c in cols for sp in spans] + [f"_b_{c}" for c in cols] + ["_off"] * bool(emit_rn)
     carry_schema = ", ".join([*(f"`{k}` {t}" for k, t in _key_types(df, keys)), f"{TB} timestamp"]
                              + [f"{f} double" for f in carry_fields])
 
     def _carry(batches):
-        last_key, state, blank = None, {}, {}
+        last_key, off = None, 0
+        state, blank = {c: [None] * len(spans) for c in cols}, dict.fromkeys(cols, 0)
         for pdf in batches:
             if pdf.empty:
                 continue
+            n = len(pdf)
             res = pdf[[*keys, TB]].copy()
-            starts = _unit_starts(pdf, keys, last_key)
-            cols_out = {f: [0.0] * len(pdf) for f in carry_fields}
+            starts = _unit_starts(pdf, keys, last_key).tolist()
+            cols_out = {f: [0.0] * n for f in carry_fields}
             col = {f: pdf[f].tolist() for f in pdf.columns if f not in (*keys, TB)}
-            for i in range(len(pdf)):
-                if starts[i]:
-                    state, blank = {(c, sp): None for c in cols for sp in spans}, dict.fromkeys(cols, 0)
-                for c in cols:
-                    ni = col[f"_n_{c}"][i]
-                    cols_out[f"_b_{c}"][i] = float(blank[c])
-                    for sp in spans:
-                        st = state[(c, sp)]
-                        cols_out[f"_c_{c}_{sp}"][i] = float("nan") if st is None else st
-                        if ni > 0:
-                            x0 = col[f"_x0_{c}"][i]
-                            if st is not None:
-                                w = (1.0 - alphas[sp]) ** (blank[c] + col[f"_lead_{c}"][i] + 1)
-                                x0 = (w * st + alphas[sp] * x0) / (w + alphas[sp])
-                            state[(c, sp)] = col[f"_P_{c}_{sp}"][i] * x0 + col[f"_L_{c}_{sp}"][i]
-                    blank[c] = int(col[f"_trail_{c}"][i]) if ni > 0 else blank[c] + int(col["_cnt"][i])
+            cnt = col["_cnt"]
+            if emit_rn:
+                offs = cols_out["_off"]
+                for i in range(n):
+                    off = 0 if starts[i] else off
+                    offs[i] = float(off)
+                    off += int(cnt[i])
+            for c in cols:
+                known, first, lead, trail, gaps = (col[f"_n_{c}"], col[f"_x0_{c}"], col[f"_lead_{c}"], col[f"_trail_{c}"], cols_out[f"_b_{c}"])
+                per = [(j, 1.0 - alphas[sp], alphas[sp], col[f"_P_{c}_{sp}"], col[f"_L_{c}_{sp}"], cols_out[f"_c_{c}_{sp}"]) for j, sp in enumerate(spans)]
+                st, bl = state[c], blank[c]
+                for i in range(n):
+                    if starts[i]:
+                        st, bl = [None] * len(spans), 0
+                    gaps[i] = float(bl)
+                    some = known[i] > 0
+                    for j, keep_w, a, prod, part, held in per:
+                        now = st[j]
+                        held[i] = float("nan") if now is None else now
+                        if some:
+                            x0 = first[i]
+                            if now is not None:
+                                w = keep_w ** (bl + lead[i] + 1)
+                                x0 = (w * now + a * x0) / (w + a)
+                            st[j] = prod[i] * x0 + part[i]
+                    bl = int(trail[i]) if some else bl + int(cnt[i])
+                state[c], blank[c] = st, bl
             for f, v in cols_out.items():
                 res[f] = v
             last_key = tuple(pdf[k].iloc[-1] for k in keys)
@@ -296,12 +311,14 @@ def ema(df: DataFrame, keys: Sequence[str] | str, ts: str, cols: Sequence[str],
     keep = [f.name for f in base_fields if f.name not in out_names]
     out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base_fields
                             if f.name not in out_names] + [f"`{n}` double" for n in out_names]
-                           + ([f"`{emit_local_rn}` long"] if emit_local_rn else []))
+                           + [f"`{n}` long" for n in (emit_local_rn, emit_rn) if n])
     unit_cols = [*keys, TB]
 
     def _run(batches):
         last_unit, last_state, last_blank, last_count = None, {}, {}, 0
         for pdf in batches:
+            if emit_rn:
+                pdf = pdf[pdf["_off"].notna()].reset_index(drop=True)
             if pdf.empty:
                 continue
             starts = _unit_starts(pdf, unit_cols, None)
@@ -314,6 +331,8 @@ def ema(df: DataFrame, keys: Sequence[str] | str, ts: str, cols: Sequence[str],
                 lrn[code == 0] += last_count
             if emit_local_rn:
                 res[emit_local_rn] = lrn.astype("int64")
+            if emit_rn:
+                res[emit_rn] = lrn.astype("int64") + pdf["_off"].to_numpy(dtype="int64")
             for c in cols:
                 x = pdf[c].to_numpy(dtype="float64")
                 known = np.flatnonzero(~np.isnan(x))
@@ -323,16 +342,18 @@ def ema(df: DataFrame, keys: Sequence[str] | str, ts: str, cols: Sequence[str],
                 if continues:
                     blank[0] = last_blank[c]
                 gap = blank[units] + at - first_rows[units] + 1
-                for sp in spans:
+                y, begin = np.repeat(x[:, None], len(spans), axis=1), []
+                for i, sp in enumerate(spans):
                     start = pdf[f"_c_{c}_{sp}"].to_numpy(dtype="float64")[first_rows].copy()
                     if continues:
                         start[0] = last_state[(c, sp)]
                     w = (1.0 - alphas[sp]) ** gap
                     met = (w * start[units] + alphas[sp] * x[at]) / (w + alphas[sp])
-                    y = x.copy()
-                    y[at] = np.where(np.isnan(start[units]), x[at], met)
-                    e = pd.Series(y).groupby(code, sort=False).ewm(span=sp, adjust=False, ignore_na=False).mean().to_numpy()
-                    vals = np.where(np.isnan(e), start[code], e)
+                    y[at, i] = np.where(np.isnan(start[units]), x[at], met)
+                    begin.append(start)
+                e = _ewm(y, first_rows, code, spans)
+                for i, sp in enumerate(spans):
+                    vals = np.where(np.isnan(e[:, i]), begin[i][code], e[:, i])
                     res[out(c, sp)] = vals
                     last_state[(c, sp)] = vals[-1]
                 last = known[-1] if known.size and code[known[-1]] == code[-1] else None
@@ -346,6 +367,32 @@ def ema(df: DataFrame, keys: Sequence[str] | str, ts: str, cols: Sequence[str],
     return res if keep_bucket else res.drop(TB)
 
 
+#: Rows of the longest unit up to which a step takes one row of every unit; longer ones run unit by unit.
+SHORT_UNIT = 64
+
+
+def _ewm(y: np.ndarray, first_rows: np.ndarray, code: np.ndarray, spans: Sequence[int]) -> np.ndarray:
+    """Column i: pandas' ``ewm(span=spans[i], adjust=False, ignore_na=False).mean()`` of ``y[:, i]`` in every unit."""
+    n = len(y)
+    size = np.diff(np.append(first_rows, n))
+    if size.max() > SHORT_UNIT:
+        return np.column_stack([pd.Series(y[:, i]).groupby(code, sort=False).ewm(span=sp, adjust=False, ignore_na=False).mean().to_numpy()
+                                for i, sp in enumerate(spans)])
+    a = np.array([2.0 / (sp + 1.0) for sp in spans])
+    order = np.argsort(-size, kind="stable")
+    at, live = first_rows[order], np.searchsorted(-size[order], -np.arange(size.max()), "left")
+    e, state, old = np.empty_like(y), np.full((len(size), len(spans)), np.nan), np.ones((len(size), len(spans)))
+    for k, m in enumerate(live):  # the k-th rows of the m units that are so long
+        x, s, w = y[at[:m] + k], state[:m], old[:m] * (1.0 - a)
+        w = np.where(np.isnan(s), 1.0, w)
+        met = np.where(s == x, s, (w * s + a * x) / (w + a))
+        seen = ~np.isnan(x)
+        state[:m] = np.where(seen, np.where(np.isnan(s), x, met), s)
+        old[:m] = np.where(seen, 1.0, w)
+        e[at[:m] + k] = state[:m]
+    return e
+
+
 def _unit_starts(pdf: pd.DataFrame, cols: Sequence[str], prev_last: tuple | None) -> np.ndarray:
     """Boolean array: row i starts a new unit (contiguous run of equal ``cols`` values)."""
     n = len(pdf)
