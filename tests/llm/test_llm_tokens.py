@@ -1,5 +1,7 @@
 """Token files: the codec, the encoder and the whole round trip against plain tokenizing."""
 
+import json
+import sys
 import zlib
 
 import numpy as np
@@ -85,6 +87,56 @@ def test_encoder_equals_the_tokenizer_on_odd_texts(tokenizer_json):
         assert np.frombuffer(got, enc.dtype).tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def invented(rng, n):
+    """Words that hardly recur, some with marks, digits, line ends or letters beyond ASCII."""
+    parts = ["tion", "ou", "er", "wh", "ble", "né", "ß", "st", "An"]
+    tails = ["", "", "", ",", ".", ".\n", "\n\n", "'s", "-7", "\t", "!?", "…"]
+    return ["".join(rng.choice(parts, rng.integers(1, 6))) + rng.choice(tails) for _ in range(n)]
+
+
+def test_new_words_reach_the_library_in_few_calls(tokenizer_json):
+    """One call a piece took most of the query's CPU time."""
+    rng, tok, enc = np.random.default_rng(11), Tokenizer.from_str(tokenizer_json), tokenfiles.Encoder(tokenizer_json)
+    texts, calls = [" ".join(invented(rng, 120)) for _ in range(100)], []
+
+    def count(frame, event, arg):
+        if event == "c_call" and type(getattr(arg, "__self__", None)).__module__.startswith("tokenizers"):
+            calls.append(arg.__name__)
+
+    sys.setprofile(count)
+    try:
+        got = enc.encode(texts)
+    finally:
+        sys.setprofile(None)
+    assert [np.frombuffer(b, enc.dtype).tolist() for b in got] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert 0 < len(calls) <= 20
+
+
+@pytest.mark.parametrize("call", [3, 20_000])
+def test_small_memories_and_calls_change_nothing(tokenizer_json, monkeypatch, call):
+    monkeypatch.setattr(tokenfiles, "CALL", call)
+    monkeypatch.setattr(tokenfiles, "WHOLE", 2)
+    rng, tok, enc = np.random.default_rng(call), Tokenizer.from_str(tokenizer_json), tokenfiles.Encoder(tokenizer_json, remembered=(30, 10))
+    for k in range(12):
+        monkeypatch.setattr(tokenfiles, "REMEMBERED_BYTES", 200 if k % 3 == 2 else 1 << 20)
+        texts = [rng.choice([" ", ""]) + " ".join([*invented(rng, rng.integers(0, 9)), *rng.choice(["", "a", "\n", "\nb", "\t", "\0", "日本"], 2)]) for _ in range(30)] + ["", " ", "  ", "\n"]
+        for t, b in zip(texts, enc.encode(texts)):
+            assert np.frombuffer(b, enc.dtype).tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+        words = {w for t in texts for w in t.split(" ")}
+        assert len(enc.words.keys) == len(enc.words.ids) <= max(30, len(words))
+        assert len(enc.pieces.keys) == len(enc.pieces.ids)
+        assert enc.words.keys.nbytes <= tokenfiles.REMEMBERED_BYTES
+
+
+def test_a_vocabulary_without_all_bytes_is_encoded_whole():
+    spec = {"version": "1.0", "added_tokens": [], "normalizer": None, "post_processor": None, "decoder": None, "truncation": None, "padding": None,
+            "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True},
+            "model": {"type": "BPE", "vocab": {"a": 0, "b": 1, "ab": 2, "Ġ": 3}, "merges": [["a", "b"]]}}
+    enc, tok = tokenfiles.Encoder(json.dumps(spec)), Tokenizer.from_str(json.dumps(spec))
+    texts = ["ab abx xa", "x", "", "b ab"]
+    assert [np.frombuffer(b, enc.dtype).tolist() for b in enc.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_query_equals_plain_tokenizing(spark, tokenizer_json):
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     got = tokenfiles.op12_tokenfiles(spark, SF)
@@ -108,3 +160,12 @@ def test_edges_small_blocks_and_ranges(spark, tokenizer_json, tmp_path):
 
 def test_empty_table(spark, tokenizer_json, tmp_path):
     assert read_back(spark, spark.createDataFrame([], "doc_id long, text string"), tokenizer_json, tmp_path)[1] == []
+
+
+def test_texts_are_taken_by_their_bytes(spark, tokenizer_json, tmp_path, monkeypatch):
+    """Batches of few bytes, texts longer than a batch, and nulls among them."""
+    monkeypatch.setattr(tokenfiles, "BATCH", 400)
+    rng = np.random.default_rng(3)
+    rows = [(i, None if i % 11 == 5 else " ".join(invented(rng, int(rng.choice([0, 1, 20, 300]))))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert read_back(spark, df, tokenizer_json, tmp_path)[1] == wanted(rows, tokenizer_json)

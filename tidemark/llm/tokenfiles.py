@@ -28,9 +28,8 @@ import sys
 import types
 import uuid
 import zlib
-from array import array
 from codecs import charmap_decode
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,17 +44,24 @@ from .common import lookup_join, table
 BLOCK_IDS = 1 << 20
 #: Rows a part is meant to hold; parts are at least as many as shuffle partitions.
 PART_ROWS = 200_000
-#: Texts that are encoded together.
-BATCH = 768
-#: Entries of a worker's memories of words and of pieces; a full one starts anew.
-REMEMBERED = 400_000, 200_000
+#: Bytes of texts that are encoded together.
+BATCH = 12 << 20
+#: Entries of a worker's memories of words and of pieces; a full one keeps what the last texts had.
+REMEMBERED = 700_000, 500_000
+#: Bytes that such a memory's strings may have.
+REMEMBERED_BYTES = 64 << 20
+#: Words or pieces in one call of ``re`` or the library.
+CALL = 20_000
+#: Whole texts in one call of the library.
+WHOLE = 64
 #: Characters (Latin-1) that ``re`` and the tokenizer's regular expressions class alike; with the next one.
 _PLAIN = bytes([*b"\t\n\r", *range(0x20, 0x7F), *(b for b in range(0xA1, 0x100) if b not in b"\xb2\xb3\xb9\xbc\xbd\xbe")])
 _ODD = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027\u2030-\u205e\u20ac]")
 #: A blank inside or at the end of wider white space: there the cut before blanks is not the tokenizer's.
 _WIDE = re.compile(r"\s (?!\S)")
-#: Fixed value: the split of byte-level BPE vocabularies of this family, in the classes of ``re``.
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Fixed value: the split of byte-level BPE vocabularies of this family, in the classes of ``re``; \0, which is in no
+#: plain text, stands between words and ends each like the text's end.
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w\0]|_)+|\s+(?![^\s\0])|\s+")
 
 
 def _plain(text: str) -> bool:
@@ -65,14 +71,56 @@ def _plain(text: str) -> bool:
         return not _ODD.search(text)
 
 
+def _binary(ends: np.ndarray, raw: np.ndarray) -> pa.LargeBinaryArray:
+    """Byte strings that end at ``ends``, one after the other in ``raw``."""
+    at = np.concatenate([[0], ends]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(at), pa.py_buffer(raw)])
+
+
+def _ends(strings: pa.LargeBinaryArray) -> np.ndarray:
+    """0, then where each byte string ends in ``_raw``."""
+    return np.frombuffer(strings.buffers()[1], np.int64)[strings.offset:strings.offset + len(strings) + 1]
+
+
+def _raw(strings: pa.LargeBinaryArray) -> np.ndarray:
+    return np.frombuffer(strings.buffers()[2] or b"", np.uint8)
+
+
+class Known:
+    """Strings met before and their ids, as two Arrow arrays: no Python object an entry."""
+
+    def __init__(self):
+        self.keys, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+
+    def look_up(self, strings: pa.LargeStringArray, learn: Callable[[pa.LargeStringArray], pa.LargeBinaryArray], most: int) -> pa.LargeBinaryArray:
+        """The ids of each string; those of new ones are ``learn``'s, which gets each of them once."""
+        if not len(strings):
+            return pa.array([], pa.large_binary())
+        n = len(self.keys)
+        numbered = pa.chunked_array([self.keys, strings]).dictionary_encode().chunks[-1]  # known strings keep their numbers
+        keys, ids, at = numbered.dictionary, self.ids, numbered.indices
+        if len(keys) > n:
+            ids = pa.concat_arrays([ids, learn(keys[n:])])
+        got = ids.take(at)
+        if len(keys) > most:
+            used = np.zeros(len(keys), bool)
+            used[at.to_numpy()] = True
+            keys, ids = keys.filter(pa.array(used)), ids.filter(pa.array(used))
+        if keys.nbytes > REMEMBERED_BYTES:
+            keys, ids = keys[:0], ids[:0]
+        self.keys, self.ids = keys, ids
+        return got
+
+
 class Encoder:
     """Ids of whole texts, as bytes, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 
     Byte-level BPE without normalizer splits a text into pieces and encodes each by itself, and a piece starts
     at a blank that follows a non-blank.  So a text is cut before its blanks, and the ids of a cut word are
-    remembered; words met for the first time are split into pieces, whose ids are the tokenizer's model's and are
-    remembered too.  Texts with characters or white space where that cut could differ, with a special token's
-    string, or any text under another kind of tokenizer are encoded as a whole.
+    remembered; words met for the first time are split into pieces, whose ids are remembered too.  New pieces go to
+    the library, which runs the tokenizer's own model over many in one call; the bytes of the ids tell whose they are.
+    Texts with characters or white space where that cut could differ, with a special token's string, or any text
+    under another kind of tokenizer are encoded as a whole.
     """
 
     def __init__(self, tokenizer_json: str, remembered: tuple[int, int] = REMEMBERED):
@@ -80,40 +128,54 @@ class Encoder:
         kept = sys.modules.setdefault("_tidemark_words", types.ModuleType("_tidemark_words")).__dict__
         mark = zlib.crc32(tokenizer_json.encode())
         if mark not in kept:
-            from tokenizers import Tokenizer
-            kept[mark] = Tokenizer.from_str(tokenizer_json), json.loads(tokenizer_json), {}, {}
-        self.tok, spec, self.words, self.pieces = kept[mark]
+            kept[mark] = self._prepared(tokenizer_json)
+        self.__dict__.update(kept[mark])
+        self.dtype, self.remembered = np.dtype(_dtype(self.tok)), remembered
+
+    @staticmethod
+    def _prepared(tokenizer_json: str) -> dict:
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
+        tok, spec = Tokenizer.from_str(tokenizer_json), json.loads(tokenizer_json)
         pre = spec.get("pre_tokenizer") or {}
-        self.cut = (not spec.get("normalizer") and not spec.get("post_processor") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space")
-                    and pre.get("use_regex", True) and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout"))
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.dtype, self.model = np.dtype(_dtype(self.tok)), self.tok.model
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}  # bytes that the vocabulary writes as themselves
         other = iter(range(256, 512))
-        self.letters = "".join(chr(b if b in shown else next(other)) for b in range(256))
-        self.remembered = remembered
+        letters = "".join(chr(b if b in shown else next(other)) for b in range(256))
+        vocab = tok.get_vocab(with_added_tokens=False)
+        # without a letter for each byte, ids would not tell which bytes they cover
+        cut = (not spec.get("normalizer") and not spec.get("post_processor") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space")
+               and pre.get("use_regex", True) and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and all(c in vocab for c in letters))
+        out = {"tok": tok, "cut": cut, "letters": letters, "special": [t["content"] for t in spec.get("added_tokens", [])], "words": Known(), "pieces": Known()}
+        if cut:
+            out["bpe"] = Tokenizer(tok.model)
+            out["bpe"].pre_tokenizer = CharDelimiterSplit(letters[0])
+            out["n_bytes"] = np.zeros(max(vocab.values()) + 1, np.int64)
+            out["n_bytes"][list(vocab.values())] = [len(t) for t in vocab]
+        return out
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-
-    def _learn(self, new: set[str]) -> None:
-        """Ids of words, each with the blank before it, that were not met yet."""
-        words, pieces, tokenize, kind, letters = self.words, self.pieces, self.model.tokenize, "H" if self.dtype.itemsize == 2 else "I", self.letters
-        for w in new:
-            if w.isalpha():
-                cut = (" " + w,)
-            elif w[-1:] in (".", ",") and w[:-1].isalpha():
-                cut = (" " + w[:-1], w[-1])
-            else:
-                cut = _PIECE.findall(" " + w)
-            ids = b""
-            for p in cut:
-                got = pieces.get(p)
-                if got is None:
-                    shown = charmap_decode(p.encode("utf-8"), "strict", letters)[0]
-                    got = pieces[p] = array(kind, [t.id for t in tokenize(shown)]).tobytes()
-                ids = ids + got if ids else got
-            words[w] = ids
+        return [np.array(e.ids, self.dtype).tobytes() for a in range(0, len(texts), WHOLE) for e in self.tok.encode_batch_fast(texts[a:a + WHOLE], add_special_tokens=False)]
+
+    def _of_pieces(self, new: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """Ids of pieces, each encoded by the tokenizer's model."""
+        ids = []
+        for a in range(0, len(new), CALL):
+            shown = charmap_decode("\0".join(new[a:a + CALL].to_pylist()).encode("utf-8"), "strict", self.letters)[0]
+            ids.append(np.array(self.bpe.encode_batch_fast([shown], add_special_tokens=False)[0].ids, self.dtype))
+        ids = np.concatenate(ids)
+        ends, covered = np.cumsum(pc.binary_length(new).to_numpy()), np.cumsum(self.n_bytes[ids])
+        last = np.searchsorted(covered, ends)
+        if covered[-1] != ends[-1] or (covered[last] != ends).any():
+            raise ValueError("a piece's ids do not cover it")
+        return _binary((last + 1) * ids.itemsize, ids)
+
+    def _of_words(self, new: pa.LargeStringArray, blank: str = " ") -> pa.LargeBinaryArray:
+        """Ids of words, each with the blank before it: those of its pieces, one after the other."""
+        pieces = pa.chunked_array((_PIECE.findall(blank + ("\0" + blank).join(new[a:a + CALL].to_pylist())) for a in range(0, len(new), CALL)), pa.large_string()).combine_chunks()
+        word_ends = np.cumsum(pc.binary_length(new).to_numpy() + len(blank))
+        piece_ends = np.concatenate([[0], np.cumsum(pc.binary_length(pieces).to_numpy())])
+        ids = self.pieces.look_up(pieces, self._of_pieces, self.remembered[1])
+        return _binary(_ends(ids)[np.searchsorted(piece_ends, word_ends)], _raw(ids))
 
     def _cuts(self, t: str) -> bool:
         """Whether the cut before blanks is the tokenizer's own in this text."""
@@ -130,20 +192,12 @@ class Encoder:
             out[i] = b
         if not plain:
             return out
-        for kept, most in zip((self.words, self.pieces), self.remembered):
-            if len(kept) > most:
-                kept.clear()
-        # Arrow cuts all texts and numbers their distinct words; Python sees each of those once
+        # Arrow cuts all texts and numbers their distinct words; Python sees each new one of those once
         cut = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
-        first, numbered = cut.offsets.to_numpy(), cut.values.dictionary_encode()
-        words = numbered.dictionary.to_pylist()
-        ids = list(map(self.words.get, words))
-        if None in ids:
-            self._learn({w for w, b in zip(words, ids) if b is None})
-            ids = list(map(self.words.__getitem__, words))
-        row = pa.array(ids, pa.large_binary()).take(numbered.indices)  # the ids of all words, one after the other
-        at, raw = np.frombuffer(row.buffers()[1], np.int64), memoryview(row.buffers()[2])
-        heads = self._whole(cut.values.take(pa.array(first[:-1])).to_pylist())  # not after a blank
+        first = cut.offsets.to_numpy()
+        heads = self._of_words(cut.values.take(pa.array(first[:-1])), "").to_pylist()  # not after a blank
+        row = self.words.look_up(cut.values, self._of_words, self.remembered[0])  # the ids of all words, one after the other
+        at, raw = _ends(row), memoryview(_raw(row))
         for i, h, a, b in zip(plain, heads, at[first[:-1] + 1].tolist(), at[first[1:]].tolist()):
             out[i] = h + raw[a:b]
         return out
@@ -173,8 +227,12 @@ def packed_blocks(docs: DataFrame, tokenizer_json: str, end_id: int, id_col: str
         enc = Encoder(tokenizer_json)
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
-            for a in range(0, batch.num_rows, BATCH):
-                b = batch.slice(a, BATCH)
+            sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy())
+            a = 0
+            while a < batch.num_rows:
+                n = max(1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + BATCH, "right")) - a)
+                b = batch.slice(a, n)
+                a += n
                 ids = b.column(0)
                 part = np.searchsorted(bounds, ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "left")
                 got = [e + end for e in enc.encode(b.column(1).to_pylist())]
